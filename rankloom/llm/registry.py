@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe
+from rankloom.llm import bpe, decontaminate, oracles
 from rankloom.llm.common import read
 
 
@@ -15,5 +15,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), **how), **how)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return decontaminate.digests(found, ["doc_id"])
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES = {
+    "op10_decontaminate": oracles.OP10,
+}
