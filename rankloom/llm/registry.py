@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, oracles
+from rankloom.llm import bpe, decontaminate, oracles, urlfilter, warc
 from rankloom.llm.common import read
 
 
@@ -20,10 +21,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(found, ["doc_id"])
 
 
+#: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
+    return urlfilter.judged(read(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read(spark, sf_dir, "pages"), key="page_id", url="url", payload="html")
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_url_filter": op5_url_filter,
+    "op7_warc": op7_warc,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
+    "op5_url_filter": oracles.OP5,
+    "op7_warc": oracles.OP7,
     "op10_decontaminate": oracles.OP10,
 }
