@@ -54,10 +54,11 @@ def slices(batch: pa.RecordBatch, column: int = -1) -> Iterator[tuple[pa.RecordB
         yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructField], work: Callable[[list[bytes]], list]) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructField], work: Callable[..., list], rows: bool = False) -> DataFrame:
     """The columns `keep` of `df` and, beside them, `fields` that `work` makes from the whole texts; no shuffle.
 
-    `work` gets a list of texts and returns one Arrow array for each field. `fields` must not repeat a kept name.
+    `work` gets a list of texts (and, with `rows`, the batch of kept columns) and returns one Arrow array for each
+    field. `fields` must not repeat a kept name.
     """
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
@@ -66,7 +67,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(texts)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(work(texts, part) if rows else work(texts))], names=names)
 
     return source.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 

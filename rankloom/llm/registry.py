@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, oracles, urlfilter, warc
+from rankloom.llm import bpe, decontaminate, oracles, quality_rules, urlfilter, warc
 from rankloom.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), **how), **how)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontaminate.digests(found, ["doc_id"])
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_url_filter": op5_url_filter,
     "op7_warc": op7_warc,
+    "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
