@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, oracles, quality_rules, urlfilter, warc
+from rankloom.llm import bpe, decontaminate, minhash, oracles, quality_rules, urlfilter, warc
 from rankloom.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(found, ["doc_id"])
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 #: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -42,12 +46,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
     "op5_url_filter": op5_url_filter,
     "op7_warc": op7_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
+    "op2_minhash": oracles.OP2,
     "op5_url_filter": oracles.OP5,
     "op7_warc": oracles.OP7,
     "op10_decontaminate": oracles.OP10,
