@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, minhash, oracles, quality_rules, urlfilter, warc
+from rankloom.llm import bpe, decontaminate, minhash, oracles, passages, quality_rules, urlfilter, warc
 from rankloom.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), **how), **how)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(read(spark, sf_dir, "documents"), keep=["doc_id"], length=400)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op5_url_filter": op5_url_filter,
     "op7_warc": op7_warc,
+    "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
