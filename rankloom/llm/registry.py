@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, minhash, oracles, passages, quality_rules, urlfilter, warc
-from rankloom.llm.common import read
+from rankloom.llm import bpe, decontaminate, language, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
+from rankloom.llm.common import held_out, read
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.learn(docs, ~held_out(F.col("_id"), 3, 1))
+    found = language.labelled(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 #: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -43,6 +50,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(read(spark, sf_dir, "pages"), rules, keep=["page_id"])
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    weights = quality_model.fit(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("_id"), 5, 0))
+    found = quality_model.scores(docs, weights, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(read(spark, sf_dir, "pages"), key="page_id", url="url", payload="html")
     return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -51,7 +65,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
+    "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
+    "op6_quality_model": op6_quality_model,
     "op7_warc": op7_warc,
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
