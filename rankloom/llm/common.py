@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,32 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     return source.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
+def squeezed(df: DataFrame, keep: list[str], text: str, name: str = "_z") -> DataFrame:
+    """The columns `keep` and the text compressed as `name` (null stays null), for texts that have to be shuffled."""
+
+    def work(texts, part):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        there = part.column(part.num_columns - 1).is_valid().to_pylist()
+        return [pa.array([squeeze.compress(t) if x else None for t, x in zip(texts, there, strict=True)], pa.binary())]
+
+    return map_texts(df, keep, text, [field(name, "binary")], work, rows=True)
+
+
+def unsqueezed(df: DataFrame, keep: list[str], text: str, name: str = "_z") -> DataFrame:
+    """The columns `keep` and `text`, from the compressed column `name`."""
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                texts = [None if z is None else unpack.decompress(z) for z in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], names=[*keep, text])
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], name).mapInArrow(run, kept.schema.add(text, "string"))
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind) if kind not in ATOMIC else ATOMIC[kind])
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, field, map_texts, mixed, slices
+from rankloom.llm.common import cut, mixed, slices, squeezed
 from rankloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 16
@@ -246,6 +246,8 @@ def removed(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> tuple
 
     digest is `digest_of` the text. spans: maximal disjoint byte ranges a * 2^32 + b, in order.
     """
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be at least {2 * GRAM}")
     texts = keyed(df, text)
     long = texts.where(F.octet_length("text") >= length)
     copies = texts.groupBy("digest").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
@@ -254,11 +256,7 @@ def removed(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> tuple
     again = found.groupBy("hash").agg(F.min(ends).alias("a"), F.max(ends).alias("b"), F.max("twice").alias("twice")).where("a <> b OR twice").select("hash")
     wanted = found.join(again, "hash", "left_semi").groupBy("digest").agg(F.collect_set("start").alias("starts"))
 
-    def pack(data):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        return [pa.array([squeeze.compress(t) for t in data], pa.binary())]
-
-    packed = map_texts(long, ["digest"], "text", [field("packed", "binary")], pack)
+    packed = squeezed(long, ["digest"], "text", "packed")
     # Copies of a text would only repeat its slices; which of them is taken makes no difference.
     one = packed.join(wanted, "digest").dropDuplicates(["digest"])
     dealt = cut_out(one, length).repartition("hash").sortWithinPartitions("hash", F.col("bytes").isNull())
@@ -304,10 +302,6 @@ def without(data: bytes, spans: list[int]) -> bytes:
 def stripped(df: DataFrame, spans: DataFrame, text: str) -> DataFrame:
     """(digest, n_removed, n_spans, kept bytes) of the texts that have spans."""
 
-    def pack(data):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        return [pa.array([squeeze.compress(t) for t in data], pa.binary())]
-
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -318,7 +312,7 @@ def stripped(df: DataFrame, spans: DataFrame, text: str) -> DataFrame:
                 n = [sum((v & 0xFFFFFFFF) - (v >> 32) for v in x) for x in ranges]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in ranges], pa.int64()), pa.array(kept, pa.binary())], names=["digest", "n_removed", "n_spans", "kept"])
 
-    packed = map_texts(keyed(df, text), ["digest"], "text", [field("packed", "binary")], pack)
+    packed = squeezed(keyed(df, text), ["digest"], "text", "packed")
     one = packed.join(spans, "digest").dropDuplicates(["digest"]).select("digest", "spans", "packed")
     return one.mapInArrow(run, "digest binary, n_removed long, n_spans long, kept binary")
 
@@ -347,12 +341,23 @@ def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH) ->
     """`df` with the repeated bytes taken out of its texts; a character that loses a byte goes as a whole."""
     copies, spans = removed(df, text=text, length=length)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rest = [c for c in df.columns if c != text]
+    rows = squeezed(df.withColumn("_digest", digest_of(whole)).withColumn("_size", F.octet_length(whole)), [*rest, "_digest", "_size"], text)
+    joined = rows.join(copies.withColumnRenamed("digest", "_digest"), "_digest", "left").join(spans.withColumnRenamed("digest", "_digest"), "_digest", "left")
+    all_gone = F.col("n_copies").isNotNull() & (F.col("_size") >= length)
+    cuts = F.when(all_gone, F.array(F.col("_size").cast("long"))).otherwise(F.coalesce("spans", F.array().cast("array<long>")))
+    kept = joined.select(*[F.col(f"`{c}`") for c in rest], cuts.alias("_cuts"), "_z")
 
-    def work(data):
-        return [pa.array([t.decode(errors="ignore") for t in data], pa.string())]
-
-    kept = map_texts(stripped(df, spans, text).withColumn("_b", F.col("kept").cast("string")), ["digest"], "_b", [field("_kept", "string")], work)
-    rows = df.withColumn("_digest", digest_of(whole))
-    joined = rows.join(copies.withColumnRenamed("digest", "_digest"), "_digest", "left").join(kept.withColumnRenamed("digest", "_digest"), "_digest", "left")
-    new = F.when(F.col("n_copies").isNotNull() & (F.octet_length(whole) >= length), "").otherwise(F.coalesce("_kept", F.col(f"`{text}`")))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = []
+                for z, x in zip(part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist(), strict=True):
+                    data = None if z is None else unpack.decompress(z)
+                    texts.append(without(data, x).decode(errors="ignore") if x and data else None if data is None else data.decode())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.string())], names=[*rest, text])
+
+    out = kept.select(*[F.col(f"`{c}`") for c in rest]).schema.add(text, "string")
+    return kept.mapInArrow(run, out).select(*[F.col(f"`{c}`") for c in df.columns])

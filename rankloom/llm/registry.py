@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, language, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
+from rankloom.llm import bpe, decontaminate, language, licenses, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
 from rankloom.llm.common import held_out, read
 
 
@@ -33,6 +33,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.learn(docs, ~held_out(F.col("_id"), 3, 1))
@@ -65,6 +69,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
     "op6_quality_model": op6_quality_model,
