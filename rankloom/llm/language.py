@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-Each word is scored under every language by hashed character n-grams, smoothed relative
-frequencies learned by Spark from a bounded sample of labelled documents. The scripts of a word's
+Each word is scored under every language by the hashed trigram around each of its letters (its
+ends count as a letter), smoothed relative frequencies learned by Spark from a bounded sample of labelled documents. The scripts of a word's
 letters narrow the candidates to the languages that use that script. Viterbi over the words, with a
 penalty for switching, labels spans; the language of most letters is the prediction.
 
@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import field, map_texts, mixed, slices
+from rankloom.llm.common import field, map_texts, slices
 
 BITS = 16
 MAX_TRAIN = 20_000
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 255
 SWITCH = 8.0
 SMOOTHING = 0.5
 #: Bytes of text that are scored together.
-PART_BYTES = 1 << 20
+PART_BYTES = 2 << 20
 #: Share of a language's letters that a script must have to count as its own.
 LEAST_SHARE = 0.002
 #: First code points of Unicode blocks and the script of their letters; a fixed public table.
@@ -65,7 +65,6 @@ NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS])
 #: Code points beyond this one count as Han letters.
 PLANES = 0x30000
-ORDERS = (2, 3, 4)
 EDGE = 1
 
 
@@ -94,40 +93,22 @@ class Words:
             part = part & ~lone
             first = part & ~np.concatenate(([False], part[:-1]))
             lone = first & ~letter[c]
-        self.start = np.flatnonzero(first)
-        self.end = np.flatnonzero(~part & np.concatenate(([False], part[:-1])))  # the place after the word
-        self.letters = self.end - self.start
+        place = np.flatnonzero(part)  # of the words' letters and marks
+        self.first = np.flatnonzero(first[place])  # of each word among those
+        self.letters = np.diff(np.append(self.first, len(place)))
         edge = np.cumsum([len(x) + 1 for x in codes]) + 1
-        self.size = np.diff(np.concatenate(([0], np.searchsorted(self.start, edge))))
+        self.size = np.diff(np.concatenate(([0], np.searchsorted(place[self.first], edge))))
         self.begin = np.cumsum(self.size) - self.size
-        self.c = np.where(part, small[c], EDGE).astype(np.uint64)
-        # The script of most letters: words of one script are told by their first letter.
-        own = script[c]
-        self.script = own[self.start]
-        mixed_up = np.flatnonzero(np.logical_or.reduceat(np.where(part, own, np.repeat(-1, len(own))) != _word_of(self.start, own, len(c)), self.start)) if len(self.start) else []
-        for w in mixed_up:
-            self.script[w] = np.bincount(own[self.start[w] : self.end[w]]).argmax()
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the n-grams that end at each place, and where there is one: in a word or with its edges."""
-        c = self.c
-        h = np.zeros(len(c), np.uint64)
-        for i in range(n):
-            h[n - 1 :] = h[n - 1 :] * np.uint64(0x9E3779B97F4A7C15) + c[i : len(c) - n + 1 + i]
-        back = np.zeros(len(c), np.int64)
-        back[self.start - 1] = self.start - 1
-        back = np.arange(len(c)) - np.maximum.accumulate(back)  # from the edge before the word
-        ends = np.zeros(len(c) + 1, np.int8)
-        np.add.at(ends, self.start, 1)
-        np.add.at(ends, self.end + 1, -1)
-        return (mixed(h + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64), (np.cumsum(ends)[:-1] > 0) & (back >= n - 1)
-
-
-def _word_of(start: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """At each place the script of the first letter of the word that begins last."""
-    at = np.zeros(n, np.int64)
-    at[start] = start
-    return own[np.maximum.accumulate(at)]
+        own = script[c[place]]
+        self.script = own[self.first]
+        if len(self.first) and (own != own[0]).any():  # the script of most of a word's letters
+            differs = np.logical_or.reduceat(own != np.repeat(self.script, self.letters), self.first)
+            for w in np.flatnonzero(differs).tolist():
+                self.script[w] = np.bincount(own[self.first[w] : self.first[w] + self.letters[w]]).argmax()
+        c = np.where(part, small[c], EDGE).astype(np.uint32)
+        h = c[place - 1] * np.uint32(0x9E3779B1) + c[place] * np.uint32(0x85EBCA6B) + c[place + 1] * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        self.grams = (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def learn(df: DataFrame, use: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -155,9 +136,7 @@ def learn(df: DataFrame, use: Column, *, doc_id: str = "doc_id", text: str = "te
                 for name, group in by.items():
                     own = counts.setdefault(name, np.zeros((1 << BITS) + len(NAMES), np.int64))
                     words = Words(group)
-                    for n in ORDERS:
-                        h, there = words.grams(n)
-                        own[: 1 << BITS] += np.bincount(h[there], minlength=1 << BITS)
+                    own[: 1 << BITS] += np.bincount(words.grams, minlength=1 << BITS)
                     own[1 << BITS :] += np.bincount(words.script, minlength=len(NAMES))
         for name, own in counts.items():
             i = np.flatnonzero(own)
@@ -173,61 +152,101 @@ def learn(df: DataFrame, use: Column, *, doc_id: str = "doc_id", text: str = "te
     return names, np.log(gram / gram.sum(1, keepdims=True)).astype(np.float32), uses
 
 
-def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: float, stretch: int = 256) -> np.ndarray:
+class Steps:
+    """Viterbi over stretches of words that step together, for each of the languages a stretch may begin with, or for all at once."""
+
+    def __init__(self, scores: np.ndarray, at: np.ndarray, words: np.ndarray, switch: float, free: bool):
+        k = scores.shape[1]
+        self.order = np.argsort(-words, kind="stable")
+        self.at = at[self.order]
+        self.alive = np.searchsorted(-words[self.order], -np.arange(words.max()), side="left")  # stretches longer than each step
+        best = np.full((len(at), 1 if free else k, k), -np.inf, np.float32)
+        if free:
+            best[:, 0] = scores[self.at]
+        else:
+            best[:, np.arange(k), np.arange(k)] = scores[self.at]
+        self.back = [np.empty((0, 0, 0), np.uint8)]
+        own = np.arange(k, dtype=np.uint8)
+        for step in range(1, len(self.alive)):
+            m = self.alive[step]
+            now = best[:m]
+            top, which = now[:, :, 0].copy(), np.zeros(now.shape[:2], np.uint8)
+            for j in range(1, k):
+                which[now[:, :, j] > top] = j
+                np.maximum(top, now[:, :, j], out=top)
+            top -= switch
+            self.back.append(np.where(now >= top[:, :, None], own, which[:, :, None]))
+            np.maximum(now, top[:, :, None], out=now)
+            now += scores[self.at[:m] + step][:, None, :]
+            if step % 64 == 0:  # keep sums small; only differences matter within a stretch
+                self.shift(best, m)
+        best += self.shifted(best)
+        self.best = np.empty_like(best)
+        self.best[self.order] = best
+
+    def shift(self, best: np.ndarray, m: int) -> None:
+        if not hasattr(self, "moved"):
+            self.moved = np.zeros(len(best))
+        by = best[:m].max((1, 2))
+        best[:m] -= by[:, None, None]
+        self.moved[:m] += by
+
+    def shifted(self, best: np.ndarray) -> np.ndarray:
+        return getattr(self, "moved", np.zeros(len(best)))[:, None, None].astype(np.float32)
+
+    def trace(self, first: np.ndarray, last: np.ndarray, label: np.ndarray) -> None:
+        """Fill in the labels of all stretches, given the languages they begin (0 if all at once) and end with."""
+        now, begun = last[self.order].astype(np.int64), first[self.order].astype(np.int64)
+        for step in range(len(self.alive) - 1, -1, -1):
+            m = self.alive[step]
+            label[self.at[:m] + step] = now[:m]
+            if step:
+                now[:m] = self.back[step][np.arange(m), begun[:m], now[:m]]
+
+
+def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: float, stretch: int = 1024) -> np.ndarray:
     """The best label of every word. scores: words x languages; texts begin at `begin` and have `size` words.
 
-    Texts are cut into stretches that step together, each for every language it may begin with; then each
-    text's stretches are chained. The result is the exact best path.
+    Texts step together. Those of more than `stretch` words are cut into stretches, followed for every
+    language they may begin with and then chained. The result is the exact best path.
     """
     n, k = scores.shape
     label = np.zeros(n, np.int64)
     if not n or k < 2:
         return label
+    short = np.flatnonzero((size > 0) & (size <= stretch))
+    if len(short):
+        steps = Steps(scores, begin[short], size[short], switch, True)
+        steps.trace(np.zeros(len(short), np.int64), steps.best[:, 0].argmax(1), label)
+    long = np.flatnonzero(size > stretch)
+    if not len(long):
+        return label
+    begin, size = begin[long], size[long]
     count = -(-size // stretch)
-    text = np.repeat(np.arange(len(size)), count)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)  # of the stretch in its text
-    at = begin[text] + place * stretch
-    words = np.minimum(size[text] - place * stretch, stretch)
-    order = np.argsort(-words, kind="stable")
-    alive = np.searchsorted(-words[order], -np.arange(words.max()), side="left")  # stretches longer than each step
-    by = at[order]
-    own = np.arange(k, dtype=np.int16)
-    back = np.zeros((n, k, k), np.int16)  # by word, first language, language
-    best = np.full((len(at), k, k), -np.inf)
-    best[:, own, own] = scores[by]
-    for step in range(1, len(alive)):
-        m = alive[step]
-        now = best[:m]
-        top = now.argmax(2)
-        jump = np.take_along_axis(now, top[:, :, None], 2) - switch
-        stay = now >= jump
-        back[by[:m] + step] = np.where(stay, own, top[:, :, None])
-        best[:m] = np.where(stay, now, jump) + scores[by[:m] + step][:, None, :]
-    whole = np.empty_like(best)
-    whole[order] = best
-    # Chains: value of each language at the end of the stretches so far.
     first_of = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(text)) - first_of[text]  # of the stretch in its text
+    steps = Steps(scores, begin[text] + place * stretch, np.minimum(size[text] - place * stretch, stretch), switch, False)
+    whole = steps.best.astype(np.float64)
     chain = np.argsort(-count, kind="stable")
     longest = int(count.max())
     left = np.searchsorted(-count[chain], -np.arange(longest), side="left")
-    enter = np.zeros((len(text), k), np.int16)  # the first language that leads to each last one
-    came = np.zeros((len(text), k), np.int16)  # the last language before each first one
+    enter = np.zeros((len(text), k), np.int64)  # the first language that leads to each last one
+    came = np.zeros((len(text), k), np.int64)  # the last language before each first one
     value = np.zeros((len(size), k))
     for step in range(longest):
         t = chain[: left[step]]
         s = first_of[t] + step
+        start = np.zeros((len(t), k))
         if step:
             top = value[t].argmax(1)
             jump = value[t, top][:, None] - switch
-            stay = value[t] >= jump
-            came[s] = np.where(stay, own, top[:, None])
-            start = np.where(stay, value[t], jump)
-        else:
-            start = np.zeros((len(t), k))
+            came[s] = np.where(value[t] >= jump, np.arange(k), top[:, None])
+            start = np.maximum(value[t], jump)
         total = start[:, :, None] + whole[s]
         enter[s] = total.argmax(1)
         value[t] = total.max(1)
-    first, last = np.zeros(len(text), np.int16), np.zeros(len(text), np.int16)
+    first, last = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     state = value.argmax(1)
     for step in range(longest - 1, -1, -1):
         t = chain[: left[step]]
@@ -235,12 +254,7 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: flo
         last[s] = state[t]
         first[s] = enter[s, state[t]]
         state[t] = came[s, first[s]]
-    now, begun = last[order].astype(np.int64), first[order].astype(np.int64)
-    for step in range(len(alive) - 1, -1, -1):
-        m = alive[step]
-        label[by[:m] + step] = now[:m]
-        if step:
-            now[:m] = back[by[:m] + step, begun[:m], now[:m]]
+    steps.trace(first, last, label)
     return label
 
 
@@ -251,15 +265,12 @@ def labelled(df: DataFrame, model: tuple, *, keep: list[str], text: str = "text"
 
     def found(texts):
         words = Words(texts)
-        n, k = len(words.start), len(names)
+        n, k = len(words.first), len(names)
         if not n or not k:
             return [("und", 0.0, [])] * len(texts)
-        sums = np.zeros((len(words.c), k), np.float32)
-        for order in ORDERS:
-            h, there = words.grams(order)
-            sums += by_gram[h] * there[:, None]
-        scores = np.diff(np.concatenate((np.zeros((1, k)), np.cumsum(sums, axis=0, dtype=np.float64)))[np.column_stack((words.start, words.end + 1))], axis=1)[:, 0]
-        scores = np.where(uses.T[words.script], scores, scores.min(1, keepdims=True) - 50)
+        scores = np.add.reduceat(by_gram[words.grams], words.first, axis=0)
+        if not uses.all():
+            scores = np.where(uses.T[words.script], scores, scores.min(1, keepdims=True) - 50)
         label = viterbi(scores, words.begin, words.size, switch)
         out = []
         for b, m in zip(words.begin.tolist(), words.size.tolist(), strict=True):
