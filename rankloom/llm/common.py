@@ -73,6 +73,12 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     return source.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named c0, c1, ..., so that none clashes with a name an operator uses, and the new name of each."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
 def squeezed(df: DataFrame, keep: list[str], text: str, name: str = "_z") -> DataFrame:
     """The columns `keep` and the text compressed as `name` (null stays null), for texts that have to be shuffled."""
 
