@@ -1,6 +1,67 @@
-STAGES = []
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark passages, token ids.
+
+Each stage takes what its predecessor kept and returns the columns of `documents`; the last one adds
+the token ids. `run` applies them one after another, each written as Parquet to the folder that all
+executors share.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.llm import bpe, decontaminate, minhash, passages, quality_rules
+from rankloom.llm.common import read, shared_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules accept."""
+    return quality_rules.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (similarity 0.8 or more): the one with the smallest id. Documents without words stay."""
+    return minhash.one_of_each(docs, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of passages that stand anywhere else; documents of which nothing but white space is left go."""
+    left = passages.deduplicated(docs)
+    gone = (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0) & (F.col("n_chars") > 0)
+    return left.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return found.where(F.size("_runs") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with n_tokens, the digest of their ids and that of the bytes these decode to."""
+    import public_tokenizers
+
+    how = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "keep": docs.columns}
+    return bpe.digests(bpe.encode(docs, **how), **how)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", benchmark_passages),
+    ("byte_level_bpe", token_ids),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, mixed, slices, squeezed
+from rankloom.llm.common import cut, mixed, plain_names, slices, squeezed
 from rankloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 16
@@ -339,6 +339,9 @@ def digests(df: DataFrame, *, keep: list[str], text: str = "text", length: int =
 
 def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataFrame:
     """`df` with the repeated bytes taken out of its texts; a character that loses a byte goes as a whole."""
+    columns = df.columns
+    df, new = plain_names(df)
+    text = new[text]
     copies, spans = removed(df, text=text, length=length)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rest = [c for c in df.columns if c != text]
@@ -360,4 +363,4 @@ def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH) ->
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.string())], names=[*rest, text])
 
     out = kept.select(*[F.col(f"`{c}`") for c in rest]).schema.add(text, "string")
-    return kept.mapInArrow(run, out).select(*[F.col(f"`{c}`") for c in df.columns])
+    return kept.mapInArrow(run, out).select(*df.columns).toDF(*columns)
