@@ -105,13 +105,16 @@ def candidate_metrics(scored: DataFrame, ks: list[int] = KS) -> DataFrame:
 def separability(scored: DataFrame) -> DataFrame:
     """ROC AUC of the pooled scores of each method, E, S, C against I, ties half; one class only gives 0.
 
-    Counts per distinct score come first; the running count is over those, within each method.
+    Counts per distinct score come first. The running count goes over coarse steps of the score, then
+    within each step, so that no task orders all scores of a method.
     """
     pos = F.col("label").isin("E", "S", "C")
     by = scored.where(F.col("label").isin(LABELS)).groupBy("method", "score").agg(F.count("*").alias("n"), F.sum(pos.cast("long")).alias("p"))
-    w = Window.partitionBy("method").orderBy("score")
-    below = F.sum("n").over(w) - F.col("n")
-    rows = by.withColumn("rank_sum", F.col("p") * (below + (F.col("n") + 1) / 2.0))
+    by = by.withColumn("step", F.floor(F.col("score") * 256))
+    coarse, fine = Window.partitionBy("method").orderBy("step"), Window.partitionBy("method", "step").orderBy("score")
+    steps = by.groupBy("method", "step").agg(F.sum("n").alias("s")).withColumn("before", F.sum("s").over(coarse) - F.col("s")).drop("s")
+    below = F.col("before") + F.sum("n").over(fine) - F.col("n")
+    rows = by.join(steps, ["method", "step"]).withColumn("rank_sum", F.col("p") * (below + (F.col("n") + 1) / 2.0))
     total = rows.groupBy("method").agg(F.sum("rank_sum").alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
     return total.select("method", m(F.when((F.col("p") > 0) & (F.col("q") > 0), auc).otherwise(0.0)).alias("auc"))
