@@ -27,10 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages that stand anywhere else; documents of which nothing but white space is left go."""
-    left = passages.deduplicated(docs)
-    gone = (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0) & (F.col("n_chars") > 0)
-    return left.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, their texts without the bytes of passages that stand anywhere else."""
+    return passages.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
