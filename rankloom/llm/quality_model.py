@@ -3,7 +3,7 @@
 Features of a text are its distinct hashed words, word pairs, word shapes and shape pairs (a shape
 maps letters, digits and marks to classes and shortens runs), binary and scaled to unit length.
 Training takes a bounded sample of labelled rows (`MAX_TRAIN`, a documented parameter; picked by a
-hash of the id). The sample is dealt to `SHARDS` tasks; each runs FTRL-proximal over its rows,
+hash of the id). The sample is dealt to `SHARDS` groups; each runs FTRL-proximal over its rows,
 and their weights are averaged after every epoch. Scoring is one sparse dot product per text.
 
 Null or empty text has no features and scores by the bias alone. Rows without a label (null) don't
@@ -16,15 +16,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import CACHE_WORDS, WordHashes, field, map_texts, mixed, word_hashes
+from rankloom.llm.common import CACHE_WORDS, WordHashes, cut, field, map_texts, mixed, word_hashes
 
 BITS = 18
-MAX_TRAIN = 20_000
+MAX_TRAIN = 12_000
 SHARDS, EPOCHS = 4, 4
 ALPHA, BETA, L1, L2 = 5.0, 1.0, 1e-4, 1e-4
 
@@ -99,36 +100,29 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def trained(rows: DataFrame, most: int = MAX_TRAIN) -> np.ndarray:
-    """Weights and bias from (_id, _y, _x); about `most` rows at the most are used."""
+def epoch(start: np.ndarray):
+    """One pass of a shard from the weights `start`; returns one row."""
+
+    def run(frame):
+        leader, bias = Leader(start.astype(np.float64)), len(start) - 1
+        for y, x in frame.sort_values(["_turn", "_y"])[["_y", "_x"]].itertuples(index=False):
+            leader.learn(np.append(x, bias).astype(np.int64), float(y))
+        return pd.DataFrame({"w": [leader.weights(np.arange(bias + 1)).astype("<f4").tobytes()], "seen": [len(frame)]})
+
+    return run
+
+
+def trained(sample: DataFrame) -> np.ndarray:
+    """Weights and bias from the bounded sample (_id, _y, _x)."""
     size = 1 << BITS
-    n = rows.count()
     weights = np.zeros(size + 1)
-    if not n:
-        return weights
-    scale = 1_000_000
-    sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < F.lit(int(min(1.0, most / n) * scale)))
-    dealt = sample.repartition(SHARDS, F.xxhash64("_id", F.lit(1))).sortWithinPartitions(F.xxhash64("_id", F.lit(2)), "_y")
-    for epoch in range(EPOCHS):
-        start = weights
-
-        def run(batches, start=start):
-            leader, seen = Leader(start), 0
-            for batch in batches:
-                for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    leader.learn(np.append(x.values.to_numpy().astype(np.int64), size), float(y))
-                    seen += 1
-            if seen:
-                w = leader.weights(np.arange(size + 1))
-                i = np.flatnonzero(w)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(w[i] * seen), pa.array([0] * len(i), pa.int64())], names=["i", "w", "seen"])
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0.0]), pa.array([seen], pa.int64())], names=["i", "w", "seen"])
-
-        table = dealt.select("_y", "_x").mapInArrow(run, "i int, w double, seen long").groupBy("i").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen")).toArrow()
-        i, w, seen = (table.column(c).to_numpy() for c in ("i", "w", "seen"))
-        weights = np.zeros(size + 1)
-        if (i < 0).any():
-            weights[i[i >= 0]] = w[i >= 0] / seen[i < 0][0]
+    # Each shard is at most its part of the bounded sample; it is dealt out once, for all epochs.
+    dealt = cut(sample.select(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(SHARDS)).alias("_shard"), F.xxhash64("_id", F.lit(2)).alias("_turn"), "_y", "_x").repartition("_shard"))
+    for _ in range(EPOCHS):
+        shards = dealt.groupBy("_shard").applyInPandas(epoch(weights.astype(np.float32)), "w binary, seen long").collect()  # SHARDS rows of one weight vector each
+        if not shards:
+            return weights
+        weights = sum(np.frombuffer(r["w"], "<f4").astype(np.float64) * r["seen"] for r in shards) / sum(r["seen"] for r in shards)
     return weights
 
 
@@ -141,7 +135,7 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, *, doc_id: str = "doc_id"
     y = y.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < F.lit(int(min(1.0, most / max(1, n)) * scale)))
     texts = df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     joined = texts.join(y, "_id")
-    return trained(featured(joined, ["_id", "_y"], "_text"), most)
+    return trained(featured(joined, ["_id", "_y"], "_text"))
 
 
 def scores(df: DataFrame, weights: np.ndarray, *, keep: list[str], text: str = "text") -> DataFrame:
