@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut
-from rankloom.functions.ranking import best_first, ranked, rounded
+from rankloom.functions.ranking import best_first, ranked
 from rankloom.operators import dense
 
 
