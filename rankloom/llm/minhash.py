@@ -15,8 +15,8 @@ confirmed too, unless what either has alone already makes the union too large. N
 a few pairs a member.
 
 With J the similarity, a linked pair shares no bucket with probability (1 - J^ROWS)^BANDS: 3e-8 at 0.85.
-Confirmation looks at signatures of `CHECKS` minima first; that of a linked pair lies more than `SLACK`
-below the threshold with a probability of 1e-6.
+Confirmation looks at signatures first, one bit of each of `CHECKS` minima; that of a linked pair
+lies more than `SLACK` below the threshold with a probability of 2e-6.
 
 Null, empty and blank texts have no set and are linked with nothing. A text of fewer words than a
 shingle is one shingle. Repeated rows are copies of one another. A null id is a row like any other;
@@ -32,11 +32,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import WordHashes, cut, field, list_array, map_texts, mixed, plain_names, squeezed, unsqueezed, windows, word_hashes
+from rankloom.functions.lineage import cut
+from rankloom.llm.common import WordHashes, field, list_array, map_texts, mixed, plain_names, squeezed, unsqueezed, windows, word_hashes
 from rankloom.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
-CHECKS, SLACK = 300, 0.1
+CHECKS, SLACK = 512, 0.11
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -92,8 +93,15 @@ def profiled(df: DataFrame, *, keep: list[str], text: str, size: int = SHINGLE,
     return map_texts(df, keep, text, [field("_n", "long"), field("_key", "binary"), field("_bands", "longs")], work)
 
 
+def bits(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """One bit of each of n minima, 64 to a number."""
+    return np.packbits((signatures(sets, n) & 1).astype(bool), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def agreement(a: Column, b: Column, n: int) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(n))
+    """The similarity that two bit signatures stand for: bits of unlike minima are equal half the time."""
+    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return 1 - 2 * unlike / F.lit(float(n))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,13 +198,13 @@ def sets_of(df: DataFrame, seen: DataFrame, wanted: DataFrame, doc_id: str, text
                     [
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        list_array(list(signatures(sets, CHECKS).astype(np.int32)), pa.int32()),
+                        list_array(list(bits(sets, CHECKS)), pa.int64()),
                         list_array([s.astype(np.int64) for s in sets], pa.int64()),
                     ],
                     names=["_key", "_n", "_sig", "_set"],
                 )
 
-    made = texts.join(ids, "_id", "left_semi").select("_z").mapInArrow(run, "_key binary, _n long, _sig array<int>, _set array<long>")
+    made = texts.join(ids, "_id", "left_semi").select("_z").mapInArrow(run, "_key binary, _n long, _sig array<bigint>, _set array<long>")
     # A repeated id brings texts of other keys along, and the same key more than once.
     return made.join(chosen.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
 
