@@ -27,7 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, mixed, plain_names, slices, squeezed
+from rankloom.functions.lineage import cut
+from rankloom.llm.common import mixed, plain_names, slices, squeezed
 from rankloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 16

@@ -17,13 +17,12 @@ runs again writes the same archive.
 from __future__ import annotations
 
 import gzip
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import shared_dir
+from rankloom.functions.lineage import new_path
 
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 1000
@@ -140,6 +139,6 @@ def revisits_resolved(archive: DataFrame) -> DataFrame:
 def round_trip(df: DataFrame, *, key: str, url: str, payload: str, least: int = LEAST, path: str | None = None) -> DataFrame:
     """Write `df` as deduplicated archives under `path` (a new folder in the shared one) and read them back."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "warc")
     write(resolved(df, key=key, url=url, payload=payload, least=least), path)
     return revisits_resolved(read(spark, path))
