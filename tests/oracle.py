@@ -8,7 +8,7 @@ from rankloom.plans.fixtures import BASE
 
 
 def plain(v):
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return None
     if isinstance(v, float):
         return round(v, 9)
