@@ -18,14 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
-CACHE_WORDS = 200_000
+SLICE_BYTES = 1 << 20
+CACHE_WORDS = 100_000
+#: Rows that Spark hands to Python at once; its own default of 10,000 makes batches of whole texts large.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, unless the session asks for fewer still."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: int = -1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of `batch` of about SLICE_BYTES of text, each with its texts as bytes."""
     sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=float))
@@ -42,6 +51,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     `work` gets a list of texts (and, with `rows`, the batch of kept columns) and returns one Arrow array for each
     field. `fields` must not repeat a kept name.
     """
+    modest_batches(df.sparkSession)
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     names = [*keep, *(f.name for f in fields)]
