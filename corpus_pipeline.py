@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without the bytes of passages that stand anywhere else."""
-    return passages.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, their texts without passages of more than 50 words, or of 400 bytes, that stand anywhere else."""
+    return passages.deduplicated(docs, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

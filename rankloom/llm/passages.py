@@ -13,6 +13,10 @@ of ever shorter beginnings of its windows, in the task that holds it, so the arr
 Null text: empty. Texts shorter than `length` lose nothing. Of copies of a whole text all bytes are
 removed, as every window of one is in the other. Repeated rows are copies. Removal is
 judged on the input: no first occurrence stays.
+
+With a threshold in words (`deduplicated`), each word is coded by WORD_BYTES hashed characters, so that a window
+of words is a window of a fixed length of the coded text, and only windows that begin with a word count. What
+stands between words is not compared. Different words share a code with a probability of 2^-49.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut
-from rankloom.llm.common import mixed, plain_names, slices, squeezed
+from rankloom.llm.common import WordHashes, field, map_texts, mixed, plain_names, slices, squeezed, word_hashes
 from rankloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 16
@@ -36,6 +40,8 @@ LENGTH, GRAM = 400, 16
 BATCH_BYTES = 1 << 20
 #: A share of more bytes is dealt again.
 SHARE_BYTES = 4 << 20
+#: Characters of 7 bits that stand for a word.
+WORD_BYTES = 7
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -192,12 +198,16 @@ def large_share(pieces: list[bytes], length: int, level: int) -> list[np.ndarray
     return out
 
 
-def marked(pieces: DataFrame, length: int) -> DataFrame:
-    """(digest, spans): byte ranges a * 2^32 + b that lie in repeated windows, from `cut_out` rows in order of their hash."""
+def marked(pieces: DataFrame, length: int, step: int = 1) -> DataFrame:
+    """(digest, spans): byte ranges a * 2^32 + b that lie in repeated windows, from `cut_out` rows in order of their hash.
+
+    Only windows that begin at multiples of `step` in their text count.
+    """
 
     def spans(start: int, windows: np.ndarray) -> list[int]:
-        edge = np.diff(np.concatenate(([0], windows.astype(np.int8), [0])))
-        return [((start + a) << 32) + start + b + length - 1 for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+        first = start + -start % step
+        edge = np.diff(np.concatenate(([0], windows[first - start :: step].astype(np.int8), [0])))
+        return [((first + a * step) << 32) + first + (b - 1) * step + length for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
 
     def solved(held):
         """held: for each share, slice -> [bytes, places]."""
@@ -242,7 +252,7 @@ def marked(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInArrow(run, "digest binary, spans array<long>")
 
 
-def removed(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def removed(df: DataFrame, *, text: str = "text", length: int = LENGTH, step: int = 1) -> tuple[DataFrame, DataFrame]:
     """(digest, n_copies) of whole texts that are copies, and (digest, spans) of what repeated windows of other texts cover.
 
     digest is `digest_of` the text. spans: maximal disjoint byte ranges a * 2^32 + b, in order.
@@ -261,23 +271,15 @@ def removed(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> tuple
     # Copies of a text would only repeat its slices; which of them is taken makes no difference.
     one = packed.join(wanted, "digest").dropDuplicates(["digest"])
     dealt = cut_out(one, length).repartition("hash").sortWithinPartitions("hash", F.col("bytes").isNull())
-    spans = marked(dealt, length).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return copies, merged(spans)
+    spans = marked(dealt, length, step).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return copies, merged(spans, step)
 
 
-def merged(spans: DataFrame) -> DataFrame:
+def merged(spans: DataFrame, step: int = 1) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = []
-            for x in batch.column(1).to_pylist():
-                out: list[list[int]] = []
-                for v in sorted(x):
-                    a, b = v >> 32, v & 0xFFFFFFFF
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], b)
-                    else:
-                        out.append([a, b])
-                rows.append([(a << 32) + b for a, b in out])
+            # What stands between two words isn't in a window of either.
+            rows = [joint(x, int(step > 1)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["digest", "spans"])
 
     return spans.mapInArrow(run, "digest binary, spans array<long>")
@@ -338,19 +340,65 @@ def digests(df: DataFrame, *, keep: list[str], text: str = "text", length: int =
     )
 
 
-def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """`df` with the repeated bytes taken out of its texts; a character that loses a byte goes as a whole."""
+def coded(text: bytes, cache: WordHashes) -> bytes:
+    """WORD_BYTES ASCII characters for each word of the text."""
+    h = word_hashes(text.split(), cache)
+    return (h[:, None] >> (7 * np.arange(WORD_BYTES, dtype=np.uint64)) & np.uint64(127)).astype(np.uint8).tobytes()
+
+
+def word_ranges(data: bytes, spans: list[int]) -> list[int]:
+    """The byte ranges of `data` that ranges of its coded text stand for, each from its first word to its last."""
+    there = ~np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], there.astype(np.int8), [0])))).tolist()
+    return [(edge[2 * ((v >> 32) // WORD_BYTES)] << 32) + edge[2 * ((v & 0xFFFFFFFF) // WORD_BYTES) - 1] for v in spans]
+
+
+def joint(spans: list[int], least: int = 0) -> list[int]:
+    """Disjoint ranges, in order, that cover the same bytes; those that share at least so many bytes become one."""
+    out: list[list[int]] = []
+    for v in sorted(spans):
+        a, b = v >> 32, v & 0xFFFFFFFF
+        if out and a <= out[-1][1] - least:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a << 32) + b for a, b in out]
+
+
+def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """`df` with the repeated bytes taken out of its texts; a character that loses a byte goes as a whole.
+
+    With `words`, repeated windows of so many words go as well, however short they are in bytes.
+    """
     columns = df.columns
     df, new = plain_names(df)
     text = new[text]
-    copies, spans = removed(df, text=text, length=length)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rest = [c for c in df.columns if c != text]
-    rows = squeezed(df.withColumn("_digest", digest_of(whole)).withColumn("_size", F.octet_length(whole)), [*rest, "_digest", "_size"], text)
-    joined = rows.join(copies.withColumnRenamed("digest", "_digest"), "_digest", "left").join(spans.withColumnRenamed("digest", "_digest"), "_digest", "left")
-    all_gone = F.col("n_copies").isNotNull() & (F.col("_size") >= length)
-    cuts = F.when(all_gone, F.array(F.col("_size").cast("long"))).otherwise(F.coalesce("spans", F.array().cast("array<long>")))
-    kept = joined.select(*[F.col(f"`{c}`") for c in rest], cuts.alias("_cuts"), "_z")
+    marks = ["_digest", "_size"]
+    keyed_rows = df.withColumn("_digest", digest_of(whole)).withColumn("_size", F.octet_length(whole))
+    found = [("_digest", "_size", length, removed(df, text=text, length=length))]
+    if words:
+        cache = WordHashes()
+
+        def codes(texts):
+            return [pa.array([coded(t, cache) for t in texts], pa.binary()).cast(pa.string())]
+
+        def code_marks(texts):
+            code = [coded(t, cache) for t in texts]
+            return [pa.array([hashlib.sha256(c).digest()[:16] for c in code], pa.binary()), pa.array(list(map(len, code)), pa.int32())]
+
+        word_length = words * WORD_BYTES
+        found.append(("_code", "_code_size", word_length, removed(map_texts(df, [], text, [field("_coded", "string")], codes), text="_coded", length=word_length, step=WORD_BYTES)))
+        keyed_rows = map_texts(keyed_rows, [*df.columns, *marks], text, [field("_code", "binary"), field("_code_size", "int")], code_marks)
+        marks += ["_code", "_code_size"]
+    joined, cuts = squeezed(keyed_rows, [*rest, *marks], text), []
+    for mark, size, least, (copies, spans) in found:
+        joined = joined.join(copies.select(F.col("digest").alias(mark), F.col("n_copies").alias(f"{mark}_n")), mark, "left")
+        joined = joined.join(spans.select(F.col("digest").alias(mark), F.col("spans").alias(f"{mark}_spans")), mark, "left")
+        all_gone = F.col(f"{mark}_n").isNotNull() & (F.col(size) >= least)
+        cuts.append(F.when(all_gone, F.array(F.col(size).cast("long"))).otherwise(F.coalesce(f"{mark}_spans", F.array().cast("array<long>"))))
+    kept = joined.select(*[F.col(f"`{c}`") for c in rest], *[c.alias(f"_cuts{i}") for i, c in enumerate(cuts)], "_z")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -358,10 +406,13 @@ def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH) ->
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 texts = []
-                for z, x in zip(part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist(), strict=True):
+                ranges, *of_words = (c.to_pylist() for c in part.columns[len(rest) : -1])
+                for k, (z, x) in enumerate(zip(part.column(part.num_columns - 1).to_pylist(), ranges, strict=True)):
                     data = None if z is None else unpack.decompress(z)
+                    if data and of_words and of_words[0][k]:
+                        x = joint(x + word_ranges(data, of_words[0][k]))
                     texts.append(without(data, x).decode(errors="ignore") if x and data else None if data is None else data.decode())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.string())], names=[*rest, text])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(texts, pa.string())], names=[*rest, text])
 
     out = kept.select(*[F.col(f"`{c}`") for c in rest]).schema.add(text, "string")
     return kept.mapInArrow(run, out).select(*df.columns).toDF(*columns)

@@ -272,6 +272,37 @@ def test_passages_equal_brute_force(spark):
     assert passages.digests(df.limit(0), keep=["doc_id"], length=40).count() == 0
 
 
+def brute_words(rows, n, length):
+    """The texts without windows of n words or `length` bytes that stand twice."""
+    data = [(t or "").encode() for _, t in rows]
+    at = [[m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", d)] for d in data]
+    grams = [[tuple(d[a:b] for a, b in x[i : i + n]) for i in range(len(x) - n + 1)] for d, x in zip(data, at)]
+    seen = Counter(g for x in grams for g in x)
+    seen_bytes = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d, x, own in zip(data, at, grams):
+        gone = bytearray(len(d))
+        for a, b in [(x[i][0], x[i + n - 1][1]) for i, g in enumerate(own) if seen[g] > 1] + [(i, i + length) for i in range(len(d) - length + 1) if seen_bytes[d[i : i + length]] > 1]:
+            gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(c for c, g in zip(d, gone) if not g).decode(errors="ignore"))
+    return out
+
+
+def test_passages_of_51_words_go_however_short(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    w = lambda n, k=5: " ".join("".join(r.choice("abcdefgé") for _ in range(r.randint(1, k))) for _ in range(n))
+    p = [w(51, 3), w(50, 3), w(60), w(30, 30)]
+    rows = [(1, w(9) + " " + p[0] + " " + w(7)), (2, p[0].replace(" ", "\n", 3) + "  " + w(5)), (3, w(4) + " " + p[1] + " " + w(4)), (4, p[1]), (5, f"{p[2]} {w(3)} {p[2]}"), (6, "x" + p[3] + "y"), (7, w(3) + p[3]), (8, "a " * 53), (9, w(51)), (10, p[0][1:]), (11, ""), (12, None)]
+    q = w(51, 3)
+    rows += [(20, "b " * 60), (21, "b " * 60), (30, p[0] + " " + q), (31, q + " " + w(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert [got[i] or "" for i, _ in rows] == brute_words(rows, 51, 400)
+    assert got[12] is None and p[0] not in got[1] and p[1] in got[3]
+
+
 def test_large_shares_are_dealt_again(monkeypatch):
     r = random.Random(4)
     pieces = list({bytes(r.choice(b"ab") for _ in range(r.randint(40, 90))) for _ in range(200)})
