@@ -33,8 +33,8 @@ class Inputs:
     def index(self, how: lexical.Bm25 = lexical.Bm25()) -> DataFrame:
         return lexical.postings(self.catalog, how)
 
-    def bm25(self) -> DataFrame:
-        return lexical.search(self.index(), self.queries)
+    def bm25(self, depth: int = 100) -> DataFrame:
+        return lexical.search(self.index(), self.queries, depth)
 
     def item_terms(self) -> DataFrame:
         tf = tokenize(self.catalog, "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("n"))
@@ -44,8 +44,8 @@ class Inputs:
         tf = tokenize(self.queries, "query_id", "query").groupBy("query_id", "term").agg(F.count("*").alias("n"))
         return tf.select("query_id", "term", F.round(F.ln(1.0 + F.col("n")), 6).alias("weight"), "n")
 
-    def runs(self) -> DataFrame:
-        return fusion.method_runs({"bm25": self.bm25(), "sparse": sparse.search(self.item_terms(), self.query_terms()), "dense": dense.search(self.items, self.vectors)})
+    def runs(self, depth: int = 100) -> DataFrame:
+        return fusion.method_runs({"bm25": self.bm25(depth), "sparse": sparse.search(self.item_terms(), self.query_terms(), depth), "dense": dense.search(self.items, self.vectors, depth)})
 
     def candidate_runs(self) -> DataFrame:
         return fusion.candidate_run(
@@ -258,8 +258,8 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "rrf": lambda x: fusion.rrf(x.runs()),
     "minmax_normalise": lambda x: fusion.minmax(x.runs()).select("query_id", "method", "item_id", "norm"),
     "weighted_fusion": lambda x: fusion.weighted(x.runs()),
-    "pool_restrict": lambda x: fusion.pool_restricted(x.runs(), x.pool()).select("query_id", "method", "item_id", "rank"),
-    "bm25_rerank": lambda x: fusion.reranked(x.runs().where("method <> 'bm25'"), x.bm25()).select("query_id", "method", "item_id", "rank"),
+    "pool_restrict": lambda x: fusion.pool_restricted(x.runs(250), x.pool()).select("query_id", "method", "item_id", "rank"),
+    "bm25_rerank": lambda x: fusion.reranked(x.runs().where("method <> 'bm25'"), x.bm25(1000)).select("query_id", "method", "item_id", "rank"),
     "rrf_candidates": lambda x: fusion.rrf(x.candidate_runs(), top=None),
     "weighted_candidates": lambda x: fusion.weighted(x.candidate_runs()),
     "method_runs": lambda x: x.runs(),
