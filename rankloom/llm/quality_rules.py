@@ -8,6 +8,12 @@ a hash of their text, and each is scored by the model of the other fold, so that
 excused by its own counts. Each document gets its mean negative log-probability per character; a language's band is the median of all its documents
 plus or minus `BAND` scaled median deviations, and documents outside are rejected.
 
+Classes see neither the order of words nor other scripts, so a second model is over words, order 3, again modified
+Kneser-Ney and by fold and language, every language on its own. Its counts, continuation counts and context sums are tables
+that grow with the corpus: nothing of them is collected, and log-probabilities come from joining the distinct
+(document, trigram) rows with them by hash. In scripts without spaces every character is a word. Here only the upper
+limit of the band counts, as near copies in the other fold make good text very likely.
+
 Null text has no words and fails the base rules. A null language is a language of its own. In an
 empty table there is nothing to count. A document without characters has no perplexity and fails
 the base rules; one whose language has no document in the other fold has none either, and the base
@@ -16,6 +22,7 @@ rules alone decide. Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut
-from rankloom.llm.common import WordHashes, field, map_texts, modest_batches, plain_names, slices, windows, word_hashes
+from rankloom.llm.common import WordHashes, field, map_texts, mixed, modest_batches, plain_names, slices, squeezed, unsqueezed, windows, word_hashes
 
 ORDER, BITS = 4, 5
 KEYS = 1 << (ORDER * BITS)
@@ -33,6 +40,10 @@ OTHER, NONE = "\x00other", "\x00none"
 BAND = 6.0
 #: No band is narrower than this on either side, in nats.
 LEAST_WIDTH = 0.3
+#: The same for the word model, in nats per word; LEAST_WIDTH over a word of six letters and its space is about as much.
+LEAST_WORD_WIDTH = 2.0
+#: Words whose trigrams are added up before they leave a task.
+BUFFER_WORDS = 500_000
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -144,6 +155,136 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
+_SOLID = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u2e80-\\u9fff\\uf900-\\ufaff\\U00020000-\\U0003ffff"
+TOKENS = re.compile(f"[{_SOLID}]|[^ \\t\\n\\r\\x0b\\x0c{_SOLID}]+")
+LOW_BYTES = bytes(range(0xE0))
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    """The words, and each character of scripts that don't part words."""
+    if not text.translate(None, LOW_BYTES):
+        return text.split()
+    return [x.encode() for x in TOKENS.findall(text.decode(errors="replace"))]
+
+
+def trigrams(text: bytes, cache: WordHashes) -> np.ndarray:
+    """(3, words): the hashes of each word and of the two before it, 0 where there is none."""
+    h = np.concatenate((np.zeros(2, np.uint64), word_hashes(tokens_of(text), cache)))
+    return np.stack((h[:-2], h[1:-1], h[2:]))
+
+
+def trigram_keys(grams: np.ndarray, lang: int, fold: int) -> np.ndarray:
+    m = np.uint64(0x9E3779B97F4A7C15)
+    x = np.full(grams.shape[1], ((lang << 1) | fold) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    with np.errstate(over="ignore"):
+        for h in grams:
+            x = mixed(x * m + h)
+    return x
+
+
+def _marked(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(fold, lang, doc, text): the language and the document as hashes; copies in one language are one document."""
+    name = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))
+    return df.select(fold_of(F.col(f"`{text}`")).cast("int").alias("fold"), F.xxhash64(name).alias("lang"), document_of(text, lang).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def document_of(text: str, lang: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
+def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(m, g, u, v, w, key, c): trigrams by fold and language, and how often they occur."""
+    cache = WordHashes()
+
+    def run(batches):
+        def added_up():
+            for (fold, name), parts in held.items():
+                grams = np.concatenate(parts, 1)
+                keys, first, n = np.unique(trigram_keys(grams, name, fold), return_index=True, return_counts=True)
+                u, v, w = grams[:, first].view(np.int64)
+                for i in range(0, len(keys), 50_000):
+                    k = slice(i, i + 50_000)
+                    columns = [pa.array(np.full(len(keys[k]), fold, np.int32)), pa.array(np.full(len(keys[k]), name, np.int64)), *(pa.array(x[k]) for x in (u, v, w, keys.view(np.int64), n.astype(np.int64)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["m", "g", "u", "v", "w", "key", "c"])
+
+        held, size = {}, 0
+        for batch in batches:
+            for part, texts in slices(batch):
+                for fold, name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+                    grams = trigrams(t, cache)
+                    if grams.shape[1]:
+                        held.setdefault((fold, name), []).append(grams)
+                        size += grams.shape[1]
+                if size >= BUFFER_WORDS:
+                    yield from added_up()
+                    held, size = {}, 0
+        yield from added_up()
+
+    modest_batches(df.sparkSession)
+    rows = _marked(df, text, lang).select("fold", "lang", "text").mapInArrow(run, "m int, g long, u long, v long, w long, key long, c long")
+    return rows.groupBy("m", "g", "u", "v", "w", "key").agg(F.sum("c").alias("c"))
+
+
+def document_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(doc, key, n): the distinct trigrams of every document, with the keys they have in their own fold."""
+    cache = WordHashes()
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in slices(batch):
+                docs, keys, counts = [], [], []
+                for fold, name, doc, t in zip(*(part.column(i).to_pylist() for i in range(3)), texts, strict=True):
+                    k, n = np.unique(trigram_keys(trigrams(t, cache), name, fold), return_counts=True)
+                    docs.append(np.full(len(k), doc, np.int64))
+                    keys.append(k.view(np.int64))
+                    counts.append(n.astype(np.int32))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, counts)], names=["doc", "key", "n"])
+
+    modest_batches(df.sparkSession)
+    return _marked(df, text, lang).mapInArrow(run, "doc long, key long, n int")
+
+
+def _smoothed(wanted: DataFrame, counts: DataFrame, gram: list[str], lower: DataFrame | None) -> DataFrame:
+    """The rows of `wanted` (m, g, gram and more) with p: interpolated modified Kneser-Ney of the last word after the others.
+
+    `counts` has c by m, g and gram; `lower` has p by m, g and all but the first of gram, none under order 1.
+    """
+    model, context = ["m", "g"], ["m", "g", *gram[:-1]]
+    of = [F.sum((F.col("c") == i).cast("double")).alias(f"of{i}") for i in (1, 2, 3, 4)]
+    sizes = counts.groupBy(*model).agg(*of, F.count("*").alias("types"))
+    y = F.when(F.col("of1") > 0, F.col("of1") / (F.col("of1") + 2 * F.col("of2"))).otherwise(0.5)
+    less = [F.when(F.col(f"of{i}") > 0, F.least(F.lit(float(i)), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"of{i + 1}") / F.col(f"of{i}")))).otherwise(0.5).alias(f"d{i}") for i in (1, 2, 3)]
+    sizes = sizes.select(*model, *less, "types")  # a row a language and fold
+    after = counts.groupBy(*context).agg(F.sum("c").alias("total"), *(F.sum(x.cast("long")).alias(f"n{i}") for i, x in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2))))
+    rows = wanted.join(counts.select(*model, *gram, "c"), [*model, *gram], "left")
+    if lower is None:
+        rows = rows.join(F.broadcast(after), model, "left").join(F.broadcast(sizes), model, "left").withColumn("below", 1 / (F.col("types") + 1.0))
+    else:
+        rows = rows.join(after, context, "left").join(F.broadcast(sizes), model, "left").join(lower.select(*model, *gram[1:], F.col("p").alias("below")), [*model, *gram[1:]], "left")
+    c = F.coalesce("c", F.lit(0))
+    cut_by = F.when(c == 0, 0.0).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+    left_over = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
+    p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.greatest(c - cut_by, F.lit(0.0)) + left_over * F.col("below")) / F.col("total"))
+    return rows.select(*wanted.columns, p.alias("p"))
+
+
+def word_probabilities(counts: DataFrame) -> DataFrame:
+    """(m, g, u, v, w, key, p): the probability of every trigram by the model m of the other fold, with the key of its own fold."""
+    wanted = counts.select((1 - F.col("m")).alias("m"), "g", "u", "v", "w", "key")
+    pairs = counts.groupBy("m", "g", "v", "w").agg(F.count("*").alias("c"))
+    single = pairs.groupBy("m", "g", "w").agg(F.count("*").alias("c"))
+    one = _smoothed(wanted.select("m", "g", "w").distinct(), single, ["w"], None)
+    two = _smoothed(wanted.select("m", "g", "v", "w").distinct(), pairs, ["v", "w"], one)
+    return _smoothed(wanted, counts, ["u", "v", "w"], two)
+
+
+def word_losses(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(_doc, _word_loss): nats per word of every document that has words, by `document_of`; null without another fold's document."""
+    logs = word_probabilities(cut(word_counts(df, text, lang))).select("key", F.ln(F.greatest("p", F.lit(1e-12))).alias("log"))
+    return document_trigrams(df, text, lang).join(logs, "key").groupBy(F.col("doc").alias("_doc")).agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("_word_loss"))
+
+
 def measures(texts: list[bytes], cache: WordHashes) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     out = np.zeros((5, len(texts)), np.int64)
@@ -171,7 +312,7 @@ def scored(df: DataFrame, found: dict, *, keep: list[str], text: str, lang: str)
     cache = WordHashes()
 
     def work(texts, part):
-        langs = part.column(part.num_columns - 2).to_pylist()
+        langs = part.column(part.num_columns - 3).to_pylist()
         keys, begin, end = keys_of(texts)
         loss = [None] * len(texts)
         for i, (name, a, b) in enumerate(zip(langs, begin.tolist(), end.tolist(), strict=True)):
@@ -183,32 +324,39 @@ def scored(df: DataFrame, found: dict, *, keep: list[str], text: str, lang: str)
                 loss[i] = -float(tables[name][keys[a:b]].sum(dtype=np.float64)) / (b - a)
         return [*(pa.array(x, pa.int64()) for x in measures(texts, cache)), pa.array(loss, pa.float64())]
 
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.concat(fold_of(F.col(f"`{text}`")), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))).alias("_lang"), F.col(f"`{text}`").cast("string").alias("_whole"))
-    out = map_texts(rows, [*keep, "_lang"], "_whole", [*(field(f"_{n}", "long") for n in NAMES), field("_loss", "double")], work, rows=True)
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.concat(fold_of(F.col(f"`{text}`")), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))).alias("_lang"), document_of(text, lang).alias("_doc"), F.col(f"`{text}`").cast("string").alias("_whole"))
+    out = map_texts(rows, [*keep, "_lang", "_doc"], "_whole", [*(field(f"_{n}", "long") for n in NAMES), field("_loss", "double")], work, rows=True)
     return out.withColumn("_lang", F.substring("_lang", 2, 1 << 30))
 
 
-def bands(losses: DataFrame, width: float = BAND) -> DataFrame:
+def bands(losses: DataFrame, width: float = BAND, value: str = "_loss", least: float = LEAST_WIDTH) -> DataFrame:
     """(_lang, _low, _high) over all documents of each language."""
-    middle = losses.groupBy("_lang").agg(F.percentile_approx("_loss", 0.5, 10_000).alias("m"))
+    middle = losses.groupBy("_lang").agg(F.percentile_approx(value, 0.5, 10_000).alias("m"))
     same = F.col("a._lang").eqNullSafe(F.col("b._lang"))
-    spread = losses.alias("a").join(middle.alias("b"), same).groupBy(F.col("a._lang").alias("_lang"), "m").agg(F.percentile_approx(F.abs(F.col("_loss") - F.col("m")), 0.5, 10_000).alias("d"))
-    half = F.greatest(F.lit(width * 1.4826) * F.col("d"), F.lit(LEAST_WIDTH))
+    spread = losses.alias("a").join(middle.alias("b"), same).groupBy(F.col("a._lang").alias("_lang"), "m").agg(F.percentile_approx(F.abs(F.col(value) - F.col("m")), 0.5, 10_000).alias("d"))
+    half = F.greatest(F.lit(width * 1.4826) * F.col("d"), F.lit(least))
     return spread.select("_lang", (F.col("m") - half).alias("_low"), (F.col("m") + half).alias("_high"))
 
 
-def verdicts(losses: DataFrame, limits: DataFrame) -> DataFrame:
-    """`losses` with base_failed and kept; `limits` has a row for each language (see `bands`), small by MAX_LANGS or checked by the planner."""
-    same = F.col("a._lang").eqNullSafe(F.col("b._lang"))
+def verdicts(losses: DataFrame) -> DataFrame:
+    """`losses` with base_failed and kept; the limits have a row for each language (see `bands`)."""
+    limits = bands(losses).alias("b")
+    of_words = bands(losses, value="_word_loss", least=LEAST_WORD_WIDTH).alias("c")
     base = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words"))
-    inside = F.coalesce(F.col("_loss").between(F.col("_low"), F.col("_high")), F.lit(True))
-    return losses.alias("a").join(limits.alias("b"), same, "left").select("a.*", base.alias("base_failed"), (~base & inside).alias("kept"))
+    inside = F.coalesce(F.col("_loss").between(F.col("b._low"), F.col("b._high")), F.lit(True)) & F.coalesce(F.col("_word_loss") <= F.col("c._high"), F.lit(True))
+    same = lambda x: F.col("a._lang").eqNullSafe(F.col(f"{x}._lang"))
+    return losses.alias("a").join(limits, same("b"), "left").join(of_words, same("c"), "left").select("a.*", base.alias("base_failed"), (~base & inside).alias("kept"))
+
+
+def judged(df: DataFrame, *, keep: list[str], text: str, lang: str) -> DataFrame:
+    """`verdicts` on all documents."""
+    by_class = scored(df, model(df, text, lang), keep=keep, text=text, lang=lang)
+    return verdicts(cut(by_class.join(word_losses(df, text, lang), "_doc", "left")))
 
 
 def rules(df: DataFrame, *, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns `keep`, the five measures, base_failed and kept, for every document. `keep` must not hold the new names."""
-    losses = cut(scored(df, model(df, text, lang), keep=keep, text=text, lang=lang))
-    out = verdicts(losses, bands(losses))
+    out = judged(df, keep=keep, text=text, lang=lang)
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_{n}").alias(n) for n in NAMES], "base_failed", "kept")
 
 
@@ -217,7 +365,7 @@ def accepted(df: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFr
     columns = df.columns
     df, new = plain_names(df)
     text, lang = new[text], new[lang]
-    found = model(df, text, lang)
-    limits = bands(cut(scored(df, found, keep=[], text=text, lang=lang)))
-    rows = scored(df, found, keep=df.columns, text=text, lang=lang)
-    return verdicts(rows, limits).where("kept").select(*df.columns).toDF(*columns)
+    good = judged(df, keep=[], text=text, lang=lang).where("kept").select("_doc").distinct()
+    rest = [c for c in df.columns if c != text]
+    rows = squeezed(df.withColumn("_doc", document_of(text, lang)), [*rest, "_doc"], text).join(good, "_doc", "left_semi")
+    return unsqueezed(rows, rest, text).select(*df.columns).toDF(*columns)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -352,6 +353,60 @@ def test_rules_reject_noise_and_keep_prose(spark, docs, odd):
     assert quality_rules.accepted(odd).columns == odd.columns and quality_rules.accepted(odd.limit(0)).count() == 0
 
 
+def brute_losses(rows, fold):
+    """Mean nats per word by modified Kneser-Ney trigrams of the other fold; rows of one language."""
+    grams = {k: [tuple(x[i : i + 3]) for i in range(len(x) - 2)] for k, t in rows for x in [["", "", *quality_rules.tokens_of(t.encode())]]}
+    out = {}
+    for m in (0, 1):
+        three = Counter(g for k, x in grams.items() if fold[k] == m for g in x)
+        two = Counter(g[1:] for g in three)
+        orders = [Counter(g[1:] for g in two), two, three]
+        below = lambda g, n=len(orders[0]): 1 / (n + 1)
+        for c in orders:
+            of = [sum(v == i for v in c.values()) for i in range(5)]
+            y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+            d = [0.0, *(min(i, max(0.0, i - (i + 1) * y * of[i + 1] / of[i])) if of[i] else 0.5 for i in (1, 2, 3))]
+            after = {}
+            for g, v in c.items():
+                after.setdefault(g[:-1], []).append(v)
+
+            def below(g, c=c, d=d, after=after, lower=below):
+                near = after.get(g[:-1])
+                return lower(g[1:]) if near is None else (max(c[g] - d[min(c[g], 3)], 0) + sum(d[min(v, 3)] for v in near) * lower(g[1:])) / sum(near)
+
+        for k, x in grams.items():
+            if fold[k] != m and x:
+                out[k] = -sum(math.log(max(below(g), 1e-12)) for g in x) / len(x)
+    return out
+
+
+def test_word_losses_equal_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices(["the", "cat", "слово", "漢字", "x,", "é"], k=r.randint(1, 40)))) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    marks = {x.doc_id: x for x in df.select("doc_id", quality_rules.fold_of(F.col("text")).alias("fold"), quality_rules.document_of("text", "lang").alias("doc")).collect()}
+    got = {x._doc: x._word_loss for x in quality_rules.word_losses(df, "text", "lang").collect()}
+    want = brute_losses(rows, {i: int(x.fold) for i, x in marks.items()})
+    assert len(want) == 40 and all(got[marks[i].doc] == pytest.approx(v, abs=1e-9) for i, v in want.items())
+
+
+def test_rules_reject_noise_in_other_scripts_and_salad(spark):
+    r = random.Random(7)
+    letters = {"ru": "абвгдежзиклмнопрстуфхцчшыьэюя", "en": "abcdefghijklmnoprstuvwyz"}
+    rows, bad = [], set()
+    for lang, chars in letters.items():
+        word = lambda: "".join(r.choices(chars, k=r.randint(2, 9)))  # noqa: E731, B023
+        phrases = [[word() for _ in range(6)] for _ in range(60)]
+        for i in range(120):
+            w = [x for p in r.choices(phrases, k=r.randint(12, 25)) for x in p]
+            if i < 3:
+                bad.add(len(rows))
+                w = [word() for _ in w] if lang == "ru" else r.sample(w, len(w))
+            rows.append((len(rows), " ".join(w) + ".", lang))
+    got = {x.doc_id: x.kept for x in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), keep=["doc_id"]).collect()}
+    assert not any(got[i] for i in bad) and sum(got.values()) >= 0.95 * (len(rows) - len(bad))
+
+
 # 10 Decontamination
 
 
