@@ -9,7 +9,7 @@ one chunk and never leave their task. Decoding concatenates the bytes of the ids
 
 Null text: empty, no ids. Empty text: no ids. Repeated rows give repeated results. Bytes that are
 not UTF-8 are replaced as Python's decoder does. An id unknown to the vocabulary decodes to
-nothing.
+nothing. A kept column named like one that is made here gives way to it.
 """
 
 from __future__ import annotations
@@ -26,13 +26,18 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import CACHE_WORDS, field, map_texts, slices
+from rankloom.llm.common import field, map_texts, slices
 
 LONG_CHARS = 32_768
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: A boundary this near the end of a chunk may come from the cut.
 MARGIN_CHARS = 8
+#: Pre-tokens in each half of a task's cache, and characters of the longest one that is kept.
+CACHED, SHORT = 150_000, 48
+
+
+NO_RANK = (1 << 31) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -59,22 +64,108 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i:e]] for i, e in enumerate(end) if e]
 
 
+class Pairs:
+    """The rank of every joinable pair of ids, in an open-addressed table; `merged` joins many pre-tokens step by step at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        self.byte_ids = np.array([ranks.get(bytes([c]), NO_RANK) for c in range(256)], np.int32)
+        self.bits = max(10, (4 * len(rank)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NO_RANK, np.int32)
+        key = (left << 32) | right
+        slot = self.slot(left, right)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.ranks[slot[put]] = key[put], rank[put]
+            key, rank, slot = (np.delete(x, put) for x in (key, rank, slot))
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key, slot = (left.astype(np.int64) << 32) | right, self.slot(left, right)
+        out, open_ = self.ranks[slot], np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] >= 0))
+        out[self.keys[slot] != key] = NO_RANK
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[open_]]
+            hit = held == key[open_]
+            out[open_[hit]] = self.ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word, none empty: in each step every word joins its leftmost pair of least rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), size)
+        pair = np.append(np.where(owner[1:] == owner[:-1], self.rank(ids[:-1], ids[1:]), NO_RANK), NO_RANK)
+        done_ids, done_owner = [], []
+        while len(ids):
+            begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            count = np.diff(np.append(begin, len(owner)))
+            least = np.minimum.reduceat(pair, begin)
+            if (least == NO_RANK).any():
+                rest = np.repeat(least < NO_RANK, count)
+                done_ids.append(ids[~rest])
+                done_owner.append(owner[~rest])
+                ids, owner, pair, count, least = ids[rest], owner[rest], pair[rest], count[least < NO_RANK], least[least < NO_RANK]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(pair == np.repeat(least, count))
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, pair = ids[keep], owner[keep], pair[keep]
+            at = at - np.arange(len(at))
+            for i in (at, at[at > 0] - 1):
+                after = np.minimum(i + 1, len(ids) - 1)
+                pair[i] = np.where((after > i) & (owner[i] == owner[after]), self.rank(ids[i], ids[after]), NO_RANK)
+        owner = np.concatenate([np.empty(0, np.int64), *done_owner])
+        order = np.argsort(owner, kind="stable")
+        data = np.concatenate([np.empty(0, np.int32), *done_ids])[order].astype("<u4").tobytes()
+        stop = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [data[a:b] for a, b in zip([0, *stop], stop)]
+
+
 class Packed(dict):
-    """Packed ids of pre-tokens, remembered up to a number of short ones."""
+    """Packed ids of short pre-tokens. When full, what is here becomes the older half, which the next full one replaces."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.pairs, self.older = ranks, Pairs(ranks), {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = merge(word.encode(), self.ranks)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 48:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+        packed = self.older.get(word)
+        if packed is None:
+            ids = merge(word.encode(), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= SHORT:
             self[word] = packed
         return packed
 
+    def learn(self, words: set[str]) -> None:
+        """Make the short ones of the words that are not known yet, all together."""
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for w in words - self.keys():
+            if (packed := self.older.get(w)) is not None:
+                self[w] = packed
+            elif len(w) <= SHORT:
+                if (whole := self.ranks.get(w.encode())) is not None:
+                    self[w] = struct.pack("<I", whole)
+                else:
+                    new.append(w)
+        self.update(zip(new, self.pairs.merged([w.encode() for w in new])))
+
 
 class Vocabulary:
     def __init__(self, path: str, pattern: str):
@@ -86,8 +177,10 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.packed = Packed(self.ranks)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.packed.__getitem__, self.pattern.findall(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = [self.pattern.findall(t) for t in texts]
+        self.packed.learn(set().union(*found))
+        return [b"".join(map(self.packed.__getitem__, x)) for x in found]
 
     def decode(self, ids: bytes) -> bytes:
         known = np.frombuffer(ids, "<u4")
@@ -109,19 +202,21 @@ def encode(df: DataFrame, *, ranks_path: str, pattern: str, keep: list[str], tex
     """
     if not chunk > overlap > 2 * MARGIN_CHARS:
         raise ValueError("chunk > overlap > 16 is needed")
+    keep = [c for c in keep if c != "_ids"]
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], whole.alias("_text"))
+    own = [f"c{i}" for i in range(len(keep))]  # no name that is used here
+    kept = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)], whole.alias("_text"))
     is_long = F.length("_text") > long_chars
 
     def short(texts):
         v = vocabulary(ranks_path, pattern)
-        return [pa.array([v.encode(t.decode(errors="replace")) for t in texts], pa.binary())]
+        return [pa.array(v.encode([t.decode(errors="replace") for t in texts]), pa.binary())]
 
-    done = map_texts(kept.where(~is_long), keep, "_text", [field("_ids", "binary")], short)
+    done = map_texts(kept.where(~is_long), own, "_text", [field("_ids", "binary")], short)
     key = F.sha2(F.col("_text").cast("binary"), 256)
     pieces = long_ids(kept.where(is_long).select(key.alias("_key"), "_text"), ranks_path, pattern, chunk, overlap)
-    rest = kept.where(is_long).select(*[F.col(f"`{c}`") for c in keep], key.alias("_key"))
-    return done.unionByName(rest.join(pieces, "_key").drop("_key"))
+    rest = kept.where(is_long).select(*own, key.alias("_key"))
+    return done.unionByName(rest.join(pieces, "_key").drop("_key")).toDF(*keep, "_ids")
 
 
 def long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -156,7 +251,7 @@ def long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overla
         v = vocabulary(ranks_path, pattern)
         for batch in batches:
             for part, chunks in slices(batch):
-                ids = [v.encode(t.decode()) for t in chunks]
+                ids = v.encode([t.decode() for t in chunks])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=["_key", "_run", "_ids"])
 
     schema = "_key string, _chunk int, _start long, _last boolean, _text string"
@@ -185,8 +280,11 @@ def long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overla
 
 
 def digests(encoded: DataFrame, *, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
-    """Of `encode`'s rows: n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
-    kept = encoded.select(*[F.col(f"`{c}`") for c in keep])
+    """Of `encode`'s rows: the columns `keep`, n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
+    new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    keep = [c for c in keep if c not in ("_ids", *new)]
+    own = [f"c{i}" for i in range(len(keep))]
+    rows = encoded.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)], "_ids")
 
     def run(batches):
         v = vocabulary(ranks_path, pattern)
@@ -196,8 +294,10 @@ def digests(encoded: DataFrame, *, ranks_path: str, pattern: str, keep: list[str
                 ids = part.column(part.num_columns - 1).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(v.decode(x)).hexdigest() for x in ids])],
-                    names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=[*own, *new],
                 )
 
-    schema = kept.schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return encoded.select(*[F.col(f"`{c}`") for c in keep], "_ids").mapInArrow(run, schema)
+    schema = rows.drop("_ids").schema
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema).toDF(*keep, *new)

@@ -49,19 +49,22 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     """The columns `keep` of `df` and, beside them, `fields` that `work` makes from the whole texts; no shuffle.
 
     `work` gets a list of texts (and, with `rows`, the batch of kept columns) and returns one Arrow array for each
-    field. `fields` must not repeat a kept name.
+    field. A kept column with the name of a field gives way to it.
     """
     modest_batches(df.sparkSession)
-    kept = df.select(*[F.col(f"`{c}`") for c in keep])
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    names = [*keep, *(f.name for f in fields)]
+    names = [f.name for f in fields]
+    keep = [c for c in keep if c not in names]
+    own = [f"c{i}" for i in range(len(keep))]
+    kept = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)])
+    source = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)], F.col(f"`{text}`").cast("string").alias("_text"))
+    made = [T.StructField(f"f{i}", f.dataType, f.nullable) for i, f in enumerate(fields)]
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(work(texts, part) if rows else work(texts))], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(work(texts, part) if rows else work(texts))], names=[*own, *(f.name for f in made)])
 
-    return source.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    return source.mapInArrow(run, T.StructType([*kept.schema.fields, *made])).toDF(*keep, *names)
 
 
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
