@@ -1,288 +1,302 @@
 """Quality rules with an n-gram perplexity band for each language.
 
-A modified Kneser-Ney model of character 4-grams is counted by Spark over all documents: characters
-fall into 32 classes, so an n-gram is a 20-bit key. The counts of each language are kept as a sorted
-array of keys and one of counts, at most 2^20 entries; languages beyond the `MAX_LANGS` most
-frequent share one model, which bounds what is sent to the executors. Documents fall into two folds by
-a hash of their text, and each is scored by the model of the other fold, so that odd text is not
-excused by its own counts. Each document gets its mean negative log-probability per character; a language's band is the median of all its documents
-plus or minus `BAND` scaled median deviations, and documents outside are rejected.
-
-Classes see neither the order of words nor other scripts, so a second model is over words, order 3, again modified
-Kneser-Ney and by fold and language, every language on its own. Its counts, continuation counts and context sums are tables
-that grow with the corpus: nothing of them is collected, and log-probabilities come from joining the distinct
-(document, trigram) rows with them by hash. In scripts without spaces every character is a word. Here only the upper
-limit of the band counts, as near copies in the other fold make good text very likely.
+A modified Kneser-Ney model of the code points of all documents, order `ORDER`, for each language. Tasks
+count the n-grams of their own documents, Spark adds them up; continuation counts, context sums, discounts and
+probabilities are tables that grow with the corpus, made by grouping, windows over one context and joins. An
+n-gram is known by a 63-bit hash of its language and its code points; two n-grams of a billion share one with a
+probability of about 5 %, and would then add their counts.
+
+Documents fall into two folds by a hash of their text, and each is scored by the model of the other
+fold, so that odd text is not excused by its own counts. The log-probabilities are looked up in sorted arrays
+of hashes. A model of at most `MODEL_GRAMS` n-grams goes to all executors as one such array. A larger one is never
+gathered anywhere: documents are dealt into groups of about `GROUP_BYTES` of text, each group asks for the n-grams
+that it has by a join, and is scored with an array of those. Both ways give the same losses.
+
+A document's loss is its mean negative log-probability per code point in nats. A language's band is the median of all its
+documents plus or minus `BAND` scaled median deviations, at least `LEAST_WIDTH`, and documents outside are
+rejected; below the median the width is at least `LOW_SHARE` of it too, as near copies in the other fold make good text likelier.
 
 Null text has no words and fails the base rules. A null language is a language of its own. In an
 empty table there is nothing to count. A document without characters has no perplexity and fails
 the base rules; one whose language has no document in the other fold has none either, and the base
-rules alone decide. Repeated rows count as often as they occur.
+rules alone decide. Repeated rows count as often as they occur. Kept columns named like a measure or a verdict
+give way to it. U+0000 counts as U+FFFF, and U+FFFE stands for the start of a text.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut
 from rankloom.llm.common import WordHashes, field, map_texts, mixed, modest_batches, plain_names, slices, squeezed, unsqueezed, windows, word_hashes
 
-ORDER, BITS = 4, 5
-KEYS = 1 << (ORDER * BITS)
-MAX_LANGS = 32
-OTHER, NONE = "\x00other", "\x00none"
+ORDER = 5
+EDGE = "\ufffe"
+NONE = "\x00none"
+#: n-grams that are sent to every executor at the most, 16 bytes each.
+MODEL_GRAMS = 4_000_000
+#: Text that is scored with one array of n-grams where the model is larger.
+GROUP_BYTES = 16 << 20
 #: Half the width of a band in scaled median deviations.
 BAND = 6.0
 #: No band is narrower than this on either side, in nats.
-LEAST_WIDTH = 0.3
-#: The same for the word model, in nats per word; LEAST_WIDTH over a word of six letters and its space is about as much.
-LEAST_WORD_WIDTH = 2.0
-#: Words whose trigrams are added up before they leave a task.
-BUFFER_WORDS = 500_000
+LEAST_WIDTH = 0.5
+#: Nor is it narrower below its median than this share of it.
+LOW_SHARE = 0.5
+#: n-grams that a task holds before it adds them up.
+BUFFER = 1_500_000
+FOLDS = (0, 1)
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
-def _class(c: int) -> int:
-    """0 white space, 1-26 small letters, 27 capitals, 28 digits, 29 sentence marks, 30 other ASCII, 31 the rest."""
-    if c in SPACES:
-        return 0
-    if 0x61 <= c <= 0x7A:
-        return c - 0x60
-    if 0x41 <= c <= 0x5A:
-        return 27
-    if 0x30 <= c <= 0x39:
-        return 28
-    if c in b".,;:!?'\"()-":
-        return 29
-    return 30 if c < 0x80 else 31
-
-
-CLASSES = bytes(map(_class, range(256)))
-
-
-def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 4-gram key of every character of the texts, and where each text's keys begin and end."""
-    coded = [bytes(ORDER - 1) + t.translate(CLASSES, CONTINUATION) for t in texts]
-    sizes = np.array([len(c) for c in coded], np.int64)
-    end = np.cumsum(sizes)
-    c = np.frombuffer(b"".join([*coded, bytes(ORDER - 1)]), np.uint8).astype(np.int32)
-    keys = c[: end[-1] if len(end) else 0].copy()
-    for i in range(1, ORDER):
-        keys = (keys << BITS) | c[i : i + len(keys)]
-    return keys, end - sizes, end - (ORDER - 1)
-
-
 def fold_of(text: Column) -> Column:
     """0 or 1, the same for copies of a text."""
-    return F.pmod(F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))), F.lit(2)).cast("string")
-
-
-def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, key, n) over all texts, the fold's digit before the language; every task adds up its own documents first."""
-
-    def run(batches):
-        counts: dict[str | None, np.ndarray] = {}
-        for batch in batches:
-            for part, texts in slices(batch):
-                by: dict[str | None, list[bytes]] = {}
-                for name, t in zip(part.column(0).to_pylist(), texts, strict=True):
-                    by.setdefault(name, []).append(t)
-                for name, group in by.items():
-                    keys, begin, end = keys_of(group)
-                    inside = np.zeros(len(keys) + 1, np.int8)
-                    np.add.at(inside, begin, 1)
-                    np.add.at(inside, end, -1)
-                    own = counts.setdefault(name, np.zeros(KEYS, np.int64))
-                    own += np.bincount(keys[np.cumsum(inside, dtype=np.int8)[:-1] > 0], minlength=KEYS)
-        for name, found in counts.items():
-            keys = np.flatnonzero(found)
-            for i in range(0, len(keys), 100_000):
-                k = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(found[k], pa.int64())], names=["lang", "key", "n"])
-
-    modest_batches(df.sparkSession)
-    rows = df.select(F.concat(fold_of(F.col(f"`{text}`")), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def model(df: DataFrame, text: str, lang: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and their counts by fold and language, for the MAX_LANGS most frequent languages and the rest together."""
-    own = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))
-    names = [r["lang"] for r in df.groupBy(own.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()]
-    counted = count_ngrams(df, text, lang)
-    if len(names) > MAX_LANGS:
-        frequent = F.substring("lang", 2, 1 << 30).isin(names[:MAX_LANGS])
-        counted = counted.groupBy(F.when(frequent, F.col("lang")).otherwise(F.concat(F.substring("lang", 1, 1), F.lit(OTHER))).alias("lang"), "key").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    found = {}
-    held = np.array(table.column("lang").to_pylist(), object)
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    for name in set(held.tolist()):
-        mine = held == name
-        order = np.argsort(keys[mine])
-        found[name] = (keys[mine][order], n[mine][order])
-    return found
-
-
-def log_probabilities(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Natural log-probability of the last character of each key after its first three: interpolated modified Kneser-Ney."""
-    base = 1 << BITS
-    counts = np.zeros(KEYS, np.int64)
-    counts[keys] = n
-    orders = [counts]
-    for order in range(ORDER - 1, 0, -1):  # lower orders count how many characters they follow
-        orders.append((orders[-1].reshape(base, base**order) > 0).sum(0))
-    p = np.full(1, 1 / base)
-    for c in reversed(orders):
-        of = [int((c == i).sum()) for i in range(1, 5)]
-        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-        cuts = [min(i, max(0.0, i - (i + 1) * y * of[i] / of[i - 1])) if of[i - 1] else 0.5 for i in (1, 2, 3)]
-        cut_by = np.array([0.0, *cuts])[np.minimum(c, 3)]
-        by_context = c.reshape(-1, base)
-        total = by_context.sum(1)
-        seen = total > 0
-        left_over = np.where(seen, np.array(cut_by.reshape(-1, base).sum(1)) / np.maximum(total, 1), 1.0)
-        lower = np.tile(p, len(c) // len(p))
-        p = np.maximum(c - cut_by, 0) / np.repeat(np.maximum(total, 1), base) + np.repeat(left_over, base) * lower
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-_SOLID = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u2e80-\\u9fff\\uf900-\\ufaff\\U00020000-\\U0003ffff"
-TOKENS = re.compile(f"[{_SOLID}]|[^ \\t\\n\\r\\x0b\\x0c{_SOLID}]+")
-LOW_BYTES = bytes(range(0xE0))
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    """The words, and each character of scripts that don't part words."""
-    if not text.translate(None, LOW_BYTES):
-        return text.split()
-    return [x.encode() for x in TOKENS.findall(text.decode(errors="replace"))]
-
-
-def trigrams(text: bytes, cache: WordHashes) -> np.ndarray:
-    """(3, words): the hashes of each word and of the two before it, 0 where there is none."""
-    h = np.concatenate((np.zeros(2, np.uint64), word_hashes(tokens_of(text), cache)))
-    return np.stack((h[:-2], h[1:-1], h[2:]))
-
-
-def trigram_keys(grams: np.ndarray, lang: int, fold: int) -> np.ndarray:
-    m = np.uint64(0x9E3779B97F4A7C15)
-    x = np.full(grams.shape[1], ((lang << 1) | fold) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    with np.errstate(over="ignore"):
-        for h in grams:
-            x = mixed(x * m + h)
-    return x
-
-
-def _marked(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(fold, lang, doc, text): the language and the document as hashes; copies in one language are one document."""
-    name = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))
-    return df.select(fold_of(F.col(f"`{text}`")).cast("int").alias("fold"), F.xxhash64(name).alias("lang"), document_of(text, lang).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    return F.pmod(F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))), F.lit(2)).cast("int")
 
 
 def document_of(text: str, lang: str) -> Column:
+    """The hash that tells texts of a language apart."""
     return F.xxhash64(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
-def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(m, g, u, v, w, key, c): trigrams by fold and language, and how often they occur."""
-    cache = WordHashes()
+def seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode())
 
-    def run(batches):
-        def added_up():
-            for (fold, name), parts in held.items():
-                grams = np.concatenate(parts, 1)
-                keys, first, n = np.unique(trigram_keys(grams, name, fold), return_index=True, return_counts=True)
-                u, v, w = grams[:, first].view(np.int64)
-                for i in range(0, len(keys), 50_000):
-                    k = slice(i, i + 50_000)
-                    columns = [pa.array(np.full(len(keys[k]), fold, np.int32)), pa.array(np.full(len(keys[k]), name, np.int64)), *(pa.array(x[k]) for x in (u, v, w, keys.view(np.int64), n.astype(np.int64)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["m", "g", "u", "v", "w", "key", "c"])
-
-        held, size = {}, 0
-        for batch in batches:
-            for part, texts in slices(batch):
-                for fold, name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                    grams = trigrams(t, cache)
-                    if grams.shape[1]:
-                        held.setdefault((fold, name), []).append(grams)
-                        size += grams.shape[1]
-                if size >= BUFFER_WORDS:
-                    yield from added_up()
-                    held, size = {}, 0
-        yield from added_up()
 
-    modest_batches(df.sparkSession)
-    rows = _marked(df, text, lang).select("fold", "lang", "text").mapInArrow(run, "m int, g long, u long, v long, w long, key long, c long")
-    return rows.groupBy("m", "g", "u", "v", "w", "key").agg(F.sum("c").alias("c"))
+def hashed(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points; the hash of the ORDER of them from each place on; where each text's n-grams begin and end among those.
+
+    The n-th n-gram of a text ends with its n-th code point.
+    """
+    pad = EDGE * (ORDER - 1)
+    whole = [t.decode(errors="replace") for t in texts]
+    c = np.frombuffer((pad.join(["", *whole]) + pad).encode("utf-32-le"), np.uint32)
+    c = np.where(c == 0, np.uint32(0xFFFF), c)
+    length = np.array([len(t) for t in whole], np.int64)
+    end = np.cumsum(length + ORDER - 1) - (ORDER - 1)
+    begin = end - length
+    h = np.zeros(len(c) - ORDER + 1, np.uint64)
+    wide = c.astype(np.uint64)
+    for i in range(ORDER):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += wide[i : i + len(h)]
+    h += np.repeat(np.array([seed(x) for x in langs], np.uint64), np.diff(np.concatenate((begin, [len(h)]))))
+    return c, mixed(h) >> np.uint64(1), begin, end
+
+
+def inside(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each place lies in one of the disjoint ranges."""
+    edge = np.zeros(size + 1, np.int8)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge, dtype=np.int8)[:-1] > 0
+
+
+def marked(df: DataFrame, text: str, lang: str) -> list[Column]:
+    """_lang, _fold, _doc."""
+    return [F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)).alias("_lang"), fold_of(F.col(f"`{text}`")).alias("_fold"), document_of(text, lang).alias("_doc")]
 
 
-def document_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(doc, key, n): the distinct trigrams of every document, with the keys they have in their own fold."""
-    cache = WordHashes()
+def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, key, gram, c0, c1): how often each n-gram of a language occurs in each fold. Every task adds up its own documents first."""
 
     def run(batches):
+        names: dict[str, int] = {}
+        held: list[tuple] = []
+
+        def added_up():
+            key, n, name, gram = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, first, place = np.unique(key, return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=n).astype(np.int64)
+            fold, name, gram, known = (found & np.uint64(1)).astype(np.int64), name[first], gram[first], np.array(list(names), object)
+            for i in range(0, len(found), 50_000):
+                k = slice(i, i + 50_000)
+                columns = [pa.array(known[name[k]], pa.string()), pa.array((found[k] >> np.uint64(1)).astype(np.int64)), pa.array(gram[k]).cast(pa.string()), pa.array(total[k] * (1 - fold[k])), pa.array(total[k] * fold[k])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "gram", "c0", "c1"])
+
         for batch in batches:
             for part, texts in slices(batch):
-                docs, keys, counts = [], [], []
-                for fold, name, doc, t in zip(*(part.column(i).to_pylist() for i in range(3)), texts, strict=True):
-                    k, n = np.unique(trigram_keys(trigrams(t, cache), name, fold), return_counts=True)
-                    docs.append(np.full(len(k), doc, np.int64))
-                    keys.append(k.view(np.int64))
-                    counts.append(n.astype(np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, counts)], names=["doc", "key", "n"])
+                langs, folds = part.column(0).to_pylist(), part.column(1).to_numpy()
+                c, h, begin, end = hashed(texts, langs)
+                at = np.flatnonzero(inside(len(h), begin, end))
+                owner = np.searchsorted(begin, at, side="right") - 1
+                key, first, n = np.unique((h[at] << np.uint64(1)) | folds[owner].astype(np.uint64), return_index=True, return_counts=True)
+                at, owner = at[first], owner[first]
+                gram = np.ascontiguousarray(c[at[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0] if len(at) else np.empty(0, f"<U{ORDER}")
+                own = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
+                held.append((key, n, own[owner], gram))
+                if sum(len(x[0]) for x in held) >= BUFFER:
+                    yield from added_up()
+                    held = []
+        if held:
+            yield from added_up()
 
     modest_batches(df.sparkSession)
-    return _marked(df, text, lang).mapInArrow(run, "doc long, key long, n int")
+    rows = df.select(*marked(df, text, lang)[:2], F.col(f"`{text}`").cast("string").alias("text"))
+    found = rows.mapInArrow(run, "lang string, key long, gram string, c0 long, c1 long")
+    return found.groupBy("lang", "key", "gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in FOLDS])
 
 
-def _smoothed(wanted: DataFrame, counts: DataFrame, gram: list[str], lower: DataFrame | None) -> DataFrame:
-    """The rows of `wanted` (m, g, gram and more) with p: interpolated modified Kneser-Ney of the last word after the others.
+def smoothed(counts: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
+    """`counts` (lang, gram, c0, c1 and more) with p0 and p1: interpolated modified Kneser-Ney of the last code point after the others, by either fold.
 
-    `counts` has c by m, g and gram; `lower` has p by m, g and all but the first of gram, none under order 1.
+    `lower` has p0 and p1 by lang and gram for one order less, none under order 1. A fold without text of the language has none.
     """
-    model, context = ["m", "g"], ["m", "g", *gram[:-1]]
-    of = [F.sum((F.col("c") == i).cast("double")).alias(f"of{i}") for i in (1, 2, 3, 4)]
-    sizes = counts.groupBy(*model).agg(*of, F.count("*").alias("types"))
-    y = F.when(F.col("of1") > 0, F.col("of1") / (F.col("of1") + 2 * F.col("of2"))).otherwise(0.5)
-    less = [F.when(F.col(f"of{i}") > 0, F.least(F.lit(float(i)), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"of{i + 1}") / F.col(f"of{i}")))).otherwise(0.5).alias(f"d{i}") for i in (1, 2, 3)]
-    sizes = sizes.select(*model, *less, "types")  # a row a language and fold
-    after = counts.groupBy(*context).agg(F.sum("c").alias("total"), *(F.sum(x.cast("long")).alias(f"n{i}") for i, x in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2))))
-    rows = wanted.join(counts.select(*model, *gram, "c"), [*model, *gram], "left")
-    if lower is None:
-        rows = rows.join(F.broadcast(after), model, "left").join(F.broadcast(sizes), model, "left").withColumn("below", 1 / (F.col("types") + 1.0))
-    else:
-        rows = rows.join(after, context, "left").join(F.broadcast(sizes), model, "left").join(lower.select(*model, *gram[1:], F.col("p").alias("below")), [*model, *gram[1:]], "left")
-    c = F.coalesce("c", F.lit(0))
-    cut_by = F.when(c == 0, 0.0).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    left_over = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
-    p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.greatest(c - cut_by, F.lit(0.0)) + left_over * F.col("below")) / F.col("total"))
-    return rows.select(*wanted.columns, p.alias("p"))
-
-
-def word_probabilities(counts: DataFrame) -> DataFrame:
-    """(m, g, u, v, w, key, p): the probability of every trigram by the model m of the other fold, with the key of its own fold."""
-    wanted = counts.select((1 - F.col("m")).alias("m"), "g", "u", "v", "w", "key")
-    pairs = counts.groupBy("m", "g", "v", "w").agg(F.count("*").alias("c"))
-    single = pairs.groupBy("m", "g", "w").agg(F.count("*").alias("c"))
-    one = _smoothed(wanted.select("m", "g", "w").distinct(), single, ["w"], None)
-    two = _smoothed(wanted.select("m", "g", "v", "w").distinct(), pairs, ["v", "w"], one)
-    return _smoothed(wanted, counts, ["u", "v", "w"], two)
-
-
-def word_losses(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(_doc, _word_loss): nats per word of every document that has words, by `document_of`; null without another fold's document."""
-    logs = word_probabilities(cut(word_counts(df, text, lang))).select("key", F.ln(F.greatest("p", F.lit(1e-12))).alias("log"))
-    return document_trigrams(df, text, lang).join(logs, "key").groupBy(F.col("doc").alias("_doc")).agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("_word_loss"))
+    is_ = lambda i, k: (F.col(f"c{i}") == k).cast("long")
+    sizes = counts.groupBy("lang").agg(*[F.sum(is_(i, k)).cast("double").alias(f"of{k}_{i}") for i in FOLDS for k in (1, 2, 3, 4)], *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"types_{i}") for i in FOLDS])
+    # A context has at most as many rows as there are code points.
+    context = Window.partitionBy("lang", F.substring("gram", 1, order - 1))
+    rows = counts
+    for i in FOLDS:
+        rows = rows.withColumns({f"total_{i}": F.sum(f"c{i}").over(context), **{f"n{k}_{i}": F.sum(is_(i, k)).over(context) for k in (1, 2)}, f"n3_{i}": F.sum((F.col(f"c{i}") > 2).cast("long")).over(context)})
+    rows = rows.join(sizes, "lang")
+    if lower is not None:
+        below = lower.select("lang", F.col("gram").alias("suffix"), *[F.col(f"p{i}").alias(f"below_{i}") for i in FOLDS])
+        rows = rows.withColumn("suffix", F.substring("gram", 2, order - 1)).join(below, ["lang", "suffix"])
+    out = {}
+    for i in FOLDS:
+        x = lambda name, i=i: F.col(f"{name}_{i}")
+        y = F.when(x("of1") > 0, x("of1") / (x("of1") + 2 * x("of2"))).otherwise(0.5)
+        less = [F.when(x(f"of{k}") > 0, F.least(F.lit(float(k)), F.greatest(F.lit(0.0), k - (k + 1) * y * x(f"of{k + 1}") / x(f"of{k}")))).otherwise(0.5) for k in (1, 2, 3)]
+        c = F.col(f"c{i}")
+        cut_by = F.when(c == 0, 0.0).when(c == 1, less[0]).when(c == 2, less[1]).otherwise(less[2])
+        left_over = less[0] * x("n1") + less[1] * x("n2") + less[2] * x("n3")
+        under = x("below") if lower is not None else F.when(x("types") > 0, 1 / (x("types") + 1.0))
+        out[f"p{i}"] = F.when(x("total") == 0, under).otherwise((F.greatest(c - cut_by, F.lit(0.0)) + left_over * under) / x("total"))
+    return rows.select(*counts.columns, *[v.alias(k) for k, v in out.items()])
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """(lang, key, gram, c0, c1, p0, p1) of `count_ngrams`' rows. Lower orders count how many code points their n-grams follow."""
+    tables = [grams]
+    for order in range(ORDER - 1, 0, -1):
+        tables.append(tables[-1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in FOLDS]))
+    lower = None
+    for order, counts in enumerate(reversed(tables), 1):
+        lower = smoothed(counts, order, lower)
+    return lower
+
+
+def model(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(key, l0, l1): the log-probability of every n-gram of the documents by the model of each fold (null: it has no such language)."""
+    logs = [F.ln(F.greatest(f"p{i}", F.lit(1e-12))).cast("float").alias(f"l{i}") for i in FOLDS]
+    return cut(probabilities(cut(count_ngrams(df, text, lang))).select("key", *[F.when(F.col(f"p{i}").isNotNull(), x).alias(f"l{i}") for i, x in zip(FOLDS, logs, strict=True)]))
+
+
+class SortedLogs:
+    """Log-probabilities by both folds in the order of their hashes, with the first place for each beginning of a hash."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.logs = np.append(keys[order], np.iinfo(np.int64).max), np.append(logs[order], np.zeros((1, 2), np.float32), axis=0)
+        self.bits = max(1, len(keys).bit_length())
+        self.start = np.searchsorted(self.keys, np.arange(1 << self.bits) << (63 - self.bits)).astype(np.int32)
+
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Where each key stands, or the next greater one."""
+        at = self.start[key >> (63 - self.bits)].astype(np.int64)
+        open_ = np.flatnonzero(self.keys[at] < key)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[self.keys[at[open_]] < key[open_]]
+        return at
+
+    def losses(self, texts: list[bytes], langs: list[str], folds: np.ndarray) -> list[float | None]:
+        """Nats per code point by the other fold's model; None: no code point or no such model."""
+        _, h, begin, end = hashed(texts, langs)
+        at = self.places(h.astype(np.int64))
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate((begin, [len(h)]))))
+        log = self.logs[at, 1 - folds[owner]]
+        log = np.where(inside(len(h), begin, end), log, np.float32(0))
+        known = ~np.isnan(log)
+        total = np.concatenate(([0.0], np.cumsum(np.where(known, log, 0), dtype=np.float64)))
+        lost = np.concatenate(([0], np.cumsum(~known)))
+        return [None if a == b or lost[b] > lost[a] else float(total[a] - total[b]) / (b - a) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def sorted_logs(table: pa.Table) -> SortedLogs:
+    logs = [table.column(f"l{i}").to_numpy(zero_copy_only=False).astype(np.float32) for i in FOLDS]
+    return SortedLogs(table.column("key").to_numpy(zero_copy_only=False).astype(np.int64), np.column_stack(logs))
+
+
+def group_losses(df: DataFrame, logs: DataFrame, text: str, lang: str, group_bytes: int) -> DataFrame:
+    """(_doc, _loss) of every distinct text of each language, without the whole model in any one place."""
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    groups = 1 + size // group_bytes
+    columns = marked(df, text, lang)
+    rows = squeezed(df.select(*columns, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t")), ["_lang", "_fold", "_doc"], "_t")
+
+    def first_copies(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for i, doc in enumerate(batch.column(2).to_pylist()):
+                if doc not in seen:
+                    seen.add(doc)
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    once = rows.mapInArrow(first_copies, rows.schema).withColumn("_group", F.pmod("_doc", F.lit(groups)))
+    dealt = cut(once.repartition("_group").sortWithinPartitions("_group"))
+
+    def texts_of(batch):
+        """Slices of (group, lang, fold, doc) lists and texts; columns _lang, _fold, _doc, _z, _group."""
+        unpack = zstandard.ZstdDecompressor()
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            yield (*(part.column(c).to_pylist() for c in ("_group", "_lang", "_fold", "_doc")), [unpack.decompress(z) for z in part.column("_z").to_pylist()])
+
+    def asked(batches):
+        now, held = None, np.empty(0, np.uint64)
+        for batch in batches:
+            for group, langs, _, _, texts in texts_of(batch):
+                _, h, begin, end = hashed(texts, langs)
+                ends = np.searchsorted(group, sorted(set(group)), side="right").tolist()
+                for a, b in zip([0, *ends], ends):
+                    if group[a] != now:
+                        yield from wanted(now, held)
+                        now, held = group[a], np.empty(0, np.uint64)
+                    there = inside(len(h), begin[a:b], end[a:b])
+                    held = np.union1d(held, h[there])
+        yield from wanted(now, held)
+
+    def wanted(group, held):
+        for i in range(0, len(held), 100_000):
+            k = held[i : i + 100_000].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), group, np.int64)), pa.array(k)], names=["_group", "key"])
+
+    need = dealt.mapInArrow(asked, "_group long, key long").join(logs, "key")
+    none = lambda names: [F.lit(None).cast(k).alias(n) for n, k in names.items()]
+    of_text, of_model = {"_lang": "string", "_fold": "int", "_doc": "long", "_z": "binary"}, {"key": "long", "l0": "float", "l1": "float"}
+    both = need.select("_group", F.lit(0).alias("_kind"), *none(of_text), *of_model).unionByName(dealt.select("_group", F.lit(1).alias("_kind"), *of_text, *none(of_model)))
+
+    def score(batches):
+        now, parts, table = None, [], None
+        for batch in batches:
+            kinds, group = batch.column("_kind").to_numpy(), batch.column("_group").to_numpy()
+            edges = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(group) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                part = batch.slice(a, b - a)
+                if group[a] != now:
+                    now, parts, table = group[a], [], None
+                if kinds[a] == 0:
+                    parts.append(part.select(list(of_model)))
+                    continue
+                if table is None:
+                    table, parts = sorted_logs(pa.Table.from_batches(parts) if parts else pa.table({"key": pa.array([], pa.int64()), "l0": pa.array([], pa.float32()), "l1": pa.array([], pa.float32())})), []
+                for _, langs, folds, docs, texts in texts_of(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(table.losses(texts, langs, np.array(folds)), pa.float64())], names=["_doc", "_loss"])
+
+    found = both.repartition("_group").sortWithinPartitions("_group", "_kind").mapInArrow(score, "_doc long, _loss double")
+    return found.dropDuplicates(["_doc"])
 
 
 def measures(texts: list[bytes], cache: WordHashes) -> list[np.ndarray]:
@@ -305,59 +319,51 @@ def measures(texts: list[bytes], cache: WordHashes) -> list[np.ndarray]:
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scored(df: DataFrame, found: dict, *, keep: list[str], text: str, lang: str) -> DataFrame:
-    """The columns `keep`, `_lang`, the measures with `_` before their names, and `_loss` (nats per character; null: none)."""
-    known = {name[1:] for name in found}
-    tables: dict = {}
+def scored(df: DataFrame, *, keep: list[str], text: str, lang: str, most: int = MODEL_GRAMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The columns `keep`, `_lang`, `_doc`, the measures with `_` before their names, and `_loss` (nats per code point; null: none)."""
+    logs = model(df, text, lang)
     cache = WordHashes()
+    small = logs.count() <= most
+    sent = df.sparkSession.sparkContext.broadcast(sorted_logs(logs.toArrow())) if small else None
 
     def work(texts, part):
-        langs = part.column(part.num_columns - 3).to_pylist()
-        keys, begin, end = keys_of(texts)
-        loss = [None] * len(texts)
-        for i, (name, a, b) in enumerate(zip(langs, begin.tolist(), end.tolist(), strict=True)):
-            fold, name = name[0], name[1:]
-            name = ("1" if fold == "0" else "0") + (name if name in known else OTHER)
-            if b > a and name in found:
-                if name not in tables:
-                    tables[name] = log_probabilities(*found[name])
-                loss[i] = -float(tables[name][keys[a:b]].sum(dtype=np.float64)) / (b - a)
-        return [*(pa.array(x, pa.int64()) for x in measures(texts, cache)), pa.array(loss, pa.float64())]
-
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.concat(fold_of(F.col(f"`{text}`")), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE))).alias("_lang"), document_of(text, lang).alias("_doc"), F.col(f"`{text}`").cast("string").alias("_whole"))
-    out = map_texts(rows, [*keep, "_lang", "_doc"], "_whole", [*(field(f"_{n}", "long") for n in NAMES), field("_loss", "double")], work, rows=True)
-    return out.withColumn("_lang", F.substring("_lang", 2, 1 << 30))
-
-
-def bands(losses: DataFrame, width: float = BAND, value: str = "_loss", least: float = LEAST_WIDTH) -> DataFrame:
+        found = [pa.array(x, pa.int64()) for x in measures(texts, cache)]
+        if small:
+            langs, folds = (part.column(part.num_columns - i) for i in (4, 3))
+            found.append(pa.array(sent.value.losses(texts, langs.to_pylist(), folds.to_numpy()), pa.float64()))
+        return found
+
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *marked(df, text, lang), F.col(f"`{text}`").cast("string").alias("_whole"))
+    out = map_texts(rows, [*keep, "_lang", "_fold", "_doc"], "_whole", [*(field(f"_{n}", "long") for n in NAMES), *([field("_loss", "double")] if small else [])], work, rows=True)
+    return out if small else out.join(group_losses(df, logs, text, lang, group_bytes), "_doc", "left")
+
+
+def bands(losses: DataFrame, width: float = BAND) -> DataFrame:
     """(_lang, _low, _high) over all documents of each language."""
-    middle = losses.groupBy("_lang").agg(F.percentile_approx(value, 0.5, 10_000).alias("m"))
-    same = F.col("a._lang").eqNullSafe(F.col("b._lang"))
-    spread = losses.alias("a").join(middle.alias("b"), same).groupBy(F.col("a._lang").alias("_lang"), "m").agg(F.percentile_approx(F.abs(F.col(value) - F.col("m")), 0.5, 10_000).alias("d"))
-    half = F.greatest(F.lit(width * 1.4826) * F.col("d"), F.lit(least))
-    return spread.select("_lang", (F.col("m") - half).alias("_low"), (F.col("m") + half).alias("_high"))
+    middle = losses.groupBy("_lang").agg(F.percentile_approx("_loss", 0.5, 10_000).alias("m"))
+    spread = losses.join(middle, "_lang").groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("_loss") - F.col("m")), 0.5, 10_000).alias("d"))
+    half = F.greatest(F.lit(width * 1.4826) * F.col("d"), F.lit(LEAST_WIDTH))
+    return spread.select("_lang", (F.col("m") - F.greatest(half, LOW_SHARE * F.col("m"))).alias("_low"), (F.col("m") + half).alias("_high"))
 
 
 def verdicts(losses: DataFrame) -> DataFrame:
     """`losses` with base_failed and kept; the limits have a row for each language (see `bands`)."""
-    limits = bands(losses).alias("b")
-    of_words = bands(losses, value="_word_loss", least=LEAST_WORD_WIDTH).alias("c")
     base = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words"))
-    inside = F.coalesce(F.col("_loss").between(F.col("b._low"), F.col("b._high")), F.lit(True)) & F.coalesce(F.col("_word_loss") <= F.col("c._high"), F.lit(True))
-    same = lambda x: F.col("a._lang").eqNullSafe(F.col(f"{x}._lang"))
-    return losses.alias("a").join(limits, same("b"), "left").join(of_words, same("c"), "left").select("a.*", base.alias("base_failed"), (~base & inside).alias("kept"))
+    fits = F.coalesce(F.col("_loss").between(F.col("_low"), F.col("_high")), F.lit(True))
+    return losses.join(bands(losses), "_lang").select(*losses.columns, base.alias("base_failed"), (~base & fits).alias("kept"))
 
 
 def judged(df: DataFrame, *, keep: list[str], text: str, lang: str) -> DataFrame:
-    """`verdicts` on all documents."""
-    by_class = scored(df, model(df, text, lang), keep=keep, text=text, lang=lang)
-    return verdicts(cut(by_class.join(word_losses(df, text, lang), "_doc", "left")))
+    """`verdicts` on all documents; texts are read twice, and only measures are kept between."""
+    return verdicts(cut(scored(df, keep=keep, text=text, lang=lang)))
 
 
 def rules(df: DataFrame, *, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns `keep`, the five measures, base_failed and kept, for every document. `keep` must not hold the new names."""
-    out = judged(df, keep=keep, text=text, lang=lang)
-    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_{n}").alias(n) for n in NAMES], "base_failed", "kept")
+    """The columns `keep`, the five measures, base_failed and kept, for every document."""
+    keep = [c for c in keep if c not in (*NAMES, "base_failed", "kept")]
+    df, new = plain_names(df)
+    out = judged(df, keep=[new[c] for c in keep], text=new[text], lang=new[lang])
+    return out.select(*[F.col(new[c]).alias(c) for c in keep], *[F.col(f"_{n}").alias(n) for n in NAMES], "base_failed", "kept")
 
 
 def accepted(df: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -69,6 +69,24 @@ def test_bpe_equals_the_library_and_round_trips(spark, tokenizer, long_chars, ch
     assert bpe.encode(df.limit(0), **how).count() == 0
 
 
+def test_pairs_merge_like_one_word_at_a_time(tokenizer):
+    path, pattern, library = tokenizer
+    v = bpe.Vocabulary(path, pattern)
+    r = random.Random(3)
+    words = list({"".join(r.choices("abcde thé漢\n ", k=r.randint(1, 40))) for _ in range(3000)} | {"a", "the" * 200})
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.packed.pairs.merged([w.encode() for w in words])] == [bpe.merge(w.encode(), v.ranks) for w in words]
+    assert v.packed.pairs.merged([]) == []
+
+
+def test_bpe_keeps_columns_of_any_name(spark, tokenizer):
+    path, pattern, library = tokenizer
+    how = {"ranks_path": path, "pattern": pattern, "keep": ["doc_id", "_key", "_text", "_ids", "_run", "n_tokens", "c1"]}
+    df = spark.createDataFrame([(1, "one two"), (2, "ab c" * 40)], "doc_id long, text string").withColumns({c: F.lit(c) for c in how["keep"][1:]})
+    got = bpe.digests(bpe.encode(df, long_chars=50, chunk=64, overlap=33, **how), **how)
+    assert got.columns == ["doc_id", "_key", "_text", "_run", "c1", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {(r.doc_id, r._key, r._text, r.n_tokens) for r in got.collect()} == {(i, "_key", "_text", len(library.encode_ordinary(t))) for i, t in ((1, "one two"), (2, "ab c" * 40))}
+
+
 # 2 MinHash
 
 
@@ -337,12 +355,6 @@ def test_measures_equal_brute_force(docs, texts):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_model_probabilities_add_up():
-    keys, n = np.unique(np.random.default_rng(1).integers(0, quality_rules.KEYS, 4000), return_counts=True)
-    p = np.exp(quality_rules.log_probabilities(keys, n).astype(np.float64)).reshape(-1, 32).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
-
-
 def test_rules_reject_noise_and_keep_prose(spark, docs, odd):
     noise = [(9000 + i, " ".join("".join(random.Random(i * 99 + j).choices("abcdefghijklmnopqrstuvwxyz", k=9)) for j in range(60)), "en") for i in range(3)]
     mixed = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(noise, "doc_id long, text string, lang string"))
@@ -354,14 +366,16 @@ def test_rules_reject_noise_and_keep_prose(spark, docs, odd):
 
 
 def brute_losses(rows, fold):
-    """Mean nats per word by modified Kneser-Ney trigrams of the other fold; rows of one language."""
-    grams = {k: [tuple(x[i : i + 3]) for i in range(len(x) - 2)] for k, t in rows for x in [["", "", *quality_rules.tokens_of(t.encode())]]}
+    """Mean nats per code point by modified Kneser-Ney 5-grams of the other fold; rows of one language."""
+    n = quality_rules.ORDER
+    padded = {k: quality_rules.EDGE * (n - 1) + t.replace("\0", "\uffff") for k, t in rows}
+    grams = {k: [x[i : i + n] for i in range(len(x) - n + 1)] for k, x in padded.items()}
     out = {}
     for m in (0, 1):
-        three = Counter(g for k, x in grams.items() if fold[k] == m for g in x)
-        two = Counter(g[1:] for g in three)
-        orders = [Counter(g[1:] for g in two), two, three]
-        below = lambda g, n=len(orders[0]): 1 / (n + 1)
+        orders = [Counter(g for k, x in grams.items() if fold[k] == m for g in x)]
+        for _ in range(n - 1):
+            orders.insert(0, Counter(g[1:] for g in orders[0]))
+        below = lambda g, types=len(orders[0]): 1 / (types + 1)
         for c in orders:
             of = [sum(v == i for v in c.values()) for i in range(5)]
             y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
@@ -380,14 +394,23 @@ def brute_losses(rows, fold):
     return out
 
 
-def test_word_losses_equal_brute_force(spark):
+def test_losses_equal_brute_force_however_large_the_model_is(spark, monkeypatch):
     r = random.Random(6)
-    rows = [(i, " ".join(r.choices(["the", "cat", "слово", "漢字", "x,", "é"], k=r.randint(1, 40)))) for i in range(40)]
-    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
-    marks = {x.doc_id: x for x in df.select("doc_id", quality_rules.fold_of(F.col("text")).alias("fold"), quality_rules.document_of("text", "lang").alias("doc")).collect()}
-    got = {x._doc: x._word_loss for x in quality_rules.word_losses(df, "text", "lang").collect()}
-    want = brute_losses(rows, {i: int(x.fold) for i, x in marks.items()})
-    assert len(want) == 40 and all(got[marks[i].doc] == pytest.approx(v, abs=1e-9) for i, v in want.items())
+    rows = [(i, " ".join(r.choices(["the", "cat", "слово", "漢字", "x,", "é", "\0", "😀"], k=r.randint(1, 40))), lang) for lang in ("en", "ru", "zh") for i in range(len(lang) * 100 + ord(lang[0]), len(lang) * 100 + ord(lang[0]) + 25 * (lang != "zh") + 1)]
+    df = spark.createDataFrame([*rows, (1, None, "en"), (2, "", None), rows[0]], "doc_id long, text string, lang string")
+    fold = {x.doc_id: x.fold for x in df.select("doc_id", quality_rules.fold_of(F.col("text")).alias("fold")).collect()}
+    want = {}
+    for lang in ("en", "ru"):
+        own = [(i, t) for i, t, x in rows if x == lang]
+        want |= brute_losses(own + [(-1, own[0][1])] * (lang == "en"), fold | {-1: fold[own[0][0]]})
+    del want[-1]
+    assert len(want) == 52
+    monkeypatch.setattr(quality_rules, "BUFFER", 50)
+    for how in ({}, {"most": 0, "group_bytes": 300}):
+        found = quality_rules.scored(df, keep=["doc_id"], text="text", lang="lang", **how).collect()
+        assert len(found) == len(rows) + 3
+        for x in found:
+            assert x._loss == (pytest.approx(want[x.doc_id], abs=1e-5) if x.doc_id in want else None)
 
 
 def test_rules_reject_noise_in_other_scripts_and_salad(spark):
