@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.digests(read(spark, sf_dir, "documents"), keep=["doc_id"], length=400)
+    return passages.digests(read(spark, sf_dir, "documents"), keep=["doc_id"], length=400, words=51)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
