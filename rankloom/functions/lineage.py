@@ -6,13 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is configured."""
+    """The folder named by spark.checkpoint.dir. A temporary one is made where none is configured and everything runs in one process, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not configured and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return configured or context.getCheckpointDir()
 
@@ -26,3 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, which are counted; else as it is. Give it a written table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something has been written to `path`, in any store that Spark can read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where)

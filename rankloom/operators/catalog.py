@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut
-from rankloom.functions.ranking import GRADED, LABELS, mapped, ranked, sample_order
+from rankloom.functions.ranking import GRADED, LABELS, mapped, numbered, quantiles, ranked, sample_order
 from rankloom.functions.text import TEMPLATE, filled, squeezed
 from rankloom.sources.tables import TEXT_COLUMNS
 
@@ -15,11 +14,9 @@ def capped(products: DataFrame, required: DataFrame, most: int, seed: int = 42)
     """All required products, filled up to `most` with a fixed sample of the others; `required`: product_id."""
     kept = products.join(required, "product_id", "left_semi")
     n = kept.select(F.count("*").alias("n"))
-    others = products.join(required, "product_id", "left_anti").select("product_id").withColumn("_o", sample_order(F.col("product_id"), seed))
-    # The sample's size is only known at run time, so at most `most` are ranked and then cut.
-    first = others.orderBy("_o", "product_id").limit(most)
-    numbered = first.withColumn("_r", F.row_number().over(Window.orderBy("_o", "product_id")))
-    chosen = numbered.crossJoin(F.broadcast(n)).where(F.col("_r") <= F.lit(most) - F.col("n")).select("product_id")
+    others = products.join(required, "product_id", "left_anti").select("product_id").distinct().withColumn("_o", sample_order(F.col("product_id"), seed))
+    placed = numbered(others, ["_o", "product_id"], "_place")
+    chosen = placed.crossJoin(F.broadcast(n)).where(F.col("_place") < F.lit(most) - F.col("n")).select("product_id")
     return kept.unionByName(products.join(chosen, "product_id", "left_semi"))
 
 
@@ -36,13 +33,8 @@ def item_text(products: DataFrame, template: str = TEMPLATE, last: str | None =
 
 
 def ordinals(df: DataFrame, key: str) -> DataFrame:
-    """(key, ordinal): the place of each distinct key in sorted order, from 0, without a single-partition window."""
-    place = F.monotonically_increasing_id()
-    rows = df.select(key).distinct()
-    rows = cut(rows.repartitionByRange(key).sortWithinPartitions(key).select(key, F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_row")))
-    sizes = rows.groupBy("_part").agg((F.max("_row") + 1).alias("n"))  # one row for each partition
-    before = sizes.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).select("_part", "_before")
-    return rows.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_row")).alias("ordinal"))
+    """(key, ordinal): the place of each distinct key in sorted order, from 0."""
+    return numbered(df.select(key).distinct(), [key], "ordinal")
 
 
 def sampled_queries(queries: DataFrame, most: int, seed: int = 42) -> DataFrame:
@@ -79,15 +71,19 @@ def label_distribution(qrels: DataFrame) -> DataFrame:
     return out.select("label", F.coalesce("n", F.lit(0)).alias("n"), F.round(100 * F.coalesce("n", F.lit(0)) / F.col("total"), 6).alias("pct"))
 
 
+def _spread(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """One row: the mean of `value` and its quantiles."""
+    found = quantiles(df, [], value, at)
+    return df.agg(F.round(F.avg(value), 6).alias("mean")).crossJoin(found.select(*[F.round(c, 6).alias(c) for c in at]))
+
+
 def query_length_stats(queries: DataFrame) -> DataFrame:
     words = F.size(F.split(F.trim("query"), r"\s+"))
-    q = lambda p: F.round(F.percentile("w", F.lit(p)), 6)
-    return queries.select(words.alias("w")).agg(F.round(F.avg("w"), 6).alias("mean"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"))
+    return _spread(queries.select(words.alias("w")), "w", {"median": 0.5, "p5": 0.05, "p95": 0.95})
 
 
 def items_per_query_stats(qrels: DataFrame) -> DataFrame:
-    q = lambda p: F.round(F.percentile("n", F.lit(p)), 6)
-    return qrels.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), q(0.5).alias("median"), q(0.95).alias("p95"))
+    return _spread(qrels.groupBy("query_id").agg(F.count("*").alias("n")), "n", {"median": 0.5, "p95": 0.95})
 
 
 def metadata_coverage(products: DataFrame) -> DataFrame:

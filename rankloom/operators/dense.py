@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.ranking import best_first, ranked, rounded
 
-#: Query values that go with one block of the catalog scan.
-BLOCK_VALUES = 4_000_000
+#: Vector components in one block of items, and of queries.
+ITEM_VALUES, QUERY_VALUES = 1 << 20, 1 << 17
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,45 +23,51 @@ def unit(v: Column) -> Column:
     return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def search(items: DataFrame, queries: DataFrame, top: int = 100) -> DataFrame:
-    """Best items of (item_id, vector) for each of (query_id, vector).
+def blocks(df: DataFrame, key: str, values: int, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows of up to about `values` vector components: arrays of the keys, vectors and further columns of (key, vector)."""
+    rows = df.where("vector IS NOT NULL")
+    size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    n = 1 + (size[0] or 0) * (size[1] or 1) // values
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    packed = rows.select(block.alias("_block"), F.struct(key, F.transform("vector", lambda v: v.cast("double")).alias("vector"), *more).alias("r"))
+    whole = packed.groupBy("_block").agg(F.collect_list("r").alias("r"))
+    return whole.select(*[F.col(f"r.{c}").alias(f"{key}_{c}") for c in (key, "vector", *more)])
 
-    The catalog is read once for each block of queries of at most BLOCK_VALUES numbers; in each
-    Arrow batch only that batch's best leave the task.
+
+def search(items: DataFrame, queries: DataFrame, top: int = 100, more: str | None = None) -> DataFrame:
+    """Best items of (item_id, vector) for each of (query_id, vector): `top` of them, and as many more as the query's column `more` says.
+
+    Both sides are packed into blocks of a bounded number of values; each pair of blocks is one matrix product in
+    a task, from which only its own best leave. No vector passes through the driver.
     """
-    width = queries.select(F.max(F.size("vector"))).first()[0] or 1
-    size = max(1, BLOCK_VALUES // width)
-    found, held = [], []
-
-    def against(block):
-        ids, matrix = [q for q, _ in block], np.array([v for _, v in block], np.float64)
-
-        def run(frames):
-            for frame in frames:
-                if not len(frame):
-                    continue
-                scores = np.round(matrix @ np.stack(frame["vector"].to_list()).astype(np.float64).T, 6)
-                items = frame["item_id"].to_numpy()
-                for q, row in zip(ids, scores, strict=True):
-                    # All ties with the last place stay, so that the final order decides.
-                    least = np.partition(row, -top)[-top] if len(row) > top else -np.inf
-                    best = np.flatnonzero(row >= least)
-                    yield pd.DataFrame({"query_id": q, "item_id": items[best], "score": row[best]})
-
-        kind = items.schema["item_id"].dataType.simpleString()
-        return items.select("item_id", "vector").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {kind}, score double")
-
-    for row in queries.select("query_id", "vector").where("vector IS NOT NULL").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) >= size:
-            found.append(against(held))
-            held = []
-    if held or not found:
-        found.append(against(held))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return ranked(out, ["query_id"], *best_first(), top=top)
+    extra = [more] if more else []
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("item_id", items))}
+    pairs = blocks(items, "item_id", ITEM_VALUES).crossJoin(blocks(queries, "query_id", QUERY_VALUES, extra))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = {name: batch.column(k)[i].values for k, name in enumerate(batch.schema.names)}
+                item, query = at["item_id_item_id"], at["query_id_query_id"]
+                a, b = (np.stack(at[f"{k}_vector"].to_numpy(zero_copy_only=False)) for k in ("item_id", "query_id"))
+                depths = [top + d for d in at[f"query_id_{more}"].to_pylist()] if more else [top] * len(query)
+                for j in range(0, len(query), 256):
+                    scores = np.round(b[j : j + 256] @ a.T, 6)
+                    which, best = [], []
+                    for k, (row, depth) in enumerate(zip(scores, depths[j : j + 256], strict=True)):
+                        # All ties with the last place stay, so that the final order decides.
+                        least = np.partition(row, -depth)[-depth] if len(row) > depth else -np.inf
+                        found = np.flatnonzero(row >= least)
+                        which.append(np.full(len(found), k))
+                        best.append(found)
+                    k, found = np.concatenate(which), np.concatenate(best)
+                    yield pa.RecordBatch.from_arrays([query.take(pa.array(k + j)), item.take(pa.array(found)), pa.array(scores[k, found])], names=["query_id", "item_id", "score"])
+
+    found = pairs.mapInArrow(run, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
+    if more is None:
+        return ranked(found, ["query_id"], *best_first(), top=top)
+    out = ranked(found.join(queries.select("query_id", more), "query_id"), ["query_id"], *best_first())
+    return out.where(F.col("rank") <= top + F.col(more)).drop(more)
 
 
 def candidate_scores(items: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:

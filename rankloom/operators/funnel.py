@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut
-from rankloom.functions.ranking import best_first, ranked
+from rankloom.functions.lineage import checked_broadcast, cut
+from rankloom.functions.ranking import best_first, numbered, ranked, sample_order
 from rankloom.operators import dense
 
+#: Items that are sent to every executor at the most.
+BROADCAST_ITEMS = 1_000_000
+
 
 def kcore(interactions: DataFrame, k: int = 5) -> DataFrame:
     """Only users and items with k interactions or more, repeated until nothing changes."""
@@ -31,29 +34,42 @@ def stats(interactions: DataFrame) -> DataFrame:
     return n.withColumn("avg_length", F.round(F.col("n_interactions") / F.col("n_users"), 6))
 
 
-def histories(interactions: DataFrame, ties: list[str] = [], dedup: bool = True) -> DataFrame:  # noqa: B006
-    """(user_id, item_id, ts, pos): each user's items in order of time; of a repeated item the latest event."""
+def capped_users(interactions: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """The interactions of at most `most` users, drawn by hash order; 0 takes all."""
+    if most <= 0:
+        return interactions
+    drawn = interactions.select("user_id").distinct().withColumn("_o", sample_order(F.col("user_id"), seed)).orderBy("_o", "user_id").limit(most)
+    return interactions.join(drawn.select("user_id"), "user_id", "left_semi")
+
+
+def histories(interactions: DataFrame, ties: list[str] = [], dedup: bool = True, most_users: int = 0) -> DataFrame:  # noqa: B006
+    """(user_id, item_id, ts, pos): each user's items in order of time; of a repeated item the latest event. See `capped_users`."""
+    interactions = capped_users(interactions, most_users)
     rows = ranked(interactions, ["user_id", "item_id"], F.col("ts").desc(), *[F.col(t).desc() for t in ties], top=1, name="_r") if dedup else interactions
     out = ranked(rows, ["user_id"], F.col("ts"), *[F.col(t) for t in ties], F.col("item_id"), name="pos")
     return out.select("user_id", "item_id", "ts", "pos")
 
 
-def split(history: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train, target): all but the last item of each user, and the last one."""
+def split(history: DataFrame, most_evaluated: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, target): all but the last item of each user, and the last one, of at most `most_evaluated` users (0: all)."""
     marked = history.withColumn("_n", F.max("pos").over(Window.partitionBy("user_id")))
-    return marked.where("pos < _n").drop("_n"), marked.where("pos = _n").drop("_n")
+    return marked.where("pos < _n").drop("_n"), capped_users(marked.where("pos = _n").drop("_n"), most_evaluated)
 
 
 def popularity(train: DataFrame, users: DataFrame, top: int = 10) -> DataFrame:
     """The most frequent items of the train prefixes that the user has not had.
 
-    The first `top` + longest history items are enough for everyone, so users meet only those.
+    A user with a history of n items needs the first `top` + n items only, so as many rows are made as there are
+    histories and `top` for each user. The items are broadcast where they are at most BROADCAST_ITEMS, else joined by place.
     """
     count = train.groupBy("item_id").agg(F.count("*").alias("score"))
-    longest = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    best = count.orderBy(F.col("score").desc(), "item_id").limit(top + longest)
-    rows = users.select("user_id").crossJoin(best).join(train.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return ranked(rows, ["user_id"], *best_first(), top=top)
+    own = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
+    placed = numbered(count.withColumn("_less", -F.col("score")), ["_less", "item_id"], "place").drop("_less")
+    longest = own.agg(F.max("n").alias("longest"))
+    best = cut(placed.crossJoin(F.broadcast(longest)).where(F.col("place") < top + F.col("longest")).drop("longest"))
+    need = users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), top - 1 + F.coalesce("n", F.lit(0)))).alias("place"))
+    rows = need.join(checked_broadcast(best, BROADCAST_ITEMS), "place").join(train.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    return ranked(rows.select("user_id", "item_id", "score"), ["user_id"], *best_first(), top=top)
 
 
 def history_vectors(train: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -68,8 +84,9 @@ def vector_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None = Non
     """Nearest items of (query_id, vector), without those in `seen` (user_id, item_id)."""
     if seen is None:
         return dense.search(items, users, top).withColumnRenamed("query_id", "user_id")
-    longest = seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    run = dense.search(items, users, top + longest).withColumnRenamed("query_id", "user_id").drop("rank")
+    own = seen.groupBy(F.col("user_id").alias("query_id")).agg(F.countDistinct("item_id").alias("_had"))
+    wanted = users.join(own, "query_id", "left").select("query_id", "vector", F.coalesce("_had", F.lit(0)).alias("_had"))
+    run = dense.search(items, wanted, top, more="_had").withColumnRenamed("query_id", "user_id").drop("rank")
     return ranked(run.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti"), ["user_id"], *best_first(), top=top)
 
 
@@ -104,17 +121,18 @@ def prompts(train: DataFrame, slate: DataFrame, metadata: DataFrame) -> DataFram
 def outputs_with_slates(outputs: DataFrame, slate: DataFrame) -> DataFrame:
     """(user_id, ids, incoming): parsed model output (null: not a JSON array) beside the slate, in order."""
     incoming = slate.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("item_id").cast("long").alias("item_id")))), lambda p: p["item_id"]).alias("incoming"))
-    return outputs.select("user_id", F.from_json("raw", "array<bigint>").alias("ids")).join(incoming, "user_id")
+    return outputs.withColumn("ids", F.from_json("raw", "array<bigint>")).drop("raw").join(incoming, "user_id")
 
 
 def validity(both: DataFrame) -> DataFrame:
+    """Shares of the outputs of (ids, incoming), and the mean of latency_ms and tokens where there are such columns."""
     ids, incoming = F.col("ids"), F.col("incoming")
     ok = ids.isNotNull()
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
     twice = F.size(F.array_distinct(ids)) < F.size(ids)
     lacks, extra = F.size(F.array_except(incoming, ids)) > 0, F.size(F.array_except(ids, incoming)) > 0
     whole = ok & ~twice & ~lacks & ~extra
-    return both.agg(F.count("*").alias("n"), rate(ok).alias("valid_json"), rate(~ok).alias("parse_failure"), rate(whole).alias("valid_permutation"), rate(ok & twice).alias("duplicate"), rate(ok & lacks).alias("missing"), rate(ok & extra).alias("out_of_candidate"))
+    return both.agg(F.count("*").alias("n"), rate(ok).alias("valid_json"), rate(~ok).alias("parse_failure"), rate(whole).alias("valid_permutation"), rate(ok & twice).alias("duplicate"), rate(ok & lacks).alias("missing"), rate(ok & extra).alias("out_of_candidate"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("latency_ms", "tokens") if c in both.columns])
 
 
 def permuted(slate: DataFrame, outputs: DataFrame) -> DataFrame:

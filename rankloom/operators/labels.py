@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import LABELS, ranked, sample_order
+from rankloom.functions.lineage import exists
+from rankloom.functions.ranking import LABELS, quantiles, ranked, sample_order
 from rankloom.functions.text import filled
 
 PROMPT = "Query: {query}\nProduct: {text}\nAnswer with one letter: E (exact), S (substitute), C (complement) or I (irrelevant)."
 #: Dollars for a million input and output tokens, tokens of a call, calls a second.
 PRICE_IN, PRICE_OUT, TOKENS_IN, TOKENS_OUT, RATE = 0.10, 0.40, 400, 2, 1.8
 
+STORE = "query_id string, item_id string, label string, labeled_at timestamp"
+
 
 def upserted(store: DataFrame, new: DataFrame) -> DataFrame:
     """One row for each (query_id, item_id): the latest, and of the same time the greatest label."""
@@ -39,20 +42,28 @@ def from_nested(text: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("items").alias("item_id", "x")).select("query_id", "item_id", "x.label", F.to_timestamp("x.timestamp").alias("labeled_at"))
 
 
-def disagreement(run: DataFrame, queries: DataFrame, depth: int = 50) -> DataFrame:
+def disagreement(run: DataFrame, queries: DataFrame, depth: int = 50, methods: list[str] | None = None) -> DataFrame:
     """Mean over pairs of methods of 1 - Jaccard of their first items; 0 with fewer than two methods.
 
+    A method of the run that found nothing for a query has an empty set there, at distance 1 from any that is not;
+    two empty sets are at distance 0. A query with null or empty text, where there is a column `query`, has 0.
     A query's intersections come from how many lists hold each item, by pairs of the few methods.
     """
+    methods = methods or sorted(r["method"] for r in run.select("method").distinct().collect())
     sets = run.where(F.col("rank") <= depth).select("query_id", "method", "item_id").distinct()
-    sizes = sets.groupBy("query_id", "method").agg(F.count("*").alias("n"))
-    a, b = (sizes.select("query_id", F.col("method").alias(f"m{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, "query_id").where("ma < mb")
-    x, y = (sets.select("query_id", "item_id", F.col("method").alias(f"m{k}")) for k in "ab")
-    common = x.join(y, ["query_id", "item_id"]).where("ma < mb").groupBy("query_id", "ma", "mb").agg(F.count("*").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    each = pairs.join(common, ["query_id", "ma", "mb"], "left").groupBy("query_id").agg(F.avg(1 - c / (F.col("na") + F.col("nb") - c)).alias("d"))
-    return queries.select("query_id").join(each, "query_id", "left").select("query_id", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("disagreement"))
+    sizes = sets.groupBy("query_id").agg(*[F.sum((F.col("method") == x).cast("long")).alias(f"n{i}") for i, x in enumerate(methods)])
+    held = sets.groupBy("query_id", "item_id").agg(*[F.max((F.col("method") == x).cast("long")).alias(f"h{i}") for i, x in enumerate(methods)])
+    pairs = [(i, j) for j in range(len(methods)) for i in range(j)]
+    if not pairs:
+        return queries.select("query_id", F.lit(0.0).alias("disagreement"))
+    common = held.groupBy("query_id").agg(*[F.sum(F.col(f"h{i}") * F.col(f"h{j}")).alias(f"c{i}_{j}") for i, j in pairs])
+    both = sizes.join(common, "query_id")
+    union = lambda i, j: F.col(f"n{i}") + F.col(f"n{j}") - F.col(f"c{i}_{j}")
+    each = [F.when(union(i, j) > 0, 1 - F.col(f"c{i}_{j}") / union(i, j)).otherwise(0.0) for i, j in pairs]
+    found = both.select("query_id", (sum(each[1:], each[0]) / len(pairs)).alias("d"))
+    wanted = queries.where(F.length("query") > 0) if "query" in queries.columns else queries
+    found = found.join(wanted.select("query_id"), "query_id", "left_semi")
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("disagreement"))
 
 
 def with_cache(cache: DataFrame, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -72,8 +83,8 @@ def chosen(scores: DataFrame, most: int, share: float = 0.6, seed: int = 42) ->
 
 def disagreement_stats(scores: DataFrame, selected: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 6)
-    q = lambda p: r(F.percentile("disagreement", F.lit(p)))
-    return scores.agg(r(F.avg("disagreement")).alias("mean_all")).crossJoin(selected.agg(r(F.avg("disagreement")).alias("mean_chosen"), q(0.5).alias("p50_chosen"), q(0.9).alias("p90_chosen")))
+    spread = quantiles(selected, [], "disagreement", {"p50_chosen": 0.5, "p90_chosen": 0.9}).select(r("p50_chosen").alias("p50_chosen"), r("p90_chosen").alias("p90_chosen"))
+    return scores.agg(r(F.avg("disagreement")).alias("mean_all")).crossJoin(selected.agg(r(F.avg("disagreement")).alias("mean_chosen"))).crossJoin(spread)
 
 
 def pairs_to_label(run: DataFrame, store: DataFrame) -> DataFrame:
@@ -97,7 +108,7 @@ def prompts(pairs: DataFrame, queries: DataFrame, texts: DataFrame, template: st
 
 
 def labelled(rows: DataFrame, make_labeler: Callable[[], Callable[[list[str]], list[str]]], workers: int = 8, batch: int = 64) -> DataFrame:
-    """(query_id, item_id, raw) by a user's labeler over `prompt`; `workers` bounds how many calls run at once."""
+    """(query_id, item_id, raw) by a user's labeler over `prompt`; `workers` bounds how many calls run at once, and nothing before them."""
 
     def run(frames):
         labeler = make_labeler()
@@ -106,7 +117,27 @@ def labelled(rows: DataFrame, make_labeler: Callable[[], Callable[[list[str]], l
                 part = frame.iloc[i : i + batch]
                 yield pd.DataFrame({"query_id": part["query_id"], "item_id": part["item_id"], "raw": labeler(part["prompt"].tolist())})
 
-    return rows.select("query_id", "item_id", "prompt").coalesce(workers).mapInPandas(run, "query_id string, item_id string, raw string")
+    return rows.select("query_id", "item_id", "prompt").repartition(workers).mapInPandas(run, "query_id string, item_id string, raw string")
+
+
+def run_labeling(rows: DataFrame, make_labeler: Callable, store: str, now: Column, batches: int = 4, workers: int = 8) -> None:
+    """Label the rows (query_id, item_id, prompt) that the store, a folder of Parquet, lacks, and append each of `batches` parts as it ends.
+
+    An answer that is no label is never stored, so that the next run asks again. A run that was broken off goes on after the parts it had stored.
+    """
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64("query_id", "item_id"), F.lit(batches))
+    for i in range(batches):
+        todo = rows.where(part == i)
+        if (there := stored(spark, store)) is not None:
+            todo = todo.join(there.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+        answers = labelled(todo, make_labeler, workers).select("query_id", "item_id", parsed(F.col("raw")).alias("label"), now.alias("labeled_at"))
+        answers.where("label <> '?'").write.mode("append").parquet(store)
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """The rows of a store; None if nothing has been stored. A first run that was broken off may have left an empty folder."""
+    return spark.read.schema(STORE).parquet(store) if exists(spark, store) else None
 
 
 def parsed(raw: Column) -> Column:
@@ -145,9 +176,10 @@ def confusions(responses: DataFrame, top: int = 10) -> DataFrame:
 
 
 def latency(responses: DataFrame) -> DataFrame:
-    q = lambda p: F.round(F.percentile("latency_ms", F.lit(p)), 6)
     seconds = F.sum("latency_ms") / 1000
-    return responses.agg(F.round(F.avg("latency_ms"), 6).alias("mean_ms"), q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"), F.round(seconds, 6).alias("total_s"), F.round(F.count("*") / seconds, 6).alias("pairs_per_sec"))
+    spread = quantiles(responses, [], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    one = responses.agg(F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(seconds, 6).alias("total_s"), F.round(F.count("*") / seconds, 6).alias("pairs_per_sec"))
+    return one.crossJoin(spread).select("mean_ms", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"), "total_s", "pairs_per_sec")
 
 
 def augmented(human: DataFrame, expanded: DataFrame) -> DataFrame:

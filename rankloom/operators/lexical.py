@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.lineage import checked_broadcast, cut
 from rankloom.functions.ranking import best_first, ranked, rounded
-from rankloom.functions.text import tokenize
+from rankloom.functions.text import counted_tokens
+
+#: Terms whose document frequencies are sent to every executor at the most.
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -39,14 +43,17 @@ def impact(how: Bm25, tf: Column, dl: Column, avgdl: Column, n: Column, df: Colu
 
 
 def postings(items: DataFrame, how: Bm25 = Bm25()) -> DataFrame:
-    """(item_id, term, tf, impact) of (item_id, text). Items without tokens count in the mean length."""
-    tf = tokenize(items, "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("item_id").agg(F.sum("tf").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    totals = items.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.sum("tf").alias("all")))  # one row
+    """(item_id, term, tf, impact) of (item_id, text). Items without tokens count in the mean length.
+
+    Texts are cut into tokens once and their counts written; only terms are summed up over items. The document
+    frequencies are broadcast where there are at most BROADCAST_TERMS, else joined by term.
+    """
+    tf = cut(counted_tokens(items, "item_id", "text"))
+    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
+    n, total = items.count(), tf.agg(F.sum("tf")).first()[0] or 0
     x = lambda c: F.col(c).cast("double")
-    whole = tf.join(size, "item_id").join(df, "term").crossJoin(F.broadcast(totals))
-    return whole.select("item_id", "term", "tf", impact(how, x("tf"), x("dl"), x("all") / x("n"), x("n"), x("df")).alias("impact"))
+    whole = tf.join(checked_broadcast(df, BROADCAST_TERMS), "term")
+    return whole.select("item_id", "term", "tf", impact(how, x("tf"), x("size"), F.lit(total / max(1, n)), F.lit(float(n)), x("df")).alias("impact"))
 
 
 def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -54,7 +61,7 @@ def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
 
     The query side is small as a rule, and the planner broadcasts it when it is; the postings stay where they are up to the partial sum.
     """
-    wanted = tokenize(queries, "query_id", "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = counted_tokens(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("qtf"))
     return index.join(wanted, "term").groupBy("query_id", "item_id").agg(rounded(F.sum(F.col("impact") * F.col("qtf"))).alias("score"))
 
 

@@ -6,10 +6,10 @@ qrels: (query_id, item_id, label). run: (query_id, method, item_id, rank).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import GRADED, LABELS, POOL_GAINS, mapped, ranked
+from rankloom.functions.ranking import GRADED, LABELS, POOL_GAINS, mapped, quantiles, ranked, running
 
 KS = [10, 20, 50]
 
@@ -22,10 +22,15 @@ def with_k(df: DataFrame, ks: list[int]) -> DataFrame:
     return df.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
 
 
-def each_query(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
-    """(method, query_id, k) for every method of the run and every query of the qrels; methods are few."""
-    methods = run.select("method").distinct()
-    return with_k(qrels.select("query_id").distinct().crossJoin(F.broadcast(methods)), ks)
+def each_query(methods: list[str], qrels: DataFrame, ks: list[int]) -> DataFrame:
+    """(method, query_id, k) for every method and every query of the qrels."""
+    named = qrels.select("query_id").distinct().withColumn("method", F.explode(F.array(*map(F.lit, methods)) if methods else F.array().cast("array<string>")))
+    return with_k(named, ks)
+
+
+def methods_of(run: DataFrame) -> list[str]:
+    """The names of the few methods of a run; where they are known beforehand, pass them on instead."""
+    return sorted(r["method"] for r in run.select("method").distinct().collect())
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -33,36 +38,40 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.select("method", "query_id", "item_id", "rank").join(one, ["query_id", "item_id"], "left")
 
 
-def recall(run: DataFrame, qrels: DataFrame, ks: list[int] = KS) -> DataFrame:
+def recall(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, methods: list[str] | None = None) -> DataFrame:
     """Per query: share of exact, and of exact or substitute items among the first k; no relevant item gives 0."""
     hits = with_k(judged(run, qrels), ks).where(F.col("rank") <= F.col("k"))
     found = lambda labels: F.countDistinct(F.when(F.col("label").isin(labels), F.col("item_id")))
     got = hits.groupBy("method", "query_id", "k").agg(found(["E"]).alias("e"), found(["E", "S"]).alias("es"))
     have = qrels.groupBy("query_id").agg(found(["E"]).alias("all_e"), found(["E", "S"]).alias("all_es"))
-    rows = each_query(run, qrels, ks).join(got, ["method", "query_id", "k"], "left").join(have, "query_id")
+    rows = each_query(methods or methods_of(run), qrels, ks).join(got, ["method", "query_id", "k"], "left").join(have, "query_id")
     share = lambda a, b: m(F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0)) / F.col(b)).otherwise(0.0))
     return rows.select("method", "query_id", "k", share("e", "all_e").alias("recall_exact"), share("es", "all_es").alias("recall_exact_sub"))
 
 
-def label_shares(run: DataFrame, qrels: DataFrame, ks: list[int] = KS) -> DataFrame:
+def label_shares(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, methods: list[str] | None = None) -> DataFrame:
     """Per query: shares of E, S, C, I and unlabelled among the rows retrieved up to k; nothing retrieved gives zeros."""
     rows = with_k(judged(run, qrels), ks).where(F.col("rank") <= F.col("k")).withColumn("label", F.coalesce("label", F.lit("unlabeled")))
     names = [*LABELS, "unlabeled"]
     got = rows.groupBy("method", "query_id", "k").agg(*[F.avg((F.col("label") == x).cast("double")).alias(x) for x in names])
-    out = each_query(run, qrels, ks).join(got, ["method", "query_id", "k"], "left")
+    out = each_query(methods or methods_of(run), qrels, ks).join(got, ["method", "query_id", "k"], "left")
     return out.select("method", "query_id", "k", *[m(F.coalesce(x, F.lit(0.0))).alias(f"share_{x.lower()}") for x in names])
 
 
-def retrieval(run: DataFrame, qrels: DataFrame, ks: list[int] = KS) -> DataFrame:
-    """Means over all queries of the qrels, zeros included."""
-    one = recall(run, qrels, ks).join(label_shares(run, qrels, ks), ["method", "query_id", "k"])
+def retrieval(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, methods: list[str] | None = None) -> DataFrame:
+    """Means over all queries of the qrels, zeros included. `run` is used more than once: give it a written table."""
+    methods = methods or methods_of(run)
+    one = recall(run, qrels, ks, methods).join(label_shares(run, qrels, ks, methods), ["method", "query_id", "k"])
     columns = ["recall_exact", "recall_exact_sub", *[f"share_{x.lower()}" for x in [*LABELS, "unlabeled"]]]
     return one.groupBy("method", "k").agg(F.count("*").alias("num_queries"), *[m(F.avg(c)).alias(c) for c in columns])
 
 
-def curated(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, gains: dict = POOL_GAINS) -> DataFrame:
+def curated(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, gains: dict = POOL_GAINS, methods: list[str] | None = None) -> DataFrame:
     """Pool evaluation: the ideal comes from all labelled items, short lists have short denominators, and a
-    query without results is counted but left out of the means."""
+    query without results is counted but left out of the means; a method without any results has means of 0.
+
+    `run` is used more than once: give it a written table."""
+    methods = methods or methods_of(run)
     gain = lambda c: mapped(c, gains, F.lit(0.0))
     one = qrels.groupBy("query_id", "item_id").agg(F.max("label").alias("label"))
     ideal_rows = ranked(one.withColumn("g", gain(F.col("label"))), ["query_id"], F.col("g").desc(), F.col("item_id"), name="pos")
@@ -73,10 +82,10 @@ def curated(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, gains: dict =
         F.coalesce(1 / F.min(F.when(F.col("g") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr"),
         F.avg((F.col("g") > 0).cast("double")).alias("precision"),
     )
-    out = each_query(run, qrels, ks).join(got, ["method", "query_id", "k"], "left").join(ideal, ["query_id", "k"], "left").join(recall(run, qrels, ks), ["method", "query_id", "k"])
+    out = each_query(methods, qrels, ks).join(got, ["method", "query_id", "k"], "left").join(ideal, ["query_id", "k"], "left").join(recall(run, qrels, ks, methods), ["method", "query_id", "k"])
     there = F.col("dcg").isNotNull()
     ndcg = F.when(there, F.when(F.coalesce("idcg", F.lit(0.0)) > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0))
-    mean = lambda c, name: m(F.avg(F.when(there, c))).alias(name)
+    mean = lambda c, name: m(F.coalesce(F.avg(F.when(there, c)), F.lit(0.0))).alias(name)
     return out.groupBy("method", "k").agg(F.count("*").alias("num_queries"), mean(ndcg, "ndcg"), mean(F.col("mrr"), "mrr"), mean(F.col("precision"), "precision"), mean(F.col("recall_exact"), "recall_exact"), mean(F.col("recall_exact_sub"), "recall_exact_sub"))
 
 
@@ -105,16 +114,11 @@ def candidate_metrics(scored: DataFrame, ks: list[int] = KS) -> DataFrame:
 def separability(scored: DataFrame) -> DataFrame:
     """ROC AUC of the pooled scores of each method, E, S, C against I, ties half; one class only gives 0.
 
-    Counts per distinct score come first. The running count goes over coarse steps of the score, then
-    within each step, so that no task orders all scores of a method.
+    Counts per distinct score come first; no task orders all scores of a method (see `running`).
     """
     pos = F.col("label").isin("E", "S", "C")
     by = scored.where(F.col("label").isin(LABELS)).groupBy("method", "score").agg(F.count("*").alias("n"), F.sum(pos.cast("long")).alias("p"))
-    by = by.withColumn("step", F.floor(F.col("score") * 256))
-    coarse, fine = Window.partitionBy("method").orderBy("step"), Window.partitionBy("method", "step").orderBy("score")
-    steps = by.groupBy("method", "step").agg(F.sum("n").alias("s")).withColumn("before", F.sum("s").over(coarse) - F.col("s")).drop("s")
-    below = F.col("before") + F.sum("n").over(fine) - F.col("n")
-    rows = by.join(steps, ["method", "step"]).withColumn("rank_sum", F.col("p") * (below + (F.col("n") + 1) / 2.0))
+    rows = running(by, ["method"], ["score"], "n").withColumn("rank_sum", F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0))
     total = rows.groupBy("method").agg(F.sum("rank_sum").alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
     return total.select("method", m(F.when((F.col("p") > 0) & (F.col("q") > 0), auc).otherwise(0.0)).alias("auc"))
@@ -128,9 +132,10 @@ def candidate_scoring(scored: DataFrame, ks: list[int] = KS) -> DataFrame:
 
 
 def score_stats(scored: DataFrame) -> DataFrame:
-    return scored.where(F.col("label").isin(LABELS)).groupBy("method", "label").agg(
-        F.count("*").alias("n"), m(F.avg("score")).alias("mean"), m(F.percentile("score", F.lit(0.5))).alias("median"), m(F.stddev_pop("score")).alias("std"), F.min("score").alias("min"), F.max("score").alias("max")
-    )
+    rows = scored.where(F.col("label").isin(LABELS))
+    middle = quantiles(rows, ["method", "label"], "score", {"median": 0.5})
+    one = rows.groupBy("method", "label").agg(F.count("*").alias("n"), m(F.avg("score")).alias("mean"), m(F.stddev_pop("score")).alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
+    return one.join(middle, ["method", "label"]).select("method", "label", "n", "mean", m(F.col("median")).alias("median"), "std", "min", "max")
 
 
 def method_comparison(scored: DataFrame) -> DataFrame:
@@ -138,15 +143,17 @@ def method_comparison(scored: DataFrame) -> DataFrame:
     return rows.select("method", F.col("ndcg").alias("ndcg_10"), F.col("mrr").alias("mrr_10"), F.col("precision").alias("precision_10"), F.round(100 * F.col("share_e"), 4).alias("e_pct_10"), F.round(100 * F.col("share_i"), 4).alias("i_pct_10"), "auc")
 
 
-def curated_table(run: DataFrame, qrels: DataFrame, ks: list[int] = KS) -> DataFrame:
-    rows = curated(run, qrels, ks)
+def curated_table(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, methods: list[str] | None = None) -> DataFrame:
+    rows = curated(run, qrels, ks, methods=methods)
     wide = rows.groupBy("method").pivot("k", ks).agg(F.first("ndcg"))
     first = rows.where(F.col("k") == ks[0]).select("method", F.col("mrr").alias(f"mrr_{ks[0]}"), "num_queries")
     return wide.select("method", *[F.col(f"`{k}`").alias(f"ndcg_{k}") for k in ks]).join(first, "method")
 
 
 def score_quantiles(scored: DataFrame, at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    return scored.where(F.col("label").isin(LABELS)).groupBy("method", "label").agg(*[F.round(F.percentile("score", F.lit(p)), 9).alias(f"q{int(p * 100)}") for p in at])
+    names = {f"q{int(p * 100)}": p for p in at}
+    found = quantiles(scored.where(F.col("label").isin(LABELS)), ["method", "label"], "score", names)
+    return found.select("method", "label", *[F.round(c, 9).alias(c) for c in names])
 
 
 def label_bars(scored: DataFrame, ks: list[int] = KS) -> DataFrame:

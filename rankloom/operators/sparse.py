@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.lineage import exists
 from rankloom.functions.ranking import best_first, ranked, rounded
 
 
@@ -92,3 +93,21 @@ def first_available(run: DataFrame, priority: DataFrame) -> DataFrame:
 def missing(texts: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is still to be encoded."""
     return texts.join(done.select(key).distinct(), key, "left_anti")
+
+
+def resumed(texts: DataFrame, key: str, text: str, make_encoder: Callable, path: str, batches: int = 4) -> DataFrame:
+    """(key, term_id, weight) of all texts, encoding only those that `path` lacks, one of `batches` parts after another.
+
+    Each part is appended as (key, terms), a row for every text, also one without terms, so that a run which was broken
+    off goes on after its last whole part. What a part left unfinished Spark's writer never shows.
+    """
+    spark = texts.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(batches))
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, terms array<struct<term_id:int,weight:double>>"
+    for i in range(batches):
+        todo = texts.where(part == i)
+        if exists(spark, path):
+            todo = missing(todo, spark.read.schema(schema).parquet(path), key)
+        terms = encoded(todo, key, text, make_encoder).groupBy(key).agg(F.collect_list(F.struct("term_id", "weight")).alias("terms"))
+        todo.select(key).join(terms, key, "left").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).select(key, F.inline("terms"))

@@ -66,13 +66,13 @@ CTE: dict[str, str] = {n: fixtures.inlined(n) for n in fixtures.SQL} | {
     "cnorms": "SELECT *, round(CASE WHEN hi - lo < 1e-10 THEN 0.5e0 ELSE (score - lo) / (hi - lo) END, 6) AS norm FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM cruns WINDOW w AS (PARTITION BY query_id, method))",
     "pool": "SELECT DISTINCT item_id FROM fx_qrels JOIN (SELECT query_id FROM fx_queries WHERE split = 'test' ORDER BY md5(concat('42:', query_id)), query_id LIMIT 20) USING (query_id)",
     # Relevance
-    "each": f"SELECT query_id, method, k FROM (SELECT DISTINCT query_id FROM fx_qrels), (SELECT DISTINCT method FROM runs), {KS} v(k)",
+    "each": f"SELECT query_id, method, k FROM (SELECT DISTINCT query_id FROM fx_qrels), (VALUES ('bm25'), ('sparse'), ('dense')) m(method), {KS} v(k)",
     "jrun": f"SELECT r.*, q.label, k FROM runs r LEFT JOIN fx_qrels q USING (query_id, item_id), {KS} v(k) WHERE rank <= k",
     "have": "SELECT query_id, count(*) FILTER (label = 'E') AS all_e, count(*) FILTER (label IN ('E', 'S')) AS all_es FROM fx_qrels GROUP BY 1",
     "rec": "SELECT method, query_id, k, round(CASE WHEN all_e > 0 THEN coalesce(e, 0) / all_e ELSE 0 END, 6) AS recall_exact, round(CASE WHEN all_es > 0 THEN coalesce(es, 0) / all_es ELSE 0 END, 6) AS recall_exact_sub FROM each LEFT JOIN (SELECT method, query_id, k, count(*) FILTER (label = 'E') AS e, count(*) FILTER (label IN ('E', 'S')) AS es FROM jrun GROUP BY ALL) USING (method, query_id, k) JOIN have USING (query_id)",
     "shr": "SELECT method, query_id, k, " + ", ".join(f"round(coalesce(s{i}, 0), 6) AS share_{x}" for i, x in enumerate(["e", "s", "c", "i", "unlabeled"])) + " FROM each LEFT JOIN (SELECT method, query_id, k, " + ", ".join(f"avg(CASE WHEN coalesce(label, 'unlabeled') = '{x}' THEN 1.0e0 ELSE 0.0e0 END) AS s{i}" for i, x in enumerate(["E", "S", "C", "I", "unlabeled"])) + " FROM jrun GROUP BY ALL) USING (method, query_id, k)",
     "ideal": f"SELECT query_id, k, sum(g / log2(pos + 1)) AS idcg FROM (SELECT query_id, g, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, item_id) AS pos FROM (SELECT *, {_gain('label', POOL)} AS g FROM fx_qrels)), {KS} v(k) WHERE pos <= k GROUP BY ALL",
-    "cur": f"SELECT method, k, count(*) AS num_queries, round(avg(CASE WHEN dcg IS NOT NULL THEN CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0 END END), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(prec), 6) AS precision, round(avg(CASE WHEN dcg IS NOT NULL THEN recall_exact END), 6) AS recall_exact, round(avg(CASE WHEN dcg IS NOT NULL THEN recall_exact_sub END), 6) AS recall_exact_sub FROM each LEFT JOIN (SELECT method, query_id, k, sum(g / log2(rank + 1)) AS dcg, coalesce(1.0e0 / min(CASE WHEN g > 0 THEN rank END), 0) AS mrr, avg(CASE WHEN g > 0 THEN 1.0e0 ELSE 0 END) AS prec FROM (SELECT *, {_gain('label', POOL)} AS g FROM jrun) GROUP BY ALL) USING (method, query_id, k) LEFT JOIN ideal USING (query_id, k) JOIN rec USING (method, query_id, k) GROUP BY ALL",
+    "cur": f"SELECT method, k, count(*) AS num_queries, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0 END END), 0), 6) AS ndcg, round(coalesce(avg(mrr), 0), 6) AS mrr, round(coalesce(avg(prec), 0), 6) AS precision, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN recall_exact END), 0), 6) AS recall_exact, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN recall_exact_sub END), 0), 6) AS recall_exact_sub FROM each LEFT JOIN (SELECT method, query_id, k, sum(g / log2(rank + 1)) AS dcg, coalesce(1.0e0 / min(CASE WHEN g > 0 THEN rank END), 0) AS mrr, avg(CASE WHEN g > 0 THEN 1.0e0 ELSE 0 END) AS prec FROM (SELECT *, {_gain('label', POOL)} AS g FROM jrun) GROUP BY ALL) USING (method, query_id, k) LEFT JOIN ideal USING (query_id, k) JOIN rec USING (method, query_id, k) GROUP BY ALL",
     "scored": "SELECT c.query_id, c.method, c.item_id, c.score, p.label FROM cruns c JOIN pairs p USING (query_id, item_id)",
     "pos": f"SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, item_id) AS pos, row_number() OVER (PARTITION BY method, query_id ORDER BY gain DESC, item_id) AS ideal FROM (SELECT *, {_gain('label', GRADED)} AS gain FROM scored)",
     "cm": f"SELECT method, query_id, k, round(CASE WHEN b > 0 THEN a / b ELSE 0 END, 6) AS ndcg, round(coalesce(1.0e0 / fr, 0), 6) AS mrr, round(pr, 6) AS precision, round(e, 6) AS share_e, round(s, 6) AS share_s, round(c, 6) AS share_c, round(i, 6) AS share_i FROM (SELECT method, query_id, k, sum(CASE WHEN pos <= k THEN gain / log2(pos + 1) ELSE 0 END) AS a, sum(CASE WHEN ideal <= k THEN gain / log2(ideal + 1) ELSE 0 END) AS b, min(CASE WHEN pos <= k AND gain >= 1 THEN pos END) AS fr, avg(CASE WHEN pos <= k THEN CASE WHEN gain >= 1 THEN 1.0e0 ELSE 0 END END) AS pr, "
@@ -88,11 +88,12 @@ CTE: dict[str, str] = {n: fixtures.inlined(n) for n in fixtures.SQL} | {
     "fx_news": "SELECT CAST(query_id AS STRING) AS query_id, CAST(item_id AS STRING) AS item_id, 'I' AS label, TIMESTAMP '2024-02-01 00:00:00' AS labeled_at FROM fx_qrels WHERE (item_id + query_id) % 5 = 0",
     "ups": "SELECT query_id, item_id, label, labeled_at FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY labeled_at DESC, label DESC) AS r FROM (SELECT * FROM fx_store UNION ALL SELECT * FROM fx_news)) WHERE r = 1",
     "msets": "SELECT DISTINCT query_id, method, item_id FROM runs WHERE rank <= 50",
-    "msize": "SELECT query_id, method, count(*) AS n FROM msets GROUP BY ALL",
-    "dis": "SELECT q.query_id, round(coalesce(d, 0), 6) AS disagreement FROM fx_queries q LEFT JOIN (SELECT query_id, avg(1 - coalesce(c, 0) / (na + nb - coalesce(c, 0))) AS d FROM (SELECT a.query_id, a.method AS ma, b.method AS mb, a.n AS na, b.n AS nb FROM msize a JOIN msize b ON a.query_id = b.query_id AND a.method < b.method) LEFT JOIN (SELECT a.query_id, a.method AS ma, b.method AS mb, count(*) AS c FROM msets a JOIN msets b ON a.query_id = b.query_id AND a.item_id = b.item_id AND a.method < b.method GROUP BY ALL) USING (query_id, ma, mb) GROUP BY 1) d USING (query_id)",
+    "msize": "SELECT query_id, method, count(item_id) AS n FROM fx_queries CROSS JOIN (SELECT DISTINCT method FROM runs) LEFT JOIN msets USING (query_id, method) WHERE length(query) > 0 GROUP BY ALL",
+    "dis": "SELECT q.query_id, round(coalesce(d, 0), 6) AS disagreement FROM fx_queries q LEFT JOIN (SELECT query_id, avg(CASE WHEN na + nb = 0 THEN 0 ELSE 1 - coalesce(c, 0) / (na + nb - coalesce(c, 0)) END) AS d FROM (SELECT a.query_id, a.method AS ma, b.method AS mb, a.n AS na, b.n AS nb FROM msize a JOIN msize b ON a.query_id = b.query_id AND a.method < b.method) LEFT JOIN (SELECT a.query_id, a.method AS ma, b.method AS mb, count(*) AS c FROM msets a JOIN msets b ON a.query_id = b.query_id AND a.item_id = b.item_id AND a.method < b.method GROUP BY ALL) USING (query_id, ma, mb) GROUP BY 1) d USING (query_id)",
     "pick": "SELECT * FROM (SELECT * FROM dis ORDER BY disagreement DESC, query_id LIMIT 12) UNION ALL SELECT * FROM (SELECT * FROM dis WHERE query_id NOT IN (SELECT query_id FROM (SELECT * FROM dis ORDER BY disagreement DESC, query_id LIMIT 12)) ORDER BY md5(concat('42:', query_id)), query_id LIMIT 8)",
     "lpairs": "SELECT DISTINCT CAST(query_id AS STRING) AS query_id, CAST(item_id AS STRING) AS item_id FROM runs ANTI JOIN (SELECT CAST(query_id AS BIGINT) AS query_id, CAST(item_id AS BIGINT) AS item_id FROM fx_store) USING (query_id, item_id)",
     "counts": "SELECT total, total - new AS already, new FROM (SELECT count(*) AS total FROM (SELECT DISTINCT query_id, item_id FROM runs)), (SELECT count(*) AS new FROM lpairs)",
+    "augm": "SELECT query_id, item_id, coalesce(h.label, e.label) AS label FROM (SELECT query_id, item_id, label FROM fx_qrels WHERE item_id % 3 <> 0) h FULL JOIN (SELECT query_id, item_id, 'I' AS label FROM runs WHERE method = 'bm25' AND rank <= 20) e USING (query_id, item_id)",
     "resp": "SELECT *, CASE WHEN substr(upper(trim(raw)), 1, 1) IN ('E', 'S', 'C', 'I') THEN substr(upper(trim(raw)), 1, 1) ELSE '?' END AS pred FROM fx_responses",
     # Funnel
     "hist": "SELECT user_id, item_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, item_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, event_id DESC) AS r FROM fx_interactions) WHERE r = 1",
@@ -103,12 +104,16 @@ CTE: dict[str, str] = {n: fixtures.inlined(n) for n in fixtures.SQL} | {
     "uvec": "SELECT user_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM (SELECT user_id, list(x ORDER BY i) AS v FROM (SELECT user_id, i, round(avg(CAST(vector[i] AS DOUBLE)), 9) AS x FROM (SELECT DISTINCT user_id, item_id FROM train) JOIN fx_items USING (item_id), range(1, 65) r(i) GROUP BY ALL) GROUP BY 1)",
     "fx_outputs": """SELECT user_id, CASE user_id % 6 WHEN 0 THEN '[' || array_to_string(list_reverse(ids), ',') || ']' WHEN 1 THEN '[' || array_to_string(ids, ',') || ']'
         WHEN 2 THEN '[' || array_to_string(list_append(ids[:len(ids) - 1], ids[1]), ',') || ']' WHEN 3 THEN '[' || array_to_string(ids[:len(ids) - 1], ',') || ']'
-        WHEN 4 THEN '[' || array_to_string(list_append(ids[:len(ids) - 1], 999999), ',') || ']' ELSE 'not json' END AS raw, ids AS incoming
+        WHEN 4 THEN '[' || array_to_string(list_append(ids[:len(ids) - 1], 999999), ',') || ']' ELSE 'not json' END AS raw, ids AS incoming, user_id * 37 % 900 + 100 AS latency_ms, user_id % 50 + 20 AS tokens
         FROM (SELECT user_id, list(CAST(item_id AS BIGINT) ORDER BY rank) AS ids FROM popular GROUP BY 1)""",
-    "outs": "SELECT user_id, incoming, CASE WHEN raw LIKE '[%' THEN CAST(CAST(raw AS JSON) AS BIGINT[]) END AS ids FROM fx_outputs",
+    "outs": "SELECT user_id, incoming, latency_ms, tokens, CASE WHEN raw LIKE '[%' THEN CAST(CAST(raw AS JSON) AS BIGINT[]) END AS ids FROM fx_outputs",
     "perm": "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(spot, 999999), was) AS rank FROM (SELECT p.user_id, p.item_id, p.rank AS was, nullif(list_position(o.ids, p.item_id), 0) AS spot FROM popular p JOIN outs o USING (user_id))",
 }
 
+#: The pool evaluation once more, over the augmented labels.
+_AUGMENTED = ("each", "jrun", "have", "rec", "ideal", "cur")
+CTE |= {f"{n}_a": re.sub(r"\b(" + "|".join(_AUGMENTED) + r")\b(?!\s*\()", r"\1_a", CTE[n].replace("fx_qrels", "augm")) for n in _AUGMENTED}
+
 
 def with_ctes(final: str) -> str:
     """`final` with every common table expression that it needs, in order."""
@@ -136,11 +141,19 @@ def _kcore(k: int, rounds: int) -> str:
     return f"WITH fx_purchases AS ({CTE['fx_purchases']}), {', '.join(steps)} SELECT * FROM k{rounds}"
 
 
+#: The stand-in encoder's words and the number of each.
+_WORDS = "(SELECT item_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) AS w FROM fx_catalog)"
+_NUMBER = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 30522"
+_RAW_COUNTS = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(sum(tf * qtf), 6) AS score FROM itf JOIN qtf USING (term) GROUP BY ALL))"
+#: All three methods' lists, as deep as they go.
+_DEEP = "(SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, item_id) AS was FROM (SELECT query_id, 'bm25' AS method, item_id, score FROM bscore UNION ALL SELECT query_id, 'sparse', item_id, score FROM sscore UNION ALL SELECT query_id, 'dense', item_id, score FROM dscore))"
 _TEXTS = "product_title product_bullet_point product_description product_brand product_color".split()
 _TEXT = "trim(regexp_replace(concat(coalesce(product_title, ''), '. ', coalesce(product_bullet_point, ''), '. Brand: ', coalesce(product_brand, '')), '\\s+', ' ', 'g'))"
 _COALESCED = ", ".join(f"coalesce({c}, '') AS {c}" for c in _TEXTS)
 _PROMPT = "concat('Query: ', query, chr(10), 'Product: ', text, chr(10), 'Answer with one letter: E (exact), S (substitute), C (complement) or I (irrelevant).')"
 
+_SLATES = "SELECT 'natural' AS slate, * FROM (" + slate_metrics("popular") + ") UNION ALL SELECT 'oracle', * FROM (" + slate_metrics("oslate") + ")"
+
 FINAL = {
     "judgments_scan": "SELECT query_id, query, item_id, label FROM fx_qrels JOIN fx_queries USING (query_id) WHERE fx_qrels.split = 'test' AND item_id % 10 < 8",
     "catalog_scan": f"SELECT product_id, {_COALESCED} FROM fx_products WHERE product_locale = 'us'",
@@ -158,7 +171,7 @@ FINAL = {
     "items_per_query_stats": "SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM fx_qrels GROUP BY query_id)",
     "metadata_coverage": " UNION ALL ".join(f"SELECT '{c}' AS field, round(100 * avg(CASE WHEN length({c}) > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct FROM fx_products" for c in _TEXTS),
     "dataset_counts": "SELECT count(*) AS n_rows, count(DISTINCT query_id) AS n_queries, count(DISTINCT item_id) AS n_items FROM fx_qrels",
-    "index_save_load": "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY 1",
+    "index_save_load": "SELECT 'lexical' AS kind, term AS key, count(*) AS n, round(sum(CAST(tf AS DOUBLE)), 6) AS total FROM post GROUP BY term UNION ALL SELECT 'sparse', term, count(*), round(sum(weight), 6) FROM sitem GROUP BY term UNION ALL SELECT 'dense', CAST(item_id AS VARCHAR), count(*), round(sum(CAST(vector[1] AS DOUBLE)), 6) FROM fx_items GROUP BY item_id",
     "results_json": "SELECT method, label, count(*) AS n, round(avg(score), 6) AS mean FROM scored GROUP BY ALL",
     "comparison_csv": "SELECT method, auc, " + ", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {n}_{k}" for k in (10, 20, 50) for c, n in (("ndcg", "ndcg"), ("share_e", "e"))) + " FROM cs GROUP BY ALL",
     "tokenize": "SELECT item_id, term, tf AS n FROM itf",
@@ -174,15 +187,18 @@ FINAL = {
     "term_expansion": "SELECT query_id, term, weight, rank, CASE WHEN o THEN 'ORIGINAL' ELSE 'EXPANDED' END AS kind, n_terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT query_id, term, round(ln(1 + qtf), 6) AS weight, true AS o FROM qtf UNION ALL SELECT query_id, term || '_x', round(0.5e0 * ln(1 + qtf), 6), false FROM qtf)) WHERE rank <= 20",
     "sparse_stats": "SELECT n_rows, nnz, round(nnz / (n_rows * 30522.0e0), 12) AS density FROM (SELECT count(*) AS n_rows FROM fx_catalog), (SELECT count(*) AS nnz FROM sitem)",
     "sparse_variants": "SELECT 'a' AS model, query_id, item_id, score, rank FROM sparse WHERE rank <= 10 UNION ALL SELECT 'b', query_id, item_id, round(score, 6), rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(sum(tf * qtf), 6) AS score FROM itf JOIN qtf USING (term) GROUP BY ALL)) WHERE rank <= 10",
-    "encode_resume": "SELECT item_id FROM fx_catalog WHERE item_id NOT IN (SELECT item_id FROM fx_items)",
+    "encode_missing": "SELECT item_id FROM fx_catalog WHERE item_id NOT IN (SELECT item_id FROM fx_items)",
+    "encode_batches": f"SELECT item_id, CAST({_NUMBER} AS INT) AS term_id, CAST(count(*) AS DOUBLE) AS weight FROM {_WORDS} GROUP BY ALL",
+    "encode_resume": f"SELECT item_id, count(*) AS n_terms, CAST(sum(n) AS DOUBLE) AS weight, (SELECT count(DISTINCT item_id) FROM {_WORDS} WHERE item_id % 2 = 0) AS resumed_after FROM (SELECT item_id, {_NUMBER} AS t, count(*) AS n FROM {_WORDS} GROUP BY ALL) GROUP BY 1",
+    "sparse_first_available": f"SELECT 'b' AS model, query_id, item_id, score, rank FROM {_RAW_COUNTS} WHERE rank <= 10",
     "l2_normalise": "SELECT item_id, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x))), 6) AS total FROM fx_items",
     "dense_topk": "SELECT query_id, item_id, score, rank FROM dense",
     "dense_score_candidates": "SELECT query_id, item_id, score FROM dcand",
     "rrf": "SELECT query_id, item_id, score, rank FROM rrf_run WHERE rank <= 100",
     "minmax_normalise": "SELECT query_id, method, item_id, norm FROM norms",
     "weighted_fusion": "SELECT query_id, item_id, round(sum(norm * CASE method WHEN 'bm25' THEN 0.3e0 WHEN 'sparse' THEN 0.4e0 ELSE 0.3e0 END), 9) AS score FROM norms GROUP BY ALL",
-    "pool_restrict": "SELECT query_id, method, item_id, rank FROM (SELECT query_id, method, item_id, row_number() OVER (PARTITION BY query_id, method ORDER BY runs.rank) AS rank FROM runs SEMI JOIN pool USING (item_id) WHERE runs.rank <= 250) WHERE rank <= 50",
-    "bm25_rerank": "SELECT query_id, method, item_id, row_number() OVER (PARTITION BY query_id, method ORDER BY coalesce(b.score, 0) DESC, r.rank) AS rank FROM runs r LEFT JOIN bm25 b USING (query_id, item_id) WHERE r.method <> 'bm25'",
+    "pool_restrict": f"SELECT * FROM (SELECT query_id, method, item_id, row_number() OVER (PARTITION BY query_id, method ORDER BY was) AS rank FROM {_DEEP} WHERE was <= 250 AND item_id IN (SELECT item_id FROM pool)) WHERE rank <= 50",
+    "bm25_rerank": f"SELECT r.query_id, r.method, r.item_id, row_number() OVER (PARTITION BY r.query_id, r.method ORDER BY coalesce(b.score, 0) DESC, r.was) AS rank FROM {_DEEP} r LEFT JOIN {_DEEP} b ON b.method = 'bm25' AND b.was <= 1000 AND b.query_id = r.query_id AND b.item_id = r.item_id WHERE r.method <> 'bm25' AND r.was <= 100",
     "rrf_candidates": "SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, r, item_id) AS rank FROM (SELECT query_id, item_id, round(sum(1 / (60.0e0 + rank)), 12) AS score, min(method_ord) AS o, arg_min(rank, method_ord) AS r FROM cruns GROUP BY ALL)",
     "weighted_candidates": "SELECT query_id, item_id, round(sum(norm * CASE method WHEN 'bm25' THEN 0.3e0 WHEN 'sparse' THEN 0.4e0 ELSE 0.3e0 END), 9) AS score FROM cnorms GROUP BY ALL",
     "method_runs": "SELECT query_id, method, method_ord, item_id, score, rank FROM runs",
@@ -217,24 +233,32 @@ FINAL = {
     "labeling_pair_counts": "SELECT * FROM counts",
     "label_prompts": f"SELECT p.query_id, p.item_id, md5({_PROMPT}) AS digest FROM lpairs p JOIN fx_queries q ON p.query_id = CAST(q.query_id AS STRING) JOIN fx_catalog c ON p.item_id = CAST(c.item_id AS STRING) WHERE length(query) > 0 AND length(text) > 0",
     "label_batches": "SELECT p.query_id, p.item_id, CASE WHEN length(text) % 2 = 0 THEN 'E' ELSE 'S' END AS label FROM lpairs p JOIN fx_catalog c ON p.item_id = CAST(c.item_id AS STRING)",
+    "labeling_run": "SELECT p.query_id, p.item_id, CASE WHEN length(text) % 2 = 0 THEN 'E' ELSE 'S' END AS label, CASE WHEN length(text) % 5 = 0 THEN '2024-01-02' ELSE '2024-01-01' END AS day FROM lpairs p JOIN fx_catalog c ON p.item_id = CAST(c.item_id AS STRING) JOIN fx_queries q ON p.query_id = CAST(q.query_id AS STRING) WHERE length(text) > 0 AND length(query) > 0",
     "parse_label": "SELECT query_id, item_id, pred AS label FROM resp",
     "labeling_cost": "SELECT count(*) AS calls, count(*) FILTER (pred = '?') AS errors, round((sum(tokens_in) * 0.10e0 + sum(tokens_out) * 0.40e0) / 1e6, 9) AS usd, round(count(*) / (sum(latency_ms) / 1000.0e0), 6) AS pairs_per_sec FROM resp",
     "labeling_dry_run": "SELECT new, round(new * ((400 * 0.10e0 + 2 * 0.40e0) / 1e6), 9) AS usd, round(new / 1.8e0 / 100.0e0 / 3600, 9) AS hours FROM counts",
     "label_agreement": "SELECT gold, n, correct, round(correct / n, 6) AS agreement FROM (SELECT coalesce(gold, 'all') AS gold, count(*) AS n, count(*) FILTER (pred = gold) AS correct FROM resp WHERE pred <> '?' GROUP BY ROLLUP (gold))",
     "label_confusions": "SELECT gold, pred, count(*) AS n FROM resp WHERE pred <> '?' AND pred <> gold GROUP BY ALL ORDER BY n DESC, gold, pred LIMIT 10",
     "label_latency": "SELECT round(avg(latency_ms), 6) AS mean_ms, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.5), 6) AS p50_ms, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.95), 6) AS p95_ms, round(sum(latency_ms) / 1000.0e0, 6) AS total_s, round(count(*) / (sum(latency_ms) / 1000.0e0), 6) AS pairs_per_sec FROM resp",
-    "augmented_qrels": "SELECT query_id, item_id, coalesce(h.label, e.label) AS label FROM (SELECT query_id, item_id, label FROM fx_qrels WHERE item_id % 3 <> 0) h FULL JOIN (SELECT query_id, item_id, 'I' AS label FROM runs WHERE method = 'bm25' AND rank <= 20) e USING (query_id, item_id)",
+    "augmented_qrels": "SELECT query_id, item_id, label FROM augm",
+    "evaluate_augmented": "SELECT * FROM cur_a",
     "kcore_filter": _kcore(20, 8),
     "interaction_stats": "SELECT *, round(n_interactions / n_users, 6) AS avg_length FROM (SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_interactions FROM fx_interactions)",
     "user_histories": "SELECT user_id, item_id, ts, pos FROM hist",
+    "user_histories_capped": "SELECT user_id, item_id, ts, pos FROM hist WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM fx_interactions) ORDER BY md5(concat('42:', user_id)), user_id LIMIT 50)",
     "leave_last_out": "SELECT user_id, item_id, pos, 'train' AS part FROM train UNION ALL SELECT user_id, item_id, pos, 'target' FROM target",
+    "leave_last_out_capped": "SELECT user_id, item_id, pos FROM target ORDER BY md5(concat('42:', user_id)), user_id LIMIT 30",
+    "listwise_prompts": """SELECT user_id, '{"history":[' || h || '],"candidates":[' || c || ']}' AS prompt
+        FROM (SELECT user_id, string_agg('{"item_id":' || item_id || coalesce(',"text":' || CAST(to_json(text) AS VARCHAR), '') || '}', ',' ORDER BY rank) AS c FROM popular LEFT JOIN fx_catalog USING (item_id) GROUP BY 1)
+        JOIN (SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY pos) AS h FROM train GROUP BY 1) USING (user_id)""",
+    "metrics_flatten": "SELECT 'popularity' AS retriever, slate, 'incoming_order' AS ordering, metric, value FROM (UNPIVOT (SELECT slate, recall, ndcg, mrr FROM (" + _SLATES + ")) ON recall, ndcg, mrr INTO NAME metric VALUE value)",
     "popularity_topk": "SELECT user_id, item_id, score, rank FROM popular",
     "history_embedding_topk": "SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(list_sum(list_transform(list_zip(u.v, i.vector), lambda x: x[1] * CAST(x[2] AS DOUBLE))), 6) AS score FROM uvec u, fx_items i WHERE NOT EXISTS (FROM train t WHERE t.user_id = u.user_id AND t.item_id = i.item_id)) QUALIFY rank <= 10",
     "user_item_dot_topk": "SELECT user_id, item_id, score, rank FROM (SELECT query_id AS user_id, item_id, score, rank FROM dense) WHERE rank <= 10",
     "natural_slate": "SELECT user_id, item_id, rank FROM popular WHERE rank <= 10",
     "oracle_slate": "SELECT * FROM oslate",
-    "slate_metrics": "SELECT 'natural' AS slate, * FROM (" + slate_metrics("popular") + ") UNION ALL SELECT 'oracle', * FROM (" + slate_metrics("oslate") + ")",
-    "output_validity": "SELECT count(*) AS n, round(avg(CASE WHEN ids IS NOT NULL THEN 1.0e0 ELSE 0 END), 6) AS valid_json, round(avg(CASE WHEN ids IS NULL THEN 1.0e0 ELSE 0 END), 6) AS parse_failure, round(avg(CASE WHEN list_sort(ids) = list_sort(incoming) THEN 1.0e0 ELSE 0 END), 6) AS valid_permutation, round(avg(CASE WHEN len(list_distinct(ids)) < len(ids) THEN 1.0e0 ELSE 0 END), 6) AS duplicate, round(avg(CASE WHEN len(list_filter(incoming, lambda x: NOT list_contains(ids, x))) > 0 THEN 1.0e0 ELSE 0 END), 6) AS missing, round(avg(CASE WHEN len(list_filter(ids, lambda x: NOT list_contains(incoming, x))) > 0 THEN 1.0e0 ELSE 0 END), 6) AS out_of_candidate FROM outs",
+    "slate_metrics": _SLATES,
+    "output_validity": "SELECT count(*) AS n, round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(tokens), 6) AS mean_tokens, round(avg(CASE WHEN ids IS NOT NULL THEN 1.0e0 ELSE 0 END), 6) AS valid_json, round(avg(CASE WHEN ids IS NULL THEN 1.0e0 ELSE 0 END), 6) AS parse_failure, round(avg(CASE WHEN list_sort(ids) = list_sort(incoming) THEN 1.0e0 ELSE 0 END), 6) AS valid_permutation, round(avg(CASE WHEN len(list_distinct(ids)) < len(ids) THEN 1.0e0 ELSE 0 END), 6) AS duplicate, round(avg(CASE WHEN len(list_filter(incoming, lambda x: NOT list_contains(ids, x))) > 0 THEN 1.0e0 ELSE 0 END), 6) AS missing, round(avg(CASE WHEN len(list_filter(ids, lambda x: NOT list_contains(incoming, x))) > 0 THEN 1.0e0 ELSE 0 END), 6) AS out_of_candidate FROM outs",
     "apply_permutation": "SELECT * FROM perm",
     "identity_order_rate": "SELECT round(avg(CASE WHEN ids = incoming THEN 1.0e0 ELSE 0.0e0 END), 6) AS identity_rate FROM outs",
     "leakage_report": "SELECT (SELECT count(*) FROM train SEMI JOIN target USING (user_id, item_id)) AS target_in_history, (SELECT count(*) FROM train SEMI JOIN target USING (user_id, pos)) AS outside_prefix, (SELECT round(avg(later / total), 6) FROM (SELECT t.user_id, count(r.ts) AS later FROM target t LEFT JOIN train r ON r.ts > t.ts GROUP BY 1), (SELECT CAST(count(*) AS DOUBLE) AS total FROM train)) AS later_share",

@@ -3,25 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import new_path
-from rankloom.functions.text import tokenize
+from rankloom.functions.lineage import cut, new_path
+from rankloom.functions.text import counted_tokens
 from rankloom.operators import catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
 from rankloom.plans.fixtures import fixture
 from rankloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+METHODS = list(fusion.METHODS)
+
+
+#: Indexes that this session has written, by application, variant and the state of the table's files.
+INDEXES: dict[tuple, str] = {}
+
+
+def once(make: Callable) -> Callable:
+    """A method whose result each object remembers for the same arguments."""
+
+    @wraps(make)
+    def remembered(self, *args):
+        key = (make.__name__, *args)
+        if key not in self.made:
+            self.made[key] = make(self, *args)
+        return self.made[key]
+
+    return remembered
 
 
 class Inputs:
-    """The derived inputs over one folder of tables; nothing is read before it is asked for."""
+    """The derived inputs over one folder of tables; nothing is read before it is asked for, and runs are searched once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -30,34 +49,52 @@ class Inputs:
         setattr(self, name, made)
         return made
 
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return fixture(self.spark, self.sf_dir, "fx_catalog")
+
+    def state(self) -> str:
+        """Which files the catalog has, and when they were written."""
+        files = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        return str(files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0])
+
     def index(self, how: lexical.Bm25 = lexical.Bm25()) -> DataFrame:
-        return lexical.postings(self.catalog, how)
+        """Written to the shared folder on first use, sorted by term, then read by every query of the session."""
+        key = (self.spark.sparkContext.applicationId, how, self.sf_dir, self.state())
+        if key not in INDEXES:
+            path = new_path(self.spark, "index")
+            lexical.postings(self.catalog, how).sortWithinPartitions("term").write.parquet(path)
+            INDEXES[key] = path
+        return tables.load_index(self.spark, INDEXES[key], ["item_id", "term", "tf", "impact"])
 
     def bm25(self, depth: int = 100) -> DataFrame:
         return lexical.search(self.index(), self.queries, depth)
 
     def item_terms(self) -> DataFrame:
-        tf = tokenize(self.catalog, "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("n"))
-        return tf.select("item_id", "term", F.round(F.ln(1.0 + F.col("n")), 6).alias("weight"))
+        return counted_tokens(self.catalog, "item_id", "text").select("item_id", "term", F.round(F.ln(1.0 + F.col("tf")), 6).alias("weight"))
 
     def query_terms(self) -> DataFrame:
-        tf = tokenize(self.queries, "query_id", "query").groupBy("query_id", "term").agg(F.count("*").alias("n"))
-        return tf.select("query_id", "term", F.round(F.ln(1.0 + F.col("n")), 6).alias("weight"), "n")
+        return counted_tokens(self.queries, "query_id", "query").select("query_id", "term", F.round(F.ln(1.0 + F.col("tf")), 6).alias("weight"), F.col("tf").alias("n"))
 
+    @once
     def runs(self, depth: int = 100) -> DataFrame:
-        return fusion.method_runs({"bm25": self.bm25(depth), "sparse": sparse.search(self.item_terms(), self.query_terms(), depth), "dense": dense.search(self.items, self.vectors, depth)})
+        return cut(fusion.method_runs({"bm25": self.bm25(depth), "sparse": sparse.search(self.item_terms(), self.query_terms(), depth), "dense": dense.search(self.items, self.vectors, depth)}))
 
+    @once
     def candidate_runs(self) -> DataFrame:
-        return fusion.candidate_run(
-            {
-                "bm25": lexical.candidate_scores(self.index(), self.queries, self.qrels),
-                "sparse": sparse.candidate_scores(self.item_terms(), self.query_terms(), self.qrels),
-                "dense": dense.candidate_scores(self.items, self.vectors, self.qrels),
-            }
+        return cut(
+            fusion.candidate_run(
+                {
+                    "bm25": lexical.candidate_scores(self.index(), self.queries, self.qrels),
+                    "sparse": sparse.candidate_scores(self.item_terms(), self.query_terms(), self.qrels),
+                    "dense": dense.candidate_scores(self.items, self.vectors, self.qrels),
+                }
+            )
         )
 
+    @once
     def scored(self) -> DataFrame:
-        return self.candidate_runs().join(self.qrels.select("query_id", "item_id", "label"), ["query_id", "item_id"])
+        return cut(self.candidate_runs().join(self.qrels.select("query_id", "item_id", "label"), ["query_id", "item_id"]))
 
     def pool(self) -> DataFrame:
         return catalog.curated_pool(self.qrels, self.queries, "test", 20)
@@ -74,17 +111,19 @@ class Inputs:
         return self.qrels.selectExpr("query_id", "item_id", "label AS gold", raw, "(item_id * 37 + query_id * 101) % 1500 + 100 AS latency_ms", "300 + (item_id % 200) AS tokens_in", "1 + (item_id % 2) AS tokens_out")
 
     def disagreement(self) -> DataFrame:
-        return labels.disagreement(self.runs(), self.queries)
+        return labels.disagreement(self.runs(), self.queries, methods=METHODS)
 
     def pairs(self) -> DataFrame:
         return labels.pairs_to_label(self.runs(), self.store())
 
+    @once
     def histories(self) -> DataFrame:
-        return funnel.histories(self.interactions, ["event_id"])
+        return cut(funnel.histories(self.interactions, ["event_id"]))
 
+    @once
     def popular(self) -> DataFrame:
         h = self.histories()
-        return funnel.popularity(funnel.split(h)[0], h.select("user_id").distinct())
+        return cut(funnel.popularity(funnel.split(h)[0], h.select("user_id").distinct()))
 
     def outputs(self) -> DataFrame:
         """Listwise model outputs: reversed, unchanged, repeated, shortened, foreign or no JSON, by user."""
@@ -93,7 +132,8 @@ class Inputs:
         head = F.slice("ids", 1, F.size("ids") - 1)
         kind = F.col("user_id") % 6
         made = F.when(kind == 0, F.reverse("ids")).when(kind == 1, F.col("ids")).when(kind == 2, F.concat(head, F.slice("ids", 1, 1))).when(kind == 3, head).when(kind == 4, F.concat(head, F.array(F.lit("999999"))))
-        return slate.select("user_id", F.coalesce(F.concat(F.lit("["), F.array_join(made, ","), F.lit("]")), F.lit("not json")).alias("raw"))
+        raw = F.coalesce(F.concat(F.lit("["), F.array_join(made, ","), F.lit("]")), F.lit("not json"))
+        return slate.select("user_id", raw.alias("raw"), (F.col("user_id") * 37 % 900 + 100).alias("latency_ms"), (F.col("user_id") % 50 + 20).alias("tokens"))
 
 
 def _texts(x: Inputs) -> DataFrame:
@@ -110,9 +150,15 @@ def _judgments(x: Inputs) -> DataFrame:
 
 
 def _save_load(x: Inputs) -> DataFrame:
-    path = new_path(x.spark, "index")
-    x.index().repartition("term").sortWithinPartitions("term").write.parquet(path)
-    return x.spark.read.parquet(path).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """Lexical, sparse and dense data written and read again: rows and weights of each term or item."""
+    kinds = {"lexical": (x.index(), "term", ["term", "item_id", "tf"], F.col("tf")), "sparse": (x.item_terms(), "term", ["term", "item_id", "weight"], F.col("weight")), "dense": (x.items, "item_id", ["item_id", "vector"], F.col("vector")[0])}
+    out = []
+    for kind, (df, by, columns, value) in kinds.items():
+        path = new_path(x.spark, f"index-{kind}")
+        tables.save_index(df, path, by)
+        read = tables.load_index(x.spark, path, columns)
+        out.append(read.groupBy(F.col(by).cast("string").alias("key")).agg(F.count("*").alias("n"), F.round(F.sum(value.cast("double")), 6).alias("total")).select(F.lit(kind).alias("kind"), "key", "n", "total"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _results_json(x: Inputs) -> DataFrame:
@@ -141,17 +187,34 @@ def _expansion(x: Inputs) -> DataFrame:
 
 
 def _variants(x: Inputs) -> DataFrame:
-    items = tokenize(x.catalog, "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("n"))
+    items = counted_tokens(x.catalog, "item_id", "text").select("item_id", "term", F.col("tf").alias("n"))
     both = lambda df, key: df.select(F.lit("a").alias("model"), key, "term", F.round(F.ln(1.0 + F.col("n")), 6).alias("weight")).unionByName(df.select(F.lit("b").alias("model"), key, "term", F.col("n").cast("double").alias("weight")))
     return sparse.by_variant(both(items, "item_id"), both(x.query_terms(), "query_id"), 10)
 
 
 def hashing_encoder():
-    """Stands in for a model: term numbers from a hash of each word, weights from their counts."""
+    """Stands in for a model: term numbers from a digest of each word, weights from their counts."""
+    import re
     from collections import Counter
-    from zlib import crc32
+    from hashlib import md5
+
+    number = lambda w: int(md5(w.encode()).hexdigest()[:8], 16) % 30522
+    return lambda texts: [{t: float(n) for t, n in Counter(number(w) for w in re.findall(r"[^ \t\n\r\f\v]+", text)).items()} for text in texts]
 
-    return lambda texts: [{t: float(n) for t, n in Counter(crc32(w.encode()) % 30522 for w in text.lower().split()).items()} for text in texts]
+
+def _resumed(x: Inputs) -> DataFrame:
+    """A run that had got as far as the even items, taken up again."""
+    path = new_path(x.spark, "encoded")
+    first = sparse.resumed(x.catalog.where("item_id % 2 = 0"), "item_id", "text", hashing_encoder, path, 1)
+    before = first.select("item_id").distinct().count()
+    rows = sparse.resumed(x.catalog, "item_id", "text", hashing_encoder, path)
+    return rows.groupBy("item_id").agg(F.count("*").alias("n_terms"), F.sum("weight").alias("weight")).withColumn("resumed_after", F.lit(before))
+
+
+def _first_available(x: Inputs) -> DataFrame:
+    """Search by the first of three encoders that has any vectors; the preferred one has none here."""
+    priority = x.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("priority")) for i, m in enumerate(["c", "b", "a"])])))
+    return sparse.first_available(cut(_variants(x)), priority)
 
 
 def length_labeler():
@@ -159,11 +222,25 @@ def length_labeler():
     return lambda prompts: ["E" if len(p) % 2 == 0 else " substitute" for p in prompts]
 
 
+def unsure_labeler():
+    """Stands in for a model that gives no label for one length in five."""
+    return lambda prompts: ["no idea" if len(p) % 5 == 0 else "E" if len(p) % 2 == 0 else " substitute" for p in prompts]
+
+
 def _label_batches(x: Inputs) -> DataFrame:
     rows = labels.prompts(x.pairs(), x.queries, x.catalog, "{text}")
     return labels.labelled(rows, length_labeler).select("query_id", "item_id", labels.parsed(F.col("raw")).alias("label"))
 
 
+def _labeling_run(x: Inputs) -> DataFrame:
+    """A run by a labeler that fails at times, and a second one over what it left, as the store holds them."""
+    store = new_path(x.spark, "labels")
+    rows = cut(labels.prompts(x.pairs(), x.queries, x.catalog, "{text}"))
+    for labeler, when in ((unsure_labeler, "2024-01-01 00:00:00"), (length_labeler, "2024-01-02 00:00:00")):
+        labels.run_labeling(rows, labeler, store, F.lit(when).cast("timestamp"))
+    return labels.stored(x.spark, store).select("query_id", "item_id", "label", F.date_format("labeled_at", "yyyy-MM-dd").alias("day"))
+
+
 def _unit_total(x: Inputs) -> DataFrame:
     tripled = F.transform("vector", lambda v: v.cast("double") * 3)
     return x.items.select("item_id", F.round(F.aggregate(dense.unit(tripled), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
@@ -172,7 +249,7 @@ def _unit_total(x: Inputs) -> DataFrame:
 def _incremental(x: Inputs) -> DataFrame:
     cache = x.queries.where("query_id % 2 = 0").select("query_id", F.lit(0.25).alias("disagreement"))
     runs = x.runs()
-    return labels.with_cache(cache, x.queries, lambda rest: labels.disagreement(runs, rest))
+    return labels.with_cache(cache, x.queries, lambda rest: labels.disagreement(runs, rest, methods=METHODS))
 
 
 def _augmented(x: Inputs) -> DataFrame:
@@ -180,9 +257,13 @@ def _augmented(x: Inputs) -> DataFrame:
     return labels.augmented(x.qrels.where("item_id % 3 <> 0"), expanded)
 
 
+def _evaluate_augmented(x: Inputs) -> DataFrame:
+    return relevance.curated(x.runs(), cut(_augmented(x)), methods=METHODS)
+
+
 def _merged(x: Inputs) -> DataFrame:
     scoring = relevance.candidate_scoring(x.scored(), [10]).where("method <> 'dense'").select("method", F.col("ndcg").alias("ndcg_10"), "auc")
-    found = relevance.recall(x.runs(), x.qrels, [10]).groupBy("method").agg(F.round(F.avg("recall_exact"), 6).alias("recall_10"))
+    found = relevance.recall(x.runs(), x.qrels, [10], METHODS).groupBy("method").agg(F.round(F.avg("recall_exact"), 6).alias("recall_10"))
     return fusion.merged_results(scoring, found)
 
 
@@ -238,8 +319,8 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "index_save_load": _save_load,
     "results_json": _results_json,
     "comparison_csv": _comparison_csv,
-    "tokenize": lambda x: tokenize(x.catalog, "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("n")),
-    "bm25_index": lambda x: x.index().withColumn("impact", F.round("impact", 6)),
+    "tokenize": lambda x: counted_tokens(x.catalog, "item_id", "text").select("item_id", "term", F.col("tf").alias("n")),
+    "bm25_index": lambda x: lexical.postings(x.catalog).withColumn("impact", F.round("impact", 6)),
     "bm25_topk": lambda x: x.bm25(),
     "bm25_score_candidates": lambda x: lexical.candidate_scores(x.index(), x.queries, x.qrels),
     "vocab_size": lambda x: lexical.vocabulary_size(x.index()),
@@ -251,7 +332,9 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "term_expansion": _expansion,
     "sparse_stats": lambda x: sparse.stats(x.item_terms(), x.catalog, 30522),
     "sparse_variants": _variants,
-    "encode_resume": lambda x: sparse.missing(x.catalog, x.items, "item_id").select("item_id"),
+    "encode_missing": lambda x: sparse.missing(x.catalog, x.items, "item_id").select("item_id"),
+    "encode_resume": _resumed,
+    "sparse_first_available": _first_available,
     "l2_normalise": _unit_total,
     "dense_topk": lambda x: dense.search(x.items, x.vectors),
     "dense_score_candidates": lambda x: dense.candidate_scores(x.items, x.vectors, x.qrels),
@@ -266,10 +349,10 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "rrf_retrieval": lambda x: fusion.rrf(fusion.needs_methods(x.runs(), 2), top=50),
     "side_by_side": lambda x: fusion.side_by_side(x.runs(), x.catalog.where("item_id % 7 <> 0")),
     "merge_method_results": _merged,
-    "recall_at_k": lambda x: relevance.recall(x.runs(), x.qrels),
-    "label_dist_at_k": lambda x: relevance.label_shares(x.runs(), x.qrels),
-    "evaluate_retrieval": lambda x: relevance.retrieval(x.runs(), x.qrels),
-    "evaluate_curated_pool": lambda x: relevance.curated(x.runs(), x.qrels),
+    "recall_at_k": lambda x: relevance.recall(x.runs(), x.qrels, methods=METHODS),
+    "label_dist_at_k": lambda x: relevance.label_shares(x.runs(), x.qrels, methods=METHODS),
+    "evaluate_retrieval": lambda x: relevance.retrieval(x.runs(), x.qrels, methods=METHODS),
+    "evaluate_curated_pool": lambda x: relevance.curated(x.runs(), x.qrels, methods=METHODS),
     "ndcg_graded": lambda x: relevance.candidate_metrics(x.scored()).select("method", "query_id", "k", "ndcg"),
     "mrr_at_k": lambda x: relevance.candidate_metrics(x.scored()).select("method", "query_id", "k", "mrr"),
     "precision_at_k": lambda x: relevance.candidate_metrics(x.scored()).select("method", "query_id", "k", "precision"),
@@ -277,7 +360,7 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "evaluate_candidate_scoring": lambda x: relevance.candidate_scoring(x.scored()),
     "per_label_score_stats": lambda x: relevance.score_stats(x.scored()),
     "method_comparison": lambda x: relevance.method_comparison(x.scored()),
-    "curated_table": lambda x: relevance.curated_table(x.runs(), x.qrels),
+    "curated_table": lambda x: relevance.curated_table(x.runs(), x.qrels, methods=METHODS),
     "score_quantiles": lambda x: relevance.score_quantiles(x.scored()),
     "label_dist_bars": lambda x: relevance.label_bars(x.scored()),
     "method_report": lambda x: relevance.method_report(x.scored()),
@@ -294,6 +377,7 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "labeling_pair_counts": lambda x: labels.pair_counts(x.runs(), x.store()),
     "label_prompts": lambda x: labels.prompts(x.pairs(), x.queries, x.catalog).select("query_id", "item_id", F.md5(F.col("prompt").cast("binary")).alias("digest")),
     "label_batches": _label_batches,
+    "labeling_run": _labeling_run,
     "parse_label": lambda x: x.responses().select("query_id", "item_id", labels.parsed(F.col("raw")).alias("label")),
     "labeling_cost": lambda x: labels.cost(x.responses(), F.sum("latency_ms") / 1000),
     "labeling_dry_run": lambda x: labels.dry_run(labels.pair_counts(x.runs(), x.store())),
@@ -301,10 +385,13 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "label_confusions": lambda x: labels.confusions(x.responses()),
     "label_latency": lambda x: labels.latency(x.responses()),
     "augmented_qrels": _augmented,
+    "evaluate_augmented": _evaluate_augmented,
     "kcore_filter": lambda x: funnel.kcore(x.purchases, 20),
     "interaction_stats": lambda x: funnel.stats(x.interactions),
     "user_histories": lambda x: x.histories(),
+    "user_histories_capped": lambda x: funnel.histories(x.interactions, ["event_id"], most_users=50),
     "leave_last_out": _split,
+    "leave_last_out_capped": lambda x: funnel.split(x.histories(), 30)[1].select("user_id", "item_id", "pos"),
     "popularity_topk": lambda x: x.popular(),
     "history_embedding_topk": _history_topk,
     "user_item_dot_topk": lambda x: funnel.vector_topk(x.vectors, x.items),

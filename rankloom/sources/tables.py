@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The names of a product's text columns.
 TEXT_COLUMNS = ["product_title", "product_bullet_point", "product_description", "product_brand", "product_color"]
 
 
@@ -32,3 +33,13 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_index(df: DataFrame, path: str, by: str) -> None:
+    """Write postings, sparse or dense vectors so that each value of `by` (a term or an item) stands in one file, in order."""
+    df.repartition(by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A saved index; missing columns fail at once."""
+    return parquet(spark, path, columns)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import filled, squeezed, tokenize
+from rankloom.functions.ranking import numbered, quantiles, running
+from rankloom.functions.text import counted_tokens, filled, squeezed, tokenize
 from rankloom.operators import catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
 
 
@@ -19,6 +20,25 @@ def test_tokens_keep_counts_and_drop_stop_words(spark):
     assert sorted(r.term for r in tokenize(df, "item_id", "text").collect()) == ["b2", "cat", "cat", "été_x"]
 
 
+def test_tokens_are_counted_within_their_row(spark):
+    df = spark.createDataFrame([(1, "the cat b2 a CAT cat x1"), (2, None), (3, "the"), (4, "é1 É1")], "item_id int, text string")
+    assert sorted(map(tuple, counted_tokens(df, "item_id", "text").collect())) == [(1, 5, "b2", 1), (1, 5, "cat", 3), (1, 5, "x1", 1), (4, 2, "é1", 2)]
+
+
+def test_running_sums_and_quantiles_over_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 2 else "ab"[g], int(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300)))]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    got = {r.i: r.before for r in running(df, ["g"], ["v", "i"], "v").collect()}
+    assert all(got[i] == sum(w for h, w, j in rows if h == g and (w, j) < (v, i)) for g, v, i in rows)
+    assert sorted((r.i, r.n) for r in numbered(df, ["i"], "n").collect()) == [(i, i) for i in range(300)]
+    for g, low, mid in quantiles(df.where("g IS NOT NULL"), ["g"], "v", {"low": 0.05, "mid": 0.5}).collect():
+        own = [v for h, v, _ in rows if h == g]
+        assert (low, mid) == pytest.approx((np.percentile(own, 5), np.percentile(own, 50)))
+    assert quantiles(df, [], "v", {"top": 1.0}).first().top == max(v for _, v, _ in rows)
+    assert quantiles(df.where("i < 0"), [], "v", {"top": 1.0}).first().top is None
+
+
 def test_template_collapses_white_space(spark):
     df = spark.createDataFrame([("a  b", None)], "t string, b string")
     assert df.select(squeezed(filled("{t}. {b}. Brand: {b}", {"t": F.col("t"), "b": F.col("b")}))).first()[0] == "a b. . Brand:"
@@ -59,13 +79,36 @@ def test_sparse_forms(spark):
 
 
 def test_dense_search_in_blocks_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(dense, "BLOCK_VALUES", 4)
+    monkeypatch.setattr(dense, "ITEM_VALUES", 6)
+    monkeypatch.setattr(dense, "QUERY_VALUES", 4)
     items = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "item_id int, vector array<float>")
     q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "query_id int, vector array<float>")
     got = dense.search(items, q, 2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.item_id) for r in got] == [(k, i) for k in range(5) for i in (2, 5)]
 
 
+def test_users_get_what_they_have_not_had(spark):
+    rng = np.random.default_rng(7)
+    train = list({(int(u), int(i)) for u, i in zip(rng.integers(0, 6, 60), rng.zipf(1.5, 60) % 12)} | {(9, i) for i in range(12)})
+    df = spark.createDataFrame(train, "user_id int, item_id int")
+    users = spark.createDataFrame([(u,) for u in (*range(6), 9, 77)], "user_id int")
+    count = {i: sum(j == i for _, j in train) for _, i in train}
+    want = {(u, i, r) for u in (*range(6), 9, 77) for r, i in enumerate([i for i in sorted(count, key=lambda i: (-count[i], i)) if (u, i) not in train][:4], 1)}
+    assert {(r.user_id, r.item_id, r.rank) for r in funnel.popularity(df, users, 4).collect()} == want
+    items = spark.createDataFrame([(i, [float(-i), 1.0]) for i in range(12)], "item_id int, vector array<float>")
+    vectors = users.select(F.col("user_id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    nearest = {(u, i, r) for u in (*range(6), 9, 77) for r, i in enumerate([i for i in range(12) if (u, i) not in train][:3], 1)}
+    assert {(r.user_id, r.item_id, r.rank) for r in funnel.vector_topk(vectors, items, df, 3).collect()} == nearest
+    assert funnel.popularity(df.limit(0), users, 4).count() == 0 and dense.search(items.limit(0), vectors, 3).count() == 0
+
+
+def test_user_caps(spark):
+    df = spark.createDataFrame([(u, i, u * 10 + i) for u in range(9) for i in range(3)], "user_id int, item_id int, ts int")
+    assert funnel.histories(df, most_users=4).select("user_id").distinct().count() == 4 and funnel.histories(df).count() == 27
+    train, target = funnel.split(funnel.histories(df), 2)
+    assert (train.count(), target.count()) == (18, 2)
+
+
 def test_zero_vector_stays(spark):
     assert spark.range(1).select(dense.unit(F.array(F.lit(0.0), F.lit(0.0)))).first()[0] == [0.0, 0.0]
 
@@ -109,6 +152,12 @@ def test_empty_results_are_left_out_of_pool_means(small):
     assert got.precision == pytest.approx((1 / 3 + 0) / 2, abs=1e-6) and got.mrr == pytest.approx(0.25)
 
 
+def test_a_method_without_results_has_means_of_zero(small):
+    run, qrels = small
+    got = {r.method: r for r in relevance.curated(run, qrels, [10], methods=["m", "none"]).collect()}
+    assert (got["none"].num_queries, got["none"].ndcg, got["none"].recall_exact) == (3, 0.0, 0.0) and got["m"].ndcg > 0
+
+
 def test_candidate_metrics_against_numpy(spark):
     rng = np.random.default_rng(3)
     rows = [(q, "m", i, float(rng.integers(0, 5)), "ESCI"[rng.integers(0, 4)]) for q in range(4) for i in range(12)] + [(9, "m", 0, 1.0, "X")]
@@ -130,8 +179,11 @@ def test_candidate_metrics_against_numpy(spark):
 
 def test_disagreement(spark):
     run = run_of(spark, [(1, "a", 0, 1, 1.0, 1), (1, "a", 0, 2, 1.0, 2), (1, "b", 1, 2, 1.0, 1), (2, "a", 0, 1, 1.0, 1)])
-    q = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
-    assert {r.query_id: r.disagreement for r in labels.disagreement(run, q).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+    q = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, ""), (5, None)], "query_id int, query string")
+    run = run.unionByName(run_of(spark, [(i, "a", 0, 1, 1.0, 1) for i in (4, 5)]))
+    # An empty set is at distance 1 from one that isn't, two empty ones at 0; without text there is no disagreement.
+    assert {r.query_id: r.disagreement for r in labels.disagreement(run, q).collect()} == {1: 0.5, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert {r.disagreement for r in labels.disagreement(run, q, methods=["a"]).collect()} == {0.0}
 
 
 def test_store_upsert_and_nested_load(spark):
@@ -142,6 +194,58 @@ def test_store_upsert_and_nested_load(spark):
     assert labels.upserted(labels.upserted(store, new), new).count() == 1
 
 
+def test_labeling_goes_on_where_it_was_broken_off(spark):
+    from rankloom.functions.lineage import new_path
+
+    store = new_path(spark, "labels")
+    rows = spark.createDataFrame([(str(i), str(j), f"{i * j}") for i in range(6) for j in range(6)], "query_id string, item_id string, prompt string")
+
+    def failing():
+        def answer(prompts):
+            if any(p == "25" for p in prompts):
+                raise RuntimeError("the service is down")
+            return ["?" if p == "0" else "E" for p in prompts]
+
+        return answer
+
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    with pytest.raises(Exception, match="the service is down"):
+        labels.run_labeling(rows, failing, store, now, batches=6, workers=2)
+    before = labels.stored(spark, store).count() if labels.stored(spark, store) else 0
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def answer(prompts):
+            asked.add(len(prompts))
+            return ["S"] * len(prompts)
+
+        return answer
+
+    labels.run_labeling(rows, counting, store, now, batches=6, workers=2)
+    found = labels.stored(spark, store)
+    assert found.count() == found.select("query_id", "item_id").distinct().count() == 36
+    assert asked.value == 36 - before and found.where("label NOT IN ('E', 'S')").count() == 0
+
+
+def test_encoding_takes_up_what_is_missing(spark):
+    from rankloom.functions.lineage import new_path
+
+    path = new_path(spark, "encoded")
+    df = spark.createDataFrame([(i, "w " * i) for i in range(20)], "item_id int, text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def encoder():
+        def encode(texts):
+            made.add(len(texts))
+            return [{1: float(len(t))} if t else {} for t in texts]
+
+        return encode
+
+    sparse.resumed(df.where("item_id < 7"), "item_id", "text", encoder, path).collect()
+    got = {r.item_id: r.weight for r in sparse.resumed(df, "item_id", "text", encoder, path).collect()}
+    assert got == {i: 2.0 * i for i in range(1, 20)} and made.value == 20
+
+
 def test_agreement_golden_arithmetic(spark):
     cells = [("E", "E", 1422), ("S", "S", 213), ("C", "C", 30), ("I", "I", 111), ("E", "S", 206), ("E", "I", 66), ("E", "C", 47), ("S", "?", 1), ("S", "E", 278), ("C", "S", 22), ("I", "S", 102)]
     df = spark.createDataFrame([(g, p, n) for g, p, n in cells], "gold string, raw string, n int").select("gold", "raw", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -179,7 +283,12 @@ def test_permutations(spark):
 
 
 def test_plans(spark, sf):
-    from rankloom.plans.queries import QUERIES
-
-    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan("bm25_topk") and "CartesianProduct" not in plan("evaluate_curated_pool")
+    from rankloom.plans.queries import QUERIES, Inputs
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(QUERIES["bm25_topk"](spark, sf))
+    evaluated = plan(QUERIES["evaluate_curated_pool"](spark, sf))
+    assert "CartesianProduct" not in evaluated and "mapInArrow" not in evaluated and evaluated.count("text#") == 0  # the run is read, not searched again
+    x = Inputs(spark, sf)
+    index = plan(lexical.postings(x.catalog))
+    assert index.count("FileScan parquet") == 0 and "SortMergeJoin" not in index  # counts are written once, frequencies broadcast
