@@ -29,7 +29,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch, unless the session asks for fewer still."""
+    """Fewer rows in an Arrow batch, unless the session asks for fewer still.
+
+    This is a setting of the session, which the operators here leave behind: plans are lazy, and Spark looks it up when it runs them.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

@@ -6,28 +6,31 @@ pattern. For each pattern length a block shift table says how far a search may s
 of words, a suffix-hash bucket names the patterns that can end at a position that allows no skip,
 and a direct comparison of all words confirms each occurrence. Documents never leave their task.
 
-The patterns travel in blocks of at most `block_words` item words, so a task holds one block at a
-time however large the benchmark is; a document passes the blocks one after another.
+Items are dealt into blocks of about `block_words` words by running counts in Spark. A benchmark of one block is
+searched for in one pass. Of a larger one, the driver and each task hold one block at a time: documents are gone
+through once for each block, what it finds is written to the shared folder by the text's digest, and joined in the end.
 
 Null text has no words. Items without words are no pattern. A null item id never counts as an
 item, though its windows still hit words. Repeated items count once; repeated documents give
-repeated rows.
+repeated rows. Kept columns named like a new one give way to it.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import field, list_array, map_texts
+from rankloom.functions.lineage import cut, new_path
+from rankloom.functions.ranking import running
+from rankloom.llm.common import field, list_array, map_texts, modest_batches, slices
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+HITS = "digest binary, runs array<bigint>, items array<string>"
 #: Positions each cursor of the search walks over.
 STRIDE = 256
 #: Runs are packed as start * SPAN + length.
@@ -135,16 +138,17 @@ class Block:
         return sizes.tolist(), runs, [sorted(x) for x in items]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Block]:
-    held, size = [], 0
-    for row in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`").cast("string")).toLocalIterator():
-        if row[1]:
-            held.append((row[0], row[1].encode()))
-            size += len(words_of(held[-1][1]))
-            if size >= block_words:
-                yield Block(held, window)
-                held, size = [], 0
-    yield Block(held, window)
+def dealt(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> DataFrame:
+    """(id, text, block) of the distinct items that have words."""
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    counted = items.withColumn("n", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).where("n > 0")
+    return cut(running(counted, [], ["id", "text"], "n").select("id", "text", F.floor(F.col("before") / block_words).alias("block")))
+
+
+def block_of(items: DataFrame, number: int, window: int) -> Block:
+    """The search tables of one block, whose size is bounded by `block_words` and one item more."""
+    rows = items.where(F.col("block") == number).orderBy("id", "text").collect()
+    return Block([(r["id"], r["text"].encode()) for r in rows], window)
 
 
 def merged(runs: Column) -> Column:
@@ -163,22 +167,51 @@ def merged(runs: Column) -> Column:
 
 def contamination(df: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns `keep` and `_n_words` (long), `_runs` (maximal runs [a, b) of hit words) and `_items` (ids found, as sorted strings)."""
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_whole"))
-    found = list(blocks(benchmark, item_id, item_text, window, block_words))
-    for k, block in enumerate(found):
+    items = dealt(benchmark, item_id, item_text, block_words)
+    last = items.agg(F.max("block")).first()[0] or 0
+    keep = [c for c in keep if c not in ("_n_words", "_runs", "_items")]
+    if last == 0:
+        block = block_of(items, 0, window)
+
+        def whole(texts):
+            sizes, runs, found = block.search(texts)
+            return [pa.array(sizes, pa.int64()), list_array(runs, pa.int64()), pa.array(found, pa.list_(pa.string()))]
+
+        out = map_texts(df, keep, text, [field("_n_words", "long"), field("_runs", "longs"), field("_items", "strings")], whole)
+        return out.withColumn("_runs", merged(F.col("_runs")))
+
+    digest = F.unhex(F.substring(F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+    folder = new_path(df.sparkSession, "contamination")
+    for number in range(last + 1):
+        hits(df.select(digest.alias("digest"), F.col(f"`{text}`").cast("string").alias("text")), block_of(items, number, window)).write.mode("append").parquet(folder)
+    found = df.sparkSession.read.schema(HITS).parquet(folder).groupBy("digest").agg(F.flatten(F.collect_set("runs")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
+
+    def count(texts):
+        return [pa.array([len(words_of(t)) for t in texts], pa.int64())]
+
+    own = [f"c{i}" for i in range(len(keep))]
+    rows = map_texts(df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)], digest.alias("digest"), F.col(f"`{text}`").alias("text")), [*own, "digest"], "text", [field("_n_words", "long")], count)
+    out = rows.join(found, "digest", "left").withColumns({"runs": F.coalesce("runs", F.array().cast("array<long>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select(*[F.col(x).alias(c) for c, x in zip(keep, own, strict=True)], "_n_words", merged(F.col("runs")).alias("_runs"), F.array_sort(F.array_distinct("items")).alias("_items"))
+
+
+def hits(texts: DataFrame, block: Block) -> DataFrame:
+    """(digest, runs, items) of the texts (digest, text) that hold a pattern of the block."""
 
-        def work(texts, block=block):
-            sizes, runs, items = block.search(texts)
-            return [pa.array(sizes, pa.int64()), list_array(runs, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+    def run(batches):
+        for batch in batches:
+            for part, data in slices(batch):
+                _, runs, items = block.search(data)
+                at = [i for i, r in enumerate(runs) if len(r)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), list_array([runs[i] for i in at], pa.int64()), pa.array([items[i] for i in at], pa.list_(pa.string()))], names=["digest", "runs", "items"])
 
-        more = [f"_{x}{i}" for i in range(k) for x in ("size", "runs", "items")]
-        rest = ["_whole"] if k + 1 < len(found) else []
-        out = map_texts(out, [*keep, *rest, *more], "_whole", [field(f"_size{k}", "long"), field(f"_runs{k}", "longs"), field(f"_items{k}", "strings")], work)
-    runs, items = F.concat(*[f"_runs{k}" for k in range(len(found))]), F.concat(*[f"_items{k}" for k in range(len(found))])
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_size0").alias("_n_words"), merged(runs).alias("_runs"), F.array_sort(F.array_distinct(items)).alias("_items"))
+    modest_batches(texts.sparkSession)
+    return texts.mapInArrow(run, HITS)
 
 
 def digests(found: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `contamination`'s rows and the counts and digest of what was found."""
+    keep = [c for c in keep if c not in ("_n_words", "_runs", "_items", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     n_hit = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
     return found.select(
         *[F.col(f"`{c}`") for c in keep],

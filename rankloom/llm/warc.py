@@ -2,34 +2,42 @@
 
 Revisit resolution: only headers (identifier, payload digest and size) are shuffled by digest to
 find payloads that occur more than once; the capture with the largest identifier stays a response,
-the others become revisits that refer to it. Archives are written with fresh headers by Spark's
+the others become revisits that refer to it. The verdicts go back to the captures by record identifier, which spreads
+the captures of a popular payload. Archives are written with fresh headers by Spark's
 text writer, whose line separator is the blank line that ends a record, so that each part file is a
-sequence of WARC/1.1 records, compressed as a whole. Reading takes each file apart by its
-Content-Length headers and joins revisits back to their responses by record identifier.
+sequence of WARC/1.1 records, compressed as a whole, of about `FILE_BYTES` before that. Reading takes each file apart by its
+Content-Length headers, once, and joins revisits back to their responses by record identifier.
+
+A response holds an HTTP head and the payload, a revisit the head alone; a payload digest is that of the payload.
+Records of other kinds (warcinfo, request and so on) are read as they are; what a record has no header for is null, and only
+digests written in hexadecimal SHA-1 are checked.
 
 Null payload: empty. Null URL: no target header. Payloads under `least` bytes are always
 responses. Rows that share the largest identifier and payload are all responses; the revisits then
 refer to that one identifier. A null identifier comes before all others. Control characters of a
 URL are percent-encoded. Record identifiers follow from identifier, URL and payload, so a task that
-runs again writes the same archive.
+runs again writes the same archive. Other columns of the table play no part.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import new_path
+from rankloom.functions.lineage import cut, new_path
 
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
-#: Records in one archive file at most.
-FILE_RECORDS = 2000
+#: Bytes of records in one archive file, on average.
+FILE_BYTES = 32 << 20
+#: The head of every response. The lines that end it and a record.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def record_id(*parts: Column) -> Column:
@@ -45,9 +53,8 @@ def resolved(df: DataFrame, *, key: str, url: str, payload: str, least: int = LE
     headers = rows.where(F.col("size") >= least).select("key", "id", "digest", "size")
     first = headers.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max(F.struct("key", "id")).alias("top")).where("n > 1")
     winners = first.select("digest", "size", F.col("top.key").alias("refers_key"), F.col("top.id").alias("refers_id"))
-    revisit = ~F.col("key").eqNullSafe(F.col("refers_key")) & F.col("refers_id").isNotNull()
-    joined = rows.join(winners, ["digest", "size"], "left").withColumn("_r", revisit)
-    return joined.select("key", "url", "payload", "digest", "size", "id", *[F.when(F.col("_r"), F.col(c)).alias(c) for c in ("refers_key", "refers_id")])
+    revisits = headers.join(winners, ["digest", "size"]).where(~F.col("key").eqNullSafe(F.col("refers_key"))).select("id", "refers_key", "refers_id").dropDuplicates(["id"])
+    return rows.join(revisits, "id", "left").select("key", "url", "payload", "digest", "size", "id", "refers_key", "refers_id")
 
 
 def records(found: DataFrame, date: str = DATE) -> DataFrame:
@@ -68,15 +75,16 @@ def records(found: DataFrame, date: str = DATE) -> DataFrame:
         optional("WARC-Refers-To", F.col("refers_id")),
         F.when(is_revisit, line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
         optional("X-Capture-Key", F.col("key")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\n"),
-        line("Content-Length", F.when(is_revisit, 0).otherwise(F.col("size"))),
-        F.lit("\r\n"),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"),
+        line("Content-Length", len(HTTP) + F.when(is_revisit, 0).otherwise(F.col("size"))),
+        F.lit("\r\n" + HTTP),
     )
     return found.select(F.concat(head, F.when(is_revisit, "").otherwise(F.col("payload"))).alias("value"))
 
 
-def write(found: DataFrame, path: str, date: str = DATE) -> None:
-    records(found, date).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write(found: DataFrame, path: str, mean_bytes: float, date: str = DATE) -> None:
+    """mean_bytes: of a payload, from which follows how many records a file takes."""
+    records(found, date).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean_bytes + 500)))).text(path)
 
 
 def opened(data: bytes) -> bytes:
@@ -91,10 +99,11 @@ def parsed(data: bytes):
         lines = data[at:stop].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
+        headers = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
         begin = stop + 4
-        end = begin + int(headers["Content-Length"])
-        yield headers, data[begin:end]
+        end = begin + int(headers["content-length"])
+        block = data[begin:end]
+        yield headers, block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
         at = end + 4
 
 
@@ -109,11 +118,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 found = []
                 for headers, payload in parsed(opened(batch.column(0)[i].as_py())):
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if headers["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
-                    found.append([*(headers.get(h) for h in names.values()), payload])
-                    found[-1][4] = digest
+                    own = {n: headers.get(h.lower()) for n, h in names.items()}
+                    own["digest"] = own["digest"] and own["digest"].removeprefix("sha1:")
+                    if own["type"] == "response" and re.fullmatch("[0-9a-f]{40}", own["digest"] or "") and hashlib.sha1(payload).hexdigest() != own["digest"]:
+                        raise ValueError(f"payload of {own['id']} does not match its digest")
+                    found.append([*own.values(), payload])
                     if len(found) >= 500:
                         yield rows(found)
                         found = []
@@ -130,7 +139,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def revisits_resolved(archive: DataFrame) -> DataFrame:
     """(key, payload_bytes, payload_digest, record_type, refers_to): revisits have the payload of the response they refer to."""
-    heads = archive.select("id", "type", "key", "digest", "refers_id", F.octet_length("payload").cast("long").alias("size"))
+    heads = cut(archive.select("id", "type", "key", "digest", "refers_id", F.octet_length("payload").cast("long").alias("size")))
     responses = heads.where("type = 'response'").groupBy(F.col("id").alias("refers_id")).agg(F.first("key").alias("to"), F.first("size").alias("full"))
     found = heads.where("type = 'revisit'").join(responses, "refers_id", "left").select("key", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to").alias("refers_to"))
     return heads.where("type = 'response'").select("key", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).unionByName(found)
@@ -140,5 +149,6 @@ def round_trip(df: DataFrame, *, key: str, url: str, payload: str, least: int =
     """Write `df` as deduplicated archives under `path` (a new folder in the shared one) and read them back."""
     spark = df.sparkSession
     path = path or new_path(spark, "warc")
-    write(resolved(df, key=key, url=url, payload=payload, least=least), path)
+    mean = df.agg(F.avg(F.octet_length(F.col(f"`{payload}`").cast("string")))).first()[0] or 0.0
+    write(resolved(df, key=key, url=url, payload=payload, least=least), path, mean)
     return revisits_resolved(read(spark, path))

@@ -146,24 +146,47 @@ def test_components_of_a_chain_and_loops(spark):
 # 3 Licenses
 
 
-def test_licenses_equal_brute_force(docs, texts):
+def brute_licenses(text):
+    w = decontaminate.words_of((text or "").encode())
+    places, base, labels, score = [], set(), set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        f = decontaminate.words_of(phrase.encode())
+        here = [i for i in range(len(w)) if w[i : i + len(f)] == f]
+        places += here
+        base |= {label} if here else set()
+    for template, label in licenses.TEMPLATES:
+        t = decontaminate.words_of(template.encode())
+        own = set(t)
+        needed = 1.0 if len(own) <= licenses.SHORT_WORDS else licenses.THRESHOLD
+        for b in range(max(1, len(w) - 2 * len(t) + 1)):
+            share = len(own & set(w[b : b + 2 * len(t)])) / len(own)
+            if share >= needed - 1e-12:
+                labels.add(label)
+                score = max(score, share)
+    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score)
+
+
+def test_licenses_equal_brute_force(spark, docs, texts):
     for r in licenses.scanned(docs, keep=["doc_id"]).collect():
-        w = decontaminate.words_of(texts[r.doc_id].encode())
-        places, base, labels, score = [], set(), set(), 0.0
-        for phrase, label in licenses.PHRASES.items():
-            f = decontaminate.words_of(phrase.encode())
-            here = [i for i in range(len(w)) if w[i : i + len(f)] == f]
-            places += here
-            base |= {label} if here else set()
-        for text, label in licenses.TEMPLATES:
-            t = decontaminate.words_of(text.encode())
-            for b in range(0, len(w), len(t)):
-                share = len(set(t) & set(w[b : b + 2 * len(t)])) / len(set(t))
-                if share >= licenses.THRESHOLD - 1e-12:
-                    labels.add(label)
-                    score = max(score, share)
-        want = (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score)
-        assert tuple(r)[1:] == want
+        assert tuple(r)[1:8] == brute_licenses(texts[r.doc_id])
+    r = random.Random(12)
+    rows = []
+    for k in range(150):
+        w = decontaminate.words_of(r.choice(licenses.TEMPLATES)[0].encode()) + decontaminate.words_of(r.choice(licenses.TEMPLATES)[0].encode())[: r.randint(0, 30)]
+        w = [x for x in w if r.random() > 0.12]
+        for _ in range(r.randint(0, len(w))):  # drawn out by other words
+            w.insert(r.randint(0, len(w)), b"x")
+        rows.append((k, " ".join(["y"] * r.randint(0, 60) + [x.decode() for x in w] + ["z"] * r.randint(0, 60))))
+    got = {x.doc_id: tuple(x)[1:8] for x in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    want = {k: brute_licenses(t) for k, t in rows}
+    assert got == want and len({x[5] for x in want.values()}) > 5
+
+
+def test_neighbouring_licenses_keep_their_own_labels(spark):
+    rows = [(1, "released under the Apache License", "apache"), (2, "released under the BSD license", ""), (3, "So it was: Released under the MIT License.", "mit"), (4, "Licensed under CC BY 4.0", ""), (5, "Licensed under the Mozilla Public License, Version 2.0", "")]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, want string").withColumn("score", F.lit("x")), keep=["doc_id", "want", "score"]).collect()}
+    assert {i: got[i].labels for i, *_ in rows} == {i: x for i, _, x in rows}
+    assert got[3].blocks == "mit:3:8" and got[1].blocks == ""
 
 
 def test_licenses_on_odd_rows(spark, odd):
@@ -178,6 +201,15 @@ def test_licenses_on_odd_rows(spark, odd):
 
 def test_viterbi_is_exact_however_texts_are_cut():
     r = np.random.default_rng(1)
+    many = r.normal(0, 3, (40, 300)).astype(np.float32)
+    label, value, back = language.viterbi(many, np.array([0]), np.array([40]), 2.0), many[0].astype(float), []
+    for row in many[1:]:
+        back.append(np.where(value >= value.max() - 2, np.arange(300), value.argmax()))
+        value = np.maximum(value, value.max() - 2) + row
+    path = [int(value.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    assert label.tolist() == path[::-1] and max(path) > 255
     for _ in range(150):
         k = int(r.integers(1, 5))
         size = r.integers(0, 7, size=r.integers(1, 5))
@@ -196,6 +228,46 @@ def test_language_on_held_out_documents(spark, sf, docs):
     assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.95
 
 
+def test_predictions_equal_brute_force(spark, docs):
+    """Words, hashed trigrams, scripts and the best path by plain loops."""
+    model = language.learn(docs, F.lit(True))
+    names, table, uses = model
+    letter, inside, small, script = language.characters()
+    texts = [t.text[:400] for t in docs.where("length(text) > 50").orderBy("doc_id").limit(12).collect()] + ["слово і слово", "a1b 漢字 x", "e\u0301te"]
+
+    def predicted(t):
+        words, now = [], []
+        for c in map(ord, t + " "):
+            if (inside[c] if now else letter[c]):
+                now.append(c)
+            elif now:
+                words.append(now)
+                now = []
+        scores = []
+        for w in words:
+            padded = [language.EDGE, *(int(small[c]) for c in w), language.EDGE]
+            total = np.zeros(len(names))
+            for a, b, c in zip(padded, padded[1:], padded[2:]):
+                h = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) & 0xFFFFFFFF
+                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+                total += table[:, h >> (32 - language.BITS)]
+            own = np.bincount(script[w]).argmax() if len(set(script[w].tolist())) > 1 else script[w[0]]
+            scores.append(np.where(uses[:, own], total, total.min() - 50))
+        if not words:
+            return "und"
+        paths = [(scores[0][k], [k]) for k in range(len(names))]
+        for x in scores[1:]:
+            best = max(paths, key=lambda p: p[0])
+            paths = [(x[k] + max(p[0], best[0] - language.SWITCH), (p[1] if p[0] >= best[0] - language.SWITCH else best[1]) + [k]) for k, p in enumerate(paths)]
+        share = np.zeros(len(names))
+        for k, w in zip(max(paths, key=lambda p: p[0])[1], words):
+            share[k] += len(w)
+        return names[int(share.argmax())]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r._lang for r in language.labelled(rows, model, keep=["doc_id"]).collect()} == {i: predicted(t) for i, t in enumerate(texts)}
+
+
 def test_language_spans_and_odd_rows(spark, docs, odd):
     model = language.learn(docs, F.lit(True))
     en, de = (docs.where(f"lang = '{x}' AND length(text) > 400").orderBy("doc_id").first().text[:300] for x in ("en", "de"))
@@ -241,6 +313,39 @@ def test_quality_scores_separate_held_out_documents(spark):
     assert (good[:, None] > bad[None]).mean() > 0.9 and held.predicted[held.quality == 1].mean() > 0.95
 
 
+def test_leader_equals_the_update_rule_by_hand(spark):
+    """Follow-the-regularised-leader, one coordinate and one row at a time."""
+    q = quality_model
+    rows = [(i, i % 2, sorted({(i * 7 + j * j) % 23 for j in range(1 + i % 5)})) for i in range(40)]
+    z, n = Counter(), Counter()
+    weight = lambda i: 0.0 if abs(z[i]) <= q.L1 else -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+    leader = q.Leader(np.zeros(24))
+    for _, y, x in rows:
+        value = {**{i: 1 / math.sqrt(len(x)) for i in x}, 23: 1.0}
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in value.items())))
+        before = {i: weight(i) for i in value}
+        for i, v in value.items():
+            g = (p - y) * v
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA
+            z[i] += g - sigma * before[i]
+            n[i] += g * g
+        leader.learn(np.array([*x, 23]), y)
+    assert leader.weights(np.arange(24)).tolist() == pytest.approx([weight(i) for i in range(24)], abs=1e-12)
+    # A start at given weights, as after each epoch, keeps them where nothing is learned.
+    again = q.Leader(leader.weights(np.arange(24)))
+    assert again.weights(np.arange(24)) == pytest.approx(leader.weights(np.arange(24)), abs=1e-12)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    rows = [(1, "A b, a b 12"), (2, ""), (3, None), (4, "Ünder the été the")]
+    weights = np.random.default_rng(2).normal(0, 1, (1 << quality_model.BITS) + 1)
+    got = {r.doc_id: r._score for r in quality_model.scores(spark.createDataFrame(rows, "doc_id long, text string"), weights, keep=["doc_id"]).collect()}
+    for i, t in rows:
+        x = quality_model.features((t or "").encode(), quality_model.WordHashes(), quality_model.Shapes())
+        w = weights.astype(np.float32).astype(float)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(sum(w[k] for k in x) / math.sqrt(max(1, len(x))) + w[-1]))), abs=1e-6)
+
+
 def test_quality_model_on_odd_rows(spark, odd):
     none = spark.createDataFrame([(1, None), (77, 1)], "doc_id long, quality int")
     weights = quality_model.fit(odd, none, F.lit(True))
@@ -262,6 +367,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0), key="page_id", url="url", payload="html").count() == 0
 
 
+def test_archives_of_others_are_read():
+    block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore"
+    data = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    data += b"WARC/1.0\r\nwarc-type:response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:ABC234\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    (info, fields), (head, payload) = warc.parsed(data)
+    assert (info["warc-type"], fields, head["warc-type"], payload) == ("warcinfo", b"a: b", "response", b"body\r\n\r\nmore")
+
+
 # 8 Repeated passages
 
 
@@ -454,7 +567,10 @@ def test_blocks_of_patterns_and_odd_items(spark, docs, odd):
     items = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, "word"), (None, "ü é"), (5, " ".join(str(i) for i in range(15)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = odd.unionByName(spark.createDataFrame([(50, " ".join(str(i) for i in range(3, 30)))], "doc_id long, text string"), allowMissingColumns=True)
-    one, many = (sorted(map(tuple, decontaminate.digests(decontaminate.contamination(df, bench, keep=["doc_id"], block_words=b), ["doc_id"]).collect()), key=str) for b in (10_000, 1))
+    df = df.withColumns({c: F.lit(1) for c in ("_whole", "_size0", "digest", "runs", "text_", "_n_words", "n_hit")})
+    one, many = (sorted(map(tuple, decontaminate.digests(decontaminate.contamination(df, bench, keep=["doc_id", "_whole", "digest", "runs", "_n_words", "n_hit"], block_words=b), ["doc_id"]).collect()), key=str) for b in (10_000, 1))
+    kept = decontaminate.contamination(df, bench, keep=["doc_id", "_whole", "digest", "_n_words"], block_words=1)
+    assert kept.columns == ["doc_id", "_whole", "digest", "_n_words", "_runs", "_items"] and kept.where("_whole = 1 AND digest = 1").count() == df.count()
     assert one == many
     by = {r[0]: r for r in one}
     assert by[50][2:4] == (12, 1) and by[6][2:4] == (1, 1) and by[3][2:4] == (6, 1) and by[1][1:4] == (0, 0, 0)
