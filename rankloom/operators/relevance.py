@@ -18,6 +18,11 @@ def m(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def mean(c: Column | str) -> Column:
+    """The mean of values of 6 decimals, rounded to 6 again: summed as whole millionths, so that a half is a half in whatever order."""
+    return F.round(F.avg(F.round((F.col(c) if isinstance(c, str) else c) * 1e6).cast("long"))) / 1e6
+
+
 def with_k(df: DataFrame, ks: list[int]) -> DataFrame:
     return df.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
 
@@ -63,7 +68,7 @@ def retrieval(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, methods: lis
     methods = methods or methods_of(run)
     one = recall(run, qrels, ks, methods).join(label_shares(run, qrels, ks, methods), ["method", "query_id", "k"])
     columns = ["recall_exact", "recall_exact_sub", *[f"share_{x.lower()}" for x in [*LABELS, "unlabeled"]]]
-    return one.groupBy("method", "k").agg(F.count("*").alias("num_queries"), *[m(F.avg(c)).alias(c) for c in columns])
+    return one.groupBy("method", "k").agg(F.count("*").alias("num_queries"), *[mean(c).alias(c) for c in columns])
 
 
 def curated(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, gains: dict = POOL_GAINS, methods: list[str] | None = None) -> DataFrame:
@@ -85,8 +90,9 @@ def curated(run: DataFrame, qrels: DataFrame, ks: list[int] = KS, gains: dict =
     out = each_query(methods, qrels, ks).join(got, ["method", "query_id", "k"], "left").join(ideal, ["query_id", "k"], "left").join(recall(run, qrels, ks, methods), ["method", "query_id", "k"])
     there = F.col("dcg").isNotNull()
     ndcg = F.when(there, F.when(F.coalesce("idcg", F.lit(0.0)) > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0))
-    mean = lambda c, name: m(F.coalesce(F.avg(F.when(there, c)), F.lit(0.0))).alias(name)
-    return out.groupBy("method", "k").agg(F.count("*").alias("num_queries"), mean(ndcg, "ndcg"), mean(F.col("mrr"), "mrr"), mean(F.col("precision"), "precision"), mean(F.col("recall_exact"), "recall_exact"), mean(F.col("recall_exact_sub"), "recall_exact_sub"))
+    over = lambda c, name: m(F.coalesce(F.avg(F.when(there, c)), F.lit(0.0))).alias(name)
+    recalls = [F.coalesce(mean(F.when(there, F.col(c))), F.lit(0.0)).alias(c) for c in ("recall_exact", "recall_exact_sub")]
+    return out.groupBy("method", "k").agg(F.count("*").alias("num_queries"), over(ndcg, "ndcg"), over(F.col("mrr"), "mrr"), over(F.col("precision"), "precision"), *recalls)
 
 
 def positions(scored: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def separability(scored: DataFrame) -> DataFrame:
 def candidate_scoring(scored: DataFrame, ks: list[int] = KS) -> DataFrame:
     """Macro means of `candidate_metrics` and the pooled AUC."""
     columns = ["ndcg", "mrr", "precision", *[f"share_{x.lower()}" for x in LABELS]]
-    means = candidate_metrics(scored, ks).groupBy("method", "k").agg(F.count("*").alias("num_queries"), *[m(F.avg(c)).alias(c) for c in columns])
+    means = candidate_metrics(scored, ks).groupBy("method", "k").agg(F.count("*").alias("num_queries"), *[mean(c).alias(c) for c in columns])
     return means.join(separability(scored), "method")
 
 

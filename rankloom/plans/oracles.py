@@ -37,6 +37,11 @@ def _gain(label: str, table: dict) -> str:
     return f"CASE {label} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {'0.0e0' if isinstance(table['E'], str) else 0} END"
 
 
+def _mean(c: str) -> str:
+    """The mean of values of 6 decimals, in whole millionths."""
+    return f"round(avg(CAST(round(({c}) * 1e6) AS BIGINT))) / 1e6"
+
+
 POOL = {"E": "1.0e0", "S": "0.7e0", "C": "0.5e0", "I": "0.0e0"}
 GRADED = {"E": 3, "S": 2, "C": 1, "I": 0}
 
@@ -72,13 +77,13 @@ CTE: dict[str, str] = {n: fixtures.inlined(n) for n in fixtures.SQL} | {
     "rec": "SELECT method, query_id, k, round(CASE WHEN all_e > 0 THEN coalesce(e, 0) / all_e ELSE 0 END, 6) AS recall_exact, round(CASE WHEN all_es > 0 THEN coalesce(es, 0) / all_es ELSE 0 END, 6) AS recall_exact_sub FROM each LEFT JOIN (SELECT method, query_id, k, count(*) FILTER (label = 'E') AS e, count(*) FILTER (label IN ('E', 'S')) AS es FROM jrun GROUP BY ALL) USING (method, query_id, k) JOIN have USING (query_id)",
     "shr": "SELECT method, query_id, k, " + ", ".join(f"round(coalesce(s{i}, 0), 6) AS share_{x}" for i, x in enumerate(["e", "s", "c", "i", "unlabeled"])) + " FROM each LEFT JOIN (SELECT method, query_id, k, " + ", ".join(f"avg(CASE WHEN coalesce(label, 'unlabeled') = '{x}' THEN 1.0e0 ELSE 0.0e0 END) AS s{i}" for i, x in enumerate(["E", "S", "C", "I", "unlabeled"])) + " FROM jrun GROUP BY ALL) USING (method, query_id, k)",
     "ideal": f"SELECT query_id, k, sum(g / log2(pos + 1)) AS idcg FROM (SELECT query_id, g, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, item_id) AS pos FROM (SELECT *, {_gain('label', POOL)} AS g FROM fx_qrels)), {KS} v(k) WHERE pos <= k GROUP BY ALL",
-    "cur": f"SELECT method, k, count(*) AS num_queries, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0 END END), 0), 6) AS ndcg, round(coalesce(avg(mrr), 0), 6) AS mrr, round(coalesce(avg(prec), 0), 6) AS precision, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN recall_exact END), 0), 6) AS recall_exact, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN recall_exact_sub END), 0), 6) AS recall_exact_sub FROM each LEFT JOIN (SELECT method, query_id, k, sum(g / log2(rank + 1)) AS dcg, coalesce(1.0e0 / min(CASE WHEN g > 0 THEN rank END), 0) AS mrr, avg(CASE WHEN g > 0 THEN 1.0e0 ELSE 0 END) AS prec FROM (SELECT *, {_gain('label', POOL)} AS g FROM jrun) GROUP BY ALL) USING (method, query_id, k) LEFT JOIN ideal USING (query_id, k) JOIN rec USING (method, query_id, k) GROUP BY ALL",
+    "cur": f"SELECT method, k, count(*) AS num_queries, round(coalesce(avg(CASE WHEN dcg IS NOT NULL THEN CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0 END END), 0), 6) AS ndcg, round(coalesce(avg(mrr), 0), 6) AS mrr, round(coalesce(avg(prec), 0), 6) AS precision, coalesce({_mean('CASE WHEN dcg IS NOT NULL THEN recall_exact END')}, 0) AS recall_exact, coalesce({_mean('CASE WHEN dcg IS NOT NULL THEN recall_exact_sub END')}, 0) AS recall_exact_sub FROM each LEFT JOIN (SELECT method, query_id, k, sum(g / log2(rank + 1)) AS dcg, coalesce(1.0e0 / min(CASE WHEN g > 0 THEN rank END), 0) AS mrr, avg(CASE WHEN g > 0 THEN 1.0e0 ELSE 0 END) AS prec FROM (SELECT *, {_gain('label', POOL)} AS g FROM jrun) GROUP BY ALL) USING (method, query_id, k) LEFT JOIN ideal USING (query_id, k) JOIN rec USING (method, query_id, k) GROUP BY ALL",
     "scored": "SELECT c.query_id, c.method, c.item_id, c.score, p.label FROM cruns c JOIN pairs p USING (query_id, item_id)",
     "pos": f"SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, item_id) AS pos, row_number() OVER (PARTITION BY method, query_id ORDER BY gain DESC, item_id) AS ideal FROM (SELECT *, {_gain('label', GRADED)} AS gain FROM scored)",
     "cm": f"SELECT method, query_id, k, round(CASE WHEN b > 0 THEN a / b ELSE 0 END, 6) AS ndcg, round(coalesce(1.0e0 / fr, 0), 6) AS mrr, round(pr, 6) AS precision, round(e, 6) AS share_e, round(s, 6) AS share_s, round(c, 6) AS share_c, round(i, 6) AS share_i FROM (SELECT method, query_id, k, sum(CASE WHEN pos <= k THEN gain / log2(pos + 1) ELSE 0 END) AS a, sum(CASE WHEN ideal <= k THEN gain / log2(ideal + 1) ELSE 0 END) AS b, min(CASE WHEN pos <= k AND gain >= 1 THEN pos END) AS fr, avg(CASE WHEN pos <= k THEN CASE WHEN gain >= 1 THEN 1.0e0 ELSE 0 END END) AS pr, "
     + ", ".join(f"avg(CASE WHEN pos <= k THEN CASE WHEN label = '{x}' THEN 1.0e0 ELSE 0 END END) AS {x.lower()}" for x in "ESCI") + f" FROM pos, {KS} v(k) GROUP BY ALL)",
     "auc": "SELECT method, round(CASE WHEN p > 0 AND q > 0 THEN (r - p * (p + 1) / 2) / (p * q) ELSE 0 END, 6) AS auc FROM (SELECT method, sum(p * (below + (n + 1) / 2.0e0)) AS r, CAST(sum(p) AS DOUBLE) AS p, CAST(sum(n - p) AS DOUBLE) AS q FROM (SELECT *, sum(n) OVER (PARTITION BY method ORDER BY score) - n AS below FROM (SELECT method, score, count(*) AS n, count(*) FILTER (label IN ('E', 'S', 'C')) AS p FROM scored GROUP BY ALL)) GROUP BY 1)",
-    "cs": "SELECT * FROM (SELECT method, k, count(*) AS num_queries, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ["ndcg", "mrr", "precision", "share_e", "share_s", "share_c", "share_i"]) + " FROM cm GROUP BY ALL) JOIN auc USING (method)",
+    "cs": "SELECT * FROM (SELECT method, k, count(*) AS num_queries, " + ", ".join(f"{_mean(c)} AS {c}" for c in ["ndcg", "mrr", "precision", "share_e", "share_s", "share_c", "share_i"]) + " FROM cm GROUP BY ALL) JOIN auc USING (method)",
     # Labels
     "fx_responses": """SELECT query_id, item_id, label AS gold,
        CASE WHEN (item_id * 11 + query_id * 5) % 20 < 13 THEN concat(' ', lower(label), ' ') WHEN (item_id * 11 + query_id * 5) % 20 < 16 THEN 'Substitute'
@@ -204,10 +209,10 @@ FINAL = {
     "method_runs": "SELECT query_id, method, method_ord, item_id, score, rank FROM runs",
     "rrf_retrieval": "SELECT query_id, item_id, score, rank FROM rrf_run WHERE rank <= 50",
     "side_by_side": "SELECT r.query_id, r.method, r.rank, r.item_id, coalesce(substr(c.text, 1, 100), '???') AS text FROM (SELECT query_id, method, item_id, rank FROM runs WHERE rank <= 10 UNION ALL SELECT query_id, 'rrf', item_id, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, r, item_id) AS rank FROM (SELECT query_id, item_id, round(sum(1 / (60.0e0 + rank)), 12) AS score, min(method_ord) AS o, arg_min(rank, method_ord) AS r FROM runs WHERE rank <= 10 GROUP BY ALL)) WHERE rank <= 10) r LEFT JOIN (SELECT * FROM fx_catalog WHERE item_id % 7 <> 0) c USING (item_id)",
-    "merge_method_results": "SELECT method, ndcg_10, coalesce(auc, 0.0e0) AS auc, recall_10 FROM (SELECT method, ndcg AS ndcg_10, auc FROM cs WHERE k = 10 AND method <> 'dense') FULL JOIN (SELECT method, round(avg(recall_exact), 6) AS recall_10 FROM rec WHERE k = 10 GROUP BY 1) USING (method)",
+    "merge_method_results": "SELECT method, ndcg_10, coalesce(auc, 0.0e0) AS auc, recall_10 FROM (SELECT method, ndcg AS ndcg_10, auc FROM cs WHERE k = 10 AND method <> 'dense') FULL JOIN (SELECT method, " + _mean("recall_exact") + " AS recall_10 FROM rec WHERE k = 10 GROUP BY 1) USING (method)",
     "recall_at_k": "SELECT method, query_id, k, recall_exact, recall_exact_sub FROM rec",
     "label_dist_at_k": "SELECT * FROM shr",
-    "evaluate_retrieval": "SELECT method, k, count(*) AS num_queries, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ["recall_exact", "recall_exact_sub", *[f"share_{x}" for x in ("e", "s", "c", "i", "unlabeled")]]) + " FROM rec JOIN shr USING (method, query_id, k) GROUP BY ALL",
+    "evaluate_retrieval": "SELECT method, k, count(*) AS num_queries, " + ", ".join(f"{_mean(c)} AS {c}" for c in ["recall_exact", "recall_exact_sub", *[f"share_{x}" for x in ("e", "s", "c", "i", "unlabeled")]]) + " FROM rec JOIN shr USING (method, query_id, k) GROUP BY ALL",
     "evaluate_curated_pool": "SELECT * FROM cur",
     "ndcg_graded": "SELECT method, query_id, k, ndcg FROM cm",
     "mrr_at_k": "SELECT method, query_id, k, mrr FROM cm",

@@ -8,7 +8,7 @@ from functools import cached_property, reduce, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut, new_path
+from rankloom.functions.lineage import cut, exists, new_path
 from rankloom.functions.text import counted_tokens
 from rankloom.operators import catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
 from rankloom.plans.fixtures import fixture
@@ -61,7 +61,7 @@ class Inputs:
     def index(self, how: lexical.Bm25 = lexical.Bm25()) -> DataFrame:
         """Written to the shared folder on first use, sorted by term, then read by every query of the session."""
         key = (self.spark.sparkContext.applicationId, how, self.sf_dir, self.state())
-        if key not in INDEXES:
+        if key not in INDEXES or not exists(self.spark, INDEXES[key]):
             path = new_path(self.spark, "index")
             lexical.postings(self.catalog, how).sortWithinPartitions("term").write.parquet(path)
             INDEXES[key] = path
@@ -263,7 +263,7 @@ def _evaluate_augmented(x: Inputs) -> DataFrame:
 
 def _merged(x: Inputs) -> DataFrame:
     scoring = relevance.candidate_scoring(x.scored(), [10]).where("method <> 'dense'").select("method", F.col("ndcg").alias("ndcg_10"), "auc")
-    found = relevance.recall(x.runs(), x.qrels, [10], METHODS).groupBy("method").agg(F.round(F.avg("recall_exact"), 6).alias("recall_10"))
+    found = relevance.recall(x.runs(), x.qrels, [10], METHODS).groupBy("method").agg(relevance.mean("recall_exact").alias("recall_10"))
     return fusion.merged_results(scoring, found)
 
 
