@@ -351,8 +351,9 @@ def ways_of(length: int, words: int | None) -> list[Way]:
     return [Way(length), *([Way(words * WORD_BYTES, WORD_BYTES)] if words else [])]
 
 
-def removed(df: DataFrame, ways: list[Way], *, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(digest, n_copies, n_words) of whole texts that are copies, and (digest, spans0, ...) of what repeated windows of other texts cover, by way.
+def removed(df: DataFrame, ways: list[Way], *, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digest, n_copies, n_words) of whole texts that are copies, (digest, spans0, ...) of what repeated windows of other texts cover, by way,
+    and (doc, digest, packed) of all texts that can have any.
 
     digest is `digest_of` the text. spans: maximal disjoint byte ranges a * 2^32 + b of the text or its code, in order.
     n_words: null in texts that are shorter than a window.
@@ -373,7 +374,7 @@ def removed(df: DataFrame, ways: list[Way], *, text: str = "text") -> tuple[Data
     one = packed_texts(long).join(wanted, "doc").dropDuplicates(["doc", "digest"])
     dealt = cut_out(one, ways).repartition("hash").sortWithinPartitions("hash", "way", F.col("bytes").isNull())
     by_way = [F.flatten(F.collect_list(F.when(F.col("way") == k, F.col("spans")))).alias(f"spans{k}") for k in range(len(ways))]
-    return copies, merged(marked(dealt, ways).groupBy("digest").agg(*by_way), ways)
+    return copies, merged(marked(dealt, ways).groupBy("digest").agg(*by_way), ways), one.select("doc", "digest", "packed")
 
 
 def merged(spans: DataFrame, ways: list[Way]) -> DataFrame:
@@ -404,21 +405,28 @@ def without(data: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def stripped(df: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    """(digest, n_removed, n_spans, kept bytes) of the texts that have spans0."""
+def stripped(texts: DataFrame, spans: DataFrame, ways: list[Way]) -> DataFrame:
+    """(digest, n_removed, n_spans, kept bytes, n_covered) of those of the texts (doc, digest, packed) that have spans; n_covered: bytes or words covered in the last way.
+
+    Joined by doc alone, as the texts are dealt by it already; of texts that share one, each finds its own digest.
+    """
+    names = [f"spans{k}" for k in range(len(ways))]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
+        size = lambda x: sum((v & 0xFFFFFFFF) - (v >> 32) for v in x)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                ranges = part.column(1).to_pylist()
-                kept = [without(unpack.decompress(z), x) for z, x in zip(part.column(2).to_pylist(), ranges, strict=True)]
-                n = [sum((v & 0xFFFFFFFF) - (v >> 32) for v in x) for x in ranges]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in ranges], pa.int64()), pa.array(kept, pa.binary())], names=["digest", "n_removed", "n_spans", "kept"])
+                first, last = part.column(1).to_pylist(), part.column(len(ways)).to_pylist()
+                kept = [without(unpack.decompress(z), x) for z, x in zip(part.column(len(ways) + 1).to_pylist(), first, strict=True)]
+                counts = [[size(x) for x in first], [len(x) for x in first], [size(x) // ways[-1].step for x in last]]
+                n, m, covered = (pa.array(c, pa.int64()) for c in counts)
+                yield pa.RecordBatch.from_arrays([part.column(0), n, m, pa.array(kept, pa.binary()), covered], names=["digest", "n_removed", "n_spans", "kept", "n_covered"])
 
-    one = packed_texts(keyed(df, text)).join(spans.where(F.size("spans0") > 0).select("digest", "spans0"), "digest").dropDuplicates(["digest"]).select("digest", "spans0", "packed")
-    return one.mapInArrow(run, "digest binary, n_removed long, n_spans long, kept binary")
+    by_doc = spans.groupBy(F.xxhash64("digest").alias("doc")).agg(F.collect_list(F.struct(F.col("digest").alias("of"), *names)).alias("all"))
+    own = texts.join(by_doc, "doc").withColumn("own", F.filter("all", lambda x: x["of"] == F.col("digest"))).where(F.size("own") > 0)
+    return own.select("digest", *[F.col("own")[0][n].alias(n) for n in names], "packed").mapInArrow(run, "digest binary, n_removed long, n_spans long, kept binary, n_covered long")
 
 
 def digests(df: DataFrame, *, keep: list[str], text: str = "text", length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -429,9 +437,9 @@ def digests(df: DataFrame, *, keep: list[str], text: str = "text", length: int =
     keep = [c for c in keep if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_repeated_words"] * bool(words))]
     df, new = plain_names(df)
     text = new[text]
-    copies, spans = removed(df, ways_of(length, words), text=text)
-    spans = cut(spans)
-    partly = stripped(df, spans, text).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    ways = ways_of(length, words)
+    copies, spans, texts = removed(df, ways, text=text)
+    partly = stripped(texts, spans, ways).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"), "n_covered")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     heads = df.select(*[F.col(new[c]) for c in keep], digest_of(whole).alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("own"))
     rows = heads.join(copies, "digest", "left").join(partly, "digest", "left")
@@ -444,9 +452,7 @@ def digests(df: DataFrame, *, keep: list[str], text: str = "text", length: int =
         F.when(all_gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
     ]
     if words:
-        n = F.aggregate("spans1", F.lit(0).cast("long"), lambda n, x: n + (x % (1 << 32) - F.shiftright(x, 32)))
-        rows = rows.join(spans.select("digest", n.alias("n_coded")), "digest", "left")
-        covered = F.when(is_copy & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce((F.col("n_coded") / WORD_BYTES).cast("long"), F.lit(0)))
+        covered = F.when(is_copy & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("n_covered", F.lit(0)))
         out.append(covered.cast("long").alias("n_repeated_words"))
     return rows.select(*[F.col(new[c]).alias(c) for c in keep], *out)
 
@@ -487,7 +493,7 @@ def deduplicated(df: DataFrame, *, text: str = "text", length: int = LENGTH, wor
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rest = [c for c in df.columns if c != text]
     ways = ways_of(length, words)
-    copies, spans = removed(df, ways, text=text)
+    copies, spans, _ = removed(df, ways, text=text)
     marked_rows = df.withColumn("_digest", digest_of(whole)).withColumn("_size", F.octet_length(whole).cast("long"))
     rows = squeezed(marked_rows, [*rest, "_digest", "_size"], text)
     rows = rows.join(copies.withColumnRenamed("digest", "_digest"), "_digest", "left").join(spans.withColumnRenamed("digest", "_digest"), "_digest", "left")
