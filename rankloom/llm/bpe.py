@@ -34,7 +34,7 @@ OVERLAP_CHARS = 512
 #: A boundary this near the end of a chunk may come from the cut.
 MARGIN_CHARS = 8
 #: Pre-tokens in each half of a task's cache, and characters of the longest one that is kept.
-CACHED, SHORT = 150_000, 48
+CACHED, SHORT = 100_000, 48
 
 
 NO_RANK = (1 << 31) - 1

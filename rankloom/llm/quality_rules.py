@@ -49,7 +49,7 @@ LEAST_WIDTH = 0.5
 #: Nor is it narrower below its median than this share of it.
 LOW_SHARE = 0.5
 #: n-grams that a task holds before it adds them up.
-BUFFER = 1_500_000
+BUFFER = 300_000
 FOLDS = (0, 1)
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 
@@ -176,12 +176,14 @@ def smoothed(counts: DataFrame, order: int, lower: DataFrame | None) -> DataFram
 
 def probabilities(grams: DataFrame) -> DataFrame:
     """(lang, key, gram, c0, c1, p0, p1) of `count_ngrams`' rows. Lower orders count how many code points their n-grams follow."""
-    tables = [grams]
+    tables = [grams]  # each is written, so that no plan holds more than one order
     for order in range(ORDER - 1, 0, -1):
-        tables.append(tables[-1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in FOLDS]))
+        tables.append(cut(tables[-1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in FOLDS])))
     lower = None
     for order, counts in enumerate(reversed(tables), 1):
         lower = smoothed(counts, order, lower)
+        if order < ORDER:
+            lower = cut(lower.select("lang", "gram", "p0", "p1"))
     return lower
 
 
@@ -320,11 +322,12 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def scored(df: DataFrame, *, keep: list[str], text: str, lang: str, most: int = MODEL_GRAMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """The columns `keep`, `_lang`, `_doc`, the measures with `_` before their names, and `_loss` (nats per code point; null: none)."""
+    """The columns `keep`, `_lang`, `_doc`, the measures with `_` before their names, and `_loss` (nats per code point; null: none), written."""
     logs = model(df, text, lang)
     cache = WordHashes()
     small = logs.count() <= most
     sent = df.sparkSession.sparkContext.broadcast(sorted_logs(logs.toArrow())) if small else None
+    pa.default_memory_pool().release_unused()
 
     def work(texts, part):
         found = [pa.array(x, pa.int64()) for x in measures(texts, cache)]
@@ -335,7 +338,11 @@ def scored(df: DataFrame, *, keep: list[str], text: str, lang: str, most: int =
 
     rows = df.select(*[F.col(f"`{c}`") for c in keep], *marked(df, text, lang), F.col(f"`{text}`").cast("string").alias("_whole"))
     out = map_texts(rows, [*keep, "_lang", "_fold", "_doc"], "_whole", [*(field(f"_{n}", "long") for n in NAMES), *([field("_loss", "double")] if small else [])], work, rows=True)
-    return out if small else out.join(group_losses(df, logs, text, lang, group_bytes), "_doc", "left")
+    if not small:
+        return cut(out.join(group_losses(df, logs, text, lang, group_bytes), "_doc", "left"))
+    done = cut(out)
+    sent.destroy()
+    return done
 
 
 def bands(losses: DataFrame, width: float = BAND) -> DataFrame:
@@ -355,7 +362,7 @@ def verdicts(losses: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, *, keep: list[str], text: str, lang: str) -> DataFrame:
     """`verdicts` on all documents; texts are read twice, and only measures are kept between."""
-    return verdicts(cut(scored(df, keep=keep, text=text, lang=lang)))
+    return verdicts(scored(df, keep=keep, text=text, lang=lang))
 
 
 def rules(df: DataFrame, *, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
