@@ -16,7 +16,7 @@ a few pairs a member.
 
 With J the similarity, a linked pair shares no bucket with probability (1 - J^ROWS)^BANDS: 2e-8 at 0.85, 7e-6 at 0.8.
 Confirmation looks at signatures first, one bit of each of `CHECKS` minima; that of a pair at the threshold
-lies more than `SLACK` below it with a probability of 6e-09 at 0.85 and 1e-07 at 0.8, the upper tail of a binomial distribution.
+lies more than `SLACK` below it with a probability of 8e-6 at 0.85 and 5e-5 at 0.8, the upper tail of a binomial distribution.
 
 Null, empty and blank texts have no set and are linked with nothing. A text of fewer words than a
 shingle is one shingle. Repeated rows are copies of one another. A null id is a row like any other;
@@ -37,7 +37,7 @@ from rankloom.llm.common import WordHashes, field, list_array, map_texts, mixed,
 from rankloom.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
-CHECKS, SLACK = 512, 0.15
+CHECKS, SLACK = 512, 0.11
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
