@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, language, licenses, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
+from rankloom.llm import alignment, bpe, decontaminate, language, licenses, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
 from rankloom.llm.common import held_out, read
 
 
@@ -66,6 +66,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    how = {"byte_path": public_tokenizers.path("byte_bpe_50k.json"), "piece_path": public_tokenizers.path("piece_bpe_32k.model")}
+    return alignment.alignment(read(spark, sf_dir, "documents"), keep=["doc_id"], **how)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -77,6 +84,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {
     "op2_minhash": oracles.OP2,
