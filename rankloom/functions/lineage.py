@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` as compressed Parquet to the shared folder and go on from there, with pushed filters and projections. Partitions are not kept."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `most` rows, which are counted; else as it is. Give it a written table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
