@@ -45,3 +45,52 @@ l AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id W
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    step = "list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: {step.replace('x,', 'xor(a, b),', 1)}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Runs and nodes of each level above {name}0 (t, i, h, n)."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT t, i // 16 AS p, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {name}{k} WHERE n > 1 GROUP BY t, i // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT t, p AS i, sha256(array_to_string(hs, '')) AS h, (n + 15) // 16 AS n FROM {name}r{k} UNION ALL SELECT * FROM {name}{k} WHERE n = 1)")
+    return ",\n".join(out)
+
+
+def _climb(name: str, start: str, levels: int) -> str:
+    """From {start} (d, t, i, f, p): the fold f and the siblings p after each level."""
+    out = []
+    for k in range(levels):
+        before = start if k == 0 else f"{name}c{k - 1}"
+        left, right = "array_to_string(hs[1:i % 16], '')", "array_to_string(hs[i % 16 + 2:], '')"
+        out.append(f"{name}c{k} AS (SELECT d, c.t, i // 16 AS i, CASE WHEN hs IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f, CASE WHEN hs IS NULL THEN c.p ELSE c.p || {left} || {right} END AS p FROM {before} c LEFT JOIN {name}r{k} r ON c.t = r.t AND c.i // 16 = r.p)")
+    return ",\n".join(out)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = f"""
+WITH l AS (SELECT doc_id, coalesce('s' || source, '') AS t, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf(_LOWER)} END AS claim FROM documents),
+m AS (SELECT *, row_number() OVER () AS d, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM l),
+a0 AS (SELECT t, i, leaf AS h, n FROM m),
+{_tree("a", 6)},
+s AS (SELECT t AS of_t, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM a6),
+b0 AS (SELECT '' AS t, i, h, n FROM s),
+{_tree("b", 4)},
+start AS (SELECT d, t, i, coalesce(claim, leaf) AS f, '' AS p FROM m),
+{_climb("a", "start", 6)},
+middle AS (SELECT d, '' AS t, s.i, f, p FROM ac5 c JOIN s ON c.t = s.of_t),
+{_climb("b", "middle", 4)}
+SELECT doc_id, leaf, s.h AS subroot, b4.h AS root, sha256(c.p) AS proof_sha256, c.f AS folded_root, c.f = b4.h AS verified
+FROM m JOIN bc3 c USING (d) JOIN s ON m.t = s.of_t CROSS JOIN b4
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import alignment, bpe, decontaminate, language, licenses, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
+from rankloom.llm import alignment, bpe, decontaminate, language, licenses, manifest, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
 from rankloom.llm.common import held_out, read
 
 
@@ -66,6 +66,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.translate("text", capitals, capitals.lower())
+    return manifest.proofs(read(spark, sf_dir, "documents"), keep=["doc_id"], claims={"text": text}, changed=held_out(F.col("doc_id"), 5, 0))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_manifest": op11_manifest,
     "op13_alignment": op13_alignment,
 }
 ORACLES = {
@@ -91,4 +98,5 @@ ORACLES = {
     "op5_url_filter": oracles.OP5,
     "op7_warc": oracles.OP7,
     "op10_decontaminate": oracles.OP10,
+    "op11_manifest": oracles.OP11,
 }
