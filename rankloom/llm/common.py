@@ -163,3 +163,13 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves `part` when divided by `parts`; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def hash_bound(most: int, size: int) -> int:
+    """The greatest signed 64-bit hash of a share of `most` in `size` rows; at least one row in 2**64 is within it."""
+    return min(2**63 - 1, -(2**63) + max(1, (most << 64) // max(1, size)))
+
+
+def hashed_share(key: Column, most: int, size: int) -> Column:
+    """Whether a row is in the sample of about `most` of `size` rows, by a hash of its key."""
+    return F.xxhash64(key) <= F.lit(hash_bound(most, size))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import field, map_texts, slices
+from rankloom.llm.common import field, hash_bound, map_texts, slices
 
 BITS = 16
 MAX_TRAIN = 20_000
@@ -122,9 +122,9 @@ def learn(df: DataFrame, use: Column, *, doc_id: str = "doc_id", text: str = "te
     names = sorted(sizes)
     if not names:
         return [], np.empty((0, 1 << BITS), np.float32), np.empty((0, len(NAMES)), bool)
-    scale, each = 1_000_000, max(1, most // len(names))
-    kept = F.create_map(*[F.lit(x) for n in names for x in (n, int(min(1.0, each / sizes[n]) * scale))])
-    sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < kept[F.col("_lang")]).select("_lang", "_text")
+    each = max(1, most // len(names))
+    kept = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(hash_bound(each, sizes[n])).cast("long"))])
+    sample = rows.where(F.xxhash64("_id") <= kept[F.col("_lang")]).select("_lang", "_text")
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}

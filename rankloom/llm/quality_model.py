@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut
-from rankloom.llm.common import CACHE_WORDS, WordHashes, field, map_texts, mixed, word_hashes
+from rankloom.llm.common import CACHE_WORDS, WordHashes, field, hashed_share, map_texts, mixed, word_hashes
 
 BITS = 18
 MAX_TRAIN = 12_000
@@ -74,19 +74,20 @@ def featured(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 class Leader:
     """FTRL-proximal with a rate for each coordinate; the last coordinate is the bias, which isn't regularised."""
 
-    def __init__(self, start: np.ndarray):
+    def __init__(self, start: np.ndarray, alpha: float = ALPHA, l1: float = L1):
+        self.alpha, self.l1 = alpha, l1
         self.n = np.zeros(len(start))
-        self.z = -start * (BETA / ALPHA + L2) - np.sign(start) * L1
+        self.z = -start * (BETA / alpha + L2) - np.sign(start) * l1
 
     def weights(self, i: np.ndarray) -> np.ndarray:
         z = self.z[i]
-        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2))
+        return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((BETA + np.sqrt(self.n[i])) / self.alpha + L2))
 
-    def learn(self, i: np.ndarray, y: float) -> None:
-        w, x = self.weights(i), value(i)
+    def learn(self, i: np.ndarray, y: float, x: np.ndarray) -> None:
+        w = self.weights(i)
         g = (sigmoid(float(w @ x)) - y) * x
         root = np.sqrt(self.n[i] + g * g)
-        self.z[i] += g - (root - np.sqrt(self.n[i])) / ALPHA * w
+        self.z[i] += g - (root - np.sqrt(self.n[i])) / self.alpha * w
         self.n[i] += g * g
 
 
@@ -107,7 +108,8 @@ def epoch(start: np.ndarray):
     def run(frame):
         leader, bias = Leader(start.astype(np.float64)), len(start) - 1
         for y, x in frame.sort_values(["_turn", "_y"])[["_y", "_x"]].itertuples(index=False):
-            leader.learn(np.append(x, bias).astype(np.int64), float(y))
+            i = np.append(x, bias).astype(np.int64)
+            leader.learn(i, float(y), value(i))
         return pd.DataFrame({"w": [leader.weights(np.arange(bias + 1)).astype("<f4").tobytes()], "seen": [len(frame)]})
 
     return run
@@ -127,15 +129,17 @@ def trained(sample: DataFrame) -> np.ndarray:
     return weights
 
 
+def sampled(df: DataFrame, labels: DataFrame, use: Column, *, doc_id: str, text: str, label: str, most: int) -> DataFrame:
+    """(_id, _y, _text) of about `most` labelled rows at the most for which `use` (an expression over `_id`) holds, picked by a 64-bit hash of the id."""
+    y = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y")).where("_y IS NOT NULL").where(use)
+    # The bound holds before the texts are read, so that no more than the sample is joined.
+    y = y.where(hashed_share(F.col("_id"), most, y.count()))
+    return df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).join(y, "_id")
+
+
 def fit(df: DataFrame, labels: DataFrame, use: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_TRAIN) -> np.ndarray:
     """Train on the documents that have a label and for which `use` (an expression over `_id`) holds."""
-    y = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y")).where("_y IS NOT NULL").where(use)
-    n = y.count()
-    scale = 1_000_000
-    # The same bound before the texts are read, so that no more than the sample is joined.
-    y = y.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < F.lit(int(min(1.0, most / max(1, n)) * scale)))
-    texts = df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    joined = texts.join(y, "_id")
+    joined = sampled(df, labels, use, doc_id=doc_id, text=text, label=label, most=most)
     return trained(featured(joined, ["_id", "_y"], "_text"))
 
 

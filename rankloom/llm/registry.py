@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import alignment, bpe, decontaminate, language, licenses, manifest, minhash, oracles, passages, quality_model, quality_rules, urlfilter, warc
+from rankloom.llm import alignment, bpe, decontaminate, language, licenses, manifest, minhash, oracles, passages, quality_model, quality_rules, toxicity, urlfilter, warc
 from rankloom.llm.common import held_out, read
 
 
@@ -72,6 +72,14 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proofs(read(spark, sf_dir, "documents"), keep=["doc_id"], claims={"text": text}, changed=held_out(F.col("doc_id"), 5, 0))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    read_as = toxicity.readings(docs)
+    weights = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("_id"), 5, 0), read_as)
+    found = toxicity.scores(docs, weights, read_as, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +99,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
     "op11_manifest": op11_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_alignment": op13_alignment,
 }
 ORACLES = {
