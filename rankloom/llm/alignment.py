@@ -19,6 +19,7 @@ whole, a few times over, by its task. Kept columns named like a new one give way
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -36,10 +37,13 @@ from rankloom.llm.common import field, map_texts
 #: Counted id pairs that a task holds at once (17 bytes each).
 PAIRS = 2_000_000
 #: Parts whose tokens a worker remembers, and id pairs that it counts before it hands them on.
-CACHE_PARTS, CACHE_PAIRS = 100_000, 1_000_000
+CACHE_PARTS, CACHE_PAIRS = 200_000, 1_000_000
 #: A single space between characters of which neither is white space.
 _SPACE = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
-#: Fixed value: the piece model's mark for a space.
+#: Characters whose classes all versions of Unicode agree on, so that two readings of the pre-token pattern can't differ.
+_PLAIN = re.compile("[\\t\\n -~\u00a1-\u024f]*")
+#: The pre-token pattern of byte-level BPE, and the piece model's mark for a space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_MARK = "▁"
 
 
@@ -92,6 +96,7 @@ class Tokenizers:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_path)
@@ -102,7 +107,9 @@ class Tokenizers:
         own = byte_characters()
         self.a_bytes = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(own[c] for c in token)
+            self.a_bytes[i] = bytes(own[c] for c in token if c in own)
+        # The same merges with less work for each part: a token's number is its rank, and no token can be merged in a way that the list of merges lacks.
+        self.fast = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in vocabulary.values()}, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
@@ -112,7 +119,11 @@ class Tokenizers:
         return [text] if self.whole else _SPACE.split(text)
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)], self.b.encode(parts, num_threads=1)
+        a = [self.fast.encode_ordinary(" " + p) if _PLAIN.fullmatch(p) else None for p in parts]
+        rest = [i for i, x in enumerate(a) if x is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([" " + parts[i] for i in rest], add_special_tokens=False), strict=True):
+            a[i] = e.ids
+        return a, self.b.encode(parts, num_threads=1)
 
 
 def byte_characters() -> dict[str, int]:
@@ -122,13 +133,25 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def digest_text(a: list[int], b: list[int], a_group: np.ndarray, b_group: np.ndarray) -> bytes:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
-    out, i, j = [], 0, 0
-    for i_end, j_end in zip((np.flatnonzero(np.diff(a_group, append=-1)) + 1).tolist(), (np.flatnonzero(np.diff(b_group, append=-1)) + 1).tolist(), strict=True):
-        out.append(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}")
-        i, j = i_end, j_end
-    return ";".join(out).encode()
+class Digests:
+    """The text `a1,a2|b1;a3|b2,b3` of parts: the ids of each group in order."""
+
+    def __init__(self, n_a: int, n_b: int):
+        ended = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], object)
+        self.a, self.a_last, self.b, self.b_last, self.b_end = ended(n_a, ","), ended(n_a, "|"), ended(n_b, ","), ended(n_b, ";"), ended(n_b, "")
+
+    def texts(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
+        """Of parts with n_a and n_b tokens; the groups are numbered through all parts."""
+        groups = int(group_a[-1]) + 1 if len(group_a) else 0
+        size_a, size_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        end = np.zeros(len(b), bool)
+        end[np.cumsum(n_b)[n_b > 0] - 1] = True
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]] = np.where(last_a, self.a_last[a], self.a[a])
+        out[np.arange(len(b)) + np.cumsum(size_a)[group_b]] = np.where(end, self.b_end[b], np.where(last_b, self.b_last[b], self.b[b]))
+        words, edges = out.tolist(), np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        return ["".join(words[i:j]).encode() for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 class Parts:
@@ -138,6 +161,7 @@ class Parts:
 
     def __init__(self, both: Tokenizers):
         self.both = both
+        self.digests = Digests(len(both.a_bytes), len(both.b_bytes))
         self.clear()
 
     def clear(self) -> None:
@@ -163,7 +187,7 @@ class Parts:
         good = np.array([b"".join(map(both.a_bytes.__getitem__, x)) == w == b"".join(map(both.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, wanted, strict=True)])
         a, b = ([x if g else [] for x, g in zip(side, good.tolist(), strict=True)] for side in (a, b))
         n_a, n_b = (np.fromiter(map(len, side), np.int64, len(new)) for side in (a, b))
-        ids_a, ids_b = (np.fromiter((t for x in side for t in x), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
         # One matrix for all new parts: their bytes follow each other, and both sides end where a part ends.
         at_a, at_b = incidence(both.a_size[ids_a]), incidence(both.b_size[ids_b])
         links = at_a.times(at_b.transposed())
@@ -175,9 +199,7 @@ class Parts:
         n_shared = np.bincount(part_a, weights=in_group[group_a.indices], minlength=len(new)).astype(np.int64)
         last = np.diff(group_a.indices, append=-1) != 0
         n_groups = np.bincount(part_a[last], minlength=len(new))
-        edges_a, edges_b = np.cumsum(n_a), np.cumsum(n_b)
-        for x, y, i, j in zip(a, b, edges_a.tolist(), edges_b.tolist(), strict=True):
-            self.texts.append(digest_text(x, y, group_a.indices[i - len(x) : i], group_b.indices[j - len(y) : j]))
+        self.texts += self.digests.texts(ids_a, ids_b, group_a.indices, group_b.indices, n_a, n_b)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.figures = np.concatenate((self.figures, np.stack((n_a, n_b, n_groups, n_links, n_shared), axis=1)))
         self.good = np.concatenate((self.good, good))
