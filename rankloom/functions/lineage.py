@@ -48,3 +48,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return files.exists(where)
+
+
+def files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of every file of a table, from the store's listing; nothing is read."""
+    jvm, found = spark.sparkContext._jvm, []
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import checked_broadcast, cut
+from rankloom.functions.lineage import checked_broadcast, written
 from rankloom.functions.ranking import best_first, ranked, rounded
 from rankloom.functions.text import counted_tokens
+from rankloom.operators import blockindex
 
 #: Terms whose document frequencies are sent to every executor at the most.
 BROADCAST_TERMS = 1_000_000
@@ -42,31 +43,35 @@ def impact(how: Bm25, tf: Column, dl: Column, avgdl: Column, n: Column, df: Colu
     raise ValueError(f"unknown method {how.method}")
 
 
-def postings(items: DataFrame, how: Bm25 = Bm25()) -> DataFrame:
-    """(item_id, term, tf, impact) of (item_id, text). Items without tokens count in the mean length.
+def counts(items: DataFrame) -> DataFrame:
+    """(item_id, size, term, tf) of (item_id, text), written: texts are cut into tokens once, and what comes after reads only the columns it needs."""
+    return written(counted_tokens(items, "item_id", "text"), "counts")
 
-    Texts are cut into tokens once and their counts written; only terms are summed up over items. The document
-    frequencies are broadcast where there are at most BROADCAST_TERMS, else joined by term.
+
+def postings(tf: DataFrame, n: int, how: Bm25 = Bm25()) -> DataFrame:
+    """(item_id, term, tf, impact) from `counts` of n items. Items without tokens count in the mean length.
+
+    Only terms are summed up over items; their document frequencies are broadcast where there are at most BROADCAST_TERMS, else joined by term.
     """
-    tf = cut(counted_tokens(items, "item_id", "text"))
-    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
-    n, total = items.count(), tf.agg(F.sum("tf")).first()[0] or 0
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")))
+    total = tf.agg(F.sum("tf")).first()[0] or 0
     x = lambda c: F.col(c).cast("double")
     whole = tf.join(checked_broadcast(df, BROADCAST_TERMS), "term")
     return whole.select("item_id", "term", "tf", impact(how, x("tf"), x("size"), F.lit(total / max(1, n)), F.lit(float(n)), x("df")).alias("impact"))
 
 
-def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id, score) of every item that shares a term; repeated query words count again.
+def scores(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, item_id, score) of every item of the postings that shares a term; repeated query words count again.
 
     The query side is small as a rule, and the planner broadcasts it when it is; the postings stay where they are up to the partial sum.
     """
     wanted = counted_tokens(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("qtf"))
-    return index.join(wanted, "term").groupBy("query_id", "item_id").agg(rounded(F.sum(F.col("impact") * F.col("qtf"))).alias("score"))
+    return found.join(wanted, "term").groupBy("query_id", "item_id").agg(rounded(F.sum(F.col("impact") * F.col("qtf"))).alias("score"))
 
 
-def search(index: DataFrame, queries: DataFrame, top: int = 100) -> DataFrame:
-    return ranked(scores(index, queries), ["query_id"], *best_first(), top=top)
+def search(index: blockindex.Index, queries: DataFrame, top: int = 100) -> DataFrame:
+    """The best items of each (query_id, query); most postings stay unread, see `blockindex`."""
+    return blockindex.search(index, counted_tokens(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("weight")), top)
 
 
 def padded(run: DataFrame, items: DataFrame, queries: DataFrame, top: int) -> DataFrame:
@@ -77,7 +82,7 @@ def padded(run: DataFrame, items: DataFrame, queries: DataFrame, top: int) -> Da
 
 
 def candidate_scores(index: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Scores of the given (query_id, item_id) only, 0 where nothing matches; other items' postings are dropped first."""
+    """Scores of the given (query_id, item_id) only, 0 where nothing matches, from postings; other items' are dropped first."""
     near = index.join(pairs.select("item_id").distinct(), "item_id", "left_semi")
     found = scores(near, queries)
     return pairs.select("query_id", "item_id").join(found, ["query_id", "item_id"], "left").select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))

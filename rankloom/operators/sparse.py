@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import exists
 from rankloom.functions.ranking import best_first, ranked, rounded
+from rankloom.operators import blockindex
 
 
 def encoded(df: DataFrame, key: str, text: str, make_encoder: Callable[[], Callable[[list[str]], list[dict[int, float]]]], batch: int = 256) -> DataFrame:
@@ -53,8 +54,9 @@ def scores(items: DataFrame, queries: DataFrame, term: str = "term") -> DataFram
     return items.join(q, term).groupBy("query_id", "item_id").agg(rounded(F.sum(F.col("weight") * F.col("qw"))).alias("score"))
 
 
-def search(items: DataFrame, queries: DataFrame, top: int = 100, term: str = "term") -> DataFrame:
-    return ranked(scores(items, queries, term), ["query_id"], *best_first(), top=top)
+def search(index: blockindex.Index, queries: DataFrame, top: int = 100) -> DataFrame:
+    """The best items of each query (query_id, term, weight); the index's impacts are the items' weights. Most postings stay unread."""
+    return blockindex.search(index, queries.select("query_id", "term", "weight"), top)
 
 
 def candidate_scores(items: DataFrame, queries: DataFrame, pairs: DataFrame, term: str = "term") -> DataFrame:

@@ -8,9 +8,9 @@ from functools import cached_property, reduce, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut, exists, new_path
+from rankloom.functions.lineage import cut, exists, files, new_path
 from rankloom.functions.text import counted_tokens
-from rankloom.operators import catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
+from rankloom.operators import blockindex, catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
 from rankloom.plans.fixtures import fixture
 from rankloom.sources import tables
 
@@ -19,8 +19,8 @@ QUERIES: dict[str, Query] = {}
 METHODS = list(fusion.METHODS)
 
 
-#: Indexes that this session has written, by application, variant and the state of the table's files.
-INDEXES: dict[tuple, str] = {}
+#: Folders that this session has written, by application, content and the state of the table's files.
+KEPT: dict[tuple, str] = {}
 
 
 def once(make: Callable) -> Callable:
@@ -53,39 +53,56 @@ class Inputs:
     def catalog(self) -> DataFrame:
         return fixture(self.spark, self.sf_dir, "fx_catalog")
 
-    def state(self) -> str:
-        """Which files the catalog has, and when they were written."""
-        files = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        return str(files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0])
+    def state(self) -> tuple:
+        """The catalog's files with their lengths and times."""
+        return files(self.spark, f"{self.sf_dir}/documents.parquet")
 
-    def index(self, how: lexical.Bm25 = lexical.Bm25()) -> DataFrame:
-        """Written to the shared folder on first use, sorted by term, then read by every query of the session."""
-        key = (self.spark.sparkContext.applicationId, how, self.sf_dir, self.state())
-        if key not in INDEXES or not exists(self.spark, INDEXES[key]):
+    def kept(self, name: str, make: Callable[[str], None]) -> str:
+        """A folder that `make` has filled in this session for the present state of the catalog, in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, name, self.sf_dir, self.state())
+        if key not in KEPT or not exists(self.spark, KEPT[key]):
             path = new_path(self.spark, "index")
-            lexical.postings(self.catalog, how).sortWithinPartitions("term").write.parquet(path)
-            INDEXES[key] = path
-        return tables.load_index(self.spark, INDEXES[key], ["item_id", "term", "tf", "impact"])
+            make(path)
+            KEPT[key] = path
+        return KEPT[key]
+
+    def counts(self) -> DataFrame:
+        """The catalog's tokens, cut once for the indexes of all methods."""
+        made = counted_tokens(self.catalog, "item_id", "text")
+        path = self.kept("counts", lambda path: made.write.option("compression", "zstd").parquet(path))
+        return self.spark.read.schema(made.schema).parquet(path)
+
+    def postings(self, how: lexical.Bm25 = lexical.Bm25()) -> DataFrame:
+        return lexical.postings(self.counts(), self.catalog.count(), how)
+
+    def index(self, how: lexical.Bm25 = lexical.Bm25()) -> blockindex.Index:
+        return blockindex.Index(self.spark, self.kept(f"bm25 {how}", lambda path: blockindex.build(self.postings(how), path)))
+
+    def sparse_index(self) -> blockindex.Index:
+        return blockindex.Index(self.spark, self.kept("sparse", lambda path: blockindex.build(self.item_terms().withColumnRenamed("weight", "impact"), path)))
 
     def bm25(self, depth: int = 100) -> DataFrame:
         return lexical.search(self.index(), self.queries, depth)
 
+    def sparse(self, depth: int = 100) -> DataFrame:
+        return sparse.search(self.sparse_index(), self.query_terms(), depth)
+
     def item_terms(self) -> DataFrame:
-        return counted_tokens(self.catalog, "item_id", "text").select("item_id", "term", F.round(F.ln(1.0 + F.col("tf")), 6).alias("weight"))
+        return self.counts().select("item_id", "term", F.round(F.ln(1.0 + F.col("tf")), 6).alias("weight"))
 
     def query_terms(self) -> DataFrame:
         return counted_tokens(self.queries, "query_id", "query").select("query_id", "term", F.round(F.ln(1.0 + F.col("tf")), 6).alias("weight"), F.col("tf").alias("n"))
 
     @once
     def runs(self, depth: int = 100) -> DataFrame:
-        return cut(fusion.method_runs({"bm25": self.bm25(depth), "sparse": sparse.search(self.item_terms(), self.query_terms(), depth), "dense": dense.search(self.items, self.vectors, depth)}))
+        return cut(fusion.method_runs({"bm25": self.bm25(depth), "sparse": self.sparse(depth), "dense": dense.search(self.items, self.vectors, depth)}))
 
     @once
     def candidate_runs(self) -> DataFrame:
         return cut(
             fusion.candidate_run(
                 {
-                    "bm25": lexical.candidate_scores(self.index(), self.queries, self.qrels),
+                    "bm25": lexical.candidate_scores(self.index().postings(), self.queries, self.qrels),
                     "sparse": sparse.candidate_scores(self.item_terms(), self.query_terms(), self.qrels),
                     "dense": dense.candidate_scores(self.items, self.vectors, self.qrels),
                 }
@@ -150,15 +167,15 @@ def _judgments(x: Inputs) -> DataFrame:
 
 
 def _save_load(x: Inputs) -> DataFrame:
-    """Lexical, sparse and dense data written and read again: rows and weights of each term or item."""
-    kinds = {"lexical": (x.index(), "term", ["term", "item_id", "tf"], F.col("tf")), "sparse": (x.item_terms(), "term", ["term", "item_id", "weight"], F.col("weight")), "dense": (x.items, "item_id", ["item_id", "vector"], F.col("vector")[0])}
-    out = []
-    for kind, (df, by, columns, value) in kinds.items():
-        path = new_path(x.spark, f"index-{kind}")
-        tables.save_index(df, path, by)
-        read = tables.load_index(x.spark, path, columns)
-        out.append(read.groupBy(F.col(by).cast("string").alias("key")).agg(F.count("*").alias("n"), F.round(F.sum(value.cast("double")), 6).alias("total")).select(F.lit(kind).alias("kind"), "key", "n", "total"))
-    return reduce(DataFrame.unionByName, out)
+    """Lexical, sparse and dense data written and opened again: rows and weights of each term or item."""
+    path = {kind: new_path(x.spark, f"index-{kind}") for kind in ("lexical", "sparse", "dense")}
+    blockindex.build(x.postings(), path["lexical"])
+    blockindex.build(x.item_terms().withColumnRenamed("weight", "impact"), path["sparse"])
+    tables.save_vectors(x.items, path["dense"])
+    opened = lambda kind: blockindex.Index(x.spark, path[kind]).postings()
+    kinds = {"lexical": (opened("lexical"), "term", F.col("tf")), "sparse": (opened("sparse"), "term", F.col("impact")), "dense": (tables.load_vectors(x.spark, path["dense"]), "item_id", F.col("vector")[0])}
+    sums = [read.groupBy(F.col(by).cast("string").alias("key")).agg(F.count("*").alias("n"), F.round(F.sum(value.cast("double")), 6).alias("total")).select(F.lit(kind).alias("kind"), "key", "n", "total") for kind, (read, by, value) in kinds.items()]
+    return reduce(DataFrame.unionByName, sums)
 
 
 def _results_json(x: Inputs) -> DataFrame:
@@ -320,14 +337,14 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "results_json": _results_json,
     "comparison_csv": _comparison_csv,
     "tokenize": lambda x: counted_tokens(x.catalog, "item_id", "text").select("item_id", "term", F.col("tf").alias("n")),
-    "bm25_index": lambda x: lexical.postings(x.catalog).withColumn("impact", F.round("impact", 6)),
+    "bm25_index": lambda x: x.index().postings().withColumn("impact", F.round("impact", 6)),
     "bm25_topk": lambda x: x.bm25(),
-    "bm25_score_candidates": lambda x: lexical.candidate_scores(x.index(), x.queries, x.qrels),
-    "vocab_size": lambda x: lexical.vocabulary_size(x.index()),
+    "bm25_score_candidates": lambda x: lexical.candidate_scores(x.index().postings(), x.queries, x.qrels),
+    "vocab_size": lambda x: x.index().terms().agg(F.count("*").alias("n_terms")),
     "encode_batches": lambda x: sparse.encoded(x.catalog, "item_id", "text", hashing_encoder),
     "splade_pool": lambda x: sparse.pooled(x.logits),
     "sparse_normalise": _normalised,
-    "sparse_topk": lambda x: sparse.search(x.item_terms(), x.query_terms()),
+    "sparse_topk": lambda x: x.sparse(),
     "sparse_score_candidates": lambda x: sparse.candidate_scores(x.item_terms(), x.query_terms(), x.qrels),
     "term_expansion": _expansion,
     "sparse_stats": lambda x: sparse.stats(x.item_terms(), x.catalog, 30522),
@@ -407,7 +424,7 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 for _method in ("lucene", "robertson", "atire", "bm25l", "bm25+"):
-    SIMPLE[f"bm25_impact_{_method.replace('+', 'plus')}"] = lambda x, how=_method: x.index(lexical.Bm25(how)).select("item_id", "term", F.round("impact", 6).alias("impact"))
+    SIMPLE[f"bm25_impact_{_method.replace('+', 'plus')}"] = lambda x, how=_method: x.postings(lexical.Bm25(how)).select("item_id", "term", F.round("impact", 6).alias("impact"))
 
 for _name, _plan in SIMPLE.items():
     QUERIES[_name] = lambda spark, sf_dir, plan=_plan: plan(Inputs(spark, sf_dir))

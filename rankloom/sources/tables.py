@@ -35,11 +35,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_index(df: DataFrame, path: str, by: str) -> None:
-    """Write postings, sparse or dense vectors so that each value of `by` (a term or an item) stands in one file, in order."""
-    df.repartition(by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
+def save_vectors(df: DataFrame, path: str) -> None:
+    """Write (item_id, vector) so that each item stands in one file, in order."""
+    df.repartition("item_id").sortWithinPartitions("item_id").write.mode("overwrite").parquet(path)
 
 
-def load_index(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A saved index; missing columns fail at once."""
-    return parquet(spark, path, columns)
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Saved vectors; missing columns fail at once."""
+    return parquet(spark, path, ["item_id", "vector"])

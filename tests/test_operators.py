@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions.lineage import new_path
 from rankloom.functions.ranking import numbered, quantiles, running
 from rankloom.functions.text import counted_tokens, filled, squeezed, tokenize
-from rankloom.operators import catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
+from rankloom.operators import blockindex, catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
 
 
 def run_of(spark, rows):
@@ -63,7 +64,7 @@ def test_ordinals_over_many_partitions(spark):
 
 def test_repeated_query_words_count_again_and_padding(spark):
     items = spark.createDataFrame([(1, "red shoe"), (2, "blue shoe"), (3, "green hat")], "item_id int, text string")
-    index = lexical.postings(items)
+    index = blockindex.build(lexical.postings(lexical.counts(items), 3), new_path(spark, "index"))
     q = spark.createDataFrame([(1, "red"), (2, "red red")], "query_id int, query string")
     got = {(r.query_id, r.item_id): r.score for r in lexical.search(index, q).collect()}
     assert got[2, 1] == pytest.approx(2 * got[1, 1], abs=2e-6) and len(got) == 2
@@ -286,9 +287,9 @@ def test_plans(spark, sf):
     from rankloom.plans.queries import QUERIES, Inputs
 
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan(QUERIES["bm25_topk"](spark, sf))
+    assert "WindowGroupLimit" in plan(QUERIES["bm25_topk"](spark, sf)) and "CartesianProduct" not in plan(QUERIES["sparse_topk"](spark, sf))
     evaluated = plan(QUERIES["evaluate_curated_pool"](spark, sf))
     assert "CartesianProduct" not in evaluated and "mapInArrow" not in evaluated and evaluated.count("text#") == 0  # the run is read, not searched again
     x = Inputs(spark, sf)
-    index = plan(lexical.postings(x.catalog))
-    assert index.count("FileScan parquet") == 0 and "SortMergeJoin" not in index  # counts are written once, frequencies broadcast
+    index = plan(x.postings())
+    assert index.count("FileScan parquet") == 2 and "SortMergeJoin" not in index and "text" not in index  # counts are written once, frequencies broadcast
