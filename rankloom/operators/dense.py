@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.lineage import written
 from rankloom.functions.ranking import best_first, ranked, rounded
 
-#: Vector components in one block of items, and of queries.
-ITEM_VALUES, QUERY_VALUES = 1 << 20, 1 << 17
+#: Vector components in one block of items, of queries, and in the sample that cells are made from; cells at the most.
+ITEM_VALUES, QUERY_VALUES, SAMPLE_VALUES, CELLS = 1 << 18, 1 << 17, 1 << 22, 1024
+#: So many pairs of blocks are scored without asking which can be skipped.
+FEW = 64
+#: More than rounding can change a score.
+SLACK = 1e-5
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,51 +28,165 @@ def unit(v: Column) -> Column:
     return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def blocks(df: DataFrame, key: str, values: int, more: list[str] = []) -> DataFrame:  # noqa: B006
-    """Rows of up to about `values` vector components: arrays of the keys, vectors and further columns of (key, vector)."""
-    rows = df.where("vector IS NOT NULL")
-    size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
-    n = 1 + (size[0] or 0) * (size[1] or 1) // values
-    block = F.pmod(F.xxhash64(key), F.lit(n))
-    packed = rows.select(block.alias("_block"), F.struct(key, F.transform("vector", lambda v: v.cast("double")).alias("vector"), *more).alias("r"))
-    whole = packed.groupBy("_block").agg(F.collect_list("r").alias("r"))
-    return whole.select(*[F.col(f"r.{c}").alias(f"{key}_{c}") for c in (key, "vector", *more)])
+def cells(df: DataFrame, key: str, n: int, size: int) -> np.ndarray | None:
+    """Centres of at most CELLS cells, from a bounded sample of the vectors by a hash of their keys and a few rounds of k-means; None if one will do."""
+    k = min(CELLS, max(1, SAMPLE_VALUES // (4 * size)), n * size // ITEM_VALUES)
+    if k < 2:
+        return None
+    rows = df.orderBy(F.xxhash64(key), key).limit(min(n, 16 * k, SAMPLE_VALUES // size)).select("vector").collect()  # SAMPLE_VALUES values at the most
+    sample = np.array([r["vector"] for r in rows], np.float64)
+    centres = sample[:k]
+    for _ in range(4):
+        own = nearest(sample, centres)
+        counts = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (vectors @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
+
+
+def packed(df: DataFrame, key: str, values: int, centres: np.ndarray | None, n: int, size: int) -> DataFrame:
+    """Written rows of up to about `values` vector components of one cell: `block`, the keys in order, the vectors, their centre and radius."""
+    rows = df.select(key, F.transform("vector", lambda v: v.cast("double")).alias("vector"))
+    kind = rows.schema[key].dataType.simpleString()
+    if centres is None:
+        dealt = rows.withColumn("cell", F.lit(0))
+        splits = {0: 1 + n * size // values}
+    else:
+
+        def assign(batches):
+            for batch in batches:
+                own = nearest(np.stack(batch.column(1).to_numpy(zero_copy_only=False)), centres) if batch.num_rows else []
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], names=[key, "vector", "cell"])
+
+        dealt = written(rows.mapInArrow(assign, f"{key} {kind}, vector array<double>, cell int"))
+        splits = {r["cell"]: 1 + r["count"] * size // values for r in dealt.groupBy("cell").count().collect()}  # a row a cell
+    split = F.create_map(*[F.lit(x) for c, m in splits.items() for x in (c, m)]) if splits else F.lit(None).cast("map<int,int>")
+    block = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64(key), split[F.col("cell")].cast("long"))
+    groups = dealt.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(key, "vector"))).alias("r"))
+
+    def measure(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, vectors = batch.column(1)[i].values, batch.column(2)[i].values
+                x = np.stack(vectors.to_numpy(zero_copy_only=False))
+                centre = x.mean(0)
+                lists = [pa.array([a], pa.list_(a.type)) for a in (ids, pa.array(x.ravel()), pa.array(centre))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(ids)], pa.int32()), *lists, pa.array([float(np.sqrt(((x - centre) ** 2).sum(1).max()))])], names=["block", "n", "ids", "vectors", "centre", "radius"])
 
+    found = groups.select("block", F.col(f"r.{key}").alias("ids"), F.col("r.vector").alias("v")).mapInArrow(measure, f"block long, n int, ids array<{kind}>, vectors array<double>, centre array<double>, radius double")
+    return written(found)
 
-def search(items: DataFrame, queries: DataFrame, top: int = 100, more: str | None = None) -> DataFrame:
-    """Best items of (item_id, vector) for each of (query_id, vector): `top` of them, and as many more as the query's column `more` says.
 
-    Both sides are packed into blocks of a bounded number of values; each pair of blocks is one matrix product in
-    a task, from which only its own best leave. No vector passes through the driver.
-    """
-    extra = [more] if more else []
-    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("item_id", items))}
-    pairs = blocks(items, "item_id", ITEM_VALUES).crossJoin(blocks(queries, "query_id", QUERY_VALUES, extra))
+def matrix(batch: pa.RecordBatch, name: str, i: int, width: int) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name))[i].values.to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def bounds(asked: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """(asking, block, n, most): how much any query of a block of queries can score in a block of items; with thresholds, only where one can pass its own.
+
+    A query q scores at most q.c + |q| r among vectors within r of c. Only centres meet the queries here, not items."""
+    per = max(1, ITEM_VALUES // size)
+    group = F.floor(F.pmod(F.xxhash64("block"), F.lit(1_000_003)) / max(1, 1_000_003 * per // max(1, blocks.count())))
+    metas = blocks.groupBy(group.alias("g")).agg(F.collect_list("block").alias("blocks"), F.collect_list("n").alias("ns"), F.collect_list("radius").alias("radii"), F.flatten(F.collect_list("centre")).alias("centres"))
+    queries = asked.select(F.col("block").alias("asking"), "vectors", "least")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = {name: c[i].values for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("asking", "vectors", "centres", "g")}
+                q, c = matrix(batch, "vectors", i, size), matrix(batch, "centres", i, size)
+                most = q @ c.T + np.sqrt((q * q).sum(1))[:, None] * at["radii"].to_numpy(zero_copy_only=False) + SLACK
+                can = (most >= at["least"].to_numpy(zero_copy_only=False)[:, None]).any(0)
+                asking = batch.column(batch.schema.get_field_index("asking"))[i].as_py()
+                keep = pa.array(np.flatnonzero(can))
+                yield pa.RecordBatch.from_arrays([pa.array([asking] * len(keep), pa.int64()), at["blocks"].take(keep), at["ns"].take(keep), pa.array(most.max(0)[can])], names=["asking", "block", "n", "most"])
+
+    return queries.crossJoin(metas).mapInArrow(run, "asking long, block long, n int, most double")
+
+
+def scored(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, had: DataFrame | None, top: int, size: int, kinds: dict[str, str]) -> DataFrame:
+    """(query_id, item_id, score): the best `top` of each query in each of its pairs of blocks, one matrix product a pair.
+
+    `had` is (asking, block, at): places of a query and an item in their blocks that don't count."""
+    queries = asked.select(F.col("block").alias("asking"), F.col("ids").alias("queries"), F.col("vectors").alias("q"), "least")
+    items = blocks.select("block", F.col("ids").alias("items"), F.col("vectors").alias("v"))
+    both = pairs.select("asking", "block").join(queries, "asking").join(items, "block")
+    both = both.join(had, ["asking", "block"], "left") if had is not None else both.withColumn("at", F.lit(None).cast("array<struct<query:int,item:int>>"))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                at = {name: batch.column(k)[i].values for k, name in enumerate(batch.schema.names)}
-                item, query = at["item_id_item_id"], at["query_id_query_id"]
-                a, b = (np.stack(at[f"{k}_vector"].to_numpy(zero_copy_only=False)) for k in ("item_id", "query_id"))
-                depths = [top + d for d in at[f"query_id_{more}"].to_pylist()] if more else [top] * len(query)
-                for j in range(0, len(query), 256):
-                    scores = np.round(b[j : j + 256] @ a.T, 6)
+                q, v = matrix(batch, "q", i, size), matrix(batch, "v", i, size)
+                queries, items, at, least = (batch.column(batch.schema.get_field_index(n))[i].values for n in ("queries", "items", "at", "least"))
+                out = (at.field(0).to_numpy(), at.field(1).to_numpy()) if at is not None else (np.empty(0, int), np.empty(0, int))
+                least = least.to_numpy(zero_copy_only=False)
+                for j in range(0, len(q), 256):
+                    scores = np.round(q[j : j + 256] @ v.T, 6)
+                    own = (out[0] >= j) & (out[0] < j + 256)
+                    scores[out[0][own] - j, out[1][own]] = -np.inf
                     which, best = [], []
-                    for k, (row, depth) in enumerate(zip(scores, depths[j : j + 256], strict=True)):
-                        # All ties with the last place stay, so that the final order decides.
-                        least = np.partition(row, -depth)[-depth] if len(row) > depth else -np.inf
-                        found = np.flatnonzero(row >= least)
+                    for k, row in enumerate(scores):
+                        last = max(np.partition(row, -top)[-top] if len(row) > top else -np.inf, least[j + k])
+                        found = np.flatnonzero((row >= last) & (row > -np.inf))
+                        # Items stand in order, so that a stable sort settles ties as the final order does.
+                        found = found[np.argsort(-row[found], kind="stable")[:top]]
                         which.append(np.full(len(found), k))
                         best.append(found)
                     k, found = np.concatenate(which), np.concatenate(best)
-                    yield pa.RecordBatch.from_arrays([query.take(pa.array(k + j)), item.take(pa.array(found)), pa.array(scores[k, found])], names=["query_id", "item_id", "score"])
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(k + j)), items.take(pa.array(found)), pa.array(scores[k, found])], names=["query_id", "item_id", "score"])
+
+    return both.select("queries", "items", "at", "least", "q", "v").mapInArrow(run, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
+
 
-    found = pairs.mapInArrow(run, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
-    if more is None:
-        return ranked(found, ["query_id"], *best_first(), top=top)
-    out = ranked(found.join(queries.select("query_id", more), "query_id"), ["query_id"], *best_first())
-    return out.where(F.col("rank") <= top + F.col(more)).drop(more)
+def places(blocks: DataFrame, name: str, key: str) -> DataFrame:
+    """(key, block as `name`, place) of every key of the blocks."""
+    return blocks.select(F.col("block").alias(name), F.posexplode("ids").alias(f"{name}_at", key))
+
+
+def search(items: DataFrame, queries: DataFrame, top: int = 100, had: DataFrame | None = None, counts: list | None = None) -> DataFrame:
+    """The best `top` items of (item_id, vector) by inner product for each of (query_id, vector), without the pairs (query_id, item_id) of `had`. Exact.
+
+    Items and queries are clustered into cells and packed into blocks, each with its centre and radius. A first round scores each block of queries
+    against the blocks that promise most; the last place of a query is its threshold. The second scores the pairs of
+    blocks of which a query can still pass its threshold; the others are skipped. Few pairs are all scored at once.
+    To `counts` goes how many pairs of blocks there are and how many were scored. Rows without a vector don't take part. Nothing but
+    a bounded sample and the numbers of cells passes through the driver; a pair of blocks emits `top` rows a query at the most.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("item_id", items))}
+    items, queries = items.where("vector IS NOT NULL"), queries.where("vector IS NOT NULL")
+    (n, size), m = items.agg(F.count("*"), F.max(F.size("vector"))).first(), queries.count()
+    if not n or not m:
+        return queries.limit(0).select("query_id", F.lit(None).cast(kinds["item_id"]).alias("item_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    centres = cells(items, "item_id", n, size)
+    blocks, asked = packed(items, "item_id", ITEM_VALUES, centres, n, size), packed(queries, "query_id", QUERY_VALUES, centres, m, size)
+    asked = asked.withColumn("least", F.transform("ids", lambda _: F.lit(float("-inf"))))
+    masks = None
+    if had is not None:
+        both = had.select("query_id", "item_id").distinct().join(places(blocks, "block", "item_id"), "item_id").join(places(asked, "asking", "query_id"), "query_id")
+        masks = both.groupBy("asking", "block").agg(F.collect_list(F.struct(F.col("asking_at").alias("query"), F.col("block_at").alias("item"))).alias("at"))
+    every = blocks.count() * asked.count()
+    if every <= FEW:
+        pairs = asked.select(F.col("block").alias("asking")).crossJoin(blocks.select("block"))
+        if counts is not None:
+            counts.append({"pairs": every, "scored": every})
+        return ranked(scored(pairs, asked, blocks, masks, top, size, kinds), ["query_id"], *best_first(), top=top)
+    first = Window.partitionBy("asking").orderBy(F.col("most").desc(), "block")
+    before = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = written(bounds(asked, blocks, size).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * top).select("asking", "block"))
+    found = written(ranked(scored(seeds, asked, blocks, masks, top, size, kinds), ["query_id"], *best_first(), top=top))
+    last = found.where(F.col("rank") == top).select("query_id", F.col("score").alias("last"))
+    limits = places(asked, "block", "query_id").join(last, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("block_at", F.coalesce("last", F.lit(float("-inf"))).alias("last")))).alias("l"))
+    asked = written(asked.join(limits, "block").withColumn("least", F.col("l.last")).drop("l"))
+    rest = written(bounds(asked, blocks, size).select("asking", "block").join(seeds, ["asking", "block"], "left_anti"))
+    if counts is not None:
+        counts.append({"pairs": every, "scored": seeds.count() + rest.count()})
+    more = scored(rest, asked, blocks, masks, top, size, kinds)
+    return ranked(found.drop("rank").unionByName(more), ["query_id"], *best_first(), top=top)
 
 
 def candidate_scores(items: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -81,13 +81,9 @@ def history_vectors(train: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def vector_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None = None, top: int = 10) -> DataFrame:
-    """Nearest items of (query_id, vector), without those in `seen` (user_id, item_id)."""
-    if seen is None:
-        return dense.search(items, users, top).withColumnRenamed("query_id", "user_id")
-    own = seen.groupBy(F.col("user_id").alias("query_id")).agg(F.countDistinct("item_id").alias("_had"))
-    wanted = users.join(own, "query_id", "left").select("query_id", "vector", F.coalesce("_had", F.lit(0)).alias("_had"))
-    run = dense.search(items, wanted, top, more="_had").withColumnRenamed("query_id", "user_id").drop("rank")
-    return ranked(run.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti"), ["user_id"], *best_first(), top=top)
+    """Nearest items of (query_id, vector), without those in `seen` (user_id, item_id), which are left out before the cut."""
+    had = None if seen is None else seen.select(F.col("user_id").alias("query_id"), "item_id")
+    return dense.search(items, users, top, had).withColumnRenamed("query_id", "user_id")
 
 
 def oracle_slate(slate: DataFrame, targets: DataFrame) -> DataFrame:

@@ -88,6 +88,39 @@ def test_dense_search_in_blocks_and_ties(spark, monkeypatch):
     assert [(r.query_id, r.item_id) for r in got] == [(k, i) for k in range(5) for i in (2, 5)]
 
 
+def clustered(n, size, centres, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(centres, size))[rng.integers(0, centres, n)] * 4 + rng.normal(size=(n, size)) * 0.05
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).round(4)
+
+
+@pytest.mark.parametrize("with_had", [False, True])
+def test_pairs_of_blocks_are_skipped_exactly(spark, monkeypatch, with_had):
+    for name, value in (("ITEM_VALUES", 256), ("QUERY_VALUES", 128), ("FEW", 4)):
+        monkeypatch.setattr(dense, name, value)
+    items, asked = clustered(1200, 8, 12, 1), clustered(1200, 8, 12, 1)[::15]
+    df = lambda x, key: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{key} int, vector array<double>")
+    had = {(q, i) for q in range(len(asked)) for i in np.argsort(-(asked[q] @ items.T))[:7].tolist()} | {(0, i) for i in range(1195)} if with_had else set()
+    counts = []
+    got = dense.search(df(items, "item_id"), df(asked, "query_id"), 10, spark.createDataFrame(list(had), "query_id int, item_id int") if with_had else None, counts)
+    want = set()
+    for q, row in enumerate(np.round(asked @ items.T, 6)):
+        order = [i for i in np.lexsort((np.arange(len(row)), -row)).tolist() if (q, i) not in had][:10]
+        want |= {(q, i, k) for k, i in enumerate(order, 1)}
+    assert {(r.query_id, r.item_id, r["rank"]) for r in got.collect()} == want
+    assert counts[0]["pairs"] > 200 and counts[0]["scored"] < counts[0]["pairs"] / 2
+
+
+def test_a_pair_of_blocks_emits_no_more_than_top_rows_a_query(spark):
+    items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "item_id int, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id int, vector array<double>")
+    blocks, asked = dense.packed(items, "item_id", 60, None, 50, 2), dense.packed(q.where("query_id < 3"), "query_id", 8, None, 2, 2).withColumn("least", F.transform("ids", lambda _: F.lit(float("-inf"))))
+    pairs = asked.select(F.col("block").alias("asking")).crossJoin(blocks.select("block"))
+    had = spark.createDataFrame([(asked.first().block, b.block, [(0, 0)]) for b in blocks.collect()], "asking long, block long, at array<struct<query:int,item:int>>")
+    assert dense.scored(pairs, asked, blocks, had, 3, 2, {"query_id": "int", "item_id": "int"}).count() <= 3 * 2 * blocks.count()
+    assert [r.item_id for r in dense.search(items, q, 3).where("query_id = 1").orderBy("rank").collect()] == [0, 1, 2]
+
+
 def test_users_get_what_they_have_not_had(spark):
     rng = np.random.default_rng(7)
     train = list({(int(u), int(i)) for u, i in zip(rng.integers(0, 6, 60), rng.zipf(1.5, 60) % 12)} | {(9, i) for i in range(12)})
