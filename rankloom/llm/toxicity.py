@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import checked_broadcast, written
-from rankloom.llm.common import field, map_texts, modest_batches, slices
+from rankloom.llm.common import field, map_texts, mixed, modest_batches, slices
+from rankloom.llm.language import characters
 from rankloom.llm.quality_model import Leader, sampled, sigmoid
 
 #: Characters that stand for letters.
@@ -48,7 +49,7 @@ PREFIXES = range(3, 8)
 MAX_TRAIN = 12_000
 EPOCHS, ALPHA, L1 = 8, 0.6, 8.0
 #: Words that a worker remembers; rows of a table that is sent to all executors at the most.
-CACHE, SENT = 100_000, 1_000_000
+CACHE, SENT = 150_000, 1_000_000
 OTHER = "#"
 
 _LEET = re.escape("".join(LEET))
@@ -61,12 +62,13 @@ _ENDS = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 
 def core(word: str) -> str:
     """The word in lower case without marks and long runs of symbols at its ends."""
-    return _ENDS.sub("", word.lower().strip(MARKS)).strip(MARKS).rstrip("!|")
+    plain = word.lower().strip(MARKS)
+    return plain if plain.isalpha() else _ENDS.sub("", plain).strip(MARKS).rstrip("!|")
 
 
 def disguised(word: str) -> bool:
     """Whether a word's core is a stretch: to be read by its lattice."""
-    return bool(_RUN.search(word) or _DISGUISE.search(word) or _SPACED.fullmatch(word))
+    return bool(_RUN.search(word) or not word.isalpha() and (_DISGUISE.search(word) or _SPACED.fullmatch(word)))
 
 
 def spaced(cores: list[str]) -> Iterator[tuple[int, int]]:
@@ -81,6 +83,14 @@ def spaced(cores: list[str]) -> Iterator[tuple[int, int]]:
             start = None
 
 
+def run_from(stretch: str, i: int) -> int:
+    """How often the character at i stands there in a row, if the run begins at i; else 1."""
+    n = 1
+    while not (i and stretch[i - 1] == stretch[i]) and i + n < len(stretch) and stretch[i + n] == stretch[i]:
+        n += 1
+    return n
+
+
 def lattice(stretch: str) -> list[list[tuple[str, int, float]]]:
     """For each place of the stretch the choices (text, characters read, log-probability)."""
     apart = " " in stretch or _SPACED.fullmatch(stretch)
@@ -89,11 +99,11 @@ def lattice(stretch: str) -> list[list[tuple[str, int, float]]]:
         if c == " " or apart and i % 2 and c in SEPARATORS:
             out.append([("", 1, NOTHING), (" ", 1, SPACE)])
         elif c in LEET:
-            out.append([(c, 1, ITSELF), *((x, 1, DISGUISED - math.log(len(LEET[c]))) for x in LEET[c])])
+            n = run_from(stretch, i)
+            letters = [(x, DISGUISED - math.log(len(LEET[c]))) for x in LEET[c]]
+            out.append([(c, 1, ITSELF), *((x, 1, p) for x, p in letters), *((x, n, p + ONE) for x, p in letters if n >= 3)])
         else:
-            n = 1
-            while i + n < len(stretch) and stretch[i + n] == c and not (i and stretch[i - 1] == c):
-                n += 1
+            n = run_from(stretch, i)
             out.append([(c, 1, 0.0), *([(c, n, ONE), (c + c, n, TWO)] if n >= 3 and c.isalpha() else [])])
     return out
 
@@ -169,16 +179,31 @@ def read(stretch: str, counts: dict[int, int], total: int) -> str:
     return "".join(reversed(out))
 
 
-def text_features(words: str) -> list[int]:
-    """Hashed words and word beginnings."""
-    bits = 64 - BITS
-    return [xxhash.xxh3_64_intdigest(x.encode(), k) >> bits for w in words.split() for k, x in ((1, w), *((k, w[:k]) for k in PREFIXES if len(w) > k))]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed features of each word, one after another, and how many each has: the word and its beginnings. An empty word has none."""
+    n, bits = len(words), 64 - BITS
+    length = np.fromiter(map(len, words), np.int64, n)
+    begin = np.cumsum(length) - length
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    found, has = np.empty((n, 1 + len(PREFIXES)), np.int64), np.zeros((n, 1 + len(PREFIXES)), bool)
+    found[:, 0] = [xxhash.xxh3_64_intdigest(w.encode(), 1) >> bits for w in words]
+    has[:, 0] = length > 0
+    value = np.zeros(n, np.uint64)
+    for k in range(PREFIXES.stop - 1):
+        longer = np.flatnonzero(length > k)
+        value[longer] = value[longer] * np.uint64(0x9E3779B97F4A7C15) + codes[begin[longer] + k] + np.uint64(1)
+        if k + 1 in PREFIXES:
+            column = 1 + PREFIXES.index(k + 1)
+            found[:, column] = (mixed(value + np.uint64(k)) >> np.uint64(bits)).astype(np.int64)
+            has[:, column] = length > k + 1
+    return found[has], has.sum(1)
 
 
 class Words:
     """What a worker remembers of words: their cores, features, and whether they are stretches or of one character."""
 
-    def __init__(self):
+    def __init__(self, features: bool = True):
+        self.wanted = features
         self.clear()
 
     def clear(self) -> None:
@@ -193,11 +218,11 @@ class Words:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             cores = [core(w.decode("utf-8", "replace")) for w in new]
             stretch = [disguised(c) for c in cores]
-            features = [[] if s else text_features(c) for c, s in zip(cores, stretch, strict=True)]
-            size = np.fromiter(map(len, features), np.int64, len(new))
-            self.begin = np.concatenate((self.begin, len(self.features) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.features = np.concatenate((self.features, np.fromiter((x for f in features for x in f), np.int64, int(size.sum()))))
+            if self.wanted:
+                features, size = word_features(["" if s else c for c, s in zip(cores, stretch, strict=True)])
+                self.begin = np.concatenate((self.begin, len(self.features) + np.cumsum(size) - size))
+                self.size = np.concatenate((self.size, size))
+                self.features = np.concatenate((self.features, features))
             self.stretch = np.concatenate((self.stretch, np.array(stretch, np.int64)))
             self.single = np.concatenate((self.single, np.array([len(c) == 1 and bool(_SINGLE.fullmatch(c)) for c in cores], np.int64)))
             self.cores += cores
@@ -231,7 +256,10 @@ class Words:
 def counted_grams(cores: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Grams of all orders within the words, each as often as its word."""
     text = " " + " ".join(cores) + " "
-    codes = np.frombuffer("".join(map(symbol, text)).encode("utf-16-le"), "<u2").astype(np.uint64)
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    small = codes < 65536
+    codes[~small | ~characters()[0][np.where(small, codes, 0)] & (codes != 32)] = ord(OTHER)
+    codes = codes.astype(np.uint64)
     word = np.cumsum(codes == 32) - 1  # of a word's symbols and the space before it
     weight = np.append(times, 0)[word]
     value, keys, counts = np.zeros(len(codes), np.uint64), [], []
@@ -241,8 +269,11 @@ def counted_grams(cores: list[str], times: np.ndarray) -> tuple[np.ndarray, np.n
         inside = (word[k:] == word[: len(codes) - k]) | ((codes[k:] == 32) & (word[k:] == word[: len(codes) - k] + 1)) if k else weight > 0
         keys.append(value[inside])
         counts.append(weight[: len(codes) - k][inside])
-    keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys.view(np.int64), np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first].view(np.int64), np.add.reduceat(counts, first)
 
 
 def gathered(df: DataFrame, text: str) -> DataFrame:
@@ -250,7 +281,7 @@ def gathered(df: DataFrame, text: str) -> DataFrame:
     modest_batches(df.sparkSession)
 
     def run(batches):
-        words, times, stretches = Words(), np.zeros(0, np.int64), set()
+        words, times, stretches = Words(features=False), np.zeros(0, np.int64), set()
 
         def out():
             keys, n = counted_grams(words.cores, times)
@@ -333,7 +364,7 @@ def restored(rows: DataFrame, read_as: DataFrame, sent: int = SENT) -> DataFrame
 
 
 def whole_features(x: np.ndarray, readings: list[str] | None) -> np.ndarray:
-    return np.unique(np.concatenate((np.asarray(x, np.int64), np.array(text_features(" ".join([] if readings is None else readings)), np.int64))))
+    return np.unique(np.concatenate((np.asarray(x, np.int64), word_features(" ".join([] if readings is None else readings).split())[0])))
 
 
 def trained(rows: DataFrame) -> np.ndarray:
