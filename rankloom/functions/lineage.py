@@ -58,3 +58,11 @@ def files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
         status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
         found.append((name, status.getLen(), status.getModificationTime()))
     return tuple(found)
+
+
+def delete(spark: SparkSession, names: list[str]) -> None:
+    """Delete files that `inputFiles` has named."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, False)

@@ -73,3 +73,17 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
         low, high = here(F.floor(place)), here(F.ceil(place))
         out.append((low + (high - low) * (F.max(place) - F.floor(F.max(place)))).alias(name))
     return both.groupBy(*keys).agg(*out)
+
+
+def sampled_within(df: DataFrame, keys: list[str], of: Column, most: int) -> DataFrame:
+    """At most `most` rows of each group, those whose `of` (unique in the group) comes first by `sample_order`.
+
+    Groups of any size: counts by the first three digits of the digest tell from which digit on no row can be taken, so that
+    hardly more than the sample is shuffled and ranked."""
+    rows = df.withColumn("_o", sample_order(of)).withColumn("_bin", F.substring("_o", 1, 3))
+    bins = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_n")
+    near = bins.withColumn("_before", before).where(F.col("_before") < most).select(*keys, "_bin")  # 4096 rows a group at the most
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_bin")]
+    kept = rows.alias("a").join(near.alias("b"), same, "left_semi")
+    return ranked(kept, keys, F.col("_o"), top=most, name="_r").drop("_o", "_bin", "_r")

@@ -57,10 +57,28 @@ def evaluation_sets(qrels: DataFrame) -> DataFrame:
     return own.groupBy("query_id").agg(ids(["E"]).alias("exact_ids"), ids(["E", "S"]).alias("exact_sub_ids"), F.countDistinct("item_id").alias("n_labeled"))
 
 
+def labels_by_item(qrels: DataFrame, order: list[str]) -> DataFrame:
+    """(query_id, item_id, label): of repeated items of a query the last label in `order` counts; of the same place the greatest."""
+    last = F.max(F.struct(*order, F.col("label").alias("_label")))["_label"]
+    return qrels.groupBy("query_id", "item_id").agg(last.alias("label"))
+
+
+def per_query_means(qrels: DataFrame) -> DataFrame:
+    """One row: how many queries there are, and per query the mean of its rows, of its distinct items, and of its distinct exact items."""
+    each = qrels.groupBy("query_id").agg(F.count("*").alias("rows"), F.countDistinct("item_id").alias("items"), F.countDistinct(F.when(F.col("label") == "E", F.col("item_id"))).alias("exact"))
+    mean = lambda c: F.round(F.coalesce(F.sum(c) / F.count("*"), F.lit(0.0)), 6).alias(f"mean_{c}")
+    return each.agg(F.count("*").alias("n_queries"), mean("rows"), mean("items"), mean("exact"))
+
+
+def pool_rows(qrels: DataFrame, queries: DataFrame, split: str, most: int) -> DataFrame:
+    """The labelled rows of a sample of one split's queries."""
+    chosen = sampled_queries(queries.where(F.col("split") == split), most)
+    return qrels.join(chosen.select("query_id"), "query_id", "left_semi")
+
+
 def curated_pool(qrels: DataFrame, queries: DataFrame, split: str, most: int) -> DataFrame:
     """The distinct items labelled for a sample of one split's queries."""
-    chosen = sampled_queries(queries.where(F.col("split") == split), most)
-    return qrels.join(chosen.select("query_id"), "query_id", "left_semi").select("item_id").distinct()
+    return pool_rows(qrels, queries, split, most).select("item_id").distinct()
 
 
 def label_distribution(qrels: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ Interactions: (user_id, item_id, ts) with further columns that settle ties where
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import checked_broadcast, cut
-from rankloom.functions.ranking import best_first, numbered, ranked, sample_order
+from rankloom.functions.ranking import best_first, numbered, ranked, running, sample_order
 from rankloom.operators import dense
 
 #: Items that are sent to every executor at the most.
@@ -86,15 +88,46 @@ def vector_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None = Non
     return dense.search(items, users, top, had).withColumnRenamed("query_id", "user_id")
 
 
-def oracle_slate(slate: DataFrame, targets: DataFrame) -> DataFrame:
-    """The slate with the target in the last place where it was missing; an empty slate gets it at 1."""
-    t = targets.select("user_id", F.col("item_id").alias("target"))
-    w = Window.partitionBy("user_id")
-    rows = t.join(slate.select("user_id", "item_id", "rank"), "user_id", "left")
+def oracle_slate(slate: DataFrame, targets: DataFrame, keys: list[str] = ["user_id"]) -> DataFrame:  # noqa: B006
+    """The slate of each of `keys` with the target in the last place where it was missing; an empty slate gets it at 1."""
+    t = targets.select(*keys, F.col("item_id").alias("target"))
+    w = Window.partitionBy(*keys)
+    rows = t.join(slate.select(*keys, "item_id", "rank"), keys, "left")
     there = F.max((F.col("item_id") == F.col("target")).cast("int")).over(w)
     last = F.max("rank").over(w)
     item = F.when(F.col("rank").isNull() | ((F.col("rank") == last) & (there == 0)), F.col("target")).otherwise(F.col("item_id"))
-    return rows.select("user_id", item.alias("item_id"), F.coalesce("rank", F.lit(1)).alias("rank"))
+    return rows.select(*keys, item.alias("item_id"), F.coalesce("rank", F.lit(1)).alias("rank"))
+
+
+def stacked(slates: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
+    """(retriever, mode, user_id, item_id, rank): the slates of all retrievers as they are (natural) and with the target in them (oracle).
+
+    A user without a target is left out; one that a retriever has nothing for has an oracle slate only."""
+    parts = [s.select(F.lit(name).alias("retriever"), "user_id", "item_id", "rank") for name, s in slates.items()]
+    natural = reduce(DataFrame.unionByName, parts).join(targets.select("user_id"), "user_id", "left_semi").select("retriever", "user_id", "item_id", "rank")
+    wanted = targets.select(F.explode(F.array(*map(F.lit, slates))).alias("retriever"), "user_id", "item_id")
+    oracle = oracle_slate(natural, wanted, ["retriever", "user_id"])
+    named = lambda df, mode: df.select("retriever", F.lit(mode).alias("mode"), "user_id", "item_id", "rank")
+    return named(natural, "natural").unionByName(named(oracle, "oracle"))
+
+
+def with_orders(slates: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Stacked slates in the order they came in and in that of the model's outputs (retriever, mode, user_id, raw)."""
+    keys = ["retriever", "mode", "user_id"]
+    named = lambda df, order: df.select("retriever", "mode", F.lit(order).alias("ordering"), "user_id", "item_id", "rank")
+    return named(slates, "incoming").unionByName(named(permuted(slates, outputs, keys), "permuted"))
+
+
+def stacked_metrics(slates: DataFrame, targets: DataFrame) -> DataFrame:
+    """Recall, NDCG and MRR over all users with a target of every retriever, mode and order, in one pass over the slates."""
+    hit = slates.join(targets.select("user_id", F.col("item_id").alias("target")), "user_id")
+    place = F.when(F.col("item_id") == F.col("target"), F.col("rank"))
+    best = hit.groupBy("retriever", "mode", "ordering", "user_id").agg(F.min(place).alias("rank"))
+    users = targets.agg(F.count("*").alias("n_users"))
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0.0)))
+    sums = best.groupBy("retriever", "mode", "ordering").agg(total(F.when(F.col("rank").isNotNull(), 1.0)).alias("recall"), total(1 / F.log2(F.col("rank") + 1)).alias("ndcg"), total(1 / F.col("rank")).alias("mrr"))
+    mean = lambda c: F.round(F.col(c) / F.col("n_users"), 6).alias(c)
+    return sums.crossJoin(F.broadcast(users)).select("retriever", "mode", "ordering", "n_users", mean("recall"), mean("ndcg"), mean("mrr"))
 
 
 def slate_metrics(slate: DataFrame, targets: DataFrame) -> DataFrame:
@@ -105,12 +138,13 @@ def slate_metrics(slate: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_users"), mean(F.when(F.col("rank").isNotNull(), 1.0)).alias("recall"), mean(1 / F.log2(F.col("rank") + 1)).alias("ndcg"), mean(1 / F.col("rank")).alias("mrr"))
 
 
-def prompts(train: DataFrame, slate: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(user_id, prompt): JSON of the history and the candidates with their text, never the target."""
+def prompts(train: DataFrame, slate: DataFrame, metadata: DataFrame, scores: bool = False) -> DataFrame:
+    """(user_id, prompt): JSON of the history and the candidates with their text and, if wanted, the retriever's scores; never the target."""
+    own = ["score"] if scores else []
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda p: p["v"])
     past = train.groupBy("user_id").agg(ordered(F.struct(F.col("pos"), F.col("item_id").alias("v"))).alias("history"))
     seen = slate.join(metadata.select("item_id", "text"), "item_id", "left")
-    options = seen.groupBy("user_id").agg(ordered(F.struct("rank", F.struct("item_id", "text").alias("v"))).alias("candidates"))
+    options = seen.groupBy("user_id").agg(ordered(F.struct("rank", F.struct("item_id", "text", *own).alias("v"))).alias("candidates"))
     return options.join(past, "user_id", "left").select("user_id", F.to_json(F.struct("history", "candidates")).alias("prompt"))
 
 
@@ -131,11 +165,11 @@ def validity(both: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), rate(ok).alias("valid_json"), rate(~ok).alias("parse_failure"), rate(whole).alias("valid_permutation"), rate(ok & twice).alias("duplicate"), rate(ok & lacks).alias("missing"), rate(ok & extra).alias("out_of_candidate"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("latency_ms", "tokens") if c in both.columns])
 
 
-def permuted(slate: DataFrame, outputs: DataFrame) -> DataFrame:
+def permuted(slate: DataFrame, outputs: DataFrame, keys: list[str] = ["user_id"]) -> DataFrame:  # noqa: B006
     """The slate in the order of the output: named items first, each at its first mention, then the rest as they were."""
-    named = outputs.select("user_id", F.posexplode(F.from_json("raw", "array<bigint>")).alias("at", "item_id")).groupBy("user_id", "item_id").agg(F.min("at").alias("at"))
-    rows = slate.select("user_id", "item_id", F.col("rank").alias("_was")).join(named, ["user_id", "item_id"], "left")
-    return ranked(rows, ["user_id"], F.col("at").asc_nulls_last(), F.col("_was")).select("user_id", "item_id", "rank")
+    named = outputs.select(*keys, F.posexplode(F.from_json("raw", "array<bigint>")).alias("at", "item_id")).groupBy(*keys, "item_id").agg(F.min("at").alias("at"))
+    rows = slate.select(*keys, "item_id", F.col("rank").alias("_was")).join(named, [*keys, "item_id"], "left")
+    return ranked(rows, keys, F.col("at").asc_nulls_last(), F.col("_was")).select(*keys, "item_id", "rank")
 
 
 def identity_rate(both: DataFrame) -> DataFrame:
@@ -144,15 +178,13 @@ def identity_rate(both: DataFrame) -> DataFrame:
 
 def leakage(train: DataFrame, targets: DataFrame) -> DataFrame:
     """Histories that hold their own target, train rows counted twice as targets, and the mean over users of the share of
-    train rows later than the user's target, by running counts over distinct times."""
+    train rows later than the user's target, by running counts over distinct times, which are dealt out by range."""
     held = train.join(targets.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").agg(F.count("*").alias("target_in_history"))
     outside = train.join(targets.select("user_id", "pos"), ["user_id", "pos"], "left_semi").agg(F.count("*").alias("outside_prefix"))
     times = train.groupBy("ts").agg(F.count("*").alias("n")).unionByName(targets.groupBy("ts").agg(F.lit(0).cast("long").alias("n"))).groupBy("ts").agg(F.sum("n").alias("n"))
-    by_day = times.withColumn("day", F.to_date("ts"))
-    days = by_day.groupBy("day").agg(F.sum("n").alias("d"))  # one row a day
-    ahead = days.withColumn("later_days", F.sum("d").over(Window.orderBy(F.col("day").desc())) - F.col("d")).select("day", "later_days")
-    own = Window.partitionBy("day").orderBy(F.col("ts").desc())
-    later = by_day.join(F.broadcast(ahead), "day").withColumn("later", F.sum("n").over(own) - F.col("n") + F.col("later_days")).select("ts", "later")
+    rows = running(times, [], ["ts"], "n", "earlier")
+    everything = times.agg(F.sum("n").alias("everything"))
+    later = rows.crossJoin(F.broadcast(everything)).select("ts", (F.col("everything") - F.col("earlier") - F.col("n")).alias("later"))
     total = train.agg(F.count("*").cast("double").alias("total"))
     share = targets.join(later, "ts").crossJoin(F.broadcast(total)).agg(F.round(F.avg(F.col("later") / F.col("total")), 6).alias("later_share"))
     return held.crossJoin(outside).crossJoin(share)

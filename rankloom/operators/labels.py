@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import exists
+from rankloom.functions.lineage import delete, exists
 from rankloom.functions.ranking import LABELS, quantiles, ranked, sample_order
 from rankloom.functions.text import filled
 
@@ -25,6 +25,41 @@ def upserted(store: DataFrame, new: DataFrame) -> DataFrame:
     return ranked(both, ["query_id", "item_id"], F.col("labeled_at").desc(), F.col("label").desc(), top=1, name="_r").drop("_r")
 
 
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("query_id", "item_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def append(new: DataFrame, store: str, buckets: int = 64) -> None:
+    """Add rows to a store in buckets; nothing that is there is read or written. Its number of buckets must stay the same."""
+    new.select(*[f.split()[0] for f in STORE.split(", ")], bucket(buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(store)
+
+
+def latest(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame:
+    """The rows of a store in buckets as `upserted` would leave them; of some buckets only, if named. An empty store has none."""
+    if not exists(spark, store):
+        return spark.createDataFrame([], STORE)
+    rows = spark.read.schema(f"{STORE}, bucket int").parquet(store)
+    rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+    return upserted(rows.drop("bucket"), rows.drop("bucket").limit(0))
+
+
+def compact(spark: SparkSession, store: str, most_files: int = 1) -> list[int]:
+    """Rewrite the buckets of more than `most_files` files as their latest rows; returns these buckets.
+
+    The new file stands beside the old ones before they are deleted, and reading takes the latest row of each key, so that a
+    run which is broken off changes no result. Nothing else may append to the store meanwhile.
+    """
+    old: dict[int, list[str]] = {}
+    for name in spark.read.parquet(store).inputFiles():
+        old.setdefault(int(name.rpartition("bucket=")[2].partition("/")[0]), []).append(name)
+    touched = sorted(b for b, names in old.items() if len(names) > most_files)
+    for b in touched:
+        rows = spark.read.schema(STORE).parquet(*old[b])
+        upserted(rows, rows.limit(0)).withColumn("bucket", F.lit(b)).coalesce(1).write.mode("append").partitionBy("bucket").parquet(store)
+        delete(spark, old[b])
+    return touched
+
+
 def looked_up(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """The pairs with their stored label, null if there is none."""
     keys = pairs.select(F.col("query_id").cast("string").alias("query_id"), F.col("item_id").cast("string").alias("item_id"))
@@ -81,6 +116,12 @@ def chosen(scores: DataFrame, most: int, share: float = 0.6, seed: int = 42) ->
     return top.unionByName(drawn)
 
 
+def labelled_items(selected: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, query, item_id, label) of the selected queries that have labelled items."""
+    rows = qrels.select("query_id", "item_id", "label").join(selected.select("query_id"), "query_id", "left_semi")
+    return rows.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "item_id", "label")
+
+
 def disagreement_stats(scores: DataFrame, selected: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 6)
     spread = quantiles(selected, [], "disagreement", {"p50_chosen": 0.5, "p90_chosen": 0.9}).select(r("p50_chosen").alias("p50_chosen"), r("p90_chosen").alias("p90_chosen"))
@@ -162,6 +203,12 @@ def estimated_pairs(n_queries: Column, top: int, stored: Column) -> Column:
     return F.greatest(F.lit(0), F.lit(int(top * 3 * 0.4)) * n_queries - stored)
 
 
+def dry_run_estimate(queries: DataFrame, store: DataFrame, top: int, concurrency: int = 100) -> DataFrame:
+    """The dry run where there are no retrieval results to count."""
+    counts = queries.agg(F.countDistinct("query_id").alias("n")).crossJoin(store.agg(F.count("*").alias("stored")))
+    return dry_run(counts.select(estimated_pairs(F.col("n"), top, F.col("stored")).alias("new")), concurrency)
+
+
 def agreement(responses: DataFrame) -> DataFrame:
     """Per gold label, and `all`: valid answers, correct ones and their share. Errors aren't valid."""
     valid = responses.withColumn("pred", parsed(F.col("raw"))).where("pred <> '?'")

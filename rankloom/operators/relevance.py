@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import GRADED, LABELS, POOL_GAINS, mapped, quantiles, ranked, running
+from rankloom.functions.ranking import GRADED, LABELS, POOL_GAINS, mapped, quantiles, ranked, running, sampled_within
 
 KS = [10, 20, 50]
 
@@ -162,6 +162,12 @@ def score_quantiles(scored: DataFrame, at: tuple[float, ...] = (0.0, 0.25, 0.5,
     return found.select("method", "label", *[F.round(c, 9).alias(c) for c in names])
 
 
+def score_points(scored: DataFrame, most: int = 50_000) -> DataFrame:
+    """(method, label, query_id, item_id, score): the points behind a box plot, at most `most` of each method and label."""
+    rows = scored.where(F.col("label").isin(LABELS)).select("method", "label", "query_id", "item_id", "score")
+    return sampled_within(rows, ["method", "label"], F.concat_ws(":", "query_id", "item_id"), most)
+
+
 def label_bars(scored: DataFrame, ks: list[int] = KS) -> DataFrame:
     rows = candidate_scoring(scored, ks)
     pairs = F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[f"share_{x.lower()}" for x in LABELS]))

@@ -4,27 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import exists
 from rankloom.functions.ranking import best_first, ranked, rounded
-from rankloom.operators import blockindex
-
-
-def encoded(df: DataFrame, key: str, text: str, make_encoder: Callable[[], Callable[[list[str]], list[dict[int, float]]]], batch: int = 256) -> DataFrame:
-    """(key, term_id, weight) by a user's encoder, which is made once in each partition."""
-
-    def run(frames):
-        encoder = make_encoder()
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                part = frame.iloc[i : i + batch]
-                rows = [(k, int(t), float(w)) for k, v in zip(part[key], encoder(part[text].fillna("").tolist()), strict=True) for t, w in v.items()]
-                yield pd.DataFrame(rows, columns=[key, "term_id", "weight"])
-
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, term_id int, weight double")
+from rankloom.operators import blockindex, encoding
 
 
 def pooled(logits: DataFrame) -> DataFrame:
@@ -97,19 +82,18 @@ def missing(texts: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return texts.join(done.select(key).distinct(), key, "left_anti")
 
 
-def resumed(texts: DataFrame, key: str, text: str, make_encoder: Callable, path: str, batches: int = 4) -> DataFrame:
+def resumed(texts: DataFrame, key: str, text: str, make_encoder: Callable[[], Callable[[list[str]], encoding.Sparse]], path: str, batches: int = 4) -> DataFrame:
     """(key, term_id, weight) of all texts, encoding only those that `path` lacks, one of `batches` parts after another.
 
-    Each part is appended as (key, terms), a row for every text, also one without terms, so that a run which was broken
+    Each part is appended as (key, term_ids, weights), a row for every text, also one without terms, so that a run which was broken
     off goes on after its last whole part. What a part left unfinished Spark's writer never shows.
     """
     spark = texts.sparkSession
     part = F.pmod(F.xxhash64(key), F.lit(batches))
-    schema = f"{key} {texts.schema[key].dataType.simpleString()}, terms array<struct<term_id:int,weight:double>>"
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, term_ids array<int>, weights array<double>"
     for i in range(batches):
         todo = texts.where(part == i)
         if exists(spark, path):
             todo = missing(todo, spark.read.schema(schema).parquet(path), key)
-        terms = encoded(todo, key, text, make_encoder).groupBy(key).agg(F.collect_list(F.struct("term_id", "weight")).alias("terms"))
-        todo.select(key).join(terms, key, "left").write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path).select(key, F.inline("terms"))
+        encoding.sparse(todo, key, text, make_encoder).write.mode("append").parquet(path)
+    return encoding.opened(spark.read.schema(schema).parquet(path), key)

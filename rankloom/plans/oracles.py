@@ -112,6 +112,19 @@ CTE: dict[str, str] = {n: fixtures.inlined(n) for n in fixtures.SQL} | {
         WHEN 4 THEN '[' || array_to_string(list_append(ids[:len(ids) - 1], 999999), ',') || ']' ELSE 'not json' END AS raw, ids AS incoming, user_id * 37 % 900 + 100 AS latency_ms, user_id % 50 + 20 AS tokens
         FROM (SELECT user_id, list(CAST(item_id AS BIGINT) ORDER BY rank) AS ids FROM popular GROUP BY 1)""",
     "outs": "SELECT user_id, incoming, latency_ms, tokens, CASE WHEN raw LIKE '[%' THEN CAST(CAST(raw AS JSON) AS BIGINT[]) END AS ids FROM fx_outputs",
+    "variants": "SELECT 'a' AS model, query_id, item_id, score, rank FROM sparse WHERE rank <= 10 UNION ALL SELECT 'b', query_id, item_id, round(score, 6), rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(sum(tf * qtf), 6) AS score FROM itf JOIN qtf USING (term) GROUP BY ALL)) WHERE rank <= 10",
+    "vruns": "SELECT query_id, method, method_ord, item_id, rank FROM runs WHERE method <> 'sparse' UNION ALL SELECT query_id, concat('sparse_', model), CASE model WHEN 'a' THEN 1 ELSE 3 END, item_id, rank FROM variants",
+    "near": "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(list_sum(list_transform(list_zip(u.v, i.vector), lambda x: x[1] * CAST(x[2] AS DOUBLE))), 6) AS score FROM uvec u, fx_items i WHERE NOT EXISTS (FROM train t WHERE t.user_id = u.user_id AND t.item_id = i.item_id)) QUALIFY rank <= 10",
+    "nslates": "SELECT * FROM (SELECT 'popularity' AS retriever, user_id, item_id, rank FROM popular UNION ALL SELECT 'history', user_id, item_id, rank FROM near UNION ALL SELECT 'user_vector', query_id, item_id, rank FROM dense WHERE rank <= 10) SEMI JOIN target USING (user_id)",
+    "stack": """SELECT retriever, 'natural' AS mode, user_id, item_id, rank FROM nslates UNION ALL
+        SELECT v.retriever, 'oracle', v.user_id, CASE WHEN rank IS NULL OR (rank = max(rank) OVER w AND max(CASE WHEN n.item_id = v.item_id THEN 1 ELSE 0 END) OVER w = 0) THEN v.item_id ELSE n.item_id END, coalesce(rank, 1)
+        FROM (SELECT r.retriever, t.user_id, t.item_id FROM target t, (VALUES ('popularity'), ('history'), ('user_vector')) r(retriever)) v LEFT JOIN nslates n ON n.retriever = v.retriever AND n.user_id = v.user_id
+        WINDOW w AS (PARTITION BY v.retriever, v.user_id)""",
+    "made": """SELECT retriever, mode, user_id, CASE user_id % 6 WHEN 0 THEN list_reverse(ids) WHEN 1 THEN ids WHEN 2 THEN list_append(ids[1:len(ids) - 1], ids[1]) WHEN 3 THEN ids[1:len(ids) - 1] WHEN 4 THEN list_append(ids[1:len(ids) - 1], 999999) END AS ids
+        FROM (SELECT retriever, mode, user_id, list(CAST(item_id AS BIGINT) ORDER BY rank) AS ids FROM stack GROUP BY ALL)""",
+    "orders": """SELECT retriever, mode, 'incoming' AS ordering, user_id, item_id, rank FROM stack UNION ALL
+        SELECT s.retriever, s.mode, 'permuted', s.user_id, s.item_id, row_number() OVER (PARTITION BY s.retriever, s.mode, s.user_id ORDER BY coalesce(nullif(list_position(m.ids, s.item_id), 0), 999999), s.rank)
+        FROM stack s JOIN made m ON s.retriever = m.retriever AND s.mode = m.mode AND s.user_id = m.user_id""",
     "perm": "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(spot, 999999), was) AS rank FROM (SELECT p.user_id, p.item_id, p.rank AS was, nullif(list_position(o.ids, p.item_id), 0) AS spot FROM popular p JOIN outs o USING (user_id))",
 }
 
@@ -191,9 +204,11 @@ FINAL = {
     "sparse_score_candidates": "SELECT query_id, item_id, score FROM scand",
     "term_expansion": "SELECT query_id, term, weight, rank, CASE WHEN o THEN 'ORIGINAL' ELSE 'EXPANDED' END AS kind, n_terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT query_id, term, round(ln(1 + qtf), 6) AS weight, true AS o FROM qtf UNION ALL SELECT query_id, term || '_x', round(0.5e0 * ln(1 + qtf), 6), false FROM qtf)) WHERE rank <= 20",
     "sparse_stats": "SELECT n_rows, nnz, round(nnz / (n_rows * 30522.0e0), 12) AS density FROM (SELECT count(*) AS n_rows FROM fx_catalog), (SELECT count(*) AS nnz FROM sitem)",
-    "sparse_variants": "SELECT 'a' AS model, query_id, item_id, score, rank FROM sparse WHERE rank <= 10 UNION ALL SELECT 'b', query_id, item_id, round(score, 6), rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(sum(tf * qtf), 6) AS score FROM itf JOIN qtf USING (term) GROUP BY ALL)) WHERE rank <= 10",
+    "sparse_variants": "SELECT * FROM variants",
     "encode_missing": "SELECT item_id FROM fx_catalog WHERE item_id NOT IN (SELECT item_id FROM fx_items)",
     "encode_batches": f"SELECT item_id, CAST({_NUMBER} AS INT) AS term_id, CAST(count(*) AS DOUBLE) AS weight FROM {_WORDS} GROUP BY ALL",
+    "encode_dense": f"SELECT item_id, CAST({_NUMBER} % 16 AS INT) AS dim, CAST(count(*) AS DOUBLE) AS value FROM {_WORDS} GROUP BY ALL",
+    "splade_pool_matrices": "SELECT item_id, CAST(term_id AS INT) AS term_id, weight FROM (SELECT item_id, term_id, round(max(ln(1 + greatest(logit, 0.0e0)) * mask), 6) AS weight FROM fx_logits GROUP BY ALL) WHERE weight > 0",
     "encode_resume": f"SELECT item_id, count(*) AS n_terms, CAST(sum(n) AS DOUBLE) AS weight, (SELECT count(DISTINCT item_id) FROM {_WORDS} WHERE item_id % 2 = 0) AS resumed_after FROM (SELECT item_id, {_NUMBER} AS t, count(*) AS n FROM {_WORDS} GROUP BY ALL) GROUP BY 1",
     "sparse_first_available": f"SELECT 'b' AS model, query_id, item_id, score, rank FROM {_RAW_COUNTS} WHERE rank <= 10",
     "l2_normalise": "SELECT item_id, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x))), 6) AS total FROM fx_items",
@@ -222,6 +237,16 @@ FINAL = {
     "per_label_score_stats": "SELECT method, label, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, round(stddev_pop(score), 6) AS std, min(score) AS min, max(score) AS max FROM scored GROUP BY ALL",
     "method_comparison": "SELECT method, ndcg AS ndcg_10, mrr AS mrr_10, precision AS precision_10, round(100 * share_e, 4) AS e_pct_10, round(100 * share_i, 4) AS i_pct_10, auc FROM cs WHERE k = 10",
     "curated_table": "SELECT method, " + ", ".join(f"max(CASE WHEN k = {k} THEN ndcg END) AS ndcg_{k}" for k in (10, 20, 50)) + ", max(CASE WHEN k = 10 THEN mrr END) AS mrr_10, max(CASE WHEN k = 10 THEN num_queries END) AS num_queries FROM cur GROUP BY 1",
+    "slate_metrics_stacked": "SELECT retriever, mode, ordering, n_users, round(sum(CASE WHEN o.item_id = t.item_id THEN 1.0e0 ELSE 0 END) / n_users, 6) AS recall, round(sum(CASE WHEN o.item_id = t.item_id THEN 1 / log2(rank + 1) ELSE 0 END) / n_users, 6) AS ndcg, round(sum(CASE WHEN o.item_id = t.item_id THEN 1.0e0 / rank ELSE 0 END) / n_users, 6) AS mrr FROM orders o JOIN target t USING (user_id), (SELECT count(*) AS n_users FROM target) GROUP BY retriever, mode, ordering, n_users",
+    "score_points": "SELECT method, label, query_id, item_id, score FROM scored WHERE label IN ('E', 'S', 'C', 'I') QUALIFY row_number() OVER (PARTITION BY method, label ORDER BY md5(concat('42:', query_id, ':', item_id))) <= 1000",
+    "interactions_jsonl": "SELECT user_id, item_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id FROM fx_interactions",
+    "query_candidates_mean": "SELECT count(*) AS n_queries, round(sum(n) / count(*), 6) AS mean_candidates FROM (SELECT query_id, count(*) AS n FROM fx_qrels JOIN fx_queries USING (query_id) GROUP BY 1)",
+    "eval_query_labels": "SELECT query_id, item_id, CASE WHEN item_id % 4 = 0 THEN 'C' ELSE label END AS label FROM fx_qrels",
+    "eval_queries_mean": "SELECT count(*) AS n_queries, round(sum(n) / count(*), 6) AS mean_exact FROM (SELECT query_id, count(DISTINCT CASE WHEN label = 'E' THEN item_id END) AS n FROM fx_qrels GROUP BY 1)",
+    "curated_pool_means": "SELECT count(*) AS n_queries, round(sum(n) / count(*), 6) AS mean_labeled FROM (SELECT query_id, count(DISTINCT item_id) AS n FROM fx_qrels JOIN (SELECT query_id FROM fx_queries WHERE split = 'test' ORDER BY md5(concat('42:', query_id)), query_id LIMIT 20) USING (query_id) GROUP BY 1)",
+    "selected_query_data": "SELECT query_id, query, item_id, label FROM fx_qrels JOIN fx_queries USING (query_id) SEMI JOIN pick USING (query_id)",
+    "labeling_dry_run_estimate": "SELECT new, round(new * ((400 * 0.10e0 + 2 * 0.40e0) / 1e6), 9) AS usd, round(new / 1.8e0 / 100.0e0 / 3600, 9) AS hours FROM (SELECT greatest(0, 60 * (SELECT count(DISTINCT query_id) FROM fx_queries) - (SELECT count(*) FROM fx_store)) AS new)",
+    "label_store_buckets": "SELECT * FROM ups",
     "score_quantiles": "SELECT method, label, " + ", ".join(f"round(quantile_cont(score, {p}), 9) AS q{int(p * 100)}" for p in (0.0, 0.25, 0.5, 0.75, 1.0)) + " FROM scored GROUP BY ALL",
     "label_dist_bars": " UNION ALL ".join(f"SELECT method, k, '{x}' AS label, round(100 * share_{x.lower()}, 4) AS pct FROM cs" for x in "ESCI"),
     "method_report": " UNION ALL ".join(f"SELECT method, '{x}@' || k AS metric, {x} AS value FROM cs" for x in ("ndcg", "mrr", "precision")) + " UNION ALL SELECT method, 'auc', auc FROM auc",
@@ -269,4 +294,6 @@ FINAL = {
     "leakage_report": "SELECT (SELECT count(*) FROM train SEMI JOIN target USING (user_id, item_id)) AS target_in_history, (SELECT count(*) FROM train SEMI JOIN target USING (user_id, pos)) AS outside_prefix, (SELECT round(avg(later / total), 6) FROM (SELECT t.user_id, count(r.ts) AS later FROM target t LEFT JOIN train r ON r.ts > t.ts GROUP BY 1), (SELECT CAST(count(*) AS DOUBLE) AS total FROM train)) AS later_share",
 }
 
+FINAL["side_by_side_variants"] = re.sub(r"\bruns\b", "vruns", FINAL["side_by_side"])
+FINAL["listwise_prompts_scored"] = FINAL["listwise_prompts"].replace("|| '}', ','", "|| ',\"score\":' || score || '}', ','")
 ORACLES = {name: with_ctes(sql) if not sql.startswith("WITH") else sql for name, sql in FINAL.items()}

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from functools import cached_property, reduce, wraps
+from hashlib import md5
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut, exists, files, new_path
 from rankloom.functions.text import counted_tokens
-from rankloom.operators import blockindex, catalog, dense, funnel, fusion, labels, lexical, relevance, sparse
+from rankloom.operators import blockindex, catalog, dense, encoding, funnel, fusion, labels, lexical, relevance, sparse
 from rankloom.plans.fixtures import fixture
 from rankloom.sources import tables
 
@@ -161,9 +165,28 @@ def _required(x: Inputs) -> DataFrame:
     return x.qrels.where("split = 'test'").select(F.col("item_id").cast("string").alias("product_id")).distinct()
 
 
+def _examples(x: Inputs) -> DataFrame:
+    return x.qrels.join(x.queries.select("query_id", "query"), "query_id").select("query_id", "query", "item_id", "label", F.when(F.col("item_id") % 10 < 8, "us").otherwise("es").alias("locale"), "split")
+
+
 def _judgments(x: Inputs) -> DataFrame:
-    examples = x.qrels.join(x.queries.select("query_id", "query"), "query_id").withColumn("locale", F.when(F.col("item_id") % 10 < 8, "us").otherwise("es"))
-    return tables.judgments(examples, "us", "test")
+    """The examples written by locale and split, of which one part is read."""
+    path = new_path(x.spark, "examples")
+    tables.write_partitioned(_examples(x), path, ["locale", "split"])
+    return tables.judgments_at(x.spark, path, "us", "test")
+
+
+def _catalog_scan(x: Inputs) -> DataFrame:
+    path = new_path(x.spark, "products")
+    tables.write_partitioned(x.products, path, ["product_locale"])
+    return tables.catalog_at(x.spark, path, "us")
+
+
+def _interactions(x: Inputs) -> DataFrame:
+    """The interactions as lines of JSON, read again."""
+    path = new_path(x.spark, "interactions")
+    x.interactions.select("user_id", "item_id", F.col("ts").cast("timestamp").alias("ts"), "event_id").write.json(path)
+    return tables.interactions_jsonl(x.spark, path).select("user_id", "item_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_id")
 
 
 def _save_load(x: Inputs) -> DataFrame:
@@ -209,14 +232,47 @@ def _variants(x: Inputs) -> DataFrame:
     return sparse.by_variant(both(items, "item_id"), both(x.query_terms(), "query_id"), 10)
 
 
+def word_numbers(text: str) -> dict[int, float]:
+    """How often each word occurs, by a number from its digest."""
+    found = Counter(re.findall(r"[^ \t\n\r\f\v]+", text))
+    made: dict[int, float] = {}
+    for word, n in found.items():
+        number = int(md5(word.encode()).hexdigest()[:8], 16) % 30522
+        made[number] = made.get(number, 0.0) + n
+    return made
+
+
 def hashing_encoder():
-    """Stands in for a model: term numbers from a digest of each word, weights from their counts."""
-    import re
-    from collections import Counter
-    from hashlib import md5
+    """Stands in for a sparse model."""
+    return encoding.of_dicts(lambda texts: list(map(word_numbers, texts)))
+
+
+def hashing_dense_encoder():
+    """Stands in for a dense model: counts of words by the last four bits of their numbers."""
+
+    def encode(texts):
+        made = np.zeros((len(texts), 16))
+        for row, text in zip(made, texts, strict=True):
+            for number, n in word_numbers(text).items():
+                row[number % 16] += n
+        return made
 
-    number = lambda w: int(md5(w.encode()).hexdigest()[:8], 16) % 30522
-    return lambda texts: [{t: float(n) for t, n in Counter(number(w) for w in re.findall(r"[^ \t\n\r\f\v]+", text)).items()} for text in texts]
+    return encode
+
+
+def _encoded_dense(x: Inputs) -> DataFrame:
+    vectors = encoding.dense(x.catalog, "item_id", "text", hashing_dense_encoder)
+    return vectors.select("item_id", F.posexplode("vector").alias("dim", "value")).where("value <> 0").withColumn("value", F.col("value").cast("double"))
+
+
+def _pooled_matrices(x: Inputs) -> DataFrame:
+    """The logits as matrices of 50 terms, a row for each item and half of its positions; a masked logit counts as none."""
+    cell = F.max(F.when(F.col("mask") == 1, F.col("logit")).otherwise(0.0))
+    cells = x.logits.groupBy("item_id", "position", "term_id").agg(cell.alias("v"))
+    lines = cells.groupBy("item_id", "position").agg(F.map_from_entries(F.collect_list(F.struct("term_id", "v"))).alias("m"))
+    full = lines.select("item_id", (F.col("position") % 2).alias("half"), F.transform(F.sequence(F.lit(0), F.lit(49)), lambda t: F.coalesce(F.col("m")[t.cast("long")], F.lit(0.0))).alias("line"))
+    packed = full.groupBy("item_id", "half").agg(F.flatten(F.collect_list("line")).alias("logits"), F.collect_list(F.lit(1)).alias("mask"))
+    return encoding.pooled(packed, "item_id", 50)
 
 
 def _resumed(x: Inputs) -> DataFrame:
@@ -263,6 +319,25 @@ def _unit_total(x: Inputs) -> DataFrame:
     return x.items.select("item_id", F.round(F.aggregate(dense.unit(tripled), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
+def _label_store(x: Inputs) -> DataFrame:
+    """The store and its news appended in buckets, half of the news twice, then compacted."""
+    path = new_path(x.spark, "labels")
+    for rows in (x.store(), x.news(), x.news().where("CAST(item_id AS BIGINT) % 2 = 0")):
+        labels.append(rows, path, 8)
+    labels.compact(x.spark, path)
+    return labels.latest(x.spark, path)
+
+
+def _side_by_side(x: Inputs) -> DataFrame:
+    """The demo with the lexical, the dense and every sparse variant's list, and the fusion of them all."""
+    variants = cut(_variants(x))
+    own = {f"sparse_{m}": variants.where(F.col("model") == m).select("query_id", "item_id", "score", "rank") for m in ("a", "b")}
+    run = x.runs().where("method <> 'sparse'").select("query_id", "method", "method_ord", "item_id", "score", "rank")
+    order = F.when(F.col("method") == "sparse_a", 1).otherwise(3)
+    more = fusion.method_runs(own).withColumn("method_ord", order)
+    return fusion.side_by_side(run.unionByName(more), x.catalog.where("item_id % 7 <> 0"))
+
+
 def _incremental(x: Inputs) -> DataFrame:
     cache = x.queries.where("query_id % 2 = 0").select("query_id", F.lit(0.25).alias("disagreement"))
     runs = x.runs()
@@ -302,6 +377,24 @@ def _slate_metrics(x: Inputs) -> DataFrame:
     return named("natural", slate).unionByName(named("oracle", funnel.oracle_slate(slate, targets)))
 
 
+def slate_outputs(slates: DataFrame) -> DataFrame:
+    """Listwise model outputs (raw) for the slates of each retriever, mode and user: reversed, unchanged, repeated, shortened, foreign or no JSON."""
+    keys = ["retriever", "mode", "user_id"]
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("item_id").cast("string").alias("i")))), lambda p: p["i"])
+    slate = slates.groupBy(*keys).agg(ids.alias("ids"))
+    head, kind = F.slice("ids", 1, F.size("ids") - 1), F.col("user_id") % 6
+    made = F.when(kind == 0, F.reverse("ids")).when(kind == 1, F.col("ids")).when(kind == 2, F.concat(head, F.slice("ids", 1, 1))).when(kind == 3, head).when(kind == 4, F.concat(head, F.array(F.lit("999999"))))
+    return slate.select(*keys, F.coalesce(F.concat(F.lit("["), F.array_join(made, ","), F.lit("]")), F.lit("not json")).alias("raw"))
+
+
+def _stacked_metrics(x: Inputs) -> DataFrame:
+    """Three retrievers, both kinds of slates, and both orders."""
+    train, targets = funnel.split(x.histories())
+    near = lambda users, seen: funnel.vector_topk(users, x.items, seen).select("user_id", "item_id", "rank")
+    slates = cut(funnel.stacked({"popularity": x.popular(), "history": near(funnel.history_vectors(train, x.items), train), "user_vector": near(x.vectors, None)}, targets))
+    return funnel.stacked_metrics(funnel.with_orders(slates, slate_outputs(slates)), targets)
+
+
 def _user_prompts(x: Inputs) -> DataFrame:
     return funnel.prompts(funnel.split(x.histories())[0], x.popular(), x.catalog)
 
@@ -318,7 +411,8 @@ def _flattened(x: Inputs) -> DataFrame:
 
 SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "judgments_scan": _judgments,
-    "catalog_scan": lambda x: tables.catalog(x.products, "us"),
+    "catalog_scan": _catalog_scan,
+    "interactions_jsonl": _interactions,
     "catalog_cap": lambda x: catalog.capped(x.products, _required(x), 1200).select("product_id"),
     "catalog_head": lambda x: catalog.head(x.products, 100).select("product_id", "product_title"),
     "item_text": _texts,
@@ -326,8 +420,12 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "item_ordinal": lambda x: catalog.ordinals(x.products, "product_id"),
     "query_sample": lambda x: catalog.sampled_queries(x.queries, 20).select("query_id", "query"),
     "query_candidates": lambda x: catalog.candidates(x.qrels, x.queries),
+    "query_candidates_mean": lambda x: catalog.per_query_means(catalog.candidates(x.qrels, x.queries)).select("n_queries", F.col("mean_rows").alias("mean_candidates")),
     "eval_queries": lambda x: catalog.evaluation_sets(x.qrels),
+    "eval_query_labels": lambda x: catalog.labels_by_item(x.responses().select("query_id", "item_id", F.col("gold").alias("label"), "latency_ms").unionByName(x.qrels.where("item_id % 4 = 0").selectExpr("query_id", "item_id", "'C' AS label", "5000 AS latency_ms")), ["latency_ms"]),
+    "eval_queries_mean": lambda x: catalog.per_query_means(x.qrels).select("n_queries", "mean_exact"),
     "curated_pool": lambda x: x.pool(),
+    "curated_pool_means": lambda x: catalog.per_query_means(catalog.pool_rows(x.qrels, x.queries, "test", 20)).select("n_queries", F.col("mean_items").alias("mean_labeled")),
     "label_distribution": lambda x: catalog.label_distribution(x.qrels),
     "query_length_stats": lambda x: catalog.query_length_stats(x.queries),
     "items_per_query_stats": lambda x: catalog.items_per_query_stats(x.qrels),
@@ -341,7 +439,9 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "bm25_topk": lambda x: x.bm25(),
     "bm25_score_candidates": lambda x: lexical.candidate_scores(x.index().postings(), x.queries, x.qrels),
     "vocab_size": lambda x: x.index().terms().agg(F.count("*").alias("n_terms")),
-    "encode_batches": lambda x: sparse.encoded(x.catalog, "item_id", "text", hashing_encoder),
+    "encode_batches": lambda x: encoding.opened(encoding.sparse(x.catalog, "item_id", "text", hashing_encoder), "item_id"),
+    "encode_dense": _encoded_dense,
+    "splade_pool_matrices": _pooled_matrices,
     "splade_pool": lambda x: sparse.pooled(x.logits),
     "sparse_normalise": _normalised,
     "sparse_topk": lambda x: x.sparse(),
@@ -364,6 +464,7 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "weighted_candidates": lambda x: fusion.weighted(x.candidate_runs()),
     "method_runs": lambda x: x.runs(),
     "rrf_retrieval": lambda x: fusion.rrf(fusion.needs_methods(x.runs(), 2), top=50),
+    "side_by_side_variants": _side_by_side,
     "side_by_side": lambda x: fusion.side_by_side(x.runs(), x.catalog.where("item_id % 7 <> 0")),
     "merge_method_results": _merged,
     "recall_at_k": lambda x: relevance.recall(x.runs(), x.qrels, methods=METHODS),
@@ -379,15 +480,18 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "method_comparison": lambda x: relevance.method_comparison(x.scored()),
     "curated_table": lambda x: relevance.curated_table(x.runs(), x.qrels, methods=METHODS),
     "score_quantiles": lambda x: relevance.score_quantiles(x.scored()),
+    "score_points": lambda x: relevance.score_points(x.scored(), 1000),
     "label_dist_bars": lambda x: relevance.label_bars(x.scored()),
     "method_report": lambda x: relevance.method_report(x.scored()),
     "label_store_upsert": lambda x: labels.upserted(x.store(), x.news()),
+    "label_store_buckets": _label_store,
     "label_store_lookup": lambda x: labels.looked_up(x.qrels, x.store()),
     "label_store_stats": lambda x: labels.store_stats(x.store()),
     "method_sets": lambda x: x.runs().where("rank <= 50").select("query_id", "method", "item_id").distinct(),
     "query_disagreement": lambda x: x.disagreement(),
     "disagreement_incremental": _incremental,
     "select_by_disagreement": lambda x: labels.chosen(x.disagreement(), 20),
+    "selected_query_data": lambda x: labels.labelled_items(labels.chosen(x.disagreement(), 20), x.qrels, x.queries),
     "disagreement_stats": lambda x: labels.disagreement_stats(x.disagreement(), labels.chosen(x.disagreement(), 20)),
     "retrieval_candidates": lambda x: x.runs().select("query_id", "method", "item_id", "rank"),
     "labeling_pairs": lambda x: x.pairs(),
@@ -398,6 +502,7 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "parse_label": lambda x: x.responses().select("query_id", "item_id", labels.parsed(F.col("raw")).alias("label")),
     "labeling_cost": lambda x: labels.cost(x.responses(), F.sum("latency_ms") / 1000),
     "labeling_dry_run": lambda x: labels.dry_run(labels.pair_counts(x.runs(), x.store())),
+    "labeling_dry_run_estimate": lambda x: labels.dry_run_estimate(x.queries, x.store(), 50),
     "label_agreement": lambda x: labels.agreement(x.responses()),
     "label_confusions": lambda x: labels.confusions(x.responses()),
     "label_latency": lambda x: labels.latency(x.responses()),
@@ -415,7 +520,9 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "natural_slate": lambda x: x.popular().where("rank <= 10").select("user_id", "item_id", "rank"),
     "oracle_slate": lambda x: funnel.oracle_slate(x.popular(), funnel.split(x.histories())[1]),
     "slate_metrics": _slate_metrics,
+    "slate_metrics_stacked": _stacked_metrics,
     "listwise_prompts": _user_prompts,
+    "listwise_prompts_scored": lambda x: funnel.prompts(funnel.split(x.histories())[0], x.popular(), x.catalog, scores=True),
     "output_validity": lambda x: funnel.validity(funnel.outputs_with_slates(x.outputs(), x.popular())),
     "apply_permutation": lambda x: funnel.permuted(x.popular(), x.outputs()),
     "identity_order_rate": lambda x: funnel.identity_rate(funnel.outputs_with_slates(x.outputs(), x.popular())),
