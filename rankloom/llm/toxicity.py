@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,10 @@ MIX, SYMBOLS = (0.5, 0.3, 0.15, 0.04, 0.01), 200
 DISGUISED, ITSELF, ONE, TWO, NOTHING, SPACE = math.log(0.3), math.log(0.7), math.log(0.3), math.log(0.2), math.log(0.6), math.log(0.4)
 BITS = 18
 PREFIXES = range(3, 8)
+#: Longer words are hashed one by one.
+LONG_WORD = 32
 MAX_TRAIN = 12_000
-EPOCHS, ALPHA, L1 = 8, 0.6, 8.0
+EPOCHS, ALPHA = 8, 0.6
 #: Words that a worker remembers; rows of a table that is sent to all executors at the most.
 CACHE, SENT = 150_000, 1_000_000
 OTHER = "#"
@@ -61,9 +64,8 @@ _ENDS = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 
 
 def core(word: str) -> str:
-    """The word in lower case without marks and long runs of symbols at its ends."""
-    plain = word.lower().strip(MARKS)
-    return plain if plain.isalpha() else _ENDS.sub("", plain).strip(MARKS).rstrip("!|")
+    """A word in lower case and without marks at its ends, also without long runs of symbols there."""
+    return _ENDS.sub("", word).strip(MARKS).rstrip("!|")
 
 
 def disguised(word: str) -> bool:
@@ -71,14 +73,14 @@ def disguised(word: str) -> bool:
     return bool(_RUN.search(word) or not word.isalpha() and (_DISGUISE.search(word) or _SPACED.fullmatch(word)))
 
 
-def spaced(cores: list[str]) -> Iterator[tuple[int, int]]:
+def spaced(words: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of three or more words of one character that may be a letter; at least one is."""
     start = None
-    for i, w in enumerate([*cores, ""]):
+    for i, w in enumerate([*words, ""]):
         if len(w) == 1 and _SINGLE.fullmatch(w):
             start = i if start is None else start
         elif start is not None:
-            if i - start >= 3 and any(c.isalpha() for c in cores[start:i]):
+            if i - start >= 3 and any(c.isalpha() for c in words[start:i]):
                 yield start, i
             start = None
 
@@ -181,22 +183,56 @@ def read(stretch: str, counts: dict[int, int], total: int) -> str:
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashed features of each word, one after another, and how many each has: the word and its beginnings. An empty word has none."""
-    n, bits = len(words), 64 - BITS
-    length = np.fromiter(map(len, words), np.int64, n)
-    begin = np.cumsum(length) - length
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
-    found, has = np.empty((n, 1 + len(PREFIXES)), np.int64), np.zeros((n, 1 + len(PREFIXES)), bool)
-    found[:, 0] = [xxhash.xxh3_64_intdigest(w.encode(), 1) >> bits for w in words]
+    n, shift = len(words), np.uint64(64 - BITS)
+    codes, length, begin = spelled(words)
+    found, has = np.empty((n, 1 + len(PREFIXES)), np.uint64), np.zeros((n, 1 + len(PREFIXES)), bool)
     has[:, 0] = length > 0
-    value = np.zeros(n, np.uint64)
-    for k in range(PREFIXES.stop - 1):
-        longer = np.flatnonzero(length > k)
+    value, whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    longer = np.arange(n)
+    for k in range(LONG_WORD):
+        longer = longer[length[longer] > k]
+        if not len(longer):
+            break
         value[longer] = value[longer] * np.uint64(0x9E3779B97F4A7C15) + codes[begin[longer] + k] + np.uint64(1)
         if k + 1 in PREFIXES:
-            column = 1 + PREFIXES.index(k + 1)
-            found[:, column] = (mixed(value + np.uint64(k)) >> np.uint64(bits)).astype(np.int64)
-            has[:, column] = length > k + 1
-    return found[has], has.sum(1)
+            found[:, 1 + PREFIXES.index(k + 1)] = value + np.uint64(k)
+            has[:, 1 + PREFIXES.index(k + 1)] = length > k + 1
+    whole[:] = value * np.uint64(3)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        whole[i] = xxhash.xxh3_64_intdigest(words[i].encode())
+    found[:, 0] = whole
+    return (mixed(found[has]) >> shift).astype(np.int64), has.sum(1)
+
+
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all words, and the length and the beginning of each."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64), length, np.cumsum(length) - length
+
+
+def cores(words: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """The cores of words and which are stretches. Words of letters between marks, nearly all, are handled together."""
+    try:
+        low = pc.utf8_trim(pc.utf8_lower(pa.array(words, pa.binary()).cast(pa.string())), characters=MARKS)
+    except pa.ArrowInvalid:
+        low = pc.utf8_trim(pc.utf8_lower(pa.array([w.decode("utf-8", "replace") for w in words], pa.string())), characters=MARKS)
+    found, plain = low.to_pylist(), pc.utf8_is_alpha(low).to_numpy(zero_copy_only=False)
+    codes, length, begin = spelled(found)
+    stretch = np.zeros(len(words), bool)
+    three = np.flatnonzero((codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:]))
+    word = np.searchsorted(begin + length, three, side="right")
+    stretch[word[three + 2 < (begin + length)[word]]] = True
+    stretch &= plain
+    for i in np.flatnonzero(~plain).tolist():
+        found[i] = core(found[i])
+        stretch[i] = disguised(found[i])
+    return found, stretch
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; of a few hundred, sorting finds them faster than hashing."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 class Words:
@@ -213,20 +249,23 @@ class Words:
         self.features = np.empty(0, np.int64)
 
     def of(self, found: list[bytes]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(found) if w not in self.place]
-        if new:
+        got = list(map(self.place.get, found))
+        missed = [k for k, i in enumerate(got) if i is None]
+        if missed:
+            new = list(dict.fromkeys(found[k] for k in missed))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            cores = [core(w.decode("utf-8", "replace")) for w in new]
-            stretch = [disguised(c) for c in cores]
+            found_cores, stretch = cores(new)
             if self.wanted:
-                features, size = word_features(["" if s else c for c, s in zip(cores, stretch, strict=True)])
+                features, size = word_features(["" if s else c for c, s in zip(found_cores, stretch.tolist(), strict=True)])
                 self.begin = np.concatenate((self.begin, len(self.features) + np.cumsum(size) - size))
                 self.size = np.concatenate((self.size, size))
                 self.features = np.concatenate((self.features, features))
-            self.stretch = np.concatenate((self.stretch, np.array(stretch, np.int64)))
-            self.single = np.concatenate((self.single, np.array([len(c) == 1 and bool(_SINGLE.fullmatch(c)) for c in cores], np.int64)))
-            self.cores += cores
-        return np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+            self.stretch = np.concatenate((self.stretch, stretch.astype(np.int64)))
+            self.single = np.concatenate((self.single, np.array([len(c) == 1 and bool(_SINGLE.fullmatch(c)) for c in found_cores], np.int64)))
+            self.cores += found_cores
+            for k in missed:
+                got[k] = self.place[found[k]]
+        return np.array(got, np.int64)
 
     def parted(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
         """Of each text its words, its stretches, and which words belong to none."""
@@ -240,40 +279,49 @@ class Words:
             stretches = [self.cores[k] for k in i[~plain].tolist()]
             single = self.single[i]
             if len(i) > 2 and (single[:-2] & single[1:-1] & single[2:]).any():
-                cores = [self.cores[k] if s else "" for k, s in zip(i.tolist(), single.tolist(), strict=True)]
-                for start, end in spaced(cores):
-                    stretches.append(" ".join(cores[start:end]))
+                alone = [self.cores[k] if s else "" for k, s in zip(i.tolist(), single.tolist(), strict=True)]
+                for start, end in spaced(alone):
+                    stretches.append(" ".join(alone[start:end]))
                     plain[start:end] = False
             yield i, stretches, plain
 
     def features_of(self, i: np.ndarray) -> np.ndarray:
         """Sorted distinct features of words."""
-        i = np.unique(i)
+        i = distinct(i)
         size = self.size[i]
-        return np.unique(self.features[np.repeat(self.begin[i] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        return distinct(self.features[np.repeat(self.begin[i] - np.cumsum(size) + size, size) + np.arange(size.sum())])
 
 
-def counted_grams(cores: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all orders within the words, each as often as its word."""
-    text = " " + " ".join(cores) + " "
+def counted_grams(words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of all orders within the words, each as often as its word. A gram may begin with the space before its word and end with the one after it."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    text = " " + " ".join(words) + " "
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
     small = codes < 65536
     codes[~small | ~characters()[0][np.where(small, codes, 0)] & (codes != 32)] = ord(OTHER)
     codes = codes.astype(np.uint64)
     word = np.cumsum(codes == 32) - 1  # of a word's symbols and the space before it
-    weight = np.append(times, 0)[word]
-    value, keys, counts = np.zeros(len(codes), np.uint64), [], []
-    for k in range(ORDER):
-        value = (value[: len(codes) - k] << np.uint64(16)) | codes[k:]
-        # A gram may end in the space after its word, but not reach into the next one; a space counts alone once a word.
-        inside = (word[k:] == word[: len(codes) - k]) | ((codes[k:] == 32) & (word[k:] == word[: len(codes) - k] + 1)) if k else weight > 0
-        keys.append(value[inside])
-        counts.append(weight[: len(codes) - k][inside])
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first].view(np.int64), np.add.reduceat(counts, first)
+    # The longest gram from each place on, its first symbol in the highest bits; shorter ones are its beginnings.
+    n, inside = len(codes), word < len(words)
+    grams = np.where(inside, codes << np.uint64(48), 0)
+    for k in range(1, min(ORDER, n)):
+        inside = inside[: n - k] & (word[k - 1 : n - 1] == word[: n - k])
+        grams[: n - k] |= np.where(inside, codes[k:] << np.uint64(16 * (ORDER - 1 - k)), 0)
+    order = np.argsort(grams)
+    keys, counts = summed(grams[order], np.append(times, 0)[word[order]])
+    found = []
+    for size in range(1, ORDER + 1):
+        own = keys >> np.uint64(16 * (ORDER - size))
+        there = own & np.uint64(0xFFFF) != 0
+        found.append(summed(own[there], counts[there]))
+    return np.concatenate([k for k, _ in found]).view(np.int64), np.concatenate([c for _, c in found])
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted ones, and the sum of the counts of each."""
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def gathered(df: DataFrame, text: str) -> DataFrame:
@@ -371,7 +419,8 @@ def trained(rows: DataFrame) -> np.ndarray:
     """Weights and bias from the bounded sample (_id, _y, _x, _s), in one task."""
 
     def run(frame):
-        leader, bias = Leader(np.zeros((1 << BITS) + 1), ALPHA, L1), 1 << BITS
+        # Chance makes a weight grow as the root of the number of rows, and so does the bar that it must pass.
+        leader, bias = Leader(np.zeros((1 << BITS) + 1), ALPHA, max(2.0, 0.15 * len(frame) ** 0.5)), 1 << BITS
         data = [(np.append(whole_features(x, s), bias), float(y)) for y, x, s in frame.sort_values(["_turn", "_y"])[["_y", "_x", "_s"]].itertuples(index=False)]
         for _ in range(EPOCHS):
             for i, y in data:
