@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut
+from rankloom.functions.lineage import written
 
 
 def large_star(links: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b) but the roots themselves; a root is its component's least node."""
-    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:
         # A table of distinct links is told apart by its size and the sum of its hashes.
@@ -39,4 +39,4 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(seen)
-        now = cut(small_star(large_star(now)))
+        now = written(small_star(large_star(now)))

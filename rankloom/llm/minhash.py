@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut
+from rankloom.functions.lineage import written
 from rankloom.llm.common import WordHashes, field, list_array, map_texts, mixed, plain_names, squeezed, unsqueezed, windows, word_hashes
 from rankloom.llm.components import components
 
@@ -147,30 +147,30 @@ def grouped(df: DataFrame, *, keep: list[str], text: str = "text", doc_id: str =
     Links: 100 * intersection >= percent * union of the shingle sets.
     """
     columns = list(dict.fromkeys([*keep, doc_id]))
-    seen = cut(profiled(df, keep=columns, text=text, size=size, bands=bands, rows=rows))
+    seen = written(profiled(df, keep=columns, text=text, size=size, bands=bands, rows=rows))
     spread = seen.where("_key IS NOT NULL").select("_key", F.explode("_bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     several = spread.join(crowded, "bucket", "left_semi").distinct()
-    shared = cut(several.join(several.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi"))
-    nodes = cut(sets_of(df, seen, shared.select("_key").distinct(), doc_id, text, size))
+    shared = written(several.join(several.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi"))
+    nodes = written(sets_of(df, seen, shared.select("_key").distinct(), doc_id, text, size))
     a, b = (nodes.select(F.col("_key").alias(x), F.col("_n").alias(f"n{x}"), F.col("_sig").alias(f"sg{x}")) for x in "ab")
 
-    stars = cut(starred(shared).join(a, "a").join(b, "b").where(fitting(percent)).select("a", "b"))
+    stars = written(starred(shared).join(a, "a").join(b, "b").where(fitting(percent)).select("a", "b"))
     roots = components(confirmed(stars, nodes, percent))
 
     # Buckets that still hold several components.
     placed = shared.join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
     apart = lambda t: t.join(t.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "bucket", "left_semi")
-    still = cut(apart(placed).select("bucket", "_key", "root"))
-    able = cut(possible(nodes.join(still.select("_key").distinct(), "_key", "left_semi").select("_key", "_set"), percent))
+    still = written(apart(placed).select("bucket", "_key", "root"))
+    able = written(possible(nodes.join(still.select("_key").distinct(), "_key", "left_semi").select("_key", "_set"), percent))
     own = able.join(nodes.select("_key", "_n", "_sig"), "_key").join(shared.join(able, "_key", "left_semi").groupBy("_key").agg(F.array_sort(F.collect_set("bucket")).alias("_in")), "_key")
-    rest = cut(apart(still.join(able.select("_key"), "_key", "left_semi")).join(own, "_key"))
+    rest = written(apart(still.join(able.select("_key"), "_key", "left_semi")).join(own, "_key"))
     x, y = (rest.select("bucket", F.col("_key").alias(k), F.col("root").alias(f"r{k}"), F.col("_n").alias(f"n{k}"), F.col("alone").alias(f"l{k}"), F.col("_sig").alias(f"sg{k}"), F.col("_in").alias(f"in{k}")) for k in "ab")
     # A pair is met in the first bucket that it shares only.
     once = F.element_at(F.array_intersect("ina", "inb"), 1) == F.col("bucket")
     across = x.join(y, "bucket").where((F.col("ra") < F.col("rb")) & room(percent) & fitting(percent) & once).select("a", "b", "ra", "rb")
     compared = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = cut(across.join(compared, ["a", "b"], "left_anti"))
+    across = written(across.join(compared, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         new = across.join(confirmed(across.select("a", "b"), nodes, percent), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         joined = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))

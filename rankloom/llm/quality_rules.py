@@ -32,7 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut
+from rankloom.functions.lineage import cut, written
+from rankloom.functions.ranking import quantiles
 from rankloom.llm.common import WordHashes, field, map_texts, mixed, modest_batches, plain_names, slices, squeezed, unsqueezed, windows, word_hashes
 
 ORDER = 5
@@ -45,7 +46,7 @@ GROUP_BYTES = 16 << 20
 #: Half the width of a band in scaled median deviations.
 BAND = 6.0
 #: No band is narrower than this on either side, in nats.
-LEAST_WIDTH = 0.5
+LEAST_WIDTH = 1.0
 #: Nor is it narrower below its median than this share of it.
 LOW_SHARE = 0.5
 #: n-grams that a task holds before it adds them up.
@@ -178,19 +179,19 @@ def probabilities(grams: DataFrame) -> DataFrame:
     """(lang, key, gram, c0, c1, p0, p1) of `count_ngrams`' rows. Lower orders count how many code points their n-grams follow."""
     tables = [grams]  # each is written, so that no plan holds more than one order
     for order in range(ORDER - 1, 0, -1):
-        tables.append(cut(tables[-1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in FOLDS])))
+        tables.append(written(tables[-1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in FOLDS])))
     lower = None
     for order, counts in enumerate(reversed(tables), 1):
         lower = smoothed(counts, order, lower)
         if order < ORDER:
-            lower = cut(lower.select("lang", "gram", "p0", "p1"))
+            lower = written(lower.select("lang", "gram", "p0", "p1"))
     return lower
 
 
 def model(df: DataFrame, text: str, lang: str) -> DataFrame:
     """(key, l0, l1): the log-probability of every n-gram of the documents by the model of each fold (null: it has no such language)."""
     logs = [F.ln(F.greatest(f"p{i}", F.lit(1e-12))).cast("float").alias(f"l{i}") for i in FOLDS]
-    return cut(probabilities(cut(count_ngrams(df, text, lang))).select("key", *[F.when(F.col(f"p{i}").isNotNull(), x).alias(f"l{i}") for i, x in zip(FOLDS, logs, strict=True)]))
+    return written(probabilities(written(count_ngrams(df, text, lang))).select("key", *[F.when(F.col(f"p{i}").isNotNull(), x).alias(f"l{i}") for i, x in zip(FOLDS, logs, strict=True)]))
 
 
 class SortedLogs:
@@ -339,16 +340,20 @@ def scored(df: DataFrame, *, keep: list[str], text: str, lang: str, most: int =
     rows = df.select(*[F.col(f"`{c}`") for c in keep], *marked(df, text, lang), F.col(f"`{text}`").cast("string").alias("_whole"))
     out = map_texts(rows, [*keep, "_lang", "_fold", "_doc"], "_whole", [*(field(f"_{n}", "long") for n in NAMES), *([field("_loss", "double")] if small else [])], work, rows=True)
     if not small:
-        return cut(out.join(group_losses(df, logs, text, lang, group_bytes), "_doc", "left"))
-    done = cut(out)
+        return written(out.join(group_losses(df, logs, text, lang, group_bytes), "_doc", "left"))
+    done = written(out)
     sent.destroy()
     return done
 
 
 def bands(losses: DataFrame, width: float = BAND) -> DataFrame:
-    """(_lang, _low, _high) over all documents of each language."""
-    middle = losses.groupBy("_lang").agg(F.percentile_approx("_loss", 0.5, 10_000).alias("m"))
-    spread = losses.join(middle, "_lang").groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("_loss") - F.col("m")), 0.5, 10_000).alias("d"))
+    """(_lang, _low, _high) over all documents of each language, by exact medians, so that they don't depend on how the documents are dealt out.
+
+    A language whose documents have no loss has no limits."""
+    own = losses.where("_loss IS NOT NULL").select("_lang", "_loss")
+    middle = quantiles(own, ["_lang"], "_loss", {"m": 0.5})
+    off = own.join(middle, "_lang").select("_lang", F.abs(F.col("_loss") - F.col("m")).alias("_off"))
+    spread = middle.join(quantiles(off, ["_lang"], "_off", {"d": 0.5}), "_lang")
     half = F.greatest(F.lit(width * 1.4826) * F.col("d"), F.lit(LEAST_WIDTH))
     return spread.select("_lang", (F.col("m") - F.greatest(half, LOW_SHARE * F.col("m"))).alias("_low"), (F.col("m") + half).alias("_high"))
 
@@ -357,7 +362,7 @@ def verdicts(losses: DataFrame) -> DataFrame:
     """`losses` with base_failed and kept; the limits have a row for each language (see `bands`)."""
     base = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words"))
     fits = F.coalesce(F.col("_loss").between(F.col("_low"), F.col("_high")), F.lit(True))
-    return losses.join(bands(losses), "_lang").select(*losses.columns, base.alias("base_failed"), (~base & fits).alias("kept"))
+    return losses.join(bands(losses), "_lang", "left").select(*losses.columns, base.alias("base_failed"), (~base & fits).alias("kept"))
 
 
 def judged(df: DataFrame, *, keep: list[str], text: str, lang: str) -> DataFrame:
