@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import alignment, language, manifest, quality_model, registry, toxicity
+from rankloom.llm import alignment, language, manifest, quality_model, registry, toxicity, urlfilter
 from rankloom.llm.common import hash_bound, held_out
 
 ODD = [(1, None), (1, None), (2, ""), (None, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f"), (4, " \n\t "), (5, "ü" * 3000 + " \x00 é"), (6, "word")]
@@ -323,3 +323,31 @@ def test_quality_score_against_the_definition(spark):
         x = {int(mixed(np.array([k], np.uint64))[0]) >> 64 - quality_model.BITS for k in keys}
         score = 1 / (1 + np.exp(-(sum(float(weights[j]) for j in x) / max(1, len(x)) ** 0.5 + float(weights[-1]))))
         assert got[i] == pytest.approx(score, abs=1e-6)
+
+
+# 5 URL filter
+
+
+@pytest.mark.parametrize("share_keys", [1, 7, 200_000])
+def test_nested_rules_by_the_stack(spark, share_keys):
+    rng = random.Random(share_keys)
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "org", "a.org", "ba.com"]
+    paths = ["", "/", "/x", "/x/y", "/x/yz", "/é", "/x\x7f"]
+    rules = [(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(25)] + [("COM", "/x", "block"), (None, "/", "allow")]
+    urls = [f"http://{rng.choice(['', 'w.', 'b.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'q', '/y/z', '?k=/x'])}" for _ in range(150)] + [None, "no scheme", "://", "x://COM/x"]
+    least = {}
+    for h, p, v in rules:
+        if h is not None:
+            key = (h.lower(), p)
+            least[key] = min(v, least.get(key, v))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "label", "share", "at", "c0")})
+    places = df.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path")).where("host <> ''").distinct()
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {(r.host, r.path): (r.rule, r.verdict) for r in urlfilter.fitting(places, table, share_keys).collect()}
+    for r in places.collect():
+        fit = [(len(h + p), h + p, v) for (h, p), v in least.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert got.get((r.host, r.path)) == (max(fit)[1:] if fit else None)
+    out = urlfilter.judged(df, table, keep=["page_id", "host", "label", "share", "at", "c0"])
+    assert out.columns == ["page_id", "label", "share", "at", "c0", "host", "path", "rule", "verdict"] and out.count() == len(urls)
+    assert urlfilter.judged(df.limit(0), table, keep=["page_id"]).count() == 0
+    assert {r.rule for r in urlfilter.judged(df, table.limit(0), keep=["page_id"]).collect()} == {None}
