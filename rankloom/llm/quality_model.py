@@ -83,8 +83,8 @@ class Leader:
         z = self.z[i]
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((BETA + np.sqrt(self.n[i])) / self.alpha + L2))
 
-    def learn(self, i: np.ndarray, y: float, x: np.ndarray) -> None:
-        w = self.weights(i)
+    def learn(self, i: np.ndarray, y: float, x: np.ndarray | None = None) -> None:
+        w, x = self.weights(i), value(i) if x is None else x
         g = (sigmoid(float(w @ x)) - y) * x
         root = np.sqrt(self.n[i] + g * g)
         self.z[i] += g - (root - np.sqrt(self.n[i])) / self.alpha * w
@@ -108,8 +108,7 @@ def epoch(start: np.ndarray):
     def run(frame):
         leader, bias = Leader(start.astype(np.float64)), len(start) - 1
         for y, x in frame.sort_values(["_turn", "_y"])[["_y", "_x"]].itertuples(index=False):
-            i = np.append(x, bias).astype(np.int64)
-            leader.learn(i, float(y), value(i))
+            leader.learn(np.append(x, bias).astype(np.int64), float(y))
         return pd.DataFrame({"w": [leader.weights(np.arange(bias + 1)).astype("<f4").tobytes()], "seen": [len(frame)]})
 
     return run

@@ -2,10 +2,11 @@
 
 Revisit resolution: only headers (identifier, payload digest and size) are shuffled by digest to
 find payloads that occur more than once; the capture with the largest identifier stays a response,
-the others become revisits that refer to it. The verdicts go back to the captures by record identifier, which spreads
-the captures of a popular payload. Archives are written with fresh headers by Spark's
-text writer, whose line separator is the blank line that ends a record, so that each part file is a
-sequence of WARC/1.1 records, compressed as a whole, of about `FILE_BYTES` before that. Reading takes each file apart by its
+the others become revisits that refer to it. Revisits are written from their headers alone. Payloads are read by the pass that writes
+the responses, which only has to know the record identifiers of the revisits: up to `SENT` of them are sent to every executor,
+more are joined. Archives are written with fresh headers by Spark's text writer, whose line separator is the blank line that ends a record,
+so that each part file is a sequence of WARC/1.1 records, compressed as a whole. Responses are written in a pass for each class of sizes that
+occurs, so that a file holds no more than about `FILE_BYTES` before that, or one record, whatever the tail of the sizes. Reading takes each file apart by its
 Content-Length headers, once, and joins revisits back to their responses by record identifier.
 
 A response holds an HTTP head and the payload, a revisit the head alone; a payload digest is that of the payload.
@@ -28,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut, new_path
+from rankloom.functions.lineage import checked_broadcast, new_path, written
 
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
-#: Bytes of records in one archive file, on average.
-FILE_BYTES = 32 << 20
+#: Bytes of records in one archive file at the most (or one record), of a record's own lines, about, and the bounds of the classes of payload sizes.
+FILE_BYTES, HEAD_BYTES = 32 << 20, 500
+SIZES = tuple(1 << k for k in range(12, 25, 3))
+#: Record identifiers that are sent to every executor at the most.
+SENT = 500_000
 #: The head of every response. The lines that end it and a record.
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -45,16 +49,25 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def resolved(df: DataFrame, *, key: str, url: str, payload: str, least: int = LEAST) -> DataFrame:
-    """(key, url, payload, digest, size, id, refers_key, refers_id): refers_* are null for responses."""
+def captured(df: DataFrame, *, key: str, url: str, payload: str) -> DataFrame:
+    """(key, url, payload, size, class): the class bounds a payload's size by SIZES."""
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("id", record_id(F.col("key"), F.col("url"), F.col("digest")))
-    headers = rows.where(F.col("size") >= least).select("key", "id", "digest", "size")
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long"))
+    return rows.withColumn("class", sum(((F.col("size") > n).cast("int") for n in SIZES), F.lit(0)))
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """`rows` with digest and record identifier."""
+    digest = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    return digest.withColumn("id", record_id(F.col("key"), F.col("url"), F.col("digest")))
+
+
+def revisits_of(heads: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, refers_key, refers_id) of the captures (key, id, digest, size) that are revisits."""
+    headers = heads.where(F.col("size") >= least).select("key", "id", "digest", "size")
     first = headers.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max(F.struct("key", "id")).alias("top")).where("n > 1")
     winners = first.select("digest", "size", F.col("top.key").alias("refers_key"), F.col("top.id").alias("refers_id"))
-    revisits = headers.join(winners, ["digest", "size"]).where(~F.col("key").eqNullSafe(F.col("refers_key"))).select("id", "refers_key", "refers_id").dropDuplicates(["id"])
-    return rows.join(revisits, "id", "left").select("key", "url", "payload", "digest", "size", "id", "refers_key", "refers_id")
+    return headers.join(winners, ["digest", "size"]).where(~F.col("key").eqNullSafe(F.col("refers_key"))).select("id", "refers_key", "refers_id").dropDuplicates(["id"])
 
 
 def records(found: DataFrame, date: str = DATE) -> DataFrame:
@@ -82,9 +95,20 @@ def records(found: DataFrame, date: str = DATE) -> DataFrame:
     return found.select(F.concat(head, F.when(is_revisit, "").otherwise(F.col("payload"))).alias("value"))
 
 
-def write(found: DataFrame, path: str, mean_bytes: float, date: str = DATE) -> None:
-    """mean_bytes: of a payload, from which follows how many records a file takes."""
-    records(found, date).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean_bytes + 500)))).text(path)
+def write(df: DataFrame, path: str, *, key: str, url: str, payload: str, least: int = LEAST, date: str = DATE) -> None:
+    """Write `df` as archives under `path`: `revisits`, and a folder of responses for each class of sizes that occurs."""
+    rows = captured(df, key=key, url=url, payload=payload)
+    heads = written(identified(rows).select("key", "url", "id", "digest", "size", "class"))
+    revisits = written(revisits_of(heads, least))
+
+    def save(found: DataFrame, name: str, bytes_each: int) -> None:
+        records(found, date).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (bytes_each + HEAD_BYTES))).text(f"{path}/{name}")
+
+    save(heads.join(revisits, "id").withColumn("payload", F.lit("")), "revisits", 0)
+    gone = checked_broadcast(revisits.select("id"), SENT)
+    for c in sorted(r["class"] for r in heads.select("class").distinct().collect()):  # at most one more than SIZES
+        found = identified(rows.where(F.col("class") == c)).join(gone, "id", "left_anti").withColumn("refers_id", F.lit(None).cast("string"))
+        save(found, f"responses-{c}", SIZES[c] if c < len(SIZES) else FILE_BYTES)
 
 
 def opened(data: bytes) -> bytes:
@@ -133,13 +157,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kinds = [*[pa.string()] * len(names), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[*names, "payload"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", payload binary")
 
 
 def revisits_resolved(archive: DataFrame) -> DataFrame:
     """(key, payload_bytes, payload_digest, record_type, refers_to): revisits have the payload of the response they refer to."""
-    heads = cut(archive.select("id", "type", "key", "digest", "refers_id", F.octet_length("payload").cast("long").alias("size")))
+    heads = written(archive.select("id", "type", "key", "digest", "refers_id", F.octet_length("payload").cast("long").alias("size")))
     responses = heads.where("type = 'response'").groupBy(F.col("id").alias("refers_id")).agg(F.first("key").alias("to"), F.first("size").alias("full"))
     found = heads.where("type = 'revisit'").join(responses, "refers_id", "left").select("key", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to").alias("refers_to"))
     return heads.where("type = 'response'").select("key", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).unionByName(found)
@@ -149,6 +173,5 @@ def round_trip(df: DataFrame, *, key: str, url: str, payload: str, least: int =
     """Write `df` as deduplicated archives under `path` (a new folder in the shared one) and read them back."""
     spark = df.sparkSession
     path = path or new_path(spark, "warc")
-    mean = df.agg(F.avg(F.octet_length(F.col(f"`{payload}`").cast("string")))).first()[0] or 0.0
-    write(resolved(df, key=key, url=url, payload=payload, least=least), path, mean)
+    write(df, path, key=key, url=url, payload=payload, least=least)
     return revisits_resolved(read(spark, path))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import alignment, language, manifest, quality_model, registry, toxicity, urlfilter
+from rankloom.llm import alignment, language, manifest, quality_model, registry, toxicity, urlfilter, warc
 from rankloom.llm.common import hash_bound, held_out
 
 ODD = [(1, None), (1, None), (2, ""), (None, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f"), (4, " \n\t "), (5, "ü" * 3000 + " \x00 é"), (6, "word")]
@@ -351,3 +351,36 @@ def test_nested_rules_by_the_stack(spark, share_keys):
     assert out.columns == ["page_id", "label", "share", "at", "c0", "host", "path", "rule", "verdict"] and out.count() == len(urls)
     assert urlfilter.judged(df.limit(0), table, keep=["page_id"]).count() == 0
     assert {r.rule for r in urlfilter.judged(df, table.limit(0), keep=["page_id"]).collect()} == {None}
+
+
+# 7 WARC
+
+
+def test_archive_files_are_bounded_whatever_the_tail(spark, monkeypatch, tmp_path):
+    import gzip
+    import pathlib
+
+    from rankloom.functions.lineage import new_path
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    monkeypatch.setattr(warc, "SIZES", (1000, 8000, 64_000))
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, "u", text(rng.choice([10, 900, 5000]))) for i in range(600)] + [(1000 + i, "u", text(50_000)) for i in range(12)] + [(2000 + i, "u", text(300_000)) for i in range(3)]
+    rows += [(3000 + i, "v", rows[-1][2]) for i in range(4)] + [(4000, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc")
+    got = warc.round_trip(df, key="page_id", url="url", payload="html", path=path).collect()
+    files = [gzip.decompress(f.read_bytes()) for f in pathlib.Path(path.removeprefix("file:")).rglob("*.gz")]
+    assert len(files) > 10 and all(len(f) <= 210_000 or f.count(b"WARC/1.1") == 1 for f in files)
+    assert sum(len(f) for f in files) < 4_000_000  # the payload of the copies stands there once
+    want = Counter((str(k), len(t or ""), hashlib.sha1((t or "").encode()).hexdigest(), "revisit" if k in (2002, 3000, 3001, 3002) else "response", "3003" if k in (2002, 3000, 3001, 3002) else None) for k, _, t in rows)
+    assert Counter(map(tuple, got)) == want
+
+
+def test_verdicts_by_join_where_there_are_many(spark, monkeypatch):
+    rows = [(i, "u", "x" * (1000 + i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = Counter(map(tuple, warc.round_trip(df, key="page_id", url="url", payload="html").collect()))
+    monkeypatch.setattr(warc, "SENT", 3)
+    assert Counter(map(tuple, warc.round_trip(df, key="page_id", url="url", payload="html").collect())) == one and sum(n for r, n in one.items() if r[3] == "revisit") == 53
