@@ -223,9 +223,13 @@ def long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overla
     """_key, _ids for the distinct texts of (_key, _text)."""
 
     def cut_up(batches):
+        seen: set[str] = set()  # a task hands on each text once, however many copies it meets
         for batch in batches:
             for part, whole in slices(batch):
                 for key, data in zip(part.column(0).to_pylist(), whole, strict=True):
+                    if key in seen:
+                        continue
+                    seen.add(key)
                     t = data.decode(errors="replace")
                     starts = list(range(0, max(1, len(t) - overlap), chunk))
                     for i, s in enumerate(starts):
