@@ -1,6 +1,6 @@
 """Inverted index in blocks, laid out for the join, and top-k search that leaves most postings unread.
 
-Layout. A row holds up to about `BLOCK` postings of one term, the items in order, with the greatest and the least impact. A
+Layout. A row holds about `BLOCK` postings of one term at the most, with the greatest and the least impact. A
 term's postings are dealt to its blocks by a hash of the item, so a block is found from a term and an item. Every
 `STRIDE` blocks of a term lie in another bucket, so the longest list is spread over many files; a bucket is one
 directory, sorted by term. `terms` has a row for each term: document frequency, impact bounds, number of blocks. The
@@ -31,7 +31,9 @@ BLOCK, STRIDE, BUCKET = 128, 64, 4_000_000
 SENT = 1_000_000
 #: Lists that give the threshold have so many times `top` postings together.
 LEAD = 4
-#: More than rounding a score can change it.
+#: Lists up to so many postings are read rather than looked into: that costs less than a join with the items found so far.
+WORTH = 20_000
+#: More than rounding changes a score.
 SLACK = 2e-6
 
 
@@ -55,7 +57,7 @@ def build(postings: DataFrame, path: str, block: int = BLOCK) -> Index:
     buckets = max(spark.sparkContext.defaultParallelism, 1 + total // BUCKET) if total else 1
     dealt = rows.join(checked_broadcast(terms.select("term", "blocks"), SENT), "term").withColumn("block", block_of(F.col("item_id"), F.col("blocks")))
     dealt = dealt.withColumn("bucket", bucket_of(F.col("term"), F.col("block"), buckets)).select("bucket", "term", "block", "item_id", "tf", "impact").repartition(buckets, "bucket")
-    packed = dealt.groupBy("bucket", "term", "block").agg(F.array_sort(F.collect_list(F.struct("item_id", "tf", "impact"))).alias("p"), F.max("impact").alias("high"), F.min("impact").alias("low"))
+    packed = dealt.groupBy("bucket", "term", "block").agg(F.collect_list(F.struct("item_id", "tf", "impact")).alias("p"), F.max("impact").alias("high"), F.min("impact").alias("low"))
     columns = [F.col(f"p.{c}").alias(f"{c}s") for c in ("item_id", "tf", "impact")]
     packed.select("bucket", "term", "block", "high", "low", *columns).sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     kind = postings.schema["item_id"].dataType.simpleString()
@@ -122,13 +124,13 @@ def summed(index: Index, terms: DataFrame) -> DataFrame:
 def with_thresholds(index: Index, terms: DataFrame, top: int) -> DataFrame:
     """`terms` (a written table) with `bound`, below which no item of a query is among its `top`, and `read`: whether the whole list must be read.
 
-    Terms are left unread from the last one on while all of them together add less than the threshold."""
+    Terms are left unread from the last one on while all of them together add less than the threshold, if their lists are long."""
     lead = terms.where("lead")
     later = terms.groupBy("query_id").agg(F.sum(F.when(~F.col("lead"), F.col("least")).otherwise(0.0)).alias("_least"))
     best = ranked(summed(index, lead), ["query_id"], F.col("partial").desc(), F.col("item_id"), top=top)
     bound = best.where(F.col("rank") == top).join(later, "query_id").select("query_id", (F.col("partial") + F.col("_least") - SLACK).alias("bound"))
     rest = F.sum("most").over(Window.partitionBy("query_id").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return terms.join(bound, "query_id", "left").withColumn("read", F.col("bound").isNull() | (rest >= F.col("bound")))
+    return terms.join(bound, "query_id", "left").withColumn("read", F.col("bound").isNull() | (rest >= F.col("bound")) | (F.col("df") <= WORTH))
 
 
 def search(index: Index, wanted: DataFrame, top: int = 100, counts: list | None = None) -> DataFrame:
@@ -136,7 +138,14 @@ def search(index: Index, wanted: DataFrame, top: int = 100, counts: list | None
 
     To `counts` goes how many postings were read for pairs with a query, and how many reading every list would take."""
     terms = written(planned(index, wanted, top))
-    terms = written(with_thresholds(index, terms, top))
+    size = lambda df: df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    # Without a long list no threshold is needed.
+    terms = written(with_thresholds(index, terms, top)) if not terms.where(F.col("df") > WORTH).isEmpty() else terms.withColumns({"bound": F.lit(None).cast("double"), "read": F.lit(True)})
+    if terms.where("NOT read").isEmpty():
+        if counts is not None:
+            counts.append({"lead": 0, "read": size(terms), "looked_up": 0, "all": size(terms)})
+        scores = summed(index, terms).select("query_id", "item_id", rounded(F.col("partial")).alias("score"))
+        return ranked(scores, ["query_id"], *best_first(), top=top)
     unread = terms.where("NOT read").groupBy("query_id").agg(F.sum("most").alias("_most"), F.first("bound").alias("_bound"))
     found = summed(index, terms.where("read")).join(unread, "query_id", "left")
     can_pass = found.where(F.col("_bound").isNull() | (F.col("partial") + F.col("_most") >= F.col("_bound")))
@@ -152,7 +161,6 @@ def search(index: Index, wanted: DataFrame, top: int = 100, counts: list | None
     scanned = index.blocks_of(terms.where("NOT read")).join(needed, ["term", "block"], "left_semi")
     more = opened(scanned, "term").join(asked.select("query_id", "item_id", "term", "weight"), ["term", "item_id"]).select("query_id", "item_id", (F.col("weight") * F.col("impact")).alias("partial"))
     if counts is not None:
-        size = lambda df: df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         looked = scanned.agg(F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()[0]
         counts.append({"lead": size(terms.where("lead")), "read": size(terms.where("read")), "looked_up": looked, "all": size(terms)})
     scores = open_.select("query_id", "item_id", "partial").unionByName(more).groupBy("query_id", "item_id").agg(rounded(F.sum("partial")).alias("score"))

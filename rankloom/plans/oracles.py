@@ -204,6 +204,7 @@ FINAL = {
     "sparse_score_candidates": "SELECT query_id, item_id, score FROM scand",
     "term_expansion": "SELECT query_id, term, weight, rank, CASE WHEN o THEN 'ORIGINAL' ELSE 'EXPANDED' END AS kind, n_terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT query_id, term, round(ln(1 + qtf), 6) AS weight, true AS o FROM qtf UNION ALL SELECT query_id, term || '_x', round(0.5e0 * ln(1 + qtf), 6), false FROM qtf)) WHERE rank <= 20",
     "sparse_stats": "SELECT n_rows, nnz, round(nnz / (n_rows * 30522.0e0), 12) AS density FROM (SELECT count(*) AS n_rows FROM fx_catalog), (SELECT count(*) AS nnz FROM sitem)",
+    "sparse_index": "SELECT item_id, term, round(ln(1 + tf), 6) AS weight FROM itf",
     "sparse_variants": "SELECT * FROM variants",
     "encode_missing": "SELECT item_id FROM fx_catalog WHERE item_id NOT IN (SELECT item_id FROM fx_items)",
     "encode_batches": f"SELECT item_id, CAST({_NUMBER} AS INT) AS term_id, CAST(count(*) AS DOUBLE) AS weight FROM {_WORDS} GROUP BY ALL",

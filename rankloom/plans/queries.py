@@ -444,6 +444,7 @@ SIMPLE: dict[str, Callable[[Inputs], DataFrame]] = {
     "splade_pool_matrices": _pooled_matrices,
     "splade_pool": lambda x: sparse.pooled(x.logits),
     "sparse_normalise": _normalised,
+    "sparse_index": lambda x: x.sparse_index().postings().select("item_id", "term", F.col("impact").alias("weight")),
     "sparse_topk": lambda x: x.sparse(),
     "sparse_score_candidates": lambda x: sparse.candidate_scores(x.item_terms(), x.query_terms(), x.qrels),
     "term_expansion": _expansion,

@@ -43,7 +43,8 @@ def skewed(n, negative=False, seed=1):
 
 @pytest.mark.parametrize("negative", [False, True])
 @pytest.mark.parametrize("top", [1, 5, 50])
-def test_same_rows_as_scoring_everything(spark, negative, top):
+def test_same_rows_as_scoring_everything(spark, monkeypatch, negative, top):
+    monkeypatch.setattr(blockindex, "WORTH", 0)
     rows, queries = skewed(600, negative)
     index = blockindex.build(frame(spark, rows), new_path(spark, "index"), block=16)
     wanted = spark.createDataFrame(queries, "query_id long, term string, weight double")
@@ -51,7 +52,8 @@ def test_same_rows_as_scoring_everything(spark, negative, top):
     assert got == pytest.approx(brute(rows, queries, top), abs=2e-6)
 
 
-def test_frequent_terms_stay_unread(spark):
+def test_frequent_terms_stay_unread(spark, monkeypatch):
+    monkeypatch.setattr(blockindex, "WORTH", 100)
     rows, queries = skewed(3000)
     index = blockindex.build(frame(spark, rows), new_path(spark, "index"), block=32)
     wanted = spark.createDataFrame(queries, "query_id long, term string, weight double")
@@ -60,6 +62,9 @@ def test_frequent_terms_stay_unread(spark):
     assert got == pytest.approx(brute(rows, queries, 5), abs=2e-6)
     assert counts[0]["all"] > 12 * 3000 and counts[0]["read"] < counts[0]["all"] / 4
     assert counts[0]["looked_up"] < counts[0]["all"] / 4
+    monkeypatch.setattr(blockindex, "WORTH", 1_000_000)  # every list is short, and read
+    assert {(r.query_id, r.item_id, r.rank): r.score for r in blockindex.search(index, wanted, 5, counts).collect()} == pytest.approx(got, abs=2e-6)
+    assert counts[1]["read"] == counts[1]["all"] == counts[0]["all"]
 
 
 def test_only_the_files_of_the_query_are_scanned(spark, monkeypatch):
