@@ -1,8 +1,8 @@
 """Encoding texts by a user's model, and pooling of token logits, in columns.
 
-A model is made once in each task. It takes a list of texts and gives a matrix (a row for each text) or the three arrays
-of a sparse matrix in compressed rows (where each row begins, term numbers, weights). Within what a task has at hand, texts of
-like length go to the model together, so that padding is short. No row of Python objects is made for a term.
+A model is made once in each task. It takes a list of texts and gives a matrix (a row for each text), the three arrays
+of a sparse matrix in compressed rows (where each row begins, term numbers, weights), or a dictionary for each text. Within what a task has at hand, texts of
+like length go to the model together, so that padding is short. No row of Python objects is made for a term unless the model gives dictionaries.
 
 A null text is encoded as an empty one. A null key stays null. Repeated rows are encoded as often as they occur. An empty
 table gives an empty one, without calling the model.
@@ -64,7 +64,7 @@ def sparse(df: DataFrame, key: str, text: str, make_encoder: Callable[[], Callab
         encoder = make_encoder()
         for whole in batches:
             for part in by_length(whole, batch):
-                edges, terms, weights = encoder(part.column(1).to_pylist())
+                edges, terms, weights = compressed(encoder(part.column(1).to_pylist()))
                 if len(edges) != part.num_rows + 1:
                     raise ValueError(f"the encoder gave {len(edges) - 1} rows for {part.num_rows} texts")
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(edges, pa.array(terms, pa.int32())), lists(edges, pa.array(weights, pa.float64()))], names=[key, "term_ids", "weights"])
@@ -78,15 +78,17 @@ def opened(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.select(key, F.inline(pairs)).toDF(key, "term_id", "weight")
 
 
-def of_dicts(encoder: Callable[[list[str]], list[dict[int, float]]]) -> Callable[[list[str]], Sparse]:
-    """An encoder whose rows are dictionaries as one that gives a sparse matrix."""
+def compressed(made: Sparse | list[dict[int, float]]) -> Sparse:
+    """A model's sparse matrix; one that it gives as a dictionary for each row is brought into that form."""
+    if not isinstance(made, list):
+        return made
+    edges = np.concatenate(([0], np.cumsum([len(r) for r in made], dtype=np.int64)))
+    return edges, np.array([t for r in made for t in r], np.int32), np.array([w for r in made for w in r.values()], np.float64)
 
-    def encode(texts):
-        rows = encoder(texts)
-        edges = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        return edges, np.array([t for r in rows for t in r], np.int32), np.array([w for r in rows for w in r.values()], np.float64)
 
-    return encode
+def of_dicts(encoder: Callable[[list[str]], list[dict[int, float]]]) -> Callable[[list[str]], Sparse]:
+    """An encoder whose rows are dictionaries as one that gives a sparse matrix."""
+    return lambda texts: compressed(encoder(texts))
 
 
 def pooled(logits: DataFrame, key: str, size: int) -> DataFrame:
