@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.lineage import cut
+from rankloom.functions.lineage import written
 from rankloom.llm.common import WordHashes, list_array, mixed, modest_batches, plain_names, slices, squeezed, word_hashes
 from rankloom.llm.suffix_array import common_prefixes, suffix_array
 
@@ -361,7 +361,7 @@ def removed(df: DataFrame, ways: list[Way], *, text: str = "text") -> tuple[Data
     texts = keyed(df, text)
     least = min(w.length if w.step == 1 else 2 * (w.length // w.step) - 1 for w in ways)  # words of one letter
     long = texts.where(F.octet_length("text") >= least)
-    found = cut(shares(long, ways))
+    found = written(shares(long, ways))
     copies = texts.groupBy("digest", "doc").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
     copies = copies.join(found.groupBy("doc").agg(F.max("n_words").alias("n_words")), "doc", "left").drop("doc")
 
