@@ -2,7 +2,7 @@
 
 A modified Kneser-Ney model of the code points of all documents, order `ORDER`, for each language. Tasks
 count the n-grams of their own documents, Spark adds them up; continuation counts, context sums, discounts and
-probabilities are tables that grow with the corpus, made by grouping, windows over one context and joins. An
+probabilities are tables that grow with the corpus, made by grouping, windows over contexts and endings, and joins; they hold numbers only, all orders in one. An
 n-gram is known by a 63-bit hash of its language and its code points; two n-grams of a billion share one with a
 probability of about 5 %, and would then add their counts.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.lineage import cut, written
 from rankloom.functions.ranking import quantiles
-from rankloom.llm.common import WordHashes, field, map_texts, mixed, modest_batches, plain_names, slices, squeezed, unsqueezed, windows, word_hashes
+from rankloom.llm.common import field, map_texts, mixed, modest_batches, plain_names, slices, squeezed, unsqueezed, windows
 
 ORDER = 5
 EDGE = "\ufffe"
@@ -49,8 +49,10 @@ BAND = 6.0
 LEAST_WIDTH = 1.0
 #: Nor is it narrower below its median than this share of it.
 LOW_SHARE = 0.5
-#: n-grams that a task holds before it adds them up.
-BUFFER = 300_000
+#: n-grams that a task holds before it adds them up, and how many times as many different ones before it hands them on.
+BUFFER, HELD = 1_000_000, 2
+#: Bits of a code point.
+CODE_BITS = 21
 FOLDS = (0, 1)
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 
@@ -107,85 +109,134 @@ def marked(df: DataFrame, text: str, lang: str) -> list[Column]:
 
 
 def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, key, gram, c0, c1): how often each n-gram of a language occurs in each fold. Every task adds up its own documents first."""
+    """(key, lang, far, near, c0, c1): how often each n-gram of a language occurs in each fold. Every task adds up its own documents first.
 
-    def run(batches):
-        names: dict[str, int] = {}
-        held: list[tuple] = []
+    `lang` is the seed of the language. The code points w1 to w5 stand in `far` (w3, w2, w1) and `near` (w4, w5), CODE_BITS to each; those of a shorter n-gram's missing beginning are 0.
+    """
 
-        def added_up():
-            key, n, name, gram = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, first, place = np.unique(key, return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=n).astype(np.int64)
-            fold, name, gram, known = (found & np.uint64(1)).astype(np.int64), name[first], gram[first], np.array(list(names), object)
-            for i in range(0, len(found), 50_000):
-                k = slice(i, i + 50_000)
-                columns = [pa.array(known[name[k]], pa.string()), pa.array((found[k] >> np.uint64(1)).astype(np.int64)), pa.array(gram[k]).cast(pa.string()), pa.array(total[k] * (1 - fold[k])), pa.array(total[k] * fold[k])]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "gram", "c0", "c1"])
+    def added_up(held: list[tuple]) -> list[tuple]:
+        key, n, name, far, near = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        first = order[new]
+        return [(key[new], np.add.reduceat(n[order], new), name[first], far[first], near[first])]
+
+    def rows_of(held: list[tuple]):
+        key, n, name, far, near = held[0]
+        fold = (key & np.uint64(1)).astype(np.int64)
+        columns = [(key >> np.uint64(1)).astype(np.int64), name, far, near, n * (1 - fold), n * fold]
+        for i in range(0, len(key), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in columns], names=["key", "lang", "far", "near", "c0", "c1"])
 
+    def run(batches):
+        held: list[tuple] = []
+        fresh = 0
         for batch in batches:
             for part, texts in slices(batch):
                 langs, folds = part.column(0).to_pylist(), part.column(1).to_numpy()
                 c, h, begin, end = hashed(texts, langs)
-                at = np.flatnonzero(inside(len(h), begin, end))
-                owner = np.searchsorted(begin, at, side="right") - 1
-                key, first, n = np.unique((h[at] << np.uint64(1)) | folds[owner].astype(np.uint64), return_index=True, return_counts=True)
-                at, owner = at[first], owner[first]
-                gram = np.ascontiguousarray(c[at[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0] if len(at) else np.empty(0, f"<U{ORDER}")
-                own = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
-                held.append((key, n, own[owner], gram))
-                if sum(len(x[0]) for x in held) >= BUFFER:
-                    yield from added_up()
-                    held = []
+                owner = np.repeat(np.arange(len(texts)), end - begin)
+                if not len(owner):
+                    continue
+                at = np.arange(len(owner)) + np.repeat(begin - np.concatenate(([0], np.cumsum(end - begin)[:-1])), end - begin)
+                key = (h[at] << np.uint64(1)) | folds.astype(np.uint64)[owner]
+                order = np.argsort(key)
+                key = key[order]
+                new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                first, n = order[new], np.diff(np.append(new, len(key)))
+                w = [c[at[first] + i].astype(np.int64) for i in range(ORDER)]
+                seeds = np.array([seed(x) for x in langs], np.uint64).view(np.int64)
+                far = (w[2] << 2 * CODE_BITS) | (w[1] << CODE_BITS) | w[0]
+                held.append((key[new], n, seeds[owner[first]], far, (w[3] << CODE_BITS) | w[4]))
+                fresh += len(new)
+                if fresh >= BUFFER:
+                    held, fresh = added_up(held), 0
+                    if len(held[0][0]) >= HELD * BUFFER:
+                        yield from rows_of(held)
+                        held = []
         if held:
-            yield from added_up()
+            yield from rows_of(added_up(held))
 
     modest_batches(df.sparkSession)
     rows = df.select(*marked(df, text, lang)[:2], F.col(f"`{text}`").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "lang string, key long, gram string, c0 long, c1 long")
-    return found.groupBy("lang", "key", "gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in FOLDS])
+    found = rows.mapInArrow(run, "key long, lang long, far long, near long, c0 long, c1 long")
+    return found.groupBy("key", "lang", "far", "near").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in FOLDS])
 
 
-def smoothed(counts: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
-    """`counts` (lang, gram, c0, c1 and more) with p0 and p1: interpolated modified Kneser-Ney of the last code point after the others, by either fold.
+def ending(order: Column) -> tuple[Column, Column]:
+    """`far` and `near` of the last `order` (1 to 5) code points of an n-gram."""
+    mask = lambda n: F.lit(((1 << 3 * CODE_BITS) - 1) >> n * CODE_BITS << n * CODE_BITS)
+    far = F.when(order == 5, F.col("far")).when(order == 4, F.col("far").bitwiseAND(mask(1))).when(order == 3, F.col("far").bitwiseAND(mask(2))).otherwise(F.lit(0).cast("long"))
+    return far.alias("far"), F.when(order == 1, F.col("near").bitwiseAND(F.lit((1 << CODE_BITS) - 1))).otherwise(F.col("near")).alias("near")
 
-    `lower` has p0 and p1 by lang and gram for one order less, none under order 1. A fold without text of the language has none.
-    """
+
+def shorter(grams: DataFrame) -> DataFrame:
+    """(lang, order, far, near, c0, c1) of all orders but the highest: of how many different code points each n-gram is the continuation, by either fold."""
+    there = [(F.col(f"c{i}") > 0).cast("long").alias(f"c{i}") for i in FOLDS]
+    each = grams.select("lang", "far", "near", *there, F.explode(F.array(*[F.lit(n) for n in range(ORDER, 1, -1)])).alias("order"))
+    once = each.groupBy("lang", "order", *ending(F.col("order"))).agg(*[F.max(f"c{i}").alias(f"c{i}") for i in FOLDS])
+    return once.groupBy("lang", (F.col("order") - 1).alias("order"), *ending(F.col("order") - 1)).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in FOLDS])
+
+
+def discounts(counts: DataFrame) -> DataFrame:
+    """A row for each language and order: by either fold the discounts d1 to d3 of modified Kneser-Ney, the n-grams counted once, twice and more often, those counted at all, and the sum."""
     is_ = lambda i, k: (F.col(f"c{i}") == k).cast("long")
-    sizes = counts.groupBy("lang").agg(*[F.sum(is_(i, k)).cast("double").alias(f"of{k}_{i}") for i in FOLDS for k in (1, 2, 3, 4)], *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"types_{i}") for i in FOLDS])
-    # A context has at most as many rows as there are code points.
-    context = Window.partitionBy("lang", F.substring("gram", 1, order - 1))
-    rows = counts
+    sums = {f"of{k}_{i}": F.sum(is_(i, k)) for i in FOLDS for k in (1, 2, 3, 4)}
+    sums |= {f"types_{i}": F.sum((F.col(f"c{i}") > 0).cast("long")) for i in FOLDS} | {f"all_{i}": F.sum(f"c{i}") for i in FOLDS}
+    sizes = counts.groupBy("lang", "order").agg(*[v.alias(k) for k, v in sums.items()])
+    out = []
     for i in FOLDS:
-        rows = rows.withColumns({f"total_{i}": F.sum(f"c{i}").over(context), **{f"n{k}_{i}": F.sum(is_(i, k)).over(context) for k in (1, 2)}, f"n3_{i}": F.sum((F.col(f"c{i}") > 2).cast("long")).over(context)})
-    rows = rows.join(sizes, "lang")
-    if lower is not None:
-        below = lower.select("lang", F.col("gram").alias("suffix"), *[F.col(f"p{i}").alias(f"below_{i}") for i in FOLDS])
-        rows = rows.withColumn("suffix", F.substring("gram", 2, order - 1)).join(below, ["lang", "suffix"])
-    out = {}
-    for i in FOLDS:
-        x = lambda name, i=i: F.col(f"{name}_{i}")
-        y = F.when(x("of1") > 0, x("of1") / (x("of1") + 2 * x("of2"))).otherwise(0.5)
-        less = [F.when(x(f"of{k}") > 0, F.least(F.lit(float(k)), F.greatest(F.lit(0.0), k - (k + 1) * y * x(f"of{k + 1}") / x(f"of{k}")))).otherwise(0.5) for k in (1, 2, 3)]
-        c = F.col(f"c{i}")
-        cut_by = F.when(c == 0, 0.0).when(c == 1, less[0]).when(c == 2, less[1]).otherwise(less[2])
-        left_over = less[0] * x("n1") + less[1] * x("n2") + less[2] * x("n3")
-        under = x("below") if lower is not None else F.when(x("types") > 0, 1 / (x("types") + 1.0))
-        out[f"p{i}"] = F.when(x("total") == 0, under).otherwise((F.greatest(c - cut_by, F.lit(0.0)) + left_over * under) / x("total"))
-    return rows.select(*counts.columns, *[v.alias(k) for k, v in out.items()])
+        of = {k: F.col(f"of{k}_{i}").cast("double") for k in (1, 2, 3, 4)}
+        y = F.when(of[1] > 0, of[1] / (of[1] + 2 * of[2])).otherwise(0.5)
+        out += [F.when(of[k] > 0, F.least(F.lit(float(k)), F.greatest(F.lit(0.0), k - (k + 1) * y * of[k + 1] / of[k]))).otherwise(0.5).alias(f"d{k}_{i}") for k in (1, 2, 3)]
+        out += [F.col(f"of1_{i}"), F.col(f"of2_{i}"), (F.col(f"types_{i}") - F.col(f"of1_{i}") - F.col(f"of2_{i}")).alias(f"more_{i}"), F.col(f"types_{i}"), F.col(f"all_{i}")]
+    return sizes.select("lang", "order", *out)
+
+
+def terms(i: int, total: Column, n1: Column, n2: Column, n3: Column) -> tuple[Column, Column, Column]:
+    """u, v and t of interpolated Kneser-Ney in fold i: the probability is (u + v * p) / t, where p is that of the next lower order."""
+    c, (d1, d2, d3) = F.col(f"c{i}"), (F.col(f"d{k}_{i}") for k in (1, 2, 3))
+    less = F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+    none = total == 0
+    return F.when(none, 0.0).otherwise(F.greatest(c - less, F.lit(0.0))), F.when(none, 1.0).otherwise(d1 * n1 + d2 * n2 + d3 * n3), F.when(none, 1.0).otherwise(total.cast("double"))
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
-    """(lang, key, gram, c0, c1, p0, p1) of `count_ngrams`' rows. Lower orders count how many code points their n-grams follow."""
-    tables = [grams]  # each is written, so that no plan holds more than one order
-    for order in range(ORDER - 1, 0, -1):
-        tables.append(written(tables[-1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in FOLDS])))
-    lower = None
-    for order, counts in enumerate(reversed(tables), 1):
-        lower = smoothed(counts, order, lower)
-        if order < ORDER:
-            lower = written(lower.select("lang", "gram", "p0", "p1"))
-    return lower
+    """(key, p0, p1) of `count_ngrams`' rows: modified Kneser-Ney of the last code point after the others, by either fold (null: it has no text of the language).
+
+    A window over each context gives the terms of every order. n-grams that end with the same two code points are then sorted as a walk
+    through the tree of their endings: the last row of each lower order before an n-gram is its own ending.
+    """
+    lower = written(shorter(grams))
+    columns = ["key", "lang", "order", "far", "near", *[f"c{i}" for i in FOLDS]]
+    counts = grams.withColumn("order", F.lit(ORDER)).select(columns).unionByName(lower.withColumn("key", F.lit(None).cast("long")).select(columns))
+    sizes = written(discounts(counts))
+    single = lower.where("order = 1").join(sizes.where("order = 1").drop("order"), "lang")
+    first = []
+    for i in FOLDS:
+        u, v, t = terms(i, *[F.col(f"{n}_{i}") for n in ("all", "of1", "of2", "more")])
+        first.append(((u + v * F.when(F.col(f"types_{i}") > 0, 1 / (F.col(f"types_{i}") + 1.0))) / t).alias(f"p1_{i}"))
+    single = written(single.select("lang", F.col("near").alias("last"), *first))
+
+    # A context has at most as many rows as there are code points.
+    context = Window.partitionBy("lang", "order", "far", F.shiftright("near", CODE_BITS))
+    rows = counts.where("order > 1")
+    for i in FOLDS:
+        is_ = lambda k, i=i: F.sum((F.col(f"c{i}") == k).cast("long")).over(context)
+        rows = rows.withColumns({f"total_{i}": F.sum(f"c{i}").over(context), f"n1_{i}": is_(1), f"n2_{i}": is_(2), f"n3_{i}": F.sum((F.col(f"c{i}") > 2).cast("long")).over(context)})
+    own = [x.alias(f"{n}_{i}") for i in FOLDS for n, x in zip("uvt", terms(i, *[F.col(f"{n}_{i}") for n in ("total", "n1", "n2", "n3")]), strict=True)]
+    rows = rows.join(sizes, ["lang", "order"]).select("key", "lang", "order", "far", "near", F.struct(*own).alias("own"))
+    before = Window.partitionBy("lang", "near").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"of{n}": F.last(F.when(F.col("order") == n, F.col("own")), ignorenulls=True).over(before) for n in range(2, ORDER)})
+    rows = rows.where(F.col("order") == ORDER).withColumn("last", F.col("near").bitwiseAND(F.lit((1 << CODE_BITS) - 1))).join(single, ["lang", "last"])
+    out = []
+    for i in FOLDS:
+        p = F.col(f"p1_{i}")
+        for s in (*[f"of{n}" for n in range(2, ORDER)], "own"):
+            p = (F.col(f"{s}.u_{i}") + F.col(f"{s}.v_{i}") * p) / F.col(f"{s}.t_{i}")
+        out.append(p.alias(f"p{i}"))
+    return rows.select("key", *out)
 
 
 def model(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -226,8 +277,10 @@ class SortedLogs:
 
 
 def sorted_logs(table: pa.Table) -> SortedLogs:
-    logs = [table.column(f"l{i}").to_numpy(zero_copy_only=False).astype(np.float32) for i in FOLDS]
-    return SortedLogs(table.column("key").to_numpy(zero_copy_only=False).astype(np.int64), np.column_stack(logs))
+    logs = np.empty((table.num_rows, len(FOLDS)), np.float32)
+    for i in FOLDS:
+        logs[:, i] = table.column(f"l{i}").to_numpy(zero_copy_only=False)
+    return SortedLogs(table.column("key").to_numpy(zero_copy_only=False).astype(np.int64, copy=False), logs)
 
 
 def group_losses(df: DataFrame, logs: DataFrame, text: str, lang: str, group_bytes: int) -> DataFrame:
@@ -302,13 +355,13 @@ def group_losses(df: DataFrame, logs: DataFrame, text: str, lang: str, group_byt
     return found.dropDuplicates(["_doc"])
 
 
-def measures(texts: list[bytes], cache: WordHashes) -> list[np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def measures(texts: list[bytes]) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Words of one text are compared by Python's own 64-bit hash of bytes, which is never stored."""
     out = np.zeros((5, len(texts)), np.int64)
     for i, t in enumerate(texts):
         words = t.split()
         lines = [x for x in t.split(b"\n") if x and not x.isspace()]
-        h = windows(word_hashes(words, cache), REPEAT_WINDOW)
+        h = windows(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), REPEAT_WINDOW)
         ordered = np.sort(h)
         again = ordered[1:][ordered[1:] == ordered[:-1]]
         covered = 0
@@ -325,13 +378,12 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def scored(df: DataFrame, *, keep: list[str], text: str, lang: str, most: int = MODEL_GRAMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The columns `keep`, `_lang`, `_doc`, the measures with `_` before their names, and `_loss` (nats per code point; null: none), written."""
     logs = model(df, text, lang)
-    cache = WordHashes()
     small = logs.count() <= most
     sent = df.sparkSession.sparkContext.broadcast(sorted_logs(logs.toArrow())) if small else None
     pa.default_memory_pool().release_unused()
 
     def work(texts, part):
-        found = [pa.array(x, pa.int64()) for x in measures(texts, cache)]
+        found = [pa.array(x, pa.int64()) for x in measures(texts)]
         if small:
             langs, folds = (part.column(part.num_columns - i) for i in (4, 3))
             found.append(pa.array(sent.value.losses(texts, langs.to_pylist(), folds.to_numpy()), pa.float64()))

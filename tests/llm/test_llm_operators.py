@@ -543,6 +543,20 @@ def test_losses_equal_brute_force_however_large_the_model_is(spark, monkeypatch)
             assert x._loss == (pytest.approx(want[x.doc_id], abs=1e-5) if x.doc_id in want else None)
 
 
+def test_model_counts_travel_as_numbers_in_few_tables(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"the cat sat on mat {i} \U0010ffff", "en" if i % 2 else None) for i in range(20)], "doc_id long, text string, lang string")
+    counts = quality_rules.count_ngrams(df, "text", "lang")
+    assert {kind for _, kind in counts.dtypes} == {"bigint"}
+    texts = {(r.doc_id, r.text) for r in df.collect()}
+    assert counts.agg(F.sum(F.col("c0") + F.col("c1"))).first()[0] == sum(len(t) for _, t in texts)
+    ends = {r.near % 2**21 for r in counts.select("near").collect()}
+    assert ends == {ord(c) for _, t in texts for c in t}
+    tables = []
+    written = quality_rules.written
+    monkeypatch.setattr(quality_rules, "written", lambda df, *a: tables.append(df) or written(df, *a))
+    assert quality_rules.model(df, "text", "lang").count() == counts.count() and len(tables) <= 5
+
+
 def test_rules_reject_noise_in_other_scripts_and_salad(spark):
     r = random.Random(7)
     letters = {"ru": "абвгдежзиклмнопрстуфхцчшыьэюя", "en": "abcdefghijklmnoprstuvwyz"}
