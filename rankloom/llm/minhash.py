@@ -228,10 +228,9 @@ def one_of_each(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", pe
     with_words = found.where("_root IS NOT NULL").groupBy("_root").agg(F.min(place).alias("top"), F.count("*").alias("n")).where("n > 1")
     first = with_words.select("_root", "top.*")
     same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._row") == F.col("b._row"))
-    placed = found.alias("a").join(first.alias("b"), "_root")
-    gone = placed.where(~same).select(F.col("a._id").alias("_id"), F.col("a._row").alias("_row")).distinct()
-    again = placed.where(same).groupBy(F.col("a._id").alias("_id"), F.col("a._row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_row")
-    verdict = gone.withColumn("_again", F.lit(False)).unionByName(again.withColumn("_again", F.lit(True)))
+    placed = found.alias("a").join(first.alias("b"), "_root").select(F.col("a._id").alias("_id"), F.col("a._row").alias("_row"), same.alias("_again"))
+    # Equal rows have one root, and so one verdict.
+    verdict = written(placed.groupBy("_id", "_row").agg(F.max("_again").alias("_again"), F.count("*").alias("n")).where("NOT _again OR n > 1").drop("n"))
     rest = [c for c in df.columns if c != text]
     rows = squeezed(df.withColumn("_row", row), [*rest, "_row"], text)
     hit = (F.col(f"r.`{doc_id}`").eqNullSafe(F.col("v._id"))) & (F.col("r._row") == F.col("v._row"))

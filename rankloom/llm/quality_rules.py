@@ -401,13 +401,13 @@ def scored(df: DataFrame, *, keep: list[str], text: str, lang: str, most: int =
 def bands(losses: DataFrame, width: float = BAND) -> DataFrame:
     """(_lang, _low, _high) over all documents of each language, by exact medians, so that they don't depend on how the documents are dealt out.
 
-    A language whose documents have no loss has no limits."""
+    A language whose documents have no loss has no limits. Medians and limits, a row for each language, are written, so that no plan holds those before it."""
     own = losses.where("_loss IS NOT NULL").select("_lang", "_loss")
-    middle = quantiles(own, ["_lang"], "_loss", {"m": 0.5})
+    middle = written(quantiles(own, ["_lang"], "_loss", {"m": 0.5}))
     off = own.join(middle, "_lang").select("_lang", F.abs(F.col("_loss") - F.col("m")).alias("_off"))
     spread = middle.join(quantiles(off, ["_lang"], "_off", {"d": 0.5}), "_lang")
     half = F.greatest(F.lit(width * 1.4826) * F.col("d"), F.lit(LEAST_WIDTH))
-    return spread.select("_lang", (F.col("m") - F.greatest(half, LOW_SHARE * F.col("m"))).alias("_low"), (F.col("m") + half).alias("_high"))
+    return written(spread.select("_lang", (F.col("m") - F.greatest(half, LOW_SHARE * F.col("m"))).alias("_low"), (F.col("m") + half).alias("_high")))
 
 
 def verdicts(losses: DataFrame) -> DataFrame:

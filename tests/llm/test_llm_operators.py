@@ -137,6 +137,15 @@ def test_one_of_each_group_stays(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_are_dropped_by_a_small_last_plan(spark, odd):
+    text = "a b c d e f g h"
+    rows = [(5, text, "x"), (5, text, "x"), (5, text, "y"), (None, text, "x"), (None, text, "x"), (7, "p q", "x"), (7, "p q", "x"), (8, "r s", "x")]
+    left = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = sorted(map(tuple, left.collect()))
+    assert len(found) == 3 and found[0][:2] == (5, text) and found[1:] == [(7, "p q", "x"), (8, "r s", "x")]
+    assert minhash.one_of_each(odd)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 1
+
+
 def test_components_of_a_chain_and_loops(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (50, 51), (51, 50), (None, 3)], "a int, b int")
     got = {r.node: r.root for r in components.components(links).collect()}
@@ -557,6 +566,16 @@ def test_model_counts_travel_as_numbers_in_few_tables(spark, monkeypatch):
     assert quality_rules.model(df, "text", "lang").count() == counts.count() and len(tables) <= 5
 
 
+def test_limits_of_languages_are_written(spark):
+    rows = [(lang, v) for lang, n in (("a", 5), ("b", 2), ("c", 0)) for v in [None, *(float(i * i) for i in range(n))]]
+    limits = quality_rules.bands(spark.createDataFrame(rows, "_lang string, _loss double"))
+    # medians 4 and 0.5, medians of the deviations 4 and 0.5
+    want = {"a": (4 - 6 * 1.4826 * 4, 4 + 6 * 1.4826 * 4), "b": (0.5 - 6 * 1.4826 * 0.5, 0.5 + 6 * 1.4826 * 0.5)}
+    assert {r[0]: (r[1], r[2]) for r in limits.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    plan = limits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_rules_reject_noise_in_other_scripts_and_salad(spark):
     r = random.Random(7)
     letters = {"ru": "абвгдежзиклмнопрстуфхцчшыьэюя", "en": "abcdefghijklmnoprstuvwyz"}
