@@ -108,20 +108,33 @@ def marked(df: DataFrame, text: str, lang: str) -> list[Column]:
     return [F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)).alias("_lang"), fold_of(F.col(f"`{text}`")).alias("_fold"), document_of(text, lang).alias("_doc")]
 
 
+def added_up(held: list[tuple]) -> list[tuple]:
+    """One table of the distinct keys for those in `held` (key, n and what goes with the key), which is emptied: columns go one by one, so that no more than one is there twice."""
+    key, n, *others = (list(x) for x in zip(*held, strict=True))
+    held.clear()
+
+    def whole(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.concatenate(parts)
+        parts.clear()
+        return out
+
+    keys = whole(key)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    keys = keys[new]
+    sums = np.add.reduceat(whole(n)[order], new)
+    first = order[new]
+    del order, new
+    return [(keys, sums, *(whole(x)[first] for x in others))]
+
+
 def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
     """(key, lang, far, near, c0, c1): how often each n-gram of a language occurs in each fold. Every task adds up its own documents first.
 
     `lang` is the seed of the language. The code points w1 to w5 stand in `far` (w3, w2, w1) and `near` (w4, w5), CODE_BITS to each; those of a shorter n-gram's missing beginning are 0.
     """
 
-    def added_up(held: list[tuple]) -> list[tuple]:
-        key, n, name, far, near = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(key)
-        key = key[order]
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        first = order[new]
-        return [(key[new], np.add.reduceat(n[order], new), name[first], far[first], near[first])]
-
     def rows_of(held: list[tuple]):
         key, n, name, far, near = held[0]
         fold = (key & np.uint64(1)).astype(np.int64)

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -566,6 +567,24 @@ def test_model_counts_travel_as_numbers_in_few_tables(spark, monkeypatch):
     assert quality_rules.model(df, "text", "lang").count() == counts.count() and len(tables) <= 5
 
 
+def test_counts_are_added_up_column_by_column():
+    r = np.random.default_rng(3)
+    tracemalloc.start()
+    try:
+        keys = [r.integers(0, 150_000, 50_000).astype(np.uint64) for _ in range(10)]
+        held = [(k, np.ones(len(k), np.int64), *((k * np.uint64(m)).astype(np.int64) for m in (3, 5, 7))) for k in keys]
+        want = np.unique(np.concatenate(keys), return_counts=True)
+        del keys
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        ((key, n, *others),) = quality_rules.added_up(held)
+        assert tracemalloc.get_traced_memory()[1] < 1.8 * before
+    finally:
+        tracemalloc.stop()
+    assert not held and (key == want[0]).all() and (n == want[1]).all()
+    assert all((x == key.astype(np.int64) * m).all() for x, m in zip(others, (3, 5, 7), strict=True))
+
+
 def test_limits_of_languages_are_written(spark):
     rows = [(lang, v) for lang, n in (("a", 5), ("b", 2), ("c", 0)) for v in [None, *(float(i * i) for i in range(n))]]
     limits = quality_rules.bands(spark.createDataFrame(rows, "_lang string, _loss double"))
